@@ -1,0 +1,49 @@
+"""Grouping rows into lists whose length is bounded.
+
+A group that fits one list gives one row (part 0). A larger group is cut into parts, each
+its own row, so no row, task or group ever holds an unbounded list and none is shortened.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+LIST_LIMIT = 1000
+
+
+def ordered_lists(
+    df: DataFrame,
+    keys: Sequence[str],
+    position: str,
+    items: dict[str, Column],
+    limit: int = LIST_LIMIT,
+) -> DataFrame:
+    """Lists of ``items`` per key in order of ``position`` (an integer unique per key).
+
+    Groups over ``limit`` rows are cut by position, so parts follow each other in order.
+    """
+    spans = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(position).alias("_from"))
+    offset = ((F.col(position) - F.col("_from")) / limit).cast("bigint")
+    parts = df.join(spans, list(keys)).withColumn(
+        "part_no", F.when(F.col("_n") <= limit, F.lit(0)).otherwise(offset).cast("bigint")
+    )
+    grouped = parts.groupBy(*keys, "part_no").agg(
+        *[
+            F.sort_array(F.collect_list(F.struct(F.col(position).alias("_at"), item.alias("item")))).alias(name)
+            for name, item in items.items()
+        ]
+    )
+    lists = [F.transform(name, lambda pair: pair["item"]).alias(name) for name in items]
+    return grouped.select(*keys, "part_no", *lists)
+
+
+def sorted_sets(df: DataFrame, keys: Sequence[str], item: str, limit: int = LIST_LIMIT) -> DataFrame:
+    """Sorted distinct values of ``item`` per key; big groups are cut by a hash of the value."""
+    values = df.where(F.col(item).isNotNull()).select(*keys, item).distinct()
+    sizes = values.groupBy(*keys).agg(F.count("*").alias("_n"))
+    ways = F.when(F.col("_n") <= limit, F.lit(1)).otherwise(F.ceil(2 * F.col("_n") / limit))
+    parts = values.join(sizes, list(keys)).withColumn("part_no", F.pmod(F.xxhash64(item), ways).cast("bigint"))
+    return parts.groupBy(*keys, "part_no").agg(F.array_sort(F.collect_list(item)).alias(item))
