@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.session import cut
+
 
 def best_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first in ``order``.
@@ -41,43 +43,48 @@ def argmin_concat(df: DataFrame, key: str, first: str, second: str) -> DataFrame
     )
 
 
-def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], slice_of: Column, name: str) -> DataFrame:
-    """Consecutive numbers 1, 2, 3 … within a group, in the order given.
+def sliced(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Rows in range slices of (group, order), stored once with their slice number.
+
+    Slices follow the sort order and have similar sizes however rows are spread over groups:
+    a huge group covers many slices. The slice number is stored, so every later read and
+    every retry sees the same slices.
+    """
+    ranged = df.repartitionByRange(*[F.col(name) for name in group], *order)
+    return cut(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
+
+
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Consecutive numbers 1, 2, 3 … within a group, in the order given (unique per group).
 
-    ``slice_of`` cuts a group into slices that keep the order (equal ``order`` prefixes go
-    to one slice, later slices hold later rows). Rows are ranked per slice and shifted by
-    the size of the earlier slices, so the work on a huge group is spread over its slices.
+    Rows are ranked per slice and shifted by the size of the group's earlier slices.
     """
-    sliced = df.withColumn("_slice", slice_of)
-    sizes = sliced.groupBy(*group, "_slice").agg(F.count("*").alias("_size"))
+    rows = sliced(df, group, order)
+    sizes = rows.groupBy(*group, "_slice").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(
-        *group, "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift")
-    )
-    inside = Window.partitionBy(*group, "_slice").orderBy(*[F.col(item).asc_nulls_last() for item in order])
-    ranked = sliced.withColumn("_rank", F.row_number().over(inside))
+    shifts = sizes.select(*group, "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy(*group, "_slice").orderBy(*order)
     return (
-        ranked.join(shifts, [*group, "_slice"])
+        rows.withColumn("_rank", F.row_number().over(inside))
+        .join(shifts, [*group, "_slice"])
         .withColumn(name, (F.col("_shift") + F.col("_rank")).cast("bigint"))
         .drop("_slice", "_shift", "_rank")
     )
 
 
-def previous_in_slices(
-    df: DataFrame, group: Sequence[str], order: str, slice_of: Column, value: str, name: str
-) -> DataFrame:
-    """The value of the preceding row of the same group, looked up slice by slice.
+def previous(df: DataFrame, group: Sequence[str], order: str, value: str, name: str) -> DataFrame:
+    """The value of the preceding row of the same group (``order`` unique, ``value`` never NULL).
 
     Inside a slice this is ``lag``; the first row of a slice takes the last value of the
-    nearest earlier slice, found on the much smaller table of slices.
+    group's nearest earlier slice, found on the much smaller table of slices.
     """
-    sliced = df.withColumn("_slice", slice_of)
-    last = sliced.groupBy(*group, "_slice").agg(F.max_by(value, order).alias("_last"))
+    rows = sliced(df, group, [F.col(order).asc()])
+    last = rows.groupBy(*group, "_slice").agg(F.max_by(value, order).alias("_last"))
     earlier = Window.partitionBy(*group).orderBy("_slice")
     carried = last.select(*group, "_slice", F.lag("_last").over(earlier).alias("_carried"))
     inside = Window.partitionBy(*group, "_slice").orderBy(order)
     return (
-        sliced.withColumn("_inside", F.lag(value).over(inside))
+        rows.withColumn("_inside", F.lag(value).over(inside))
         .join(carried, [*group, "_slice"])
         .withColumn(name, F.coalesce("_inside", "_carried"))
         .drop("_slice", "_inside", "_carried")

@@ -1,5 +1,5 @@
 """Queries over the given tables, with the SQL each of them is checked against."""
 
-from suite import warehouse
+from suite import catalog, lineage, warehouse
 
-MODULES = [warehouse]
+MODULES = [warehouse, catalog, lineage]

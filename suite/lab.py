@@ -56,8 +56,7 @@ class Spark:
     def field(text: str, key: str) -> str:
         return f"CAST(get_json_object({text}, '$.{key}') AS BIGINT)"
 
-    md5 = staticmethod(lambda x: f"md5({x})")
-    nul = "chr(0)"
+    no_strings = "CAST(array() AS ARRAY<STRING>)"
 
 
 class Duck:
@@ -81,8 +80,7 @@ class Duck:
     def field(text: str, key: str) -> str:
         return f"CAST(json_extract_string({text}, '$.{key}') AS BIGINT)"
 
-    md5 = staticmethod(lambda x: f"md5({x})")
-    nul = "chr(0)"
+    no_strings = "CAST([] AS VARCHAR[])"
 
 
 Binding = Callable[[type], str]

@@ -140,9 +140,9 @@ FROM {{customer}} WHERE c_nationkey < 20"""
 
 BINDINGS["cd_cte_master_diaria"] = lambda d: f"""
 SELECT {customer('c_custkey')} AS id_cliente, 1000000 + c_custkey AS id_master, 'CLIENTE_ALNOVA' AS cod_tipo_cliente
-FROM {{customer}} WHERE c_nationkey % 2 = 0
-UNION ALL SELECT {customer('c_custkey')}, 5000000 + c_custkey, 'CLIENTE_ALNOVA' FROM {{customer}} WHERE c_nationkey % 4 = 0
-UNION ALL SELECT {cif('c_custkey')}, 2000000 + c_custkey, 'CLIENTE_FINACLE' FROM {{customer}} WHERE c_nationkey % 3 = 0
+FROM {{customer}} WHERE c_nationkey < 12
+UNION ALL SELECT {customer('c_custkey')}, 5000000 + c_custkey, 'CLIENTE_ALNOVA' FROM {{customer}} WHERE c_nationkey < 6
+UNION ALL SELECT {cif('c_custkey')}, 2000000 + c_custkey, 'CLIENTE_FINACLE' FROM {{customer}} WHERE c_nationkey BETWEEN 8 AND 18
 UNION ALL SELECT CAST(o_custkey % 25 AS STRING) || '-' || substr(o_orderpriority, 1, 1) || '-' ||
                  CAST(o_orderkey % 120 AS STRING) || '-' || CAST(o_orderkey AS STRING),
                  3000000 + o_custkey, 'CLIENTE_UNICO' FROM {{orders}} WHERE o_orderstatus = 'F'
@@ -165,7 +165,7 @@ SELECT {d.protect(cif('o_custkey'), 'o_orderkey % 101 = 0')} AS identificadorcli
          CAST({product_number('o_orderkey', 'o_custkey')} AS STRING) AS producto,
        CAST(o_orderkey % 360 AS INT) AS plazodeposito,
        CAST(CASE WHEN o_orderkey % 10 < 7 THEN {SNAPSHOT} ELSE {ymd('o_orderdate')} END AS INT) AS fifecha
-FROM (SELECT * FROM {{orders}} UNION ALL SELECT * FROM {{orders}} WHERE o_orderkey % 7 = 0) AS loaded"""
+FROM (SELECT * FROM {{orders}} UNION ALL SELECT * FROM {{orders}} WHERE o_orderpriority = '2-HIGH') AS loaded"""
 
 BINDINGS["rd_fin_cuentav2"] = lambda d: f"""
 SELECT {d.protect('(' + core_account('l_orderkey') + ')')} AS numerocuenta,
@@ -224,7 +224,7 @@ BINDINGS["rd_bgdt504"] = lambda d: _wide("t504", "o_orderpriority IN ('4-NOT SPE
 
 BINDINGS["rd_tcdt078"] = lambda d: f"""
 SELECT {padded('s_suppkey', 4)} AS t078_centro_4, {padded('s_suppkey', 6)} AS t078_centro_6
-FROM {{supplier}} WHERE s_suppkey % 2 = 0"""
+FROM {{supplier}} WHERE s_nationkey < 15"""
 
 BINDINGS["cu_portafolio_fenix_analitica_crm_historica"] = lambda d: f"""
 SELECT {account('o_orderkey')} AS cuenta_alnova,
