@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ledgerloom.functions.naming import tabular_type
 
 
 def analyze(spark: SparkSession, table: str, columns: bool = False) -> None:
@@ -68,38 +69,31 @@ def column_profile(df: DataFrame, order: Sequence[str], sample: int = 5) -> Data
 
     The sample is a top-k by ``order``; the null counts come from one aggregate over the table.
     """
-    rows = df.orderBy(*order).limit(sample)
     named = [(field.name, field.dataType.simpleString().upper(), not field.nullable) for field in df.schema]
-    head = rows.agg(
+    head = df.orderBy(*order).limit(sample).agg(
         *[
             F.min_by(F.col(name).cast("string"), F.when(F.col(name).isNotNull(), F.struct(*order))).alias(name)
             for name, _, _ in named
         ]
     )
     counts = df.agg(F.count("*").alias("_rows"), *[F.count(name).alias(name) for name, _, _ in named])
-    examples = _columns_to_rows(head, named, "example")
-    filled = _columns_to_rows(counts, named, "filled").join(
-        counts.select(F.col("_rows").alias("row_count"))
-    )
-    return examples.join(
-        filled.select("field_name", "row_count", (F.col("row_count") - F.col("filled")).alias("null_count")),
-        "field_name",
-    )
-
-
-def _columns_to_rows(one: DataFrame, named: list[tuple[str, str, bool]], value: str) -> DataFrame:
-    cells = [
+    examples = [
         F.struct(
             F.lit(index).alias("position"),
             F.lit(name).alias("field_name"),
             F.lit(kind).alias("physical_type"),
+            tabular_type(F.lit(kind)).alias("logical_type"),
             F.lit(required).alias("required"),
-            F.col(name).alias(value),
+            F.col(name).alias("example"),
         )
         for index, (name, kind, required) in enumerate(named, start=1)
     ]
-    return one.select(F.inline(F.array(*cells)))
-
-
-def schema_of(fields: Sequence[tuple[str, str]]) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in fields))
+    filled = [
+        F.struct(
+            F.lit(name).alias("field_name"),
+            F.col("_rows").alias("row_count"),
+            (F.col("_rows") - F.col(name)).alias("null_count"),
+        )
+        for name, _, _ in named
+    ]
+    return head.select(F.inline(F.array(*examples))).join(counts.select(F.inline(F.array(*filled))), "field_name")

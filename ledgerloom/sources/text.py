@@ -125,7 +125,7 @@ def dictionary_fields(texts: DataFrame) -> DataFrame:
     """
     lines = texts.select("path", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("at", "line"))
     trimmed = F.trim("line")
-    cells = F.transform(F.split(F.btrim(trimmed, F.lit("|")), r"\|"), F.trim)
+    cells = F.transform(F.split(F.btrim(trimmed, F.lit("|")), r"\|"), lambda cell: F.trim(cell))
     rows = (
         lines.where(trimmed.startswith("|"))
         .select("path", "at", cells.alias("cells"))

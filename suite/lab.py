@@ -56,6 +56,10 @@ class Spark:
     def field(text: str, key: str) -> str:
         return f"CAST(get_json_object({text}, '$.{key}') AS BIGINT)"
 
+    @staticmethod
+    def pair(key: str, value: str, when: str) -> str:
+        return f"CASE WHEN {when} THEN map({key}, {value}) ELSE CAST(map() AS MAP<STRING, STRING>) END"
+
     no_strings = "CAST(array() AS ARRAY<STRING>)"
 
 
@@ -80,6 +84,10 @@ class Duck:
     def field(text: str, key: str) -> str:
         return f"CAST(json_extract_string({text}, '$.{key}') AS BIGINT)"
 
+    @staticmethod
+    def pair(key: str, value: str, when: str) -> str:
+        return f"CASE WHEN {when} THEN MAP([{key}], [{value}]) ELSE MAP(CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])) END"
+
     no_strings = "CAST([] AS VARCHAR[])"
 
 
