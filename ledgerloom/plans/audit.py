@@ -54,7 +54,7 @@ def missing_fields(final: DataFrame, sections: dict[str, DataFrame]) -> DataFram
 def rule_references(documents: DataFrame) -> DataFrame:
     """Distinct rule ids named in the text of each document."""
     found = F.array_distinct(F.regexp_extract_all("text", F.lit(RULE), F.lit(0)))
-    return documents.select("doc_id", F.explode(found).alias("rule_id"))
+    return documents.where(F.col("text").contains("RN-")).select("doc_id", F.explode(found).alias("rule_id"))
 
 
 def undefined_rules(documents: DataFrame, defined: DataFrame) -> DataFrame:
@@ -67,23 +67,27 @@ def undefined_rules(documents: DataFrame, defined: DataFrame) -> DataFrame:
 def sql_markers(text: Column) -> Column:
     """Sorted labels of the SQL patterns found in a text, on white-space-collapsed lower case.
 
-    Two patterns ask for one word somewhere after another. They look at the text behind the
+    Each pattern is tried only on texts that contain its leading word, a plain byte search.
+    Two patterns ask for one word somewhere after another; they look at the text behind the
     first word once, which takes time linear in the length of the text.
     """
-    flat = F.regexp_replace(F.lower(text), SPACES, " ")
+    lowered = F.lower(text)
+    flat = F.regexp_replace(lowered, SPACES, " ")
 
     def after(word: str) -> Column:
         return F.regexp_extract(flat, rf"(?Us)\b{word}\b(.*)$", 1)
 
     hits = [
-        ("compute stats", flat.rlike(r"(?U)\bcompute stats\b")),
-        ("insert", flat.rlike(r"(?U)\binsert\b")),
-        ("insert overwrite", flat.rlike(r"(?U)\binsert overwrite\b")),
-        ("join on", after("join").rlike(r"(?Us).\bon\b")),
-        ("select from", after("select").rlike(r"(?Us).\bfrom\b")),
-        ("variable sin resolver", flat.rlike(VARIABLE)),
+        ("compute stats", "compute", flat.rlike(r"(?U)\bcompute stats\b")),
+        ("insert", "insert", flat.rlike(r"(?U)\binsert\b")),
+        ("insert overwrite", "insert", flat.rlike(r"(?U)\binsert overwrite\b")),
+        ("join on", "join", after("join").rlike(r"(?Us).\bon\b")),
+        ("select from", "select", after("select").rlike(r"(?Us).\bfrom\b")),
+        ("variable sin resolver", "${", flat.rlike(VARIABLE)),
     ]
-    return F.array_compact(F.array(*[F.when(hit, label) for label, hit in hits]))
+    return F.array_compact(
+        F.array(*[F.when(F.when(lowered.contains(word), hit), label) for label, word, hit in hits])
+    )
 
 
 def marked_texts(documents: DataFrame) -> DataFrame:

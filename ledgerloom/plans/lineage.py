@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import fixed_values as fixed
@@ -21,66 +21,74 @@ def flow_edges(modules: DataFrame, sources: DataFrame, joins: DataFrame, field_s
 
     The first source feeds the target directly, or through a UNION ALL node when it names
     several tables and the script unites them. Other sources carry the type of their join.
-    Tables that only the column lineage knows are added last.
+    Tables that only the column lineage knows come as LINEAGE edges. Each source row builds
+    its own edges, so sources are read once.
     """
     start = sources.groupBy(*MODULE).agg(F.min("pos").alias("_start"))
+    target, label = F.col("target_table"), F.col("_label")
+    unites = F.lower("resolved_sql").contains("union all")
+    types = joins.select(
+        *MODULE, F.lower("source_alias").alias("_alias"), F.upper("join_type").alias("_join")
+    ).dropDuplicates([*MODULE, "_alias"])
     placed = (
-        sources.join(start, MODULE)
-        .join(modules.select(*MODULE, "target_table", F.lower("resolved_sql").contains("union all").alias("_unites")), MODULE)
+        sources.withColumn("_alias", F.lower("source_alias"))
+        .join(types, [*MODULE, "_alias"], "left")
+        .join(start, MODULE)
+        .join(modules.select(*MODULE, "target_table", unites.alias("_unites")), MODULE)
         .withColumn("_tables", source_tables(F.col("source_table")))
+        .withColumn("_first", F.col("pos") == F.col("_start"))
+        .withColumn("_through", F.col("_first") & F.col("_unites") & (F.size("_tables") > 1))
+        .withColumn("_label", F.coalesce("_join", F.lit("JOIN")))
     )
-    target = F.col("target_table")
-    node = F.concat(target, F.lit("::union_all"))
 
-    def edge(df: DataFrame, source: Column, to: Column, label: Column, kinds=("table", "table"), pivot=F.lit(False)):
-        return df.select(
-            *MODULE,
+    def edge(source: Column, to: Column, name: Column, kinds: tuple[str, str], pivot: Column) -> Column:
+        return F.struct(
             source.alias("source_node"),
             to.alias("target_node"),
-            label.alias("relation_label"),
+            name.alias("relation_label"),
             F.lit(kinds[0]).alias("source_kind"),
             F.lit(kinds[1]).alias("target_kind"),
             pivot.alias("is_pivot"),
         )
 
-    first = placed.where("pos = _start")
-    united = (F.size("_tables") > 1) & F.col("_unites")
-    into = edge(
-        first.where(united).withColumn("_table", F.explode("_tables")),
-        F.col("_table"), node, F.lit("UNION ALL"), ("table", "process"),
-    )
-    through = edge(first.where(united), node, target, F.lit("FROM / BASE"), ("process", "table"), F.lit(True))
-    listed = F.when(F.size("_tables") > 0, F.col("_tables")).otherwise(F.array("source_table"))
-    direct = edge(
-        first.where(~united).select("*", F.posexplode(listed).alias("_at", "_table")),
-        F.col("_table"), target, F.when(F.col("_at") == 0, "FROM / BASE").otherwise("SOURCE"),
-        pivot=F.col("_at") == 0,
-    )
-    types = joins.select(
-        *MODULE, F.lower("source_alias").alias("_alias"), F.upper("join_type").alias("_join")
-    ).dropDuplicates([*MODULE, "_alias"])
-    others = (
-        placed.where("pos > _start")
-        .withColumn("_alias", F.lower("source_alias"))
-        .join(types, [*MODULE, "_alias"], "left")
-        .withColumn("_table", F.explode("_tables"))
+    tables, never = ("table", "table"), F.lit(False)
+    node = F.concat(target, F.lit("::union_all"))
+    united = F.concat(
+        F.transform("_tables", lambda t: edge(t, node, F.lit("UNION ALL"), ("table", "process"), never)),
+        F.array(edge(node, target, F.lit("FROM / BASE"), ("process", "table"), F.lit(True))),
+    )
+    named = F.when(F.size("_tables") > 0, F.col("_tables")).otherwise(F.array("source_table"))
+    direct = F.transform(
+        named, lambda t, at: edge(t, target, F.when(at == 0, "FROM / BASE").otherwise("SOURCE"), tables, at == 0)
     )
-    joined = edge(others, F.col("_table"), target, F.coalesce("_join", F.lit("JOIN")))
-    known = into.unionByName(through).unionByName(direct).unionByName(joined).distinct()
+    joined = F.transform("_tables", lambda t: edge(t, target, label, tables, never))
+    edges = F.when(F.col("_through"), united).when(F.col("_first"), direct).otherwise(joined)
+    known = placed.select(*MODULE, F.inline(edges)).withColumn("_rank", F.lit(0))
 
     lineage = (
         field_sources.select(*MODULE, F.explode("physical_source_fields").alias("_field"))
-        .select(*MODULE, _table_of(F.col("_field")).alias("source_node"))
+        .select(*MODULE, _table_of(F.col("_field")).alias("_table"))
         .distinct()
-        .join(known.select(*MODULE, "source_node"), [*MODULE, "source_node"], "left_anti")
         .join(modules.select(*MODULE, "target_table"), MODULE)
-        .where(F.col("source_node") != target)
+        .where(F.col("_table") != target)
+        .select(*MODULE, F.inline(F.array(edge(F.col("_table"), target, F.lit("LINEAGE"), tables, never))))
+        .withColumn("_rank", F.lit(1))
     )
-    found = known.unionByName(edge(lineage, F.col("source_node"), target, F.lit("LINEAGE")))
-    group = {"source": F.col("source_node"), "target": F.col("target_node")}
-    return found.select(
-        "*", *[F.when(F.col(f"{end}_kind") == "process", "process").otherwise(schema_group(name)).alias(f"{end}_group") for end, name in group.items()]
+    # A node keeps its LINEAGE edge only when no source edge leaves it; few edges share a node.
+    per_node = Window.partitionBy(*MODULE, "source_node")
+    found = (
+        known.unionByName(lineage)
+        .distinct()
+        .withColumn("_known", F.min("_rank").over(per_node))
+        .where("_rank = 0 OR _known = 1")
+        .drop("_rank", "_known")
     )
+    ends = {"source": F.col("source_node"), "target": F.col("target_node")}
+    groups = [
+        F.when(F.col(f"{end}_kind") == "process", "process").otherwise(schema_group(name)).alias(f"{end}_group")
+        for end, name in ends.items()
+    ]
+    return found.select("*", *groups)
 
 
 def _table_of(field: Column) -> Column:

@@ -91,19 +91,23 @@ def headers(scripts: DataFrame) -> DataFrame:
         text = F.trim(value)
         return F.when(text.isin("#", ":", "-"), "").otherwise(text)
 
-    lines = scripts.select("path", F.split("text", LINE_END).alias("lines"))
-    rows = lines.select("path", "lines", F.posexplode("lines").alias("at", "line")).where(
-        F.regexp_like("line", F.lit(HEADER))
-    )
-    following = F.get("lines", F.col("at") + 1)
-    value = cleaned(F.regexp_extract("line", HEADER, 2))
-    below = F.coalesce(cleaned(F.regexp_extract(following, HEADER_NEXT, 1)), F.lit(""))
-    entries = rows.select(
-        "path",
-        F.regexp_extract("line", HEADER, 1).alias("key"),
-        "at",
-        F.when(value == "", below).otherwise(value).alias("value"),
-    )
+    def entry(lines: Column) -> Column:
+        def read(line: Column, at: Column) -> Column:
+            value = cleaned(F.regexp_extract(line, HEADER, 2))
+            below = F.coalesce(cleaned(F.regexp_extract(F.get(lines, at + 1), HEADER_NEXT, 1)), F.lit(""))
+            return F.when(
+                line.contains("--|") & F.regexp_like(line, F.lit(HEADER)),
+                F.struct(
+                    F.regexp_extract(line, HEADER, 1).alias("key"),
+                    at.alias("at"),
+                    F.when(value == "", below).otherwise(value).alias("value"),
+                ),
+            )
+
+        return F.array_compact(F.transform(lines, read))
+
+    headed = scripts.where(F.col("text").contains("--|")).select("path", F.split("text", LINE_END).alias("lines"))
+    entries = headed.select("path", F.inline(entry(F.col("lines"))))
     return entries.groupBy("path", "key").agg(F.max_by("value", "at").alias("value"))
 
 

@@ -19,12 +19,20 @@ SQL_SETTINGS = {
 }
 
 
+def apply_settings(spark: SparkSession) -> None:
+    """Set the runtime settings on a session made elsewhere."""
+    for key, value in SQL_SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+
+
 def local_session(cores: str = "*", partitions: int = 8, app: str = "ledgerloom") -> SparkSession:
     """Single-machine session for tests and the local bench."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )

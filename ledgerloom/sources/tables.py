@@ -10,6 +10,24 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.naming import tabular_type
 
 
+# Least input worth a task of its own when a table comes in fewer splits than there are cores.
+SPLIT_BYTES = 256 * 1024
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, spread over the cores when its files hold too few splits.
+
+    Only tables smaller than a few splits per core are affected. Column pruning and filters
+    still reach the scan, since both pass through the repartitioning.
+    """
+    df = spark.read.parquet(path)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = min(spark.sparkContext.defaultParallelism, size // SPLIT_BYTES)
+    if wanted > 1 and df.rdd.getNumPartitions() < wanted:
+        return df.repartition(wanted)
+    return df
+
+
 def analyze(spark: SparkSession, table: str, columns: bool = False) -> None:
     """Gather table statistics (and column statistics on request) for the optimizer."""
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS" + (" FOR ALL COLUMNS" if columns else ""))

@@ -69,10 +69,10 @@ FROM {{lineitem}}"""
 
 # One row per order line: the shape most catalogue details are made from. Positions are unique per run.
 BINDINGS["lines"] = lambda d: f"""
-SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, {run_id('l_orderkey')} AS run_id,
+SELECT l_orderkey, l_linenumber, l_partkey, {run_id('l_orderkey')} AS run_id,
        CASE WHEN l_linenumber <= 3 THEN 'paso_01' ELSE 'paso_02' END AS module_key,
-       CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS pos,
-       't' || {text('l_linenumber')} || '_' || {text('l_partkey')} AS alias,
+       (CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey) * 1000000 + l_suppkey AS pos,
+       't' || {text('l_linenumber')} || '_' || {text('l_partkey')} || '_' || {text('l_suppkey')} AS alias,
        {text('l_partkey')} AS p
 FROM {{lineitem}}"""
 
@@ -124,18 +124,16 @@ NODE = (
 STEP = "'cu_baz_bdclientes.paso_' || CAST({} AS STRING)"
 
 BINDINGS["run_relations"] = lambda d: f"""
-SELECT run_id, module_key, pos * 10 AS id, {NODE} AS source_node, {STEP.format('l_linenumber')} AS target_node,
-       'FROM / BASE' AS relation_label, CASE WHEN l_partkey % 15 = 0 THEN 'process' ELSE 'table' END AS source_kind
-FROM {{lines}}
-UNION ALL
-SELECT l.run_id, l.module_key, l.pos * 10 + 1, {STEP.format('l.l_linenumber')},
-       CASE WHEN l.l_linenumber = 1 THEN r.final_table_name ELSE {STEP.format('CAST(floor(l.l_linenumber / 2) AS INT)')} END,
-       'LEFT', 'table'
-FROM {{lines}} l JOIN {{app_runs}} r ON r.run_id = l.run_id WHERE r.final_table_name IS NOT NULL
-UNION ALL
-SELECT l.run_id, l.module_key, l.pos * 10 + 2, r.final_table_name, {STEP.format('l.l_linenumber')}, 'LINEAGE', 'table'
-FROM {{lines}} l JOIN {{app_runs}} r ON r.run_id = l.run_id
-WHERE r.final_table_name IS NOT NULL AND l.l_linenumber = 6"""
+SELECT run_id, module_key, pos * 10 + edge AS id,
+       CASE edge WHEN 0 THEN {NODE} WHEN 1 THEN {STEP.format('l_linenumber')} ELSE final_table_name END AS source_node,
+       CASE WHEN edge <> 1 THEN {STEP.format('l_linenumber')} WHEN l_linenumber = 1 THEN final_table_name
+            ELSE {STEP.format('CAST(floor(l_linenumber / 2) AS INT)')} END AS target_node,
+       CASE edge WHEN 0 THEN 'FROM / BASE' WHEN 1 THEN 'LEFT' ELSE 'LINEAGE' END AS relation_label,
+       CASE WHEN edge = 0 AND l_partkey % 15 = 0 THEN 'process' ELSE 'table' END AS source_kind
+FROM (SELECT l.run_id, l.module_key, l.pos, l.p, l.l_linenumber, l.l_partkey, r.final_table_name, edge
+      FROM {{lines}} l LEFT JOIN {{app_runs}} r ON r.run_id = l.run_id {d.each('edge', 0, 1, 2)}) AS e
+WHERE edge = 0 OR (edge = 1 AND final_table_name IS NOT NULL)
+   OR (edge = 2 AND final_table_name IS NOT NULL AND l_linenumber = 6)"""
 
 BINDINGS["run_files"] = lambda d: f"""
 SELECT {run_id('page_id')} AS run_id, page_id AS pos,

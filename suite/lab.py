@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.functions.columns import aes_decoder
 from ledgerloom.params import Params
+from ledgerloom.session import apply_settings
+from ledgerloom.sources.tables import read_table
 
 GIVEN = (
     "region nation customer supplier part orders lineitem events documents "
@@ -60,6 +62,10 @@ class Spark:
     def pair(key: str, value: str, when: str) -> str:
         return f"CASE WHEN {when} THEN map({key}, {value}) ELSE CAST(map() AS MAP<STRING, STRING>) END"
 
+    @staticmethod
+    def each(name: str, *values: int) -> str:
+        return f", LATERAL explode(array({', '.join(map(str, values))})) AS each_{name}({name})"
+
     no_strings = "CAST(array() AS ARRAY<STRING>)"
 
 
@@ -88,6 +94,10 @@ class Duck:
     def pair(key: str, value: str, when: str) -> str:
         return f"CASE WHEN {when} THEN MAP([{key}], [{value}]) ELSE MAP(CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])) END"
 
+    @staticmethod
+    def each(name: str, *values: int) -> str:
+        return f", (SELECT unnest([{', '.join(map(str, values))}]) AS {name}) AS each_{name}"
+
     no_strings = "CAST([] AS VARCHAR[])"
 
 
@@ -104,6 +114,7 @@ class Lab:
     """Lazily opened tables and bindings of one data folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        apply_settings(spark)
         self.spark = spark
         self.folder = folder
         self._open: dict[str, DataFrame] = {}
@@ -111,7 +122,7 @@ class Lab:
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._open:
             if name in GIVEN:
-                self._open[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._open[name] = read_table(self.spark, f"{self.folder}/{name}.parquet")
             else:
                 sql = BINDINGS[name](Spark)
                 self._open[name] = self.spark.sql(sql, **{ref: self[ref] for ref in references(sql)})

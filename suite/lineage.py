@@ -465,18 +465,18 @@ WITH facts AS (
   UNION ALL SELECT run_id, module_key, lower(source_alias), [3] FROM {run_joins}
   UNION ALL SELECT run_id, module_key, alias, [1, 4] FROM {lines} WHERE l_linenumber = 4
   UNION ALL SELECT run_id, module_key, alias, [4] FROM {lines} WHERE l_linenumber = 3
-  UNION ALL SELECT run_id, module_key, split_part(origin, ' / ', 1), [5, 6] FROM {run_transformations} WHERE pos >= 2000000000),
+  UNION ALL SELECT run_id, module_key, split_part(origin, ' / ', 1), [5, 6] FROM {run_transformations} WHERE pos >= 20000000000000),
 marks AS (SELECT DISTINCT run_id, module_key, a, unnest(steps) AS step FROM facts)
 SELECT s.run_id, s.module_key, s.source_alias,
        coalesce(string_agg('Paso ' || CAST(m.step AS STRING), ', ' ORDER BY m.step), '') AS used_in_steps
-FROM {run_module_sources} s
+FROM (SELECT DISTINCT run_id, module_key, source_alias FROM {run_module_sources}) s
 LEFT JOIN marks m ON m.run_id = s.run_id AND m.module_key = s.module_key AND m.a = s.source_alias
 GROUP BY s.run_id, s.module_key, s.source_alias""",
 )
 def source_steps(lab: Lab) -> DataFrame:
     sources, lines = lab["run_module_sources"], lab["lines"].withColumnRenamed("alias", "source_alias")
     first = sources.groupBy(*lineage.MODULE).agg(F.min_by("source_alias", "pos").alias("source_alias"))
-    projected = lab["run_transformations"].where("pos >= 2000000000").withColumn(
+    projected = lab["run_transformations"].where("pos >= 20000000000000").withColumn(
         "source_alias", F.split_part("origin", F.lit(" / "), F.lit(1))
     )
     facts = {
