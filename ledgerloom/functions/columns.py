@@ -125,6 +125,16 @@ def aes_decoder(key: str) -> Decoder:
     return decode_value
 
 
+def base64_decoder() -> Decoder:
+    """Decoder for values that are only base64-coded."""
+
+    def decode_value(value: Column, table: str, column: str, on_error: str) -> Column:
+        plain = F.try_to_binary(value, F.lit("base64")).cast("string")
+        return F.when(value.isNotNull(), F.coalesce(plain, F.lit(on_error)))
+
+    return decode_value
+
+
 def aes_encode(value: Column, key: str) -> Column:
     """Counterpart of :func:`aes_decoder` for building encrypted columns."""
     return F.base64(F.aes_encrypt(value.cast("binary"), F.lit(key), F.lit("ECB"), F.lit("PKCS")))

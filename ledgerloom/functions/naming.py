@@ -55,16 +55,19 @@ def leaf_name(col: Column) -> Column:
     return F.element_at(F.split(col, r"\."), -1)
 
 
-def physical_name(col: Column) -> Column:
-    """Qualified table behind a source text, or NULL for CTEs, sub-selects and lists."""
+def physical_names(col: Column) -> Column:
+    """Qualified table behind a source text as an array of one, empty for CTEs, sub-selects and lists.
+
+    Exploding the array keeps the rows that have a name and works the name out once per row.
+    """
     text = F.trim(col)
     lowered = F.lower(text)
     rejected = lowered.startswith("cte ") | contains_any(lowered, ["subconsulta", "derivada de"]) | text.contains(",")
     base = F.trim(F.split_part(text, F.lit("("), F.lit(1)))
     base = F.trim(F.split_part(base, F.lit(" AS "), F.lit(1)))
     base = F.trim(F.split_part(base, F.lit(" as "), F.lit(1)))
-    usable = ~rejected & ~base.contains(" ") & base.contains(".")
-    return F.when(usable, base)
+    named = F.filter(F.array(base), lambda name: ~name.contains(" ") & name.contains("."))
+    return F.when(~rejected, named).otherwise(F.array().cast("array<string>"))
 
 
 def source_tables(col: Column) -> Column:

@@ -12,7 +12,7 @@ from ledgerloom.functions.naming import (
     blank_to_null,
     is_temporary,
     leaf_name,
-    physical_name,
+    physical_names,
     schema_type,
     split_first_dot,
 )
@@ -48,19 +48,19 @@ def clean_sources(assets: DataFrame, relations: DataFrame, controlled: DataFrame
         "run_id",
         F.lit(0).alias("rank"),
         "pos",
-        physical_name(F.col("qualified_name")).alias("qualified_name"),
+        F.explode(physical_names(F.col("qualified_name"))).alias("qualified_name"),
         kind.alias("source_kind"),
     )
     edges = relations.where(kind.isin("table", "view")).select(
         "run_id",
         F.lit(1).alias("rank"),
         F.col("id").alias("pos"),
-        physical_name(F.col("source_node")).alias("qualified_name"),
+        F.explode(physical_names(F.col("source_node"))).alias("qualified_name"),
         kind.alias("source_kind"),
     )
     if controlled is not None:
         edges = edges.join(controlled.select("run_id").distinct(), "run_id", "left_anti")
-    found = named.unionByName(edges).where(F.col("qualified_name").isNotNull())
+    found = named.unionByName(edges)
     first = first_wins(found, ["run_id", "qualified_name"], ["rank", "pos", "source_kind"])
     return first.select(
         "run_id", "rank", "pos", "qualified_name", leaf_name(F.col("qualified_name")).alias("display_name"), "source_kind"

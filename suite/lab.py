@@ -13,7 +13,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.functions.columns import aes_decoder
+from ledgerloom.functions.columns import aes_decoder, base64_decoder
 from ledgerloom.params import Params
 from ledgerloom.session import apply_settings
 from ledgerloom.sources.tables import read_table
@@ -31,7 +31,8 @@ PARAMS = Params(
     week_period=200131,
 )
 KEY = "0123456789abcdef"
-DECODER = aes_decoder(KEY)
+AES_DECODER = aes_decoder(KEY)
+DECODER = base64_decoder()
 
 REFERENCE = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
 
@@ -46,8 +47,9 @@ class Spark:
         return f"CAST(datediff({x}, DATE '1970-01-01') AS BIGINT)"
 
     @staticmethod
-    def protect(x: str, broken: str = "false") -> str:
-        coded = f"base64(aes_encrypt(cast({x} AS binary), '{KEY}', 'ECB', 'PKCS'))"
+    def protect(x: str, broken: str = "false", aes: bool = False) -> str:
+        plain = f"cast({x} AS binary)"
+        coded = f"base64(aes_encrypt({plain}, '{KEY}', 'ECB', 'PKCS'))" if aes else f"base64({plain})"
         return f"CASE WHEN {broken} THEN '??' || {x} ELSE {coded} END"
 
     @staticmethod
@@ -79,7 +81,7 @@ class Duck:
         return f"CAST(date_diff('day', DATE '1970-01-01', CAST({x} AS DATE)) AS BIGINT)"
 
     @staticmethod
-    def protect(x: str, broken: str = "false") -> str:
+    def protect(x: str, broken: str = "false", aes: bool = False) -> str:
         return f"CASE WHEN {broken} THEN '{PARAMS.decode_error}' ELSE {x} END"
 
     @staticmethod

@@ -15,7 +15,7 @@ from ledgerloom.plans import identity, kpi, portfolio
 from ledgerloom.session import cut, scratch_path
 from ledgerloom.sources import tables
 from suite import warehouse_inputs  # noqa: F401  (registers the bindings)
-from suite.lab import CHECKS, DECODER, PARAMS, Lab
+from suite.lab import AES_DECODER, CHECKS, DECODER, PARAMS, Lab
 
 QUERIES = {}
 ORACLES = {}
@@ -251,7 +251,9 @@ def _snapshot(lab: Lab) -> DataFrame:
 
 @query("snapshot_decode", "SELECT * FROM {snapshot}")
 def snapshot_decode(lab: Lab) -> DataFrame:
-    return _snapshot(lab).drop("cta_encrypt")
+    """The same snapshot from AES-encrypted columns."""
+    encrypted = {"rd_fin_maestrosaldos": lab["rd_fin_maestrosaldos_aes"]}
+    return acc.decoded_snapshot(encrypted, PARAMS, AES_DECODER).drop("cta_encrypt")
 
 
 CHECKS["universe_legacy"] = f"""

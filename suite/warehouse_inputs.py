@@ -149,9 +149,10 @@ UNION ALL SELECT CAST(o_custkey % 25 AS STRING) || '-' || substr(o_orderpriority
 UNION ALL SELECT 'ICU' || {padded('event_id', 10)}, 4000000 + user_id, 'CLIENTE_ICU'
           FROM {{events}} WHERE event_type = 'click'"""
 
-BINDINGS["rd_fin_maestrosaldos"] = lambda d: f"""
-SELECT {d.protect(cif('o_custkey'), 'o_orderkey % 101 = 0')} AS identificadorcliente,
-       {d.protect('(' + core_account('o_orderkey') + ')')} AS cuenta,
+def _balances(d: type, aes: bool) -> str:
+    return f"""
+SELECT {d.protect(cif('o_custkey'), 'o_orderkey % 101 = 0', aes=aes)} AS identificadorcliente,
+       {d.protect('(' + core_account('o_orderkey') + ')', aes=aes)} AS cuenta,
        {d.days('o_orderdate')} * 86400000 + 43200600 AS fechaapertura,
        CASE WHEN o_orderstatus = 'P' THEN {d.days('o_orderdate')} * 86400000 + 2592000000 END AS fechacancelacion,
        CAST(o_orderkey % 120 AS INT) AS centrocontable,
@@ -159,14 +160,18 @@ SELECT {d.protect(cif('o_custkey'), 'o_orderkey % 101 = 0')} AS identificadorcli
        CASE o_custkey % 3 WHEN 0 THEN '301' WHEN 1 THEN '721' ELSE '999' END AS personalidad,
        CASE o_orderstatus WHEN 'F' THEN 'A ' WHEN 'P' THEN 'C' ELSE 'I ' END AS estatuscuenta,
        CAST(1 + o_custkey % 2 AS INT) AS moneda,
-       {d.protect(f"CAST({price()} AS STRING)", 'o_orderkey % 103 = 0')} AS saldototal,
-       {d.protect(f"CAST(CAST({price()} - 150000 AS DECIMAL(18,2)) AS STRING)", 'o_orderkey % 107 = 0')} AS saldodisponible,
+       {d.protect(f"CAST({price()} AS STRING)", 'o_orderkey % 103 = 0', aes=aes)} AS saldototal,
+       {d.protect(f"CAST(CAST({price()} - 150000 AS DECIMAL(18,2)) AS STRING)", 'o_orderkey % 107 = 0', aes=aes)} AS saldodisponible,
        CASE WHEN o_orderkey % 2 = 0 THEN 'PF' ELSE '01' END ||
          CAST({product_number('o_orderkey', 'o_custkey')} AS STRING) AS producto,
        CAST(o_orderkey % 360 AS INT) AS plazodeposito,
        CAST(CASE WHEN o_orderkey % 10 < 7 THEN {SNAPSHOT} ELSE {ymd('o_orderdate')} END AS INT) AS fifecha
 FROM (SELECT * FROM {{orders}} UNION ALL SELECT * FROM {{orders}} WHERE o_orderpriority = '2-HIGH') AS loaded"""
 
+
+BINDINGS["rd_fin_maestrosaldos"] = lambda d: _balances(d, aes=False)
+BINDINGS["rd_fin_maestrosaldos_aes"] = lambda d: _balances(d, aes=True)
+
 BINDINGS["rd_fin_cuentav2"] = lambda d: f"""
 SELECT {d.protect('(' + core_account('l_orderkey') + ')')} AS numerocuenta,
        CAST(l_suppkey % 120 AS INT) AS sucursalapertura, CAST(l_partkey % 120 AS INT) AS sucursal,
