@@ -2,18 +2,28 @@
 
 A group that fits one list gives one row (part 0). A larger group is cut into parts, each
 its own row, so no row, task or group ever holds an unbounded list and none is shortened.
+Group sizes are counted first, on the key columns alone; where no group is too large, which
+is the usual case, rows go straight to one grouping.
 """
 
-from __future__ import annotations
-
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.rows import numbered
+from ledgerloom.session import cut
+
 LIST_LIMIT = 1000
 
 
+def _oversized(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
+    """Keys of the groups with more than ``limit`` rows, or None without any."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    large = cut(sizes.select(*keys), "large_groups")
+    return None if large.isEmpty() else large
+
+
 def ordered_lists(
     df: DataFrame,
     keys: Sequence[str],
@@ -21,16 +31,19 @@ def ordered_lists(
     items: dict[str, Column],
     limit: int = LIST_LIMIT,
 ) -> DataFrame:
-    """Lists of ``items`` per key in order of ``position`` (an integer unique per key).
+    """Lists of ``items`` per key in order of ``position`` (unique per key).
 
-    Groups over ``limit`` rows are cut by position, so parts follow each other in order.
+    Rows of larger groups are numbered and every ``limit`` of them make a part, in order.
     """
-    spans = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(position).alias("_from"))
-    offset = ((F.col(position) - F.col("_from")) / limit).cast("bigint")
-    parts = df.join(spans, list(keys)).withColumn(
-        "part_no", F.when(F.col("_n") <= limit, F.lit(0)).otherwise(offset).cast("bigint")
-    )
-    grouped = parts.groupBy(*keys, "part_no").agg(
+    large = _oversized(df, keys, limit)
+    part = F.lit(0).cast("bigint").alias("part_no")
+    if large is None:
+        rows = df.select("*", part)
+    else:
+        many = numbered(df.join(large, list(keys), "left_semi"), keys, [F.col(position).asc()], "_no")
+        cut_up = many.withColumn("part_no", F.floor((F.col("_no") - 1) / limit).cast("bigint")).drop("_no")
+        rows = df.join(large, list(keys), "left_anti").select("*", part).unionByName(cut_up)
+    grouped = rows.groupBy(*keys, "part_no").agg(
         *[
             F.sort_array(F.collect_list(F.struct(F.col(position).alias("_at"), item.alias("item")))).alias(name)
             for name, item in items.items()
@@ -41,9 +54,18 @@ def ordered_lists(
 
 
 def sorted_sets(df: DataFrame, keys: Sequence[str], item: str, limit: int = LIST_LIMIT) -> DataFrame:
-    """Sorted distinct values of ``item`` per key; big groups are cut by a hash of the value."""
-    values = df.where(F.col(item).isNotNull()).select(*keys, item).distinct()
-    sizes = values.groupBy(*keys).agg(F.count("*").alias("_n"))
-    ways = F.when(F.col("_n") <= limit, F.lit(1)).otherwise(F.ceil(2 * F.col("_n") / limit))
-    parts = values.join(sizes, list(keys)).withColumn("part_no", F.pmod(F.xxhash64(item), ways).cast("bigint"))
-    return parts.groupBy(*keys, "part_no").agg(F.array_sort(F.collect_list(item)).alias(item))
+    """Sorted distinct values of ``item`` per key; larger groups are cut by a hash of the value."""
+    values = df.where(F.col(item).isNotNull()).select(*keys, item)
+    large = _oversized(values, keys, limit)
+    part = F.lit(0).cast("bigint").alias("part_no")
+    if large is None:
+        rows = values.select("*", part)
+    else:
+        many = values.join(large, list(keys), "left_semi").distinct()
+        sizes = many.groupBy(*keys).agg(F.count("*").alias("_n"))
+        ways = F.when(F.col("_n") <= limit, F.lit(1)).otherwise(F.ceil(2 * F.col("_n") / limit))
+        cut_up = many.join(sizes, list(keys)).select(
+            *keys, item, F.pmod(F.xxhash64(item), ways).cast("bigint").alias("part_no")
+        )
+        rows = values.join(large, list(keys), "left_anti").select("*", part).unionByName(cut_up)
+    return rows.groupBy(*keys, "part_no").agg(F.sort_array(F.collect_set(item)).alias(item))

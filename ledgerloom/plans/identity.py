@@ -28,13 +28,15 @@ def _digital_ids(tables: Tables) -> DataFrame:
 def core_links(tables: Tables, params: Params) -> DataFrame:
     """One row per new-core customer with its best-matching legacy, unique and digital ids.
 
-    The unique-id candidates are matched with their two enrichments first and joined to the
-    customers last: both of those joins use the conversion id, so one shuffle serves them.
+    The candidates of a conversion id compete before the customers join: every criterion but
+    the customer's own date belongs to the candidate, and that date is the same for all
+    candidates of one customer row. So the join meets one candidate per conversion id, and
+    an id with very many candidates is reduced inside the map tasks.
     """
     person = tables["rd_cencuentaperson_clienteunico"].select(
-        F.col("fiid_cliente_unico").alias("conversion"),
+        F.col("fiid_cliente_unico").alias("id_conversion"),
         "fccliente_alnova",
-        F.col("fdfecha_alta").alias("person_since"),
+        F.col("fdfecha_alta").alias("_person_since"),
     )
     unique = tables["rd_pedt065"].select(
         F.col("t065_acc_country").alias("fipais"),
@@ -44,58 +46,45 @@ def core_links(tables: Tables, params: Params) -> DataFrame:
         "t065_num_cus",
         "t065_stp_last_mod",
     )
-    candidates = (
+    matched = (
         tables["rd_cenconversion_clienteunico"]
         .select(
-            F.col("fiid_cliente_unico").try_cast("int").alias("conversion"),
+            F.col("fiid_cliente_unico").try_cast("int").alias("id_conversion"),
             "fipais",
             "ficanal",
             "fisucursal",
             "fifolio",
         )
-        .where(F.col("conversion").isNotNull())
+        .where(F.col("id_conversion").isNotNull())
         .join(unique, ["fipais", "ficanal", "fisucursal", "fifolio"], "left")
-        .join(person, "conversion", "left")
-    )
-    customers = tables["rd_tacuctefinacle"].select(
-        F.col("fiid_cliente_unico").alias("conversion"),
-        F.col("fccliente_cif").alias("id_cliente_finacle"),
-        F.col("fdfecha_alta").alias("customer_since"),
-    )
-    matched = (
-        customers.join(candidates, "conversion", "left")
+        .join(person, "id_conversion", "left")
         .withColumn("id_cliente_alnova", F.coalesce("t065_num_cus", "fccliente_alnova"))
-        .withColumn("_digital", spread_nulls(F.col("id_cliente_alnova"), F.col("id_cliente_finacle")))
+        .withColumn("_digital", spread_nulls(F.col("id_cliente_alnova"), F.col("id_conversion"), F.col("fifolio")))
     )
     digital = _digital_ids(tables).withColumnRenamed("t403_num_clte", "_digital")
     scored = matched.join(digital, "_digital", "left").select(
+        "id_conversion",
         "id_cliente_alnova",
-        "id_cliente_finacle",
         dash_id(F.col("fipais"), F.col("ficanal"), F.col("fisucursal"), F.col("fifolio")).alias("id_cliente_unico"),
         "id_icu_digital",
-        F.col("conversion").alias("id_conversion"),
         F.col("t065_stp_last_mod").alias("fec_ult_mod_cte_unico"),
         (F.col("fifolio").isNotNull().cast("int") + F.col("t065_num_cus").isNotNull().cast("int")).alias("_complete"),
         F.col("id_icu_digital").isNotNull().cast("int").alias("_has_digital"),
         F.coalesce((F.col("fccliente_alnova") == F.col("t065_num_cus")).cast("int"), F.lit(0)).alias("_agrees"),
-        F.col("customer_since").alias("_customer_since"),
-        F.col("person_since").alias("_person_since"),
+        "_person_since",
     )
-    ids = ["id_cliente_unico", "id_cliente_alnova", "id_icu_digital", "id_conversion"]
-    best = best_by(
-        scored,
-        ["id_cliente_finacle"],
-        [
-            newest("_complete"),
-            newest("_has_digital"),
-            newest("_agrees"),
-            newest("_customer_since"),
-            newest("_person_since"),
-            newest("fec_ult_mod_cte_unico"),
-            *[oldest(name) for name in ids],
-        ],
+    match = [newest("_complete"), newest("_has_digital"), newest("_agrees")]
+    dates = [newest("_person_since"), newest("fec_ult_mod_cte_unico")]
+    ids = [oldest(name) for name in ["id_cliente_unico", "id_cliente_alnova", "id_icu_digital"]]
+    candidates = best_by(scored, ["id_conversion"], [*match, *dates, *ids])
+    customers = tables["rd_tacuctefinacle"].select(
+        F.col("fiid_cliente_unico").alias("id_conversion"),
+        F.col("fccliente_cif").alias("id_cliente_finacle"),
+        F.col("fdfecha_alta").alias("_customer_since"),
     )
-    return best.select(
+    rows = customers.join(candidates, "id_conversion", "left").na.fill(0, ["_complete", "_has_digital", "_agrees"])
+    order = [*match, newest("_customer_since"), *dates, *ids, oldest("id_conversion")]
+    return best_by(rows, ["id_cliente_finacle"], order).select(
         "id_cliente_alnova",
         "id_cliente_finacle",
         "id_cliente_unico",

@@ -59,19 +59,35 @@ def average_balance(portfolio: DataFrame, params: Params) -> DataFrame:
 
 
 def region_summary(customers: DataFrame, accounts: DataFrame, active: str = "Activa") -> DataFrame:
-    """Customers, accounts, active accounts and balance per region and segment, largest balance first."""
-    joined = customers.select("cliente_id", "region", "segmento").join(
-        accounts.select("cliente_id", "cuenta_id", "estatus", "saldo_actual"), "cliente_id", "left"
-    )
-    return (
-        joined.groupBy("region", "segmento")
+    """Customers, accounts, active accounts and balance per region and segment, largest balance first.
+
+    Customers without accounts count too. Customers are counted on their own table and
+    accounts over an inner join, whose skewed side Spark can split; the two small results
+    meet at the end. Each needs one distinct count, so no row is expanded.
+    """
+    group = ["region", "segmento"]
+    people = customers.groupBy(*group).agg(F.countDistinct("cliente_id").alias("clientes"))
+    held = (
+        accounts.select("cliente_id", "cuenta_id", "estatus", "saldo_actual")
+        .join(customers.select("cliente_id", *group), "cliente_id")
+        .groupBy(*[F.col(name).alias(f"_{name}") for name in group])
         .agg(
-            F.countDistinct("cliente_id").alias("clientes"),
             F.countDistinct("cuenta_id").alias("cuentas"),
-            F.sum(F.when(F.col("estatus") == active, 1).otherwise(0)).alias("cuentas_activas"),
+            F.count_if(F.col("estatus") == active).alias("cuentas_activas"),
             F.round(F.sum("saldo_actual"), 2).cast(AMOUNT).alias("saldo_total"),
         )
-        .orderBy(F.desc_nulls_first("saldo_total"), "region", "segmento")
+    )
+    same = F.col("region").eqNullSafe(F.col("_region")) & F.col("segmento").eqNullSafe(F.col("_segmento"))
+    return (
+        people.join(held, same, "left")
+        .select(
+            *group,
+            "clientes",
+            F.coalesce("cuentas", F.lit(0)).alias("cuentas"),
+            F.coalesce("cuentas_activas", F.lit(0)).alias("cuentas_activas"),
+            "saldo_total",
+        )
+        .orderBy(F.desc_nulls_first("saldo_total"), *group)
     )
 
 

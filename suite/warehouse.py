@@ -665,11 +665,11 @@ FROM {cuentas} a JOIN {clientes} c ON c.cliente_id = a.cliente_id GROUP BY ALL""
 def param_report(lab: Lab) -> DataFrame:
     """A saved query written as one CSV folder per segment, read back."""
     path = scratch_path(lab.spark, "report")
+    held = lab["cuentas"].groupBy("cliente_id").agg(F.count("*").alias("cuentas"), F.sum("saldo_actual").alias("saldo"))
     rows = (
-        lab["cuentas"]
-        .join(lab["clientes"], "cliente_id")
+        held.join(lab["clientes"], "cliente_id")
         .groupBy("segmento", "region")
-        .agg(F.count("*").alias("cuentas"), F.sum("saldo_actual").cast("decimal(38,2)").alias("saldo"))
+        .agg(F.sum("cuentas").alias("cuentas"), F.sum("saldo").cast("decimal(38,2)").alias("saldo"))
     )
     tables.write_report(rows, "segmento", path)
     schema = "region string, cuentas bigint, saldo decimal(38,2), segmento string"
