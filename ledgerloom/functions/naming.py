@@ -34,27 +34,31 @@ def business_name(col: Column) -> Column:
 def split_first_dot(col: Column) -> tuple[Column, Column]:
     """(schema, object) at the first dot; no schema without a dot."""
     name = F.trim(col)
-    dotted = F.instr(name, ".") > 0
-    schema = F.when(dotted, F.split_part(name, F.lit("."), F.lit(1)))
-    rest = F.when(dotted, F.regexp_extract(name, r"(?s)^[^.]*\.(.*)$", 1)).otherwise(F.nullif(name, F.lit("")))
+    at = F.instr(name, ".")
+    schema = F.when(at > 0, F.substring_index(name, ".", 1))
+    rest = F.when(at > 0, name.substr(at + 1, F.length(name))).otherwise(F.nullif(name, F.lit("")))
     return schema, rest
 
 
+def leaf_name(col: Column) -> Column:
+    """What follows the last dot, or the whole name."""
+    return F.substring_index(col, ".", -1)
+
+
+def before_leaf(col: Column) -> Column:
+    """What precedes the last dot; empty without a dot."""
+    return F.left(col, F.greatest(F.length(col) - F.length(leaf_name(col)) - 1, F.lit(0)))
+
+
 def split_last_dot(col: Column) -> tuple[Column, Column]:
     """(namespace, name) at the last dot, with the defaults of the lineage events."""
     name = F.trim(F.coalesce(col, F.lit("")))
     dotted = F.instr(name, ".") > 0
-    space = F.when(dotted, F.regexp_extract(name, r"(?s)^(.*)\.([^.]*)$", 1)).otherwise(F.lit("default"))
-    leaf = F.when(dotted, F.regexp_extract(name, r"(?s)^(.*)\.([^.]*)$", 2)).otherwise(
-        F.coalesce(F.nullif(name, F.lit("")), F.lit("unknown"))
-    )
+    space = F.when(dotted, before_leaf(name)).otherwise(F.lit("default"))
+    leaf = F.when(dotted, leaf_name(name)).otherwise(F.coalesce(F.nullif(name, F.lit("")), F.lit("unknown")))
     return space, leaf
 
 
-def leaf_name(col: Column) -> Column:
-    return F.element_at(F.split(col, r"\."), -1)
-
-
 def physical_names(col: Column) -> Column:
     """Qualified table behind a source text as an array of one, empty for CTEs, sub-selects and lists.
 

@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import fixed_values as fixed
-from ledgerloom.functions.naming import schema_group, source_tables, split_last_dot, transformation_class
+from ledgerloom.functions.naming import (
+    before_leaf,
+    schema_group,
+    source_tables,
+    split_last_dot,
+    transformation_class,
+)
 from ledgerloom.operators.graph import levels, upstream
 from ledgerloom.operators.lists import sorted_sets
 from ledgerloom.operators.rows import numbered
@@ -92,7 +98,7 @@ def flow_edges(modules: DataFrame, sources: DataFrame, joins: DataFrame, field_s
 
 
 def _table_of(field: Column) -> Column:
-    return F.when(field.contains("."), F.regexp_extract(field, r"(?s)^(.*)\.[^.]*$", 1)).otherwise(field)
+    return F.when(field.contains("."), before_leaf(field)).otherwise(field)
 
 
 def closure(latest: DataFrame, relations: DataFrame, max_depth: int = 64) -> DataFrame:

@@ -23,7 +23,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     wanted = min(spark.sparkContext.defaultParallelism, size // SPLIT_BYTES)
-    if wanted > 1 and df.rdd.getNumPartitions() < wanted:
+    if wanted > 1 and df._jdf.queryExecution().toRdd().getNumPartitions() < wanted:
         return df.repartition(wanted)
     return df
 
