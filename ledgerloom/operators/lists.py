@@ -54,18 +54,14 @@ def ordered_lists(
 
 
 def sorted_sets(df: DataFrame, keys: Sequence[str], item: str, limit: int = LIST_LIMIT) -> DataFrame:
-    """Sorted distinct values of ``item`` per key; larger groups are cut by a hash of the value."""
+    """Sorted distinct values of ``item`` per key, larger groups cut as in :func:`ordered_lists`."""
     values = df.where(F.col(item).isNotNull()).select(*keys, item)
     large = _oversized(values, keys, limit)
     part = F.lit(0).cast("bigint").alias("part_no")
     if large is None:
         rows = values.select("*", part)
     else:
-        many = values.join(large, list(keys), "left_semi").distinct()
-        sizes = many.groupBy(*keys).agg(F.count("*").alias("_n"))
-        ways = F.when(F.col("_n") <= limit, F.lit(1)).otherwise(F.ceil(2 * F.col("_n") / limit))
-        cut_up = many.join(sizes, list(keys)).select(
-            *keys, item, F.pmod(F.xxhash64(item), ways).cast("bigint").alias("part_no")
-        )
+        many = numbered(values.join(large, list(keys), "left_semi").distinct(), keys, [F.col(item).asc()], "_no")
+        cut_up = many.withColumn("part_no", F.floor((F.col("_no") - 1) / limit).cast("bigint")).drop("_no")
         rows = values.join(large, list(keys), "left_anti").select("*", part).unionByName(cut_up)
     return rows.groupBy(*keys, "part_no").agg(F.sort_array(F.collect_set(item)).alias(item))

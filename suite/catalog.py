@@ -215,9 +215,9 @@ def contract_changes(lab: Lab) -> DataFrame:
 @query(
     "run_bundle",
     """
-SELECT run_id, section, CAST(0 AS BIGINT) AS part_no, CAST(count(*) AS INT) AS row_count,
+SELECT run_id, section, part_no, CAST(count(*) AS INT) AS row_count,
        '[' || string_agg(j, ',' ORDER BY id) || ']' AS rows_json
-FROM (
+FROM (SELECT *, (row_number() OVER (PARTITION BY run_id, section ORDER BY id) - 1) // 1000 AS part_no FROM (
   SELECT run_id, 'run_sources' AS section, pos AS id,
          to_json(struct_pack(id := pos, source_alias := source_alias, source_table := source_table,
                              source_kind := source_kind)) AS j FROM {run_module_sources}
@@ -227,8 +227,8 @@ FROM (
                              relation_label := relation_label)) FROM {run_relations}
   UNION ALL
   SELECT run_id, 'run_workspace_files', pos,
-         to_json(struct_pack(id := pos, relative_path := relative_path, size_bytes := size_bytes)) FROM {run_files})
-GROUP BY run_id, section""",
+         to_json(struct_pack(id := pos, relative_path := relative_path, size_bytes := size_bytes)) FROM {run_files}))
+GROUP BY run_id, section, part_no""",
 )
 def run_bundle(lab: Lab) -> DataFrame:
     position = F.col("pos").alias("id")

@@ -239,9 +239,10 @@ WITH props AS (
     coalesce(',"physicalType":"' || physical_type || '"', '') || ',"description":"' || description || '","required":' ||
     CAST(required AS STRING) || ',"businessName":"' || business_name || '","classification":"' || classification || '"' ||
     CASE WHEN partitioned THEN ',"partitioned":true,"partitionKeyPosition":1' ELSE '' END ||
-    coalesce(',"examples":["' || example || '"]', '') || '}}', ',' ORDER BY position) AS items
-  FROM {contract_rows_all} GROUP BY table_name)
-SELECT p.table_name, CAST(0 AS BIGINT) AS part_no, CAST(n AS INT) AS field_count,
+    coalesce(',"examples":["' || example || '"]', '') || '}}', ',' ORDER BY position) AS items, part_no
+  FROM (SELECT *, (row_number() OVER (PARTITION BY table_name ORDER BY position) - 1) // 1000 AS part_no
+        FROM {contract_rows_all}) GROUP BY table_name, part_no)
+SELECT p.table_name, part_no, CAST(n AS INT) AS field_count,
   '{{"apiVersion":"v3.1.0","kind":"DataContract","id":"' || regexp_replace(lower(p.table_name), '[^a-z0-9]+', '-', 'g') ||
   '","name":"' || regexp_replace(lower(c.product), '[^a-z0-9]+', '-', 'g') || '","version":"0.1.0","status":"active"' ||
   CASE WHEN domain <> '' THEN ',"domain":"' || domain || '"' ELSE '' END || ',"dataProduct":"' || product ||
@@ -396,7 +397,8 @@ CHECKS["findings"] = """
 SELECT * FROM {section_rows}
 UNION ALL
 SELECT doc_id, 'error', 'Faltan campos finales en Seccion ' || section || ': ' || string_agg(field_name, ', ' ORDER BY field_name)
-FROM {missing} GROUP BY doc_id, section
+FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id, section ORDER BY field_name) - 1) // 1000 AS part_no
+      FROM (SELECT DISTINCT doc_id, section, field_name FROM {missing})) GROUP BY doc_id, section, part_no
 UNION ALL
 SELECT doc_id, 'error', 'Hay reglas referenciadas que no existen en Seccion 6: ' || string_agg(rule_id, ', ' ORDER BY rule_id)
 FROM {undefined} GROUP BY doc_id

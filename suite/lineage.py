@@ -194,16 +194,20 @@ def sql_dataset(x: str) -> str:
     )
 
 
+CHECKS["event_items"] = f"""
+SELECT *, (row_number() OVER (PARTITION BY run_id, module_key ORDER BY at_) - 1) // 1000 AS part_no FROM (
+  SELECT run_id, module_key, pos AS at_, {sql_dataset('source_table')} AS input, NULL AS target FROM {{run_module_sources}}
+  UNION ALL
+  SELECT run_id, module_key, min(id), NULL, target_node FROM {{run_relations}} GROUP BY run_id, module_key, target_node)"""
+
 CHECKS["event_parts"] = f"""
-SELECT m.run_id, m.module_key, m.module_name, m.sql_file_name, m.resolved_sql,
+SELECT m.run_id, m.module_key, m.module_name, m.sql_file_name, m.resolved_sql, coalesce(i.part_no, 0) AS part_no,
        coalesce(i.inputs, []) AS inputs, [{sql_dataset('m.target_table')}] AS outputs,
-       coalesce(t.targets, []) AS targets
+       coalesce(i.targets, []) AS targets
 FROM {{run_modules}} m
-LEFT JOIN (SELECT run_id, module_key, list({sql_dataset('source_table')} ORDER BY pos) AS inputs
-           FROM {{run_module_sources}} GROUP BY ALL) i ON i.run_id = m.run_id AND i.module_key = m.module_key
-LEFT JOIN (SELECT run_id, module_key, list(target_node ORDER BY id) AS targets
-           FROM (SELECT run_id, module_key, target_node, min(id) AS id FROM {{run_relations}} GROUP BY ALL)
-           GROUP BY ALL) t ON t.run_id = m.run_id AND t.module_key = m.module_key"""
+LEFT JOIN (SELECT run_id, module_key, part_no, list(input ORDER BY at_) FILTER (input IS NOT NULL) AS inputs,
+                  list(target ORDER BY at_) FILTER (target IS NOT NULL) AS targets
+           FROM {{event_items}} GROUP BY ALL) i ON i.run_id = m.run_id AND i.module_key = m.module_key"""
 
 FACETS = f"""struct_pack(
   documentation := struct_pack(_producer := 'ledgerloom', "_schemaURL" := '{SPEC}DocumentationJobFacet.json', description := e.module_name),
@@ -222,7 +226,7 @@ def _events(lab: Lab) -> DataFrame:
 @query(
     "lineage_events",
     f"""
-SELECT run_id, module_key, CAST(0 AS BIGINT) AS part_no, CAST(to_json(struct_pack({HEAD},
+SELECT run_id, module_key, CAST(part_no AS BIGINT) AS part_no, CAST(to_json(struct_pack({HEAD},
   run := struct_pack("runId" := run_id || '::' || module_key), inputs := inputs, outputs := outputs,
   facets := {FACETS})) AS VARCHAR) AS event
 FROM {{event_parts}} e""",
@@ -252,7 +256,7 @@ CATALOG_FACET = """struct_pack(catalog := struct_pack(_producer := k.producer, "
 @query(
     "lineage_events_enriched",
     f"""
-SELECT e.run_id, e.module_key, CAST(0 AS BIGINT) AS part_no, CAST(to_json(struct_pack({HEAD},
+SELECT e.run_id, e.module_key, CAST(e.part_no AS BIGINT) AS part_no, CAST(to_json(struct_pack({HEAD},
   run := struct_pack("runId" := e.run_id || '::' || e.module_key, facets := struct_pack(catalog := struct_pack(
     _producer := k.producer, "dataProductId" := k.product_id, "outputPortId" := k.product_id || '-port'))),
   inputs := list_transform(e.inputs, lambda d : struct_pack(namespace := d.namespace, name := d.name, facets := {CATALOG_FACET})),
@@ -268,16 +272,18 @@ def lineage_events_enriched(lab: Lab) -> DataFrame:
 @query(
     "dataproduct_summary",
     """
-SELECT r.run_id, CAST(0 AS BIGINT) AS part_no, coalesce(c.contract_product, r.product_name) AS name, r.target_table,
+SELECT r.run_id, CAST(coalesce(k.part_no, 0) AS BIGINT) AS part_no, coalesce(c.contract_product, r.product_name) AS name, r.target_table,
        c.domain, CASE lower(coalesce(c.contract_status, r.status)) WHEN 'proposed' THEN 'proposed' ELSE 'active' END AS status,
        concat_ws(chr(10) || chr(10), CASE WHEN trim(c.purpose) <> '' THEN 'Purpose: ' || trim(c.purpose) END,
                  CASE WHEN trim(c.usage) <> '' THEN 'Usage: ' || trim(c.usage) END,
                  CASE WHEN trim(c.limitations) <> '' THEN 'Limitations: ' || trim(c.limitations) END) AS description,
        CAST(coalesce(c.contract_fields, f.n, 0) AS BIGINT) AS field_count, coalesce(s.n, 0) AS source_count,
-       coalesce(s.names, '') AS sources
+       coalesce(k.names, '') AS sources
 FROM {app_runs} r LEFT JOIN {run_contracts} c ON c.run_id = r.run_id
-LEFT JOIN (SELECT run_id, count(*) AS n, string_agg(DISTINCT source_table, '; ' ORDER BY source_table) AS names
-           FROM {run_module_sources} GROUP BY run_id) s ON s.run_id = r.run_id
+LEFT JOIN (SELECT run_id, count(*) AS n FROM {run_module_sources} GROUP BY run_id) s ON s.run_id = r.run_id
+LEFT JOIN (SELECT run_id, part_no, string_agg(source_table, '; ' ORDER BY source_table) AS names
+           FROM (SELECT *, (row_number() OVER (PARTITION BY run_id ORDER BY source_table) - 1) // 1000 AS part_no
+                 FROM (SELECT DISTINCT run_id, source_table FROM {run_module_sources})) GROUP BY ALL) k ON k.run_id = r.run_id
 LEFT JOIN (SELECT run_id, count(*) AS n FROM {run_transformations} GROUP BY run_id) f ON f.run_id = r.run_id""",
 )
 def dataproduct_summary(lab: Lab) -> DataFrame:
@@ -441,12 +447,14 @@ def lineage_expand(lab: Lab) -> DataFrame:
 @query(
     "source_contributions",
     f"""
-SELECT s.run_id, s.module_key, s.source_alias, CAST(0 AS BIGINT) AS part_no,
+SELECT s.run_id, s.module_key, s.source_alias, CAST(coalesce(f.part_no, 0) AS BIGINT) AS part_no,
        coalesce(f.fields, '{fixed.NO_CONTRIBUTION}') AS fields_generated
 FROM (SELECT DISTINCT run_id, module_key, source_alias FROM {{run_module_sources}}) s
 LEFT JOIN (
-  SELECT run_id, module_key, a, string_agg(DISTINCT field_name, '; ' ORDER BY field_name) AS fields
-  FROM (SELECT run_id, module_key, field_name, unnest(string_split(origin, ' / ')) AS a FROM {{run_transformations}})
+  SELECT run_id, module_key, a, part_no, string_agg(field_name, '; ' ORDER BY field_name) AS fields
+  FROM (SELECT *, (row_number() OVER (PARTITION BY run_id, module_key, a ORDER BY field_name) - 1) // 1000 AS part_no
+        FROM (SELECT DISTINCT run_id, module_key, field_name, a
+              FROM (SELECT *, unnest(string_split(origin, ' / ')) AS a FROM {{run_transformations}})))
   GROUP BY ALL) f ON f.run_id = s.run_id AND f.module_key = s.module_key AND f.a = s.source_alias""",
 )
 def source_contributions(lab: Lab) -> DataFrame:
