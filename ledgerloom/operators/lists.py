@@ -65,3 +65,14 @@ def sorted_sets(df: DataFrame, keys: Sequence[str], item: str, limit: int = LIST
         cut_up = many.withColumn("part_no", F.floor((F.col("_no") - 1) / limit).cast("bigint")).drop("_no")
         rows = values.join(large, list(keys), "left_anti").select("*", part).unionByName(cut_up)
     return rows.groupBy(*keys, "part_no").agg(F.sort_array(F.collect_set(item)).alias(item))
+
+
+def with_lists(left: DataFrame, lists: DataFrame, items: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of rows with their lists (``items`` are the rows the lists were made from).
+
+    The parts of a huge group share one key. Spark splits a skewed side of an inner join but
+    not the right side of a left join, so this is an inner join and the rows without a list.
+    """
+    listed = items.select(*keys).distinct()
+    bare = left.join(listed, list(keys), "left_anti")
+    return left.join(lists, list(keys)).unionByName(bare, allowMissingColumns=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.naming import leaf_name, merged_description, product_status, split_last_dot, unicode_slug
-from ledgerloom.operators.lists import ordered_lists, sorted_sets
+from ledgerloom.operators.lists import ordered_lists, sorted_sets, with_lists
 from ledgerloom.operators.rows import first_wins
 
 PRODUCER = "ledgerloom"
@@ -82,14 +82,9 @@ def lineage_events(
         "run_id", "module_key", F.col("id").alias("at"),
         F.lit(None).cast(inputs.schema["input"].dataType).alias("input"), F.col("target_node").alias("target"),
     )
-    lists = ordered_lists(
-        inputs.unionByName(targets),
-        ["run_id", "module_key"],
-        "at",
-        {"items": F.struct("input", "target")},
-        limit,
-    )
-    rows = modules.join(lists, ["run_id", "module_key"], "left")
+    keys, both = ["run_id", "module_key"], inputs.unionByName(targets)
+    lists = ordered_lists(both, keys, "at", {"items": F.struct("input", "target")}, limit)
+    rows = with_lists(modules, lists, both, keys)
     items = F.coalesce("items", F.array().cast(lists.schema["items"].dataType))
     event = F.struct(
         F.lit("COMPLETE").alias("eventType"),
@@ -189,12 +184,13 @@ def product_summary(runs: DataFrame, contracts: DataFrame, sources: DataFrame, t
     """
     counted = sources.groupBy("run_id").agg(F.count("*").alias("source_count"))
     fields = transformations.groupBy("run_id").agg(F.count("*").alias("_fields"))
-    names = sorted_sets(sources.where(_filled("source_table")), ["run_id"], "source_table")
+    named = sources.where(_filled("source_table"))
+    names = sorted_sets(named, ["run_id"], "source_table")
+    rows = (
+        runs.join(contracts, "run_id", "left").join(counted, "run_id", "left").join(fields, "run_id", "left")
+    )
     return (
-        runs.join(contracts, "run_id", "left")
-        .join(counted, "run_id", "left")
-        .join(fields, "run_id", "left")
-        .join(names, "run_id", "left")
+        with_lists(rows, names, named, ["run_id"])
         .select(
             "run_id",
             F.coalesce("part_no", F.lit(0).cast("bigint")).alias("part_no"),

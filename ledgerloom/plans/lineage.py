@@ -16,7 +16,7 @@ from ledgerloom.functions.naming import (
     transformation_class,
 )
 from ledgerloom.operators.graph import levels, upstream
-from ledgerloom.operators.lists import sorted_sets
+from ledgerloom.operators.lists import sorted_sets, with_lists
 from ledgerloom.operators.rows import numbered
 
 MODULE = ["run_id", "module_key"]
@@ -166,17 +166,13 @@ def contributions(sources: DataFrame, transformations: DataFrame) -> DataFrame:
         transformations.select(*MODULE, "field_name", F.explode(F.split("origin", " / ")).alias("source_alias"))
         .where((F.col("source_alias") != "") & (F.col("source_alias") != fixed.EMPTY_MARK))
     )
-    lists = sorted_sets(fed, [*MODULE, "source_alias"], "field_name")
-    return (
-        sources.select(*MODULE, "source_alias")
-        .distinct()
-        .join(lists, [*MODULE, "source_alias"], "left")
-        .select(
-            *MODULE,
-            "source_alias",
-            F.coalesce("part_no", F.lit(0).cast("bigint")).alias("part_no"),
-            F.coalesce("field_name", F.array(F.lit(fixed.NO_CONTRIBUTION))).alias("fields_generated"),
-        )
+    keys = [*MODULE, "source_alias"]
+    named = fed.where(F.col("field_name").isNotNull())
+    rows = with_lists(sources.select(*keys).distinct(), sorted_sets(named, keys, "field_name"), named, keys)
+    return rows.select(
+        *keys,
+        F.coalesce("part_no", F.lit(0).cast("bigint")).alias("part_no"),
+        F.coalesce("field_name", F.array(F.lit(fixed.NO_CONTRIBUTION))).alias("fields_generated"),
     )
 
 
