@@ -7,6 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.jaccard_join import jaccard_join
+from ledgerloom.llm.substring_dedup import substring_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,8 +19,15 @@ def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join(_table(spark, folder, "documents"), shingle=3, similarity=Fraction(9, 10))
 
 
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words left of every document without the 50-word windows that a document of smaller id holds."""
+    found = substring_dedup(_table(spark, folder, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
