@@ -5,7 +5,9 @@ from __future__ import annotations
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerloom.llm.decontaminate import decontaminate
 from ledgerloom.llm.jaccard_join import jaccard_join
 from ledgerloom.llm.substring_dedup import substring_dedup
 
@@ -14,6 +16,19 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie in a 13-word window of a benchmark item."""
+    found = decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), n=13, share=20)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
     return jaccard_join(_table(spark, folder, "documents"), shingle=3, similarity=Fraction(9, 10))
@@ -26,6 +41,7 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
 }

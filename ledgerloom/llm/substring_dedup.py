@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.rows import keyed
 from ledgerloom.llm.words import SPACED, Words, grams, mix, slices, whole, words
 from ledgerloom.session import cut
 
@@ -200,7 +201,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", t
     covers it also starts in a document with a smaller doc_id, as the texts were given; kept_sha256 is taken over the kept
     words joined by one space. NULL and empty texts have no words. Rows that share a doc_id never remove each other's
     words; equal rows have equal results. A row without doc_id removes nothing and loses nothing. Other columns are
-    ignored. ``row_hash`` tells apart the rows of one doc_id (:func:`keyed`).
+    ignored. ``row_hash`` tells apart the rows of one doc_id (:func:`ledgerloom.llm.rows.keyed`).
     """
     steps = lengths(window)
     span = steps[1] - steps[0] + 1 if len(steps) > 1 else 1
@@ -263,11 +264,6 @@ def substring_dedup(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", t
     )
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Documents with ``row_hash``, which with doc_id names a row up to equal rows."""
-    return docs.withColumn("row_hash", F.xxhash64("text"))
-
-
 def _shared(counted: DataFrame) -> DataFrame:
     """Windows that start in two documents or more, with the smallest (``low``)."""
     key = ["window_a", "window_b"]
