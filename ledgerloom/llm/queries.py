@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.decontaminate import decontaminate
 from ledgerloom.llm.jaccard_join import jaccard_join
+from ledgerloom.llm.lm_score import lm_score
 from ledgerloom.llm.substring_dedup import substring_dedup
 
 
@@ -29,6 +30,12 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Bigram scores of all documents; a seventh of them, by a checksum of the id, is not learnt from."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return lm_score(_table(spark, folder, "documents"), held_out)
+
+
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
     return jaccard_join(_table(spark, folder, "documents"), shingle=3, similarity=Fraction(9, 10))
@@ -42,6 +49,7 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_lm_score": op3_lm_score,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
 }
