@@ -11,6 +11,7 @@ from ledgerloom.llm.decontaminate import decontaminate
 from ledgerloom.llm.jaccard_join import jaccard_join
 from ledgerloom.llm.lm_score import lm_score
 from ledgerloom.llm.substring_dedup import substring_dedup
+from ledgerloom.llm.topk_search import top_k
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,6 +37,11 @@ def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score(_table(spark, folder, "documents"), held_out)
 
 
+def op4_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 nearest vectors by inner product of every vector whose id is divisible by 50."""
+    return top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
     return jaccard_join(_table(spark, folder, "documents"), shingle=3, similarity=Fraction(9, 10))
@@ -50,6 +56,7 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_lm_score": op3_lm_score,
+    "op4_topk_search": op4_topk_search,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
 }
