@@ -12,6 +12,7 @@ from ledgerloom.llm.jaccard_join import jaccard_join
 from ledgerloom.llm.lm_score import lm_score
 from ledgerloom.llm.substring_dedup import substring_dedup
 from ledgerloom.llm.topk_search import top_k
+from ledgerloom.llm.warc import warc_round_trip
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,6 +43,20 @@ def op4_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of all pages as read back from the archives they were written to."""
+    records = warc_round_trip(_table(spark, folder, "pages"), least=0)
+    number = lambda name: F.regexp_extract(name, r"^urn:page:(\d+)$", 1).try_cast("bigint")
+    return records.select(
+        number("record_id").alias("page_id"),
+        F.col("bytes").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        number("refers_to").alias("refers_to"),
+        "error",
+    )
+
+
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
     return jaccard_join(_table(spark, folder, "documents"), shingle=3, similarity=Fraction(9, 10))
@@ -57,6 +72,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_lm_score": op3_lm_score,
     "op4_topk_search": op4_topk_search,
+    "op5_warc": op5_warc,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
 }
