@@ -12,6 +12,7 @@ from ledgerloom.llm.jaccard_join import jaccard_join
 from ledgerloom.llm.lm_score import lm_score
 from ledgerloom.llm.substring_dedup import substring_dedup
 from ledgerloom.llm.topk_search import top_k
+from ledgerloom.llm.url_filter import url_filter
 from ledgerloom.llm.warc import warc_round_trip
 
 
@@ -19,6 +20,17 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Rule and verdict.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict of the rules on every page."""
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    judged = url_filter(_table(spark, folder, "pages").select("page_id", "url"), rules, default="allow")
+    return judged.select("page.page_id", "judged.*")
+
+
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that lie in a 13-word window of a benchmark item."""
     found = decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), n=13, share=20)
@@ -69,6 +81,7 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
     "op3_lm_score": op3_lm_score,
     "op4_topk_search": op4_topk_search,
@@ -77,4 +90,27 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+_RULE_ROWS = ", ".join(
+    "('{}', '{}', '{}', '{}')".format(rule, rule.partition("/")[0], "/" + rule.partition("/")[2], verdict)
+    for rule, verdict in URL_RULES
+)
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES: dict[str, str] = {
+    "op1_url_filter": f"""
+        WITH rules(rule, rule_host, rule_path, verdict) AS (VALUES {_RULE_ROWS}),
+        located AS (
+            SELECT page_id,
+                coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
+                coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages
+        )
+        SELECT page_id, host, path,
+            (SELECT arg_max(rule, length(rule)) FROM rules
+             WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS rule,
+            coalesce((SELECT arg_max(verdict, length(rule)) FROM rules
+             WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)), 'allow')
+             AS verdict
+        FROM located
+    """,
+}

@@ -1,11 +1,23 @@
-"""Naming rows of a table of texts."""
+"""Naming and fetching rows of a table of texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The most keys that are broadcast to pick rows, 16 bytes each before Spark's own overhead.
+BROADCAST_KEYS = 1_000_000
+
 
 def keyed(docs: DataFrame) -> DataFrame:
     """Documents with ``row_hash``, which with doc_id names a row up to equal rows."""
     return docs.withColumn("row_hash", F.xxhash64("text"))
+
+
+def fetched(docs: DataFrame, wanted: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The documents whose keys are in ``wanted``, a table of at most ``most`` rows.
+
+    Few keys are broadcast, so that texts nobody asked for stay where they are; more keys meet the texts in a shuffle.
+    """
+    picked = wanted.select(*keys).distinct()
+    return docs.join(F.broadcast(picked) if most <= BROADCAST_KEYS else picked, keys, "left_semi")

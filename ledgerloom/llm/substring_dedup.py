@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.rows import keyed
+from ledgerloom.llm.rows import fetched, keyed
 from ledgerloom.llm.words import SPACED, Words, grams, mix, slices, whole, words
 from ledgerloom.session import cut
 
@@ -222,11 +222,13 @@ def substring_dedup(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", t
         "doc_id", "row_hash", "window_a", "place"
     )
     counted = counted.withColumn("window_b", F.lit(0).cast("bigint"))
-    candidates, length = texts, steps[0]
+    length, row = steps[0], ["doc_id", "row_hash"]
     for longer in steps[1:]:
         spots = _shared(counted).groupBy("doc_id", "row_hash").agg(F.collect_list("place").alias("spots"))
-        candidates = candidates.select("doc_id", "row_hash", "text").join(spots, ["doc_id", "row_hash"])
-        candidates = cut(candidates.dropDuplicates(["doc_id", "row_hash"]), "candidates")
+        spots = cut(spots, "spots")
+        texts = fetched(texts, spots, row, spots.count()).dropDuplicates(row)
+        candidates = cut(texts.join(spots, row), "candidates")
+        texts = candidates.drop("spots")
         counted = cut(
             candidates.mapInArrow(
                 _windows(longer, length, length == steps[0]),
@@ -236,7 +238,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", t
         )
         length = longer
     hits = _shared(counted).where("doc_id > low").groupBy("doc_id", "row_hash").agg(F.collect_list("place").alias("spots"))
-    touched = candidates.select("doc_id", "row_hash", "text").join(hits, ["doc_id", "row_hash"])
+    touched = texts.dropDuplicates(row).join(hits, row)
     lost = touched.mapInArrow(
         _removals(window), f"doc_id bigint, row_hash bigint, n_removed bigint, removed {SPANS}, kept_sha256 string"
     )
