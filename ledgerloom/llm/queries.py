@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.decontaminate import decontaminate
 from ledgerloom.llm.jaccard_join import jaccard_join
 from ledgerloom.llm.lm_score import lm_score
+from ledgerloom.llm.quality import classify
 from ledgerloom.llm.substring_dedup import substring_dedup
 from ledgerloom.llm.topk_search import top_k
 from ledgerloom.llm.url_filter import url_filter
@@ -20,6 +21,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of every document for junk and toxicity, and whether it is kept."""
+    found = classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return found.select("doc_id", "n_words", "junk_votes", "toxic_votes", "junk_score", "toxic_score", "keep")
+
+
 #: Rule and verdict.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -88,6 +95,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_quality": op8_quality,
 }
 
 _RULE_ROWS = ", ".join(
