@@ -1,12 +1,85 @@
-"""The corpus pipeline over ``documents``."""
+"""The corpus pipeline over ``documents``: what is kept of each stage is written as Parquet and read by the next."""
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.llm.decontaminate import decontaminate
+from ledgerloom.llm.jaccard_join import jaccard_join
+from ledgerloom.llm.packing import pack, with_texts
+from ledgerloom.llm.quality import classify
+from ledgerloom.llm.rows import keyed
+from ledgerloom.llm.substring_dedup import removed_from, substring_dedup
+from ledgerloom.session import cut
 
+#: No SQL: the classifier is fitted and buckets are chosen by dynamic programming. Each stage is tested by itself.
 ORACLE_SQL = None
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents whose doc_id and text are not among the rows (doc_id, row_hash) ``gone``."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_doc"), "text")
+    named = gone.select(F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_hash"), F.lit(1).alias("_gone"))
+    same = rows["_doc"].eqNullSafe(named["_doc"]) & (F.xxhash64(rows["text"]) == named["_hash"])
+    return rows.join(named, same, "left_anti").select("row.*")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    judged = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, cut(judged.where("not keep").select("doc_id", "row_hash").distinct(), "rejected"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares four fifths of its 5-word shingles: the one of the smallest id.
+
+    Rows that share an id stay one row, the one of the least text hash. Documents without words or id stay.
+    """
+    found = jaccard_join(docs, shingle=5, similarity=Fraction(4, 5))
+    later = cut(found.where("component_id < doc_id").select("doc_id").distinct(), "later")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    repeated = cut(repeated.select("doc_id"), "repeated")
+    columns = docs.columns
+    first = docs.join(later, "doc_id", "left_anti")
+    once = first.join(repeated, "doc_id", "left_anti").select(columns)
+    if repeated.isEmpty():
+        return once
+    several = keyed(first.join(repeated, "doc_id", "left_semi").select(F.struct(*columns).alias("row"), "doc_id", "text"))
+    least = several.groupBy("doc_id").agg(F.min_by("row", "row_hash").alias("row")).select("row.*")
+    return once.unionByName(least.select(columns))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 50-word windows that a document of smaller id holds; wholly repeated ones go."""
+    return removed_from(docs, cut(substring_dedup(docs, window=50), "repeats"))
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark items."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=13, share=20)
+    return _without(docs, cut(found.where("contaminated").select("doc_id", "row_hash").distinct(), "contaminated"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Batches: a row per piece of a document, with its text, bucket, batch and slot."""
+    return with_texts(pack(docs, longest=2048, buckets=16, budget=32_768), docs).drop("row_hash")
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("contamination", contamination),
+    ("packing", packing),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order."""
-    raise NotImplementedError
+    """All stages applied to ``documents``; each but the last is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

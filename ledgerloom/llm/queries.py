@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.decontaminate import decontaminate
 from ledgerloom.llm.jaccard_join import jaccard_join
+from ledgerloom.llm.language_id import language_id
 from ledgerloom.llm.lm_score import lm_score
+from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality import classify
 from ledgerloom.llm.substring_dedup import substring_dedup
 from ledgerloom.llm.topk_search import top_k
@@ -27,6 +29,17 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "junk_votes", "toxic_votes", "junk_score", "toxic_score", "keep")
 
 
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """The batch and slot of every piece of every document."""
+    packed = pack(_table(spark, folder, "documents"), longest=2048, buckets=16, budget=32_768)
+    return packed.drop("row_hash")
+
+
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every page, learnt from all documents."""
+    return language_id(_table(spark, folder, "pages"), _table(spark, folder, "documents"))
+
+
 #: Rule and verdict.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -96,6 +109,8 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality": op8_quality,
+    "op9_packing": op9_packing,
+    "op10_language_id": op10_language_id,
 }
 
 _RULE_ROWS = ", ".join(
