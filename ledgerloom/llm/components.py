@@ -32,10 +32,16 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     edges = links.where(F.col(left) != F.col(right)).select(
         F.greatest(left, right).alias("u"), F.least(left, right).alias("v")
     )
-    edges, before = cut(edges.distinct(), "edges"), None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint")), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before or state[0] == 0:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+    edges = cut(edges.distinct(), "edges")
+    while not _are_stars(edges):
         edges = cut(_small_star(_large_star(edges)), "edges")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down, to a node that has none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("down"))
+    )
+    each = ends.groupBy("node").agg(F.sum("down").alias("edges"), F.min("down").alias("least"))
+    return each.where("edges > 1 or (edges = 1 and least = 0)").isEmpty()
