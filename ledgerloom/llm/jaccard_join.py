@@ -10,8 +10,8 @@ both sides is among the d + 1 heaviest of either. A document is filed under the
 of two above d; near a power's edge a document is filed under two of them, as its partners may be). Documents in one file
 are nearly always near copies, so files are small and no frequent word or shared passage makes a large one.
 
-A large file is no problem either. Each file first ties its documents to its smallest one, and only files that still
-hold several components go to a tree; there only pairs of different components matter, and a file beyond
+A large file is no problem either. Each file first ties its documents to its smallest one, and only files whose documents
+are not all tied to the same one go to a tree; there only pairs tied to different ones matter, and a file beyond
 ``TREE_ROWS`` documents is searched as pairs of blocks, one task each.
 """
 
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
+from ledgerloom.llm.rows import fetched, keyed
 from ledgerloom.llm.words import SPACED, grams, mix, slices, whole, words
 from ledgerloom.session import cut
 
@@ -127,10 +128,9 @@ def _sets(size: int):
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: Fraction) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    once = (
-        texts.join(needed, "doc_id").groupBy("doc_id", F.xxhash64("text").alias("_hash")).agg(F.first("text").alias("text"))
-    )
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    once = fetched(keyed(texts), needed, ["doc_id"], 2 * pairs.count())
+    once = once.groupBy("doc_id", "row_hash").agg(F.first("text").alias("text"))
     sets = once.select("doc_id", "text").mapInArrow(_sets(size), "node bigint, shingles array<bigint>")
     sets = cut(sets, "shingle_sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left_set"))
@@ -194,7 +194,7 @@ class Tree:
 
 
 def _tree_join(similarity: Fraction):
-    """Joins the documents of one file, or of two blocks of it, that are in different components."""
+    """Joins the documents of one file, or of two blocks of it, that have different labels."""
 
     def run(group: pa.Table) -> pa.Table:
         nodes, label, block = (group.column(c).to_numpy() for c in ("node", "label", "block"))
@@ -211,8 +211,18 @@ def _tree_join(similarity: Fraction):
     return run
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """A linked document for every one that has links to smaller ones: its least, or that one's least.
+
+    Equal labels prove one component; the reverse need not hold.
+    """
+    least = links.groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "node")
+    further = least.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return least.join(further, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+
+
 def _tree_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: Fraction) -> DataFrame:
-    """Pairs of one file but different components that the R-tree's bound allows."""
+    """Pairs of one file but different labels that the R-tree's bound allows."""
     labelled = (
         members.join(roots, "node", "left").select("file", "node", F.coalesce("root", "node").alias("label"))
     )
@@ -285,9 +295,9 @@ def jaccard_join(
     )
     links = cut(_verified(cut(starred, "pairs"), texts, shingle, similarity), "links")
     copies = filled.select(*same, "doc_id").join(classes, same).where("doc_id <> node").select("doc_id", "node").distinct()
-    roots = cut(components(links, "a", "b"), "roots")
-    rest = cut(_tree_pairs(members.select("file", "node"), nodes, roots, similarity), "pairs")
-    links = links.unionByName(cut(_verified(rest, texts, shingle, similarity), "links"))
+    rest = cut(_tree_pairs(members.select("file", "node"), nodes, _labels(links), similarity), "pairs")
+    if not rest.isEmpty():
+        links = links.unionByName(_verified(rest, texts, shingle, similarity))
     tied = links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     found = components(tied, "a", "b").select(F.col("node").alias("doc_id"), "root")
     return rows.join(found, "doc_id", "left").select(
