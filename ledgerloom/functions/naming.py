@@ -159,10 +159,13 @@ def inferred_type(name: Column, functions: Column) -> Column:
     return guess.when(counted, "number").otherwise("string")
 
 
-def transformation_class(functions: Column, renamed_from: Column, name: Column, constant: Column) -> tuple[Column, Column]:
+def transformation_class(
+    functions: Column, renamed_from: Column, name: Column, constant: Column, aggregates: Column
+) -> tuple[Column, Column]:
     """(D or T, subtype) of a field.
 
-    ``renamed_from`` holds the column name when the expression is a bare column.
+    ``renamed_from`` holds the column name when the expression is a bare column; ``aggregates`` tells that some function
+    is an aggregate, which names alone cannot.
     """
     bare = renamed_from.isNotNull()
     same = F.lower(renamed_from) == F.lower(name)
@@ -170,6 +173,8 @@ def transformation_class(functions: Column, renamed_from: Column, name: Column,
         F.when(F.arrays_overlap(functions, F.array(*[F.lit(item) for item in group])), label)
         for label, group in fixed.SUBTYPES
     ]
+    first = fixed.SUBTYPES[0]
+    labels[0] = F.when(aggregates | F.arrays_overlap(functions, F.array(*[F.lit(item) for item in first[1]])), first[0])
     labels.append(F.when(constant, fixed.CONSTANT_SUBTYPE))
     joined = F.coalesce(F.nullif(F.concat_ws(" + ", *labels), F.lit("")), F.lit(fixed.DEFAULT_SUBTYPE))
     kind = F.when(bare & same, "D").otherwise("T")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,9 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.session import cut
 
 
-def upstream(
-    seeds: DataFrame, edges: DataFrame, scope: Sequence[str], max_depth: int = 64
-) -> DataFrame:
+def upstream(seeds: DataFrame, edges: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Every node that reaches a seed against the edge direction, with its least distance.
 
     ``seeds`` has the scope columns and ``node``; ``edges`` the scope columns, ``source_node``
@@ -23,7 +22,7 @@ def upstream(
     steps = cut(edges.select(*scope, "source_node", "target_node").distinct(), "edges")
     front = seeds.select(*scope, "node").distinct()
     seen = None
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         found = (
             front.withColumnRenamed("node", "target_node")
             .join(steps, [*scope, "target_node"])
@@ -37,36 +36,32 @@ def upstream(
             break
         reached = front.withColumn("depth", F.lit(depth))
         seen = reached if seen is None else seen.unionByName(reached)
-    else:
-        raise ValueError(f"walk is deeper than {max_depth}")
     if seen is None:
         return front.withColumn("depth", F.lit(0)).limit(0)
     return seen
 
 
-def levels(nodes: DataFrame, needs: DataFrame, scope: Sequence[str], max_depth: int = 64) -> DataFrame:
-    """Longest chain of needs below each node of an acyclic graph, 0 for nodes that need nothing.
+def levels(nodes: DataFrame, needs: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Longest chain of needs below each node, 0 for nodes that need nothing; NULL for nodes that wait for a cycle.
 
-    ``nodes`` has the scope columns and ``node``; ``needs`` the scope columns, ``node`` and
-    ``needed``. Round n holds the nodes that end a chain of n needs, without repeats.
+    ``nodes`` has the scope columns and ``node``; ``needs`` the scope columns, ``node`` and ``needed``. Each round takes
+    the nodes whose needs have all been taken before; when no node is left to take, the rest wait for a cycle. Needs
+    outside the nodes do not count.
     """
-    known = nodes.select(*scope, "node").distinct()
-    links = cut(
-        needs.select(*scope, "node", "needed").distinct().join(
-            known.withColumnRenamed("node", "needed"), [*scope, "needed"], "left_semi"
-        ),
-        "needs",
-    )
-    front = known
-    rounds = known.withColumn("level", F.lit(0))
-    for depth in range(1, max_depth + 1):
-        reached = (
-            front.withColumnRenamed("node", "needed").join(links, [*scope, "needed"]).select(*scope, "node").distinct()
-        )
-        front = cut(reached, f"level_{depth}")
+    key = [*scope, "node"]
+    left = nodes.select(*key).distinct()
+    known = left.withColumnRenamed("node", "needed")
+    links = cut(needs.select(*key, "needed").distinct().join(known, [*scope, "needed"], "left_semi"), "needs")
+    rounds = None
+    for depth in count(0):
+        waiting = links.select(*key).distinct().withColumn("_waits", F.lit(True))
+        marked = cut(left.join(waiting, key, "left"), f"level_{depth}")
+        front = marked.where("_waits is null").select(*key)
         if front.isEmpty():
-            break
-        rounds = rounds.unionByName(front.withColumn("level", F.lit(depth)))
-    else:
-        raise ValueError(f"needs form a cycle or a chain longer than {max_depth}")
-    return rounds.groupBy(*scope, "node").agg(F.max("level").alias("level"))
+            rest = marked.select(*key, F.lit(None).cast("int").alias("level"))
+            return rest if rounds is None else rounds.unionByName(rest)
+        taken = front.withColumn("level", F.lit(depth))
+        rounds = taken if rounds is None else rounds.unionByName(taken)
+        left = marked.where("_waits").select(*key)
+        met = front.withColumnRenamed("node", "needed")
+        links = cut(links.join(met, [*scope, "needed"], "left_anti"), f"needs_{depth}")

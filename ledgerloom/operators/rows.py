@@ -43,6 +43,13 @@ def argmin_concat(df: DataFrame, key: str, first: str, second: str) -> DataFrame
     )
 
 
+def with_groups(df: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` with the other columns of ``right``, one row per key, in which NULL is a key like others."""
+    named = right.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = [df[k].eqNullSafe(named[f"_key_{k}"]) for k in keys]
+    return df.join(named, same).drop(*[f"_key_{k}" for k in keys])
+
+
 def sliced(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Rows in range slices of (group, order), stored once with their slice number.
 
@@ -65,8 +72,7 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], name:
     shifts = sizes.select(*group, "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
     inside = Window.partitionBy(*group, "_slice").orderBy(*order)
     return (
-        rows.withColumn("_rank", F.row_number().over(inside))
-        .join(shifts, [*group, "_slice"])
+        with_groups(rows.withColumn("_rank", F.row_number().over(inside)), shifts, [*group, "_slice"])
         .withColumn(name, (F.col("_shift") + F.col("_rank")).cast("bigint"))
         .drop("_slice", "_shift", "_rank")
     )
@@ -84,8 +90,7 @@ def previous(df: DataFrame, group: Sequence[str], order: str, value: str, name:
     carried = last.select(*group, "_slice", F.lag("_last").over(earlier).alias("_carried"))
     inside = Window.partitionBy(*group, "_slice").orderBy(order)
     return (
-        rows.withColumn("_inside", F.lag(value).over(inside))
-        .join(carried, [*group, "_slice"])
+        with_groups(rows.withColumn("_inside", F.lag(value).over(inside)), carried, [*group, "_slice"])
         .withColumn(name, F.coalesce("_inside", "_carried"))
         .drop("_slice", "_inside", "_carried")
     )

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import fixed_values as fixed
-from ledgerloom.operators.lists import sorted_sets
 from ledgerloom.operators.merge import findings
+from ledgerloom.session import cut
 
 # Characters that count as white space.
 SPACES = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
@@ -22,33 +24,50 @@ def required_sections(kind: Column) -> Column:
     return F.when(kind == "step", titles(fixed.STEP_SECTIONS)).otherwise(titles(fixed.STRUCTURAL_SECTIONS))
 
 
+# The messages of findings; those that end in a colon and space are about items.
+MISSING_SECTIONS = "Faltan secciones obligatorias: "
+EXTRA_SECTIONS = "Se detectaron secciones adicionales: "
+MISSING_FIELDS = {"4": "Faltan campos finales en Seccion 4: ", "5": "Faltan campos finales en Seccion 5: "}
+UNDEFINED_RULES = "Hay reglas referenciadas que no existen en Seccion 6: "
+SQL_FOUND = "Se detectaron patrones de SQL literal en el documento: "
+WRONG_NAME = f"El nombre del documento de salida debe iniciar con {fixed.DOCUMENT_PREFIX}: "
+UNRESOLVED = "Quedaron variables sin resolver en el SQL: "
+INFERRED = "Se resolvieron variables con valores inferidos: "
+
+
+def _items(rows: DataFrame, groups: Sequence[tuple[str, str, Column]]) -> DataFrame:
+    """Rows (doc_id, severity, message, item) from arrays of items by severity and message."""
+    parts = [F.struct(F.lit(a).alias("severity"), F.lit(b).alias("message"), c.alias("items")) for a, b, c in groups]
+    grouped = rows.select("doc_id", F.inline(F.array(*parts)))
+    return grouped.select("doc_id", "severity", "message", F.explode("items").alias("item"))
+
+
 def section_findings(documents: DataFrame) -> DataFrame:
-    """Missing section titles (error) and additional ones (warning), title by title within each row."""
+    """Missing section titles (error) and additional ones (warning), one row per title."""
     required, present = required_sections(F.col("document_kind")), F.col("section_titles")
-    missing = F.array_sort(F.array_except(required, present))
-    extra = F.array_sort(F.array_except(present, required))
-    rows = documents.select(
-        "doc_id",
-        F.inline(
-            F.array(
-                F.struct(F.lit("error").alias("severity"), F.lit("Faltan secciones obligatorias: ").alias("head"), missing.alias("titles")),
-                F.struct(F.lit("warning").alias("severity"), F.lit("Se detectaron secciones adicionales: ").alias("head"), extra.alias("titles")),
-            )
-        ),
-    )
-    return rows.where(F.size("titles") > 0).select(
-        "doc_id", "severity", F.concat("head", F.array_join("titles", ", ")).alias("message")
+    return _items(
+        documents,
+        [
+            ("error", MISSING_SECTIONS, F.array_except(required, present)),
+            ("warning", EXTRA_SECTIONS, F.array_except(present, required)),
+        ],
     )
 
 
 def missing_fields(final: DataFrame, sections: dict[str, DataFrame]) -> DataFrame:
-    """Final fields a section does not show, one row per section and field."""
-    united = None
-    for name, shown in sections.items():
-        rows = findings(final.select("doc_id", "field_name").distinct(), shown, ["doc_id", "field_name"], "error")
-        rows = rows.withColumn("section", F.lit(name))
-        united = rows if united is None else united.unionByName(rows)
-    return united
+    """Final fields a section does not show, one row per section and field, all sections in one pass."""
+    marks = final.select("doc_id", "field_name", F.lit(-1).alias("_at"))
+    for at, shown in enumerate(sections.values()):
+        marks = marks.unionByName(shown.select("doc_id", "field_name", F.lit(at).alias("_at")))
+    seen = marks.groupBy("doc_id", "field_name").agg(
+        F.bool_or(F.col("_at") == -1).alias("_final"),
+        *[F.bool_or(F.col("_at") == at).alias(f"_in_{at}") for at in range(len(sections))],
+    )
+    absent = [F.when(~F.col(f"_in_{at}"), F.lit(name)) for at, name in enumerate(sections)]
+    return seen.where("_final").select(
+        "doc_id", "field_name", F.lit("error").alias("severity"),
+        F.explode(F.array_compact(F.array(*absent))).alias("section"),
+    )
 
 
 def rule_references(documents: DataFrame) -> DataFrame:
@@ -94,76 +113,49 @@ def marked_texts(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", sql_markers(F.col("text")).alias("markers"))
 
 
-def _joined(rows: DataFrame, item: str, head: str) -> DataFrame:
-    """One finding per document that lists its items; very long lists give several."""
-    return sorted_sets(rows, ["doc_id"], item).select(
-        "doc_id", F.lit("error").alias("severity"), F.concat(F.lit(head), F.array_join(item, ", ")).alias("message")
-    )
-
-
 def audit_findings(
     documents: DataFrame, final: DataFrame, section_4: DataFrame, section_5: DataFrame, rules: DataFrame
 ) -> DataFrame:
-    """All findings of every document.
+    """All findings of every document in long form.
 
-    ``documents`` has doc_id, document_kind, section_titles, text, referenced_rule_ids,
-    file_name, unresolved (array) and inferred (map of variable to value).
+    A finding is one row (doc_id, severity, message) with ``item`` NULL and the number of its items; each item is a row
+    of its own with the same message and no number. So a finding counts once however many items it has. ``documents``
+    has doc_id, document_kind, section_titles, text, referenced_rule_ids, file_name, unresolved (array) and inferred
+    (map of variable to value).
     """
     col = F.col
-    markers = F.sort_array(sql_markers(col("text")))
-    unresolved = F.array_sort("unresolved")
-    inferred = F.array_sort(F.map_entries("inferred"), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1))
-    pairs = F.transform(inferred, lambda entry: F.concat_ws("=", entry["key"], entry["value"]))
-
-    def finding(severity: str, hit: Column, message: Column) -> Column:
-        return F.when(hit, F.struct(F.lit(severity).alias("severity"), message.alias("message")))
-
-    own = F.array_compact(
-        F.array(
-            finding(
-                "error",
-                F.size(markers) > 0,
-                F.concat(F.lit("Se detectaron patrones de SQL literal en el documento: "), F.array_join(markers, ", ")),
-            ),
-            finding(
-                "error",
-                ~col("file_name").startswith(fixed.DOCUMENT_PREFIX),
-                F.concat(
-                    F.lit(f"El nombre del documento de salida debe iniciar con {fixed.DOCUMENT_PREFIX}: "),
-                    col("file_name"),
-                ),
-            ),
-            finding(
-                "error",
-                F.size(unresolved) > 0,
-                F.concat(F.lit("Quedaron variables sin resolver en el SQL: "), F.array_join(unresolved, ", ")),
-            ),
-            finding(
-                "warning",
-                (F.size(unresolved) == 0) & (F.size(pairs) > 0),
-                F.concat(F.lit("Se resolvieron variables con valores inferidos: "), F.array_join(pairs, ", ")),
-            ),
-        )
+    pairs = F.transform(F.map_entries("inferred"), lambda entry: F.concat_ws("=", entry["key"], entry["value"]))
+    none = F.array().cast("array<string>")
+    required, present = required_sections(col("document_kind")), col("section_titles")
+    named = F.when(~col("file_name").startswith(fixed.DOCUMENT_PREFIX), F.array("file_name")).otherwise(none)
+    own = _items(
+        documents,
+        [
+            ("error", MISSING_SECTIONS, F.array_except(required, present)),
+            ("warning", EXTRA_SECTIONS, F.array_except(present, required)),
+            ("error", SQL_FOUND, sql_markers(col("text"))),
+            ("error", WRONG_NAME, named),
+            ("error", UNRESOLVED, F.array_distinct("unresolved")),
+            ("warning", INFERRED, F.when(F.size("unresolved") == 0, pairs).otherwise(none)),
+        ],
     )
     missing = missing_fields(final, {"4": section_4, "5": section_5})
-    return (
-        section_findings(documents)
-        .unionByName(documents.select("doc_id", F.inline(own)))
-        .unionByName(_joined(missing.where("section = '4'"), "field_name", "Faltan campos finales en Seccion 4: "))
-        .unionByName(_joined(missing.where("section = '5'"), "field_name", "Faltan campos finales en Seccion 5: "))
-        .unionByName(
-            _joined(
-                undefined_rules(documents, rules),
-                "rule_id",
-                "Hay reglas referenciadas que no existen en Seccion 6: ",
-            )
-        )
+    message = F.when(col("section") == "4", MISSING_FIELDS["4"]).otherwise(MISSING_FIELDS["5"])
+    fields = missing.select("doc_id", "severity", message.alias("message"), col("field_name").alias("item"))
+    undefined = undefined_rules(documents, rules).select(
+        "doc_id", "severity", F.lit(UNDEFINED_RULES).alias("message"), col("rule_id").alias("item")
     )
+    items = cut(own.unionByName(fields).unionByName(undefined), "finding_items")
+    heads = items.groupBy("doc_id", "severity", "message").agg(F.count("*").alias("item_count"))
+    return heads.select(
+        "doc_id", "severity", "message", F.lit(None).cast("string").alias("item"), "item_count"
+    ).unionByName(items.withColumn("item_count", F.lit(None).cast("bigint")))
 
 
 def audit_summary(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """Error and warning counts of every document; it passes without errors."""
-    counts = found.groupBy("doc_id").agg(
+    """Error and warning counts of every document; it passes without errors. Items of findings do not count."""
+    heads = found.where("item is null") if "item" in found.columns else found
+    counts = heads.groupBy("doc_id").agg(
         F.count_if(F.col("severity") == "error").alias("error_count"),
         F.count_if(F.col("severity") == "warning").alias("warning_count"),
     )

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.naming import leaf_name, merged_description, product_status, split_last_dot, unicode_slug
-from ledgerloom.operators.lists import ordered_lists, sorted_sets, with_lists
+from ledgerloom.functions.naming import (
+    leaf_name,
+    merged_description,
+    port_type,
+    product_status,
+    split_last_dot,
+    unicode_slug,
+)
 from ledgerloom.operators.rows import first_wins
 
 PRODUCER = "ledgerloom"
@@ -63,36 +69,29 @@ def _dataset(name: Column) -> Column:
 
 
 def lineage_events(
-    modules: DataFrame, module_sources: DataFrame, relations: DataFrame, at: str, namespace: str, limit: int = 1000
+    modules: DataFrame, module_sources: DataFrame, relations: DataFrame, at: str, namespace: str
 ) -> DataFrame:
-    """One event per module: inputs in source order, the output, and the targets of its edges.
+    """Lineage events in long form: a row per module, and a row per input and per target of its edges.
 
-    Inputs and targets share one grouping. A module with more than ``limit`` of them gives
-    several events, numbered by ``part_no``, that together hold them all.
+    ``part`` tells which: "event" rows hold the event without its lists, "input" rows a dataset, "target" rows the name of
+    a table. ``position`` orders inputs and targets; event rows have 0.
     """
+    dataset = "struct<namespace:string,name:string>"
     inputs = module_sources.where(_filled("source_table")).select(
-        "run_id", "module_key", F.col("pos").alias("at"), _dataset(F.col("source_table")).alias("input"),
-        F.lit(None).cast("string").alias("target"),
+        "run_id", "module_key", F.lit("input").alias("part"), F.col("pos").cast("bigint").alias("position"),
+        _dataset(F.col("source_table")).cast(dataset).alias("dataset"),
     )
-    targets = first_wins(
-        relations.where(_filled("target_node") & _filled("module_key")).select("run_id", "module_key", "id", "target_node"),
-        ["run_id", "module_key", "target_node"],
-        ["id"],
-    ).select(
-        "run_id", "module_key", F.col("id").alias("at"),
-        F.lit(None).cast(inputs.schema["input"].dataType).alias("input"), F.col("target_node").alias("target"),
+    named = relations.where(_filled("target_node") & _filled("module_key"))
+    targets = named.groupBy("run_id", "module_key", "target_node").agg(F.min("id").alias("position")).select(
+        "run_id", "module_key", F.lit("target").alias("part"), F.col("position").cast("bigint"),
+        F.col("target_node").alias("target"),
     )
-    keys, both = ["run_id", "module_key"], inputs.unionByName(targets)
-    lists = ordered_lists(both, keys, "at", {"items": F.struct("input", "target")}, limit)
-    rows = with_lists(modules, lists, both, keys)
-    items = F.coalesce("items", F.array().cast(lists.schema["items"].dataType))
     event = F.struct(
         F.lit("COMPLETE").alias("eventType"),
         F.lit(at).alias("eventTime"),
         F.lit(PRODUCER).alias("producer"),
         F.struct(F.lit(namespace).alias("namespace"), F.col("module_key").alias("name")).alias("job"),
         F.struct(F.concat_ws("::", "run_id", "module_key").alias("runId")).alias("run"),
-        F.transform(F.filter(items, lambda i: i["input"].isNotNull()), lambda i: i["input"]).alias("inputs"),
         F.when(_filled("target_table"), F.array(_dataset(F.col("target_table"))))
         .otherwise(F.array().cast("array<struct<namespace:string,name:string>>"))
         .alias("outputs"),
@@ -107,20 +106,22 @@ def lineage_events(
                 F.lit(SPEC + "SQLJobFacet.json").alias("_schemaURL"),
                 F.coalesce("resolved_sql", F.lit("")).alias("query"),
             ).alias("sql"),
-            F.struct(
-                "module_name",
-                "sql_file_name",
-                F.transform(F.filter(items, lambda i: i["target"].isNotNull()), lambda i: i["target"]).alias(
-                    "relation_targets"
-                ),
-            ).alias("module"),
+            F.struct("module_name", "sql_file_name").alias("module"),
         ).alias("facets"),
     )
-    return rows.select("run_id", "module_key", F.coalesce("part_no", F.lit(0).cast("bigint")).alias("part_no"), event.alias("event"))
+    heads = modules.select(
+        "run_id", "module_key", F.lit("event").alias("part"), F.lit(0).cast("bigint").alias("position"), event.alias("event")
+    )
+    return heads.unionByName(inputs, allowMissingColumns=True).unionByName(targets, allowMissingColumns=True)
 
 
 def event_json(events: DataFrame) -> DataFrame:
-    return events.withColumn("event", F.to_json("event", {"ignoreNullFields": "false"}))
+    """Rows with the event, dataset or target of each as text."""
+    options = {"ignoreNullFields": "false"}
+    body = F.when(F.col("part") == "event", F.to_json("event", options)).when(
+        F.col("part") == "input", F.to_json("dataset", options)
+    )
+    return events.select("run_id", "module_key", "part", "position", body.otherwise(F.col("target")).alias("body"))
 
 
 def product_keys(runs: DataFrame) -> DataFrame:
@@ -138,7 +139,7 @@ def product_keys(runs: DataFrame) -> DataFrame:
 
 
 def enriched_events(events: DataFrame, keys: DataFrame) -> DataFrame:
-    """Events with product, port and contract facets on the run and on every dataset."""
+    """Events (long form) with product, port and contract facets on the run and on every dataset."""
     rows = events.join(keys, "run_id")
     product, port, contract = F.col("product_id"), F.col("port_id"), F.col("contract_id")
     link = F.concat(F.lit("/dataproducts/"), product)
@@ -155,9 +156,9 @@ def enriched_events(events: DataFrame, keys: DataFrame) -> DataFrame:
         F.concat(F.lit("/datacontracts/"), contract).alias("dataContractHref"),
     )
 
-    def with_facet(datasets: str) -> Column:
-        return F.transform(
-            datasets, lambda d: F.struct(d["namespace"].alias("namespace"), d["name"].alias("name"), F.struct(facet.alias("catalog")).alias("facets"))
+    def with_facet(d: Column) -> Column:
+        return F.struct(
+            d["namespace"].alias("namespace"), d["name"].alias("name"), F.struct(facet.alias("catalog")).alias("facets")
         )
 
     run_facet = F.struct(
@@ -169,41 +170,53 @@ def enriched_events(events: DataFrame, keys: DataFrame) -> DataFrame:
         "event.producer",
         "event.job",
         F.struct(F.col("event.run.runId").alias("runId"), F.struct(run_facet.alias("catalog")).alias("facets")).alias("run"),
-        with_facet("event.inputs").alias("inputs"),
-        with_facet("event.outputs").alias("outputs"),
+        F.transform("event.outputs", with_facet).alias("outputs"),
         "event.facets",
     )
-    return rows.select("run_id", "module_key", "part_no", event.alias("event"))
+    return rows.select(
+        "run_id", "module_key", "part", "position",
+        F.when(F.col("part") == "event", event).alias("event"),
+        F.when(F.col("part") == "input", with_facet(F.col("dataset"))).alias("dataset"),
+        "target",
+    )
 
 
 def product_summary(runs: DataFrame, contracts: DataFrame, sources: DataFrame, transformations: DataFrame) -> DataFrame:
-    """Name, domain, status, description and counts of every run, with its distinct sources sorted.
+    """Name, domain, status, description, tags, schema and counts of every run.
 
-    ``contracts`` has one row per run with the contract's own values, where it has one.
-    Source lists over the bound are cut into parts, one row each.
+    ``contracts`` has one row per run with the contract's own values, where it has one. The sources themselves are rows
+    of :func:`product_sources`.
     """
-    counted = sources.groupBy("run_id").agg(F.count("*").alias("source_count"))
-    fields = transformations.groupBy("run_id").agg(F.count("*").alias("_fields"))
-    named = sources.where(_filled("source_table"))
-    names = sorted_sets(named, ["run_id"], "source_table")
-    rows = (
-        runs.join(contracts, "run_id", "left").join(counted, "run_id", "left").join(fields, "run_id", "left")
+    counted = sources.groupBy("run_id").agg(
+        F.count("*").alias("source_count"), F.count_distinct(F.nullif("source_table", F.lit(""))).alias("named_count")
     )
+    fields = transformations.groupBy("run_id").agg(F.count("*").alias("_fields"))
+    leaf = leaf_name(F.col("target_table"))
+    tags = F.array_compact(F.array(F.nullif("domain", F.lit(""))))
+    zero = F.lit(0)
     return (
-        with_lists(rows, names, named, ["run_id"])
+        runs.join(contracts, "run_id", "left").join(counted, "run_id", "left").join(fields, "run_id", "left")
         .select(
             "run_id",
-            F.coalesce("part_no", F.lit(0).cast("bigint")).alias("part_no"),
             F.coalesce("contract_product", "product_name", "target_table").alias("name"),
             "target_table",
+            leaf.alias("schema_name"),
+            F.col("target_table").alias("schema_physical_name"),
             "domain",
+            tags.alias("tags"),
+            port_type(F.coalesce("target_table", F.lit("")), F.lit(None).cast("string"), tags).alias("port_type"),
             product_status(F.coalesce("contract_status", "status")).alias("status"),
             merged_description(F.col("purpose"), F.col("usage"), F.col("limitations")).alias("description"),
-            F.coalesce("contract_fields", "_fields", F.lit(0)).cast("bigint").alias("field_count"),
-            F.coalesce("source_count", F.lit(0)).cast("bigint").alias("source_count"),
-            F.coalesce("source_table", F.array().cast("array<string>")).alias("sources"),
+            F.coalesce("contract_fields", "_fields", zero).cast("bigint").alias("field_count"),
+            F.coalesce("source_count", zero).cast("bigint").alias("source_count"),
+            F.coalesce("named_count", zero).cast("bigint").alias("distinct_source_count"),
         )
-    )
+    )
+
+
+def product_sources(sources: DataFrame) -> DataFrame:
+    """Distinct sources of every run, one row each; their order is the names' own."""
+    return sources.where(_filled("source_table")).select("run_id", "source_table").distinct()
 
 
 def import_plan(

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.naming import ascii_slug, business_name, inferred_type, leaf_name
-from ledgerloom.operators.lists import ordered_lists
 
 TABLE_FIELD = ["table_name", "field_name"]
 
@@ -110,11 +109,11 @@ def contract_fields(
     )
 
 
-def contract_documents(fields: DataFrame, products: DataFrame, limit: int = 1000) -> DataFrame:
-    """One contract document per table as JSON, empty parts left out.
+def contract_documents(fields: DataFrame, products: DataFrame) -> DataFrame:
+    """Contracts in long form as JSON, empty parts left out: one "contract" row per table, one "property" row per field.
 
-    ``products`` has table_name, product, domain, purpose, frequency, granularity and created.
-    Tables with more than ``limit`` fields give numbered parts that repeat the head.
+    ``products`` has table_name, product, domain, purpose, frequency, granularity and created. ``position`` orders the
+    properties of a table; contract rows have 0 and the number of fields. Tables without fields have no contract.
     """
     col = F.col
     field = F.struct(
@@ -129,7 +128,7 @@ def contract_documents(fields: DataFrame, products: DataFrame, limit: int = 1000
         F.when(col("partitioned"), 1).alias("partitionKeyPosition"),
         F.when(col("example").isNotNull(), F.array("example")).alias("examples"),
     )
-    lists = ordered_lists(fields, ["table_name"], "position", {"properties": field}, limit)
+    counted = fields.groupBy("table_name").agg(F.count("*").alias("field_count"))
     table = col("table_name")
     schema = F.struct(
         leaf_name(table).alias("name"),
@@ -142,7 +141,6 @@ def contract_documents(fields: DataFrame, products: DataFrame, limit: int = 1000
         F.coalesce(
             _filled(col("granularity")), F.concat(F.lit("Una fila por registro publicado en "), table, F.lit("."))
         ).alias("dataGranularityDescription"),
-        F.when(F.size("properties") > 0, col("properties")).alias("properties"),
     )
     tags = F.filter(
         F.array("domain", "frequency"), lambda tag: F.coalesce(tag, F.lit("")) != ""
@@ -167,7 +165,12 @@ def contract_documents(fields: DataFrame, products: DataFrame, limit: int = 1000
         F.array(schema).alias("schema"),
         col("created").alias("contractCreatedTs"),
     )
-    return (
-        lists.join(products, "table_name")
-        .select("table_name", "part_no", F.size("properties").alias("field_count"), F.to_json(document).alias("contract"))
-    )
+    heads = counted.join(products, "table_name").select(
+        "table_name", F.lit("contract").alias("part"), F.lit(0).cast("bigint").alias("position"), "field_count",
+        F.to_json(document).alias("body"),
+    )
+    rows = fields.join(products.select("table_name"), "table_name", "left_semi").select(
+        "table_name", F.lit("property").alias("part"), col("position").cast("bigint").alias("position"),
+        F.lit(None).cast("bigint").alias("field_count"), F.to_json(field).alias("body"),
+    )
+    return heads.unionByName(rows)

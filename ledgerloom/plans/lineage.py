@@ -16,7 +16,6 @@ from ledgerloom.functions.naming import (
     transformation_class,
 )
 from ledgerloom.operators.graph import levels, upstream
-from ledgerloom.operators.lists import sorted_sets, with_lists
 from ledgerloom.operators.rows import numbered
 
 MODULE = ["run_id", "module_key"]
@@ -31,16 +30,16 @@ def flow_edges(modules: DataFrame, sources: DataFrame, joins: DataFrame, field_s
     its own edges, so sources are read once.
     """
     start = sources.groupBy(*MODULE).agg(F.min("pos").alias("_start"))
+    about = modules.select(*MODULE, "target_table", F.lower("resolved_sql").contains("union all").alias("_unites"))
     target, label = F.col("target_table"), F.col("_label")
-    unites = F.lower("resolved_sql").contains("union all")
-    types = joins.select(
-        *MODULE, F.lower("source_alias").alias("_alias"), F.upper("join_type").alias("_join")
-    ).dropDuplicates([*MODULE, "_alias"])
+    # The last join of an alias tells its type.
+    types = joins.groupBy(*MODULE, F.lower("source_alias").alias("_alias")).agg(
+        F.max_by(F.upper("join_type"), "pos").alias("_join")
+    )
     placed = (
-        sources.withColumn("_alias", F.lower("source_alias"))
+        sources.join(about.join(start, MODULE), MODULE)
+        .withColumn("_alias", F.lower("source_alias"))
         .join(types, [*MODULE, "_alias"], "left")
-        .join(start, MODULE)
-        .join(modules.select(*MODULE, "target_table", unites.alias("_unites")), MODULE)
         .withColumn("_tables", source_tables(F.col("source_table")))
         .withColumn("_first", F.col("pos") == F.col("_start"))
         .withColumn("_through", F.col("_first") & F.col("_unites") & (F.size("_tables") > 1))
@@ -80,14 +79,13 @@ def flow_edges(modules: DataFrame, sources: DataFrame, joins: DataFrame, field_s
         .select(*MODULE, F.inline(F.array(edge(F.col("_table"), target, F.lit("LINEAGE"), tables, never))))
         .withColumn("_rank", F.lit(1))
     )
-    # A node keeps its LINEAGE edge only when no source edge leaves it; few edges share a node.
+    # A node keeps its LINEAGE edge only when no source edge leaves it. Repeats go before the window: few edges share a
+    # node.
     per_node = Window.partitionBy(*MODULE, "source_node")
+    united = known.unionByName(lineage)
+    once = united.groupBy(*[c for c in united.columns if c != "_rank"]).agg(F.min("_rank").alias("_rank"))
     found = (
-        known.unionByName(lineage)
-        .distinct()
-        .withColumn("_known", F.min("_rank").over(per_node))
-        .where("_rank = 0 OR _known = 1")
-        .drop("_rank", "_known")
+        once.withColumn("_known", F.min("_rank").over(per_node)).where("_rank = 0 OR _known = 1").drop("_rank", "_known")
     )
     ends = {"source": F.col("source_node"), "target": F.col("target_node")}
     groups = [
@@ -101,11 +99,11 @@ def _table_of(field: Column) -> Column:
     return F.when(field.contains("."), before_leaf(field)).otherwise(field)
 
 
-def closure(latest: DataFrame, relations: DataFrame, max_depth: int = 64) -> DataFrame:
+def closure(latest: DataFrame, relations: DataFrame) -> DataFrame:
     """Every node upstream of each run's final table, with its least distance."""
     seeds = latest.select("run_id", F.col("final_table_name").alias("node"))
     edges = relations.join(latest.select("run_id"), "run_id", "left_semi")
-    reached = upstream(seeds, edges, ["run_id"], max_depth)
+    reached = upstream(seeds, edges, ["run_id"])
     return reached.join(latest.select("run_id", "final_table_name"), "run_id").select(
         "final_table_name", "run_id", "node", "depth"
     )
@@ -161,19 +159,15 @@ def expanded_sources(references: DataFrame, alias_columns: DataFrame, alias_tabl
 
 
 def contributions(sources: DataFrame, transformations: DataFrame) -> DataFrame:
-    """Fields each source alias feeds, sorted; a fixed text for aliases that feed none."""
-    fed = (
-        transformations.select(*MODULE, "field_name", F.explode(F.split("origin", " / ")).alias("source_alias"))
-        .where((F.col("source_alias") != "") & (F.col("source_alias") != fixed.EMPTY_MARK))
-    )
+    """Fields each source alias feeds, one row per field; a fixed text for aliases that feed none."""
     keys = [*MODULE, "source_alias"]
-    named = fed.where(F.col("field_name").isNotNull())
-    rows = with_lists(sources.select(*keys).distinct(), sorted_sets(named, keys, "field_name"), named, keys)
-    return rows.select(
-        *keys,
-        F.coalesce("part_no", F.lit(0).cast("bigint")).alias("part_no"),
-        F.coalesce("field_name", F.array(F.lit(fixed.NO_CONTRIBUTION))).alias("fields_generated"),
+    fed = transformations.where(F.col("field_name").isNotNull()).select(
+        *MODULE, "field_name", F.explode(F.split("origin", " / ")).alias("source_alias")
     )
+    fed = fed.where((F.col("source_alias") != "") & (F.col("source_alias") != fixed.EMPTY_MARK)).distinct()
+    listed = sources.select(*keys).distinct()
+    found = listed.join(fed, keys, "left")
+    return found.select(*keys, F.coalesce("field_name", F.lit(fixed.NO_CONTRIBUTION)).alias("field_generated"))
 
 
 def steps_of_sources(sources: DataFrame, facts: Mapping[str, tuple[DataFrame, Sequence[int]]]) -> DataFrame:
@@ -212,7 +206,11 @@ def traceability(fields: DataFrame, joins: DataFrame, filters: DataFrame) -> Dat
 
 def classified(fields: DataFrame) -> DataFrame:
     kind, subtype = transformation_class(
-        F.col("functions"), F.col("renamed_from"), F.col("field_name"), F.col("is_constant")
+        F.col("functions"),
+        F.col("renamed_from"),
+        F.col("field_name"),
+        F.col("is_constant"),
+        F.coalesce("has_aggregate", F.lit(False)),
     )
     return fields.select("run_id", "field_name", kind.alias("field_type"), subtype.alias("subtype"))
 

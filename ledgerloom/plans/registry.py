@@ -22,10 +22,18 @@ from ledgerloom.operators.rows import first_wins
 REGISTRY_KEYS = ["run_id", "target_table", "source_table"]
 
 
-def schema_catalog(raw: DataFrame, source_name: str) -> DataFrame:
-    """Typed schema rows from the columns esquema, descripcion and proposito; nameless rows drop out."""
+def schema_catalog(raw: DataFrame, source_name: str, order: str | None = None) -> DataFrame:
+    """Typed schema rows from the columns esquema, descripcion and proposito; nameless rows drop out.
+
+    One row per schema: the last by the column ``order``, or without one the largest by description and purpose.
+    """
     name = F.trim("esquema")
     kind = schema_type(F.col("proposito"))
+    last = [F.col(order).cast("bigint")] if order else []
+    last += [F.coalesce(c, F.lit("")) for c in ("proposito", "descripcion")]
+    raw = raw.groupBy(name.alias("esquema")).agg(
+        F.max_by(F.struct("descripcion", "proposito"), F.struct(*last)).alias("_row")
+    ).select("esquema", "_row.*")
     return raw.where(F.coalesce(name, F.lit("")) != "").select(
         name.alias("schema_name"),
         blank_to_null(F.col("descripcion")).alias("description"),
@@ -70,14 +78,16 @@ def clean_sources(assets: DataFrame, relations: DataFrame, controlled: DataFrame
 def build_registry(sources: DataFrame, targets: DataFrame, schemas: DataFrame) -> DataFrame:
     """Registry rows of cleaned sources; temporary schemas are left out of the catalogue.
 
-    The schema catalogue has one row per schema and is joined on the name before the first dot.
+    The schema catalogue has one row per schema and is joined on the name before the first dot. Sources of runs without
+    a target stay, with an empty one.
     """
     source_schema, source_object = split_first_dot(F.col("source_table"))
     target_schema, target_object = split_first_dot(F.col("target_table"))
     kinds = schemas.select(F.col("schema_name").alias("source_schema"), F.col("schema_type").alias("_kind"))
     rows = (
         sources.select("run_id", F.trim("qualified_name").alias("source_table"), "source_kind")
-        .join(targets.select("run_id", "target_table"), "run_id")
+        .join(targets.select("run_id", "target_table"), "run_id", "left")
+        .withColumn("target_table", F.coalesce("target_table", F.lit("")))
         .withColumn("source_schema", source_schema)
         .join(kinds, "source_schema", "left")
     )

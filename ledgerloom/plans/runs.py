@@ -10,23 +10,16 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import fixed_values as fixed
 from ledgerloom.functions.columns import newest
 from ledgerloom.functions.naming import contract_file_name
-from ledgerloom.operators.lists import ordered_lists
 from ledgerloom.operators.merge import insert_missing, patch, with_default
-from ledgerloom.operators.rows import best_by, previous
+from ledgerloom.operators.rows import best_by, previous, with_groups
 
-# Listings look at this many newest runs before they search.
-SCAN_CAP = 500
 STATS = "sources bigint, transformations bigint"
 STORED = "datacontract_yaml string"
 
 
-def _newest_runs(runs: DataFrame, cap: int) -> DataFrame:
-    return runs.orderBy(newest("created_at"), newest("run_id")).limit(cap)
-
-
-def _rows_of(df: DataFrame, listed: DataFrame) -> DataFrame:
-    """Rows of a large table for the few listed runs; the short list is broadcast by its size."""
-    return df.join(listed.select("run_id"), "run_id", "left_semi")
+def _newest_runs(runs: DataFrame, most: int | None) -> DataFrame:
+    """All runs, or only the newest if a caller asks for so many."""
+    return runs if most is None else runs.orderBy(newest("created_at"), newest("run_id")).limit(most)
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
@@ -60,17 +53,23 @@ def _matches(search: str, columns: Sequence[Column]) -> Column:
 
 
 def run_list(
-    runs: DataFrame, control: DataFrame, now: Column, search: str = "", limit: int = 100, scan: int = SCAN_CAP
+    runs: DataFrame,
+    control: DataFrame,
+    now: Column,
+    search: str = "",
+    limit: int | None = None,
+    scan: int | None = None,
 ) -> DataFrame:
-    """Newest runs with their control row (or its default) and counts from the stats document.
+    """Runs with their control row (or its default) and counts from the stats document.
 
-    The scan cap comes before the search, the result limit after it.
+    All runs are listed and searched. A caller may ask for the newest ``limit`` of those found, or to search only the
+    newest ``scan``.
     """
     fields = ["last_operation_at", "last_imported_at"]
     newest_runs = _newest_runs(runs, scan)
     listed = with_default(
         newest_runs,
-        _rows_of(control, newest_runs).select("run_id", *control_defaults(now), *fields),
+        control.select("run_id", *control_defaults(now), *fields),
         ["run_id"],
         control_defaults(now),
     )
@@ -165,11 +164,13 @@ def _file_name(path: Column, table: Column) -> Column:
 
 
 def latest_contracts(
-    runs: DataFrame, analysis: DataFrame, search: str = "", limit: int = 100, scan: int = SCAN_CAP
+    runs: DataFrame, analysis: DataFrame, search: str = "", limit: int | None = None, scan: int | None = None
 ) -> DataFrame:
-    """Newest contract per table: newest runs, those with a contract, those found, first per table, limit."""
-    newest_runs = _newest_runs(runs, scan)
-    listed = newest_runs.join(_rows_of(analysis, newest_runs).select("run_id", "odcs_yaml"), "run_id", "left")
+    """Newest contract per table: runs with a contract, those found, the first per table.
+
+    As in :func:`run_list`, ``scan`` and ``limit`` bound the runs looked at and returned only where a caller asks for it.
+    """
+    listed = _newest_runs(runs, scan).join(analysis.select("run_id", "odcs_yaml"), "run_id", "left")
     path = F.from_json("storage_objects", STORED)["datacontract_yaml"]
     has_path, has_text = F.coalesce(path, F.lit("")) != "", F.coalesce("odcs_yaml", F.lit("")) != ""
     rows = listed.select(
@@ -189,7 +190,8 @@ def latest_contracts(
     first = best_by(
         rows.withColumn("_table", F.lower("table_name")), ["_table"], [newest("updated_at"), newest("run_id")]
     )
-    return first.orderBy(newest("updated_at"), newest("run_id")).limit(limit).drop("_table", "_has_contract")
+    kept = first if limit is None else first.orderBy(newest("updated_at"), newest("run_id")).limit(limit)
+    return kept.drop("_table", "_has_contract")
 
 
 def contract_versions(runs: DataFrame, analysis: DataFrame, stored: DataFrame) -> DataFrame:
@@ -223,7 +225,7 @@ def contract_changes(versions: DataFrame) -> DataFrame:
     )
     compared = previous(hashed, ["table_name"], "created_at", "contract_hash", "_before")
     latest = hashed.groupBy("table_name").agg(F.max("created_at").alias("_latest"))
-    return compared.join(latest, "table_name").select(
+    return with_groups(compared, latest, ["table_name"]).select(
         "run_id",
         "table_name",
         "created_at",
@@ -236,10 +238,10 @@ def contract_changes(versions: DataFrame) -> DataFrame:
     )
 
 
-def run_sections(sections: Mapping[str, DataFrame], limit: int = 1000) -> DataFrame:
-    """Detail rows of every run as JSON lists, one row per run, section and part.
+def run_sections(sections: Mapping[str, DataFrame]) -> DataFrame:
+    """Detail rows of every run as JSON, one row each, named by section and ``id`` within it.
 
-    Each section has run_id and an integer ``id``; lists keep id order.
+    Each section has run_id and an integer ``id``, whose order is the order of the section's rows.
     """
     united = None
     for name, df in sections.items():
@@ -251,12 +253,4 @@ def run_sections(sections: Mapping[str, DataFrame], limit: int = 1000) -> DataFr
             F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("row_json"),
         )
         united = rows if united is None else united.unionByName(rows)
-    lists = ordered_lists(united, ["run_id", "section"], "id", {"rows": F.col("row_json")}, limit)
-    return lists.select(
-        "run_id",
-        "section",
-        "part_no",
-        F.size("rows").alias("row_count"),
-        F.concat(F.lit("["), F.array_join("rows", ","), F.lit("]")).alias("rows_json"),
-    )
-
+    return united

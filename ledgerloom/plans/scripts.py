@@ -16,7 +16,9 @@ HEADER = r"^\s*--\|\s*@([A-Z_]+):?\s*(.*)$"
 HEADER_NEXT = r"^\s*--\|\s*#\s*(.*)$"
 INSERT = r"(?i)insert\s+overwrite\s+table\s+([^\s(;/]+)"
 CREATE_SELECT = r"(?is)create\s+table\s+([^\s(;/]+).*?\bas\s+select\b"
-CREATE_QUERY = r"(?is)create\s+table\s+([^\s(;/]+).*?\bas\s+(?:with|select)\b"
+# Publishing statements are wider than outputs: every spelling of INSERT and of CREATE TABLE AS.
+PUBLISH_INSERT = r"(?i)\binsert\s+(?:overwrite|into)\s+(?:table\s+)?([^\s(;/]+)"
+PUBLISH_CREATE = r"(?is)\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?([^\s(;/]+).*?\bas\s+(?:with|select)\b"
 STATS = r"(?i)^\s*compute\s+stats\s+([^\s;]+)"
 TARGET = r"(?iU)\b(?:insert\s+overwrite\s+table|insert\s+into|create\s+table(?:\s+if\s+not\s+exists)?)\s+([a-zA-Z0-9_$.]+)"
 SOURCE = r"(?iU)\b(?:from|join)\s+([a-zA-Z0-9_$.]+)"
@@ -111,14 +113,14 @@ def headers(scripts: DataFrame) -> DataFrame:
     return entries.groupBy("path", "key").agg(F.max_by("value", "at").alias("value"))
 
 
-def _output(statement: Column, create: str) -> Column:
-    inserted = F.regexp_extract(statement, INSERT, 1)
+def _output(statement: Column, insert: str, create: str) -> Column:
+    inserted = F.regexp_extract(statement, insert, 1)
     return F.when(inserted != "", inserted).otherwise(F.regexp_extract(statement, create, 1))
 
 
 def output_tables(text: Column) -> Column:
     """Distinct published tables of a script, in order."""
-    found = F.transform(statements(text), lambda statement: _output(statement, CREATE_SELECT))
+    found = F.transform(statements(text), lambda statement: _output(statement, INSERT, CREATE_SELECT))
     return F.array_distinct(F.filter(found, lambda table: table != ""))
 
 
@@ -163,10 +165,10 @@ def publications(scripts: DataFrame) -> DataFrame:
         F.transform(
             F.filter(parts, lambda s: F.regexp_extract(s, STATS, 1) == ""),
             lambda s: F.struct(
-                F.when(F.regexp_extract(s, INSERT, 1) != "", "insert_overwrite")
+                F.when(F.regexp_extract(s, PUBLISH_INSERT, 1) != "", "insert_overwrite")
                 .otherwise("create_table_as_select")
                 .alias("statement_type"),
-                _output(s, CREATE_QUERY).alias("target_table"),
+                _output(s, PUBLISH_INSERT, PUBLISH_CREATE).alias("target_table"),
             ),
         ),
         lambda p: p["target_table"] != "",

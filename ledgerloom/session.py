@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,7 +47,7 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "ledgerloom"
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a local session that names none gets a folder of its own.
+    Only a session whose executors are threads of the driver may name none; it gets a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -53,16 +56,36 @@ def shared_dir(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     folder = tempfile.mkdtemp(prefix="ledgerloom-")
     context.setCheckpointDir(folder)
     return folder
 
 
+_RUN_FOLDERS: list[str] = []
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Put all intermediate tables of a job into one folder, and remove that folder when the job has ended.
+
+    Results that are read after the block must have been written elsewhere.
+    """
+    folder = os.path.join(shared_dir(spark), "ledgerloom", uuid.uuid4().hex)
+    _RUN_FOLDERS.append(folder)
+    try:
+        yield folder
+    finally:
+        _RUN_FOLDERS.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return os.path.join(shared_dir(spark), "ledgerloom", uuid.uuid4().hex, name)
+    run = _RUN_FOLDERS[-1] if _RUN_FOLDERS else os.path.join(shared_dir(spark), "ledgerloom")
+    return os.path.join(run, uuid.uuid4().hex, name)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

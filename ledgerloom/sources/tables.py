@@ -10,24 +10,6 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.naming import tabular_type
 
 
-# Least input worth a task of its own when a table comes in fewer splits than there are cores.
-SPLIT_BYTES = 256 * 1024
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, spread over the cores when its files hold too few splits.
-
-    Only tables smaller than a few splits per core are affected. Column pruning and filters
-    still reach the scan, since both pass through the repartitioning.
-    """
-    df = spark.read.parquet(path)
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = min(spark.sparkContext.defaultParallelism, size // SPLIT_BYTES)
-    if wanted > 1 and df._jdf.queryExecution().toRdd().getNumPartitions() < wanted:
-        return df.repartition(wanted)
-    return df
-
-
 def analyze(spark: SparkSession, table: str, columns: bool = False) -> None:
     """Gather table statistics (and column statistics on request) for the optimizer."""
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS" + (" FOR ALL COLUMNS" if columns else ""))
@@ -57,11 +39,11 @@ def publish_ctas(df: DataFrame, table: str, path: str | None = None) -> None:
 def publish_partitions(df: DataFrame, table: str, by: Sequence[str], path: str | None = None) -> None:
     """Replace only the partitions present in ``df``; the table is created on first use.
 
-    Rows are not gathered by partition value before the write: a partition holding a third
-    of the data is written by all tasks that hold some of it.
+    Rows are rebalanced by partition value before the write: small values share files, and a
+    value that holds a third of the data is split over several tasks.
     """
     spark = df.sparkSession
-    ordered = df.select(*[c for c in df.columns if c not in by], *by)
+    ordered = df.select(*[c for c in df.columns if c not in by], *by).hint("rebalance", *by)
     if spark.catalog.tableExists(table):
         setting = "spark.sql.sources.partitionOverwriteMode"
         before = spark.conf.get(setting)
@@ -82,36 +64,28 @@ def write_report(df: DataFrame, parameter: str, path: str) -> None:
     df.write.mode("overwrite").partitionBy(parameter).option("header", True).csv(path)
 
 
-def column_profile(df: DataFrame, order: Sequence[str], sample: int = 5) -> DataFrame:
-    """One row per column: type, whether required, first non-null of the first rows, and null count.
+def column_profile(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """One row per column: type, whether required, first non-null value by ``order``, row and null counts.
 
-    The sample is a top-k by ``order``; the null counts come from one aggregate over the table.
+    All come from one aggregate over the table.
     """
     named = [(field.name, field.dataType.simpleString().upper(), not field.nullable) for field in df.schema]
-    head = df.orderBy(*order).limit(sample).agg(
-        *[
-            F.min_by(F.col(name).cast("string"), F.when(F.col(name).isNotNull(), F.struct(*order))).alias(name)
-            for name, _, _ in named
-        ]
-    )
-    counts = df.agg(F.count("*").alias("_rows"), *[F.count(name).alias(name) for name, _, _ in named])
-    examples = [
+    firsts = [
+        F.min_by(F.col(name).cast("string"), F.when(F.col(name).isNotNull(), F.struct(*order))) for name, _, _ in named
+    ]
+    filled = [F.count(name) for name, _, _ in named]
+    counts = df.agg(F.count("*").alias("_rows"), F.array(*firsts).alias("_first"), F.array(*filled).alias("_filled"))
+    profiles = [
         F.struct(
             F.lit(index).alias("position"),
             F.lit(name).alias("field_name"),
             F.lit(kind).alias("physical_type"),
             tabular_type(F.lit(kind)).alias("logical_type"),
             F.lit(required).alias("required"),
-            F.col(name).alias("example"),
-        )
-        for index, (name, kind, required) in enumerate(named, start=1)
-    ]
-    filled = [
-        F.struct(
-            F.lit(name).alias("field_name"),
+            F.col("_first")[index - 1].alias("example"),
             F.col("_rows").alias("row_count"),
-            (F.col("_rows") - F.col(name)).alias("null_count"),
+            (F.col("_rows") - F.col("_filled")[index - 1]).alias("null_count"),
         )
-        for name, _, _ in named
+        for index, (name, kind, required) in enumerate(named, start=1)
     ]
-    return head.select(F.inline(F.array(*examples))).join(counts.select(F.inline(F.array(*filled))), "field_name")
+    return counts.select(F.inline(F.array(*profiles)))

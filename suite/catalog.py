@@ -57,10 +57,10 @@ SELECT r.run_id, r.created_at, r.product_name, r.sql_file_name, r.final_table_na
        coalesce(array_to_string(c.complementary_actions, '; '), '') AS complementary_actions,
        coalesce(c.notes, '') AS notes, coalesce(c.last_import_status, 'idle') AS last_import_status,
        coalesce(c.last_import_result, '{{}}') AS last_import_result, c.last_operation_at, c.last_imported_at
-FROM (SELECT * FROM {app_runs} ORDER BY created_at DESC LIMIT 500) r LEFT JOIN {run_control} c ON c.run_id = r.run_id"""
+FROM {app_runs} r LEFT JOIN {run_control} c ON c.run_id = r.run_id"""
 
 
-@query("run_control_list", "SELECT * FROM {listed} ORDER BY created_at DESC LIMIT 100")
+@query("run_control_list", "SELECT * FROM {listed}")
 def run_control_list(lab: Lab) -> DataFrame:
     return _shown(runs.run_list(lab["app_runs"], lab["run_control"], PARAMS.now))
 
@@ -70,8 +70,7 @@ def run_control_list(lab: Lab) -> DataFrame:
     """
 SELECT * FROM {listed}
 WHERE contains(lower(run_id || ' ' || product_name || ' ' || sql_file_name || ' ' || coalesce(target_table, '') || ' ' || notes),
-               'nota purchase')
-ORDER BY created_at DESC LIMIT 100""",
+               'nota purchase')""",
 )
 def run_search(lab: Lab) -> DataFrame:
     return _shown(runs.run_list(lab["app_runs"], lab["run_control"], PARAMS.now, search="  Nota PURCHASE "))
@@ -164,11 +163,10 @@ FILE_NAME = (
     f"""
 SELECT run_id, table_name, product_name, sql_file_name, updated_at, {FILE_NAME} AS file_name, storage_path,
        coalesce(odcs_yaml, '') <> '' AS has_inline_yaml
-FROM (SELECT * FROM {{contract_rows}} ORDER BY updated_at DESC LIMIT 500)
+FROM {{contract_rows}}
 WHERE table_name <> '' AND (storage_path IS NOT NULL OR coalesce(odcs_yaml, '') <> '')
   AND contains(lower(concat_ws(' ', table_name, product_name, sql_file_name, storage_path)), 'cd_t1')
-QUALIFY row_number() OVER (PARTITION BY lower(table_name) ORDER BY updated_at DESC) = 1
-ORDER BY updated_at DESC LIMIT 100""",
+QUALIFY row_number() OVER (PARTITION BY lower(table_name) ORDER BY updated_at DESC, run_id DESC) = 1""",
 )
 def contracts_latest(lab: Lab) -> DataFrame:
     return runs.latest_contracts(lab["app_runs"], lab["run_analysis"], search="CD_T1")
@@ -186,8 +184,9 @@ def contract_version(lab: Lab) -> DataFrame:
 
 
 CHECKS["versions"] = """
-SELECT run_id, final_table_name AS table_name, created_at, status || sql_file_name AS contract_json
-FROM {app_runs} WHERE final_table_name IS NOT NULL"""
+SELECT c.run_id, nullif(c.table_name, '') AS table_name, c.updated_at AS created_at,
+       coalesce(nullif(c.odcs_yaml, ''), s.text, '') AS contract_json
+FROM {contract_rows} c LEFT JOIN {stored_objects} s ON s.path = c.storage_path"""
 
 
 @query(
@@ -201,45 +200,72 @@ FROM (SELECT *, lag(h) OVER w AS before, lead(run_id) OVER w AS after
       WINDOW w AS (PARTITION BY table_name ORDER BY created_at))""",
 )
 def contract_changes(lab: Lab) -> DataFrame:
-    versions = lab["app_runs"].where(F.col("final_table_name").isNotNull())
+    versions = runs.contract_versions(lab["app_runs"], lab["run_analysis"], lab["stored_objects"])
     return runs.contract_changes(
         versions.select(
             "run_id",
-            F.col("final_table_name").alias("table_name"),
-            "created_at",
-            F.concat("status", "sql_file_name").alias("contract_json"),
+            F.nullif("table_name", F.lit("")).alias("table_name"),
+            F.col("updated_at").alias("created_at"),
+            F.col("yaml_text").alias("contract_json"),
         )
     )
 
 
-@query(
-    "run_bundle",
-    """
-SELECT run_id, section, part_no, CAST(count(*) AS INT) AS row_count,
-       '[' || string_agg(j, ',' ORDER BY id) || ']' AS rows_json
-FROM (SELECT *, (row_number() OVER (PARTITION BY run_id, section ORDER BY id) - 1) // 1000 AS part_no FROM (
-  SELECT run_id, 'run_sources' AS section, pos AS id,
-         to_json(struct_pack(id := pos, source_alias := source_alias, source_table := source_table,
-                             source_kind := source_kind)) AS j FROM {run_module_sources}
-  UNION ALL
-  SELECT run_id, 'run_pipeline_relations', id,
-         to_json(struct_pack(id := id, source_node := source_node, target_node := target_node,
-                             relation_label := relation_label)) FROM {run_relations}
-  UNION ALL
-  SELECT run_id, 'run_workspace_files', pos,
-         to_json(struct_pack(id := pos, relative_path := relative_path, size_bytes := size_bytes)) FROM {run_files}))
-GROUP BY run_id, section, part_no""",
-)
+# Section, its table, the column that orders its rows, and its own columns.
+SECTIONS = [
+    ("app_run", "app_runs", "0", ["product_name", "sql_file_name", "final_table_name", "target_table", "status"]),
+    ("run_analysis", "run_analysis", "0", ["odcs_yaml"]),
+    ("run_audit_findings", "numbered_findings", "id", ["severity", "message"]),
+    ("run_sources", "run_module_sources", "pos", ["source_alias", "source_table", "source_kind"]),
+    ("run_transformations", "run_transformations", "pos", ["field_name", "origin"]),
+    ("run_modules", "run_modules", "module_key", ["module_name", "sql_file_name", "target_table"]),
+    ("run_module_sources", "run_module_sources", "pos", ["module_key", "source_alias", "source_table"]),
+    ("run_module_transformations", "run_transformations", "pos", ["module_key", "field_name", "origin"]),
+    ("run_pipeline_relations", "run_relations", "id", ["source_node", "target_node", "relation_label"]),
+    ("run_workspace_files", "run_files", "pos", ["relative_path", "size_bytes"]),
+]
+MODULE_NUMBER = "CAST(substr(module_key, 6) AS BIGINT)"
+
+CHECKS["numbered_findings"] = """
+SELECT run_id, CASE severity WHEN 'error' THEN 1 ELSE 2 END AS id, severity, message FROM {run_findings}"""
+
+
+def _bundle_sql() -> str:
+    parts = []
+    for name, table, order, columns in SECTIONS:
+        place = MODULE_NUMBER if order == "module_key" else order
+        packed = ", ".join(["id := id_", *[f"{c} := {c}" for c in columns]])
+        parts.append(
+            f"SELECT run_id, '{name}' AS section, id_ AS id, CAST(to_json(struct_pack({packed})) AS VARCHAR) AS row_json "
+            f"FROM (SELECT *, CAST({place} AS BIGINT) AS id_ FROM {{{table}}})"
+        )
+    parts.append(
+        "SELECT run_id, 'run_audit_summary', 0, CAST(to_json(struct_pack(id := CAST(0 AS BIGINT), error_count := "
+        "count(*) FILTER (severity = 'error'), warning_count := count(*) FILTER (severity = 'warning'))) AS VARCHAR) "
+        "FROM {run_findings} GROUP BY run_id"
+    )
+    parts.append(
+        "SELECT c.run_id, 'datacontract_version', 0, CAST(to_json(struct_pack(id := CAST(0 AS BIGINT), "
+        "table_name := c.table_name, yaml_text := coalesce(nullif(c.odcs_yaml, ''), s.text, ''))) AS VARCHAR) "
+        "FROM {contract_rows} c LEFT JOIN {stored_objects} s ON s.path = c.storage_path"
+    )
+    return " UNION ALL ".join(parts)
+
+
+@query("run_bundle", _bundle_sql())
 def run_bundle(lab: Lab) -> DataFrame:
-    position = F.col("pos").alias("id")
-    return runs.run_sections(
-        {
-            "run_sources": lab["run_module_sources"].select(
-                "run_id", position, "source_alias", "source_table", "source_kind"
-            ),
-            "run_pipeline_relations": lab["run_relations"].select(
-                "run_id", "id", "source_node", "target_node", "relation_label"
-            ),
-            "run_workspace_files": lab["run_files"].select("run_id", position, "relative_path", "size_bytes"),
-        }
+    place = F.when(F.col("severity") == "error", 1).otherwise(2)
+    tables = {"numbered_findings": lab["run_findings"].withColumn("id", place)}
+    sections = {}
+    for name, table, order, columns in SECTIONS:
+        rows = tables[table] if table in tables else lab[table]
+        at = F.expr(MODULE_NUMBER if order == "module_key" else order).cast("bigint")
+        sections[name] = rows.select("run_id", at.alias("id"), *columns)
+    kinds = lab["run_findings"].groupBy("run_id").agg(
+        F.lit(0).cast("bigint").alias("id"),
+        F.count_if(F.col("severity") == "error").alias("error_count"),
+        F.count_if(F.col("severity") == "warning").alias("warning_count"),
     )
+    versions = runs.contract_versions(lab["app_runs"], lab["run_analysis"], lab["stored_objects"])
+    contract = versions.select("run_id", F.lit(0).cast("bigint").alias("id"), "table_name", "yaml_text")
+    return runs.run_sections(sections | {"run_audit_summary": kinds, "datacontract_version": contract})

@@ -105,9 +105,10 @@ SELECT run_id, module_key, pos, alias AS source_alias,
 FROM {lines}"""
 
 BINDINGS["run_joins"] = lambda d: """
-SELECT run_id, module_key, upper(alias) AS source_alias,
+SELECT run_id, module_key, pos, upper(alias) AS source_alias,
        CASE l_partkey % 2 WHEN 0 THEN 'left' ELSE 'Inner' END AS join_type
-FROM {lines} WHERE l_linenumber IN (2, 3, 5, 6)"""
+FROM {lines} WHERE l_linenumber IN (2, 3, 5, 6)
+UNION ALL SELECT run_id, module_key, pos + 1, alias, 'full' FROM {lines} WHERE l_linenumber IN (3, 6) AND l_partkey % 3 = 0"""
 
 BINDINGS["run_transformations"] = lambda d: f"""
 SELECT run_id, module_key, pos, 'campo_' || alias AS field_name,
@@ -144,8 +145,8 @@ SELECT {run_id('page_id')} AS run_id, page_id AS pos,
 FROM {{pages}}"""
 
 BINDINGS["schema_rows"] = lambda d: f"""
-SELECT CASE s_suppkey WHEN 0 THEN ' rd_baz_bdclientes' WHEN 1 THEN 'stg_carga' WHEN 2 THEN 'cd_baz_bdclientes '
-            WHEN 3 THEN 'cu_baz_bdclientes' WHEN 4 THEN ' '
+SELECT s_suppkey AS fila, CASE s_suppkey WHEN 0 THEN ' rd_baz_bdclientes' WHEN 1 THEN 'stg_carga' WHEN 2 THEN 'cd_baz_bdclientes '
+            WHEN 3 THEN 'cu_baz_bdclientes' WHEN 4 THEN ' ' WHEN 9 THEN 'stg_carga'
             ELSE CASE s_suppkey % 4 WHEN 0 THEN 'rd_' WHEN 1 THEN 'STG_' WHEN 2 THEN 'tmp_' ELSE 'x_' END ||
                  {text('s_suppkey')} || CASE WHEN s_suppkey % 9 = 0 THEN '_tmp' ELSE '' END END AS esquema,
        CASE WHEN s_suppkey % 3 = 0 THEN '  ' ELSE s_name END AS descripcion,
@@ -163,13 +164,13 @@ SELECT l.run_id, r.target_table, 'rd_baz_bdclientes.rd_p' || l.p AS source_table
          AS review_status,
        'manual' AS decision_source, r.created_at AS loaded_at
 FROM {{lines}} l JOIN {{app_runs}} r ON r.run_id = l.run_id
-WHERE l.l_linenumber <= 2 AND r.target_table IS NOT NULL
+WHERE r.target_table IS NOT NULL
 GROUP BY l.run_id, r.target_table, l.p, l.l_partkey, r.created_at"""
 
 BINDINGS["run_contracts"] = lambda d: f"""
 SELECT {run_id('event_id')} AS run_id, CASE WHEN value > 40 THEN 'Cuentas ' || {text('user_id')} END AS contract_product,
        CASE event_type WHEN 'view' THEN 'Proposed' WHEN 'click' THEN 'done' END AS contract_status,
-       'captacion' AS domain, CASE WHEN event_id % 2 = 0 THEN ' Para ' || event_type END AS purpose,
+       CASE WHEN event_id % 13 = 0 THEN 'Kafka' ELSE 'captacion' END AS domain, CASE WHEN event_id % 2 = 0 THEN ' Para ' || event_type END AS purpose,
        CASE WHEN event_id % 3 = 0 THEN 'Diario' ELSE '  ' END AS usage,
        CASE WHEN event_id % 5 = 0 THEN 'Sin historia' END AS limitations,
        CASE WHEN event_id % 4 = 0 THEN CAST(user_id AS INT) END AS contract_fields
@@ -197,7 +198,7 @@ SELECT run_id, module_key, pos, 'campo_' || alias AS field_name, l_partkey % 4 =
        l_partkey % 3 <> 0 AS has_source,
        CASE l_partkey % 7 WHEN 0 THEN {d.strings("'CAST'", "'TRIM'")} WHEN 1 THEN {d.strings("'COALESCE'")}
             WHEN 2 THEN {d.strings("'CASE'", "'SUM'", "'TRY_CAST'")} WHEN 3 THEN {d.strings("'CONCAT'")}
-            ELSE {d.no_strings} END AS functions,
+            ELSE {d.no_strings} END AS functions, l_partkey % 21 = 6 AS has_aggregate,
        CASE WHEN l_partkey % 7 = 4 THEN 'Campo_' || alias WHEN l_partkey % 7 = 5 THEN 'otro' END AS renamed_from,
        l_partkey % 14 IN (0, 6) AS is_constant
 FROM {{lines}}"""

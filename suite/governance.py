@@ -40,7 +40,7 @@ def _profile_sql() -> str:
         ("o_orderdate", "TIMESTAMP_NTZ", "timestamp", "CAST(o_orderdate AS STRING)"),
         ("o_orderpriority", "STRING", "string", "o_orderpriority"),
     ]
-    head = "(SELECT * FROM {{orders}} ORDER BY o_orderkey LIMIT 5)"
+    head = "{{orders}}"
     parts = [
         f"SELECT CAST({n} AS INT) AS position, '{name}' AS field_name, '{kind}' AS physical_type, '{logical}' AS logical_type, "
         f"FALSE AS required, (SELECT arg_min({shown}, o_orderkey) FROM {head} WHERE {name} IS NOT NULL) AS example, "
@@ -233,16 +233,15 @@ def contract_fields(lab: Lab) -> DataFrame:
 @query(
     "contract_doc",
     r"""
-WITH props AS (
-  SELECT table_name, count(*) AS n, string_agg(
+SELECT c.table_name, 'property' AS part, CAST(position AS BIGINT) AS position, CAST(NULL AS BIGINT) AS field_count,
     '{{"name":"' || field_name || '","logicalType":"' || logical_type || '"' ||
     coalesce(',"physicalType":"' || physical_type || '"', '') || ',"description":"' || description || '","required":' ||
     CAST(required AS STRING) || ',"businessName":"' || business_name || '","classification":"' || classification || '"' ||
     CASE WHEN partitioned THEN ',"partitioned":true,"partitionKeyPosition":1' ELSE '' END ||
-    coalesce(',"examples":["' || example || '"]', '') || '}}', ',' ORDER BY position) AS items, part_no
-  FROM (SELECT *, (row_number() OVER (PARTITION BY table_name ORDER BY position) - 1) // 1000 AS part_no
-        FROM {contract_rows_all}) GROUP BY table_name, part_no)
-SELECT p.table_name, part_no, CAST(n AS INT) AS field_count,
+    coalesce(',"examples":["' || example || '"]', '') || '}}' AS body
+FROM {contract_rows_all} c SEMI JOIN {contract_products} p ON p.table_name = c.table_name
+UNION ALL
+SELECT p.table_name, 'contract', 0, n,
   '{{"apiVersion":"v3.1.0","kind":"DataContract","id":"' || regexp_replace(lower(p.table_name), '[^a-z0-9]+', '-', 'g') ||
   '","name":"' || regexp_replace(lower(c.product), '[^a-z0-9]+', '-', 'g') || '","version":"0.1.0","status":"active"' ||
   CASE WHEN domain <> '' THEN ',"domain":"' || domain || '"' ELSE '' END || ',"dataProduct":"' || product ||
@@ -254,8 +253,9 @@ SELECT p.table_name, part_no, CAST(n AS INT) AS field_count,
   '","logicalType":"object","physicalType":"table","description":"' ||
   CASE WHEN purpose <> '' THEN purpose ELSE 'Modelo tabular publicado en ' || p.table_name || '.' END ||
   '","dataGranularityDescription":"' || coalesce(granularity, 'Una fila por registro publicado en ' || p.table_name || '.') ||
-  '","properties":[' || items || ']}}],"contractCreatedTs":"' || created || '"}}' AS contract
-FROM props p JOIN {contract_products} c ON c.table_name = p.table_name""",
+  '"}}],"contractCreatedTs":"' || created || '"}}' AS contract
+FROM (SELECT table_name, count(*) AS n FROM {contract_rows_all} GROUP BY table_name) p
+JOIN {contract_products} c ON c.table_name = p.table_name""",
 )
 def contract_doc(lab: Lab) -> DataFrame:
     return contracts.contract_documents(_contract_fields(lab), lab["contract_products"])
@@ -330,11 +330,9 @@ FROM (SELECT *, CASE document_kind WHEN 'step' THEN {sql_titles(fixed.STEP_SECTI
                 ELSE {sql_titles(fixed.STRUCTURAL_SECTIONS)} END AS need FROM {{audit_documents}})"""
 
 CHECKS["section_rows"] = """
-SELECT doc_id, 'error' AS severity, 'Faltan secciones obligatorias: ' || array_to_string(missing, ', ') AS message
-FROM {sections} WHERE len(missing) > 0
+SELECT doc_id, 'error' AS severity, 'Faltan secciones obligatorias: ' AS message, unnest(missing) AS item FROM {sections}
 UNION ALL
-SELECT doc_id, 'warning', 'Se detectaron secciones adicionales: ' || array_to_string(extra, ', ')
-FROM {sections} WHERE len(extra) > 0"""
+SELECT doc_id, 'warning', 'Se detectaron secciones adicionales: ', unnest(extra) FROM {sections}"""
 
 
 @query("audit_sections", "SELECT * FROM {section_rows}")
@@ -393,27 +391,29 @@ def text_sql_markers(lab: Lab) -> DataFrame:
     return audit.marked_texts(lab["audit_documents"]).withColumn("markers", F.array_join("markers", ", "))
 
 
-CHECKS["findings"] = """
+CHECKS["finding_items"] = """
 SELECT * FROM {section_rows}
 UNION ALL
-SELECT doc_id, 'error', 'Faltan campos finales en Seccion ' || section || ': ' || string_agg(field_name, ', ' ORDER BY field_name)
-FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id, section ORDER BY field_name) - 1) // 1000 AS part_no
-      FROM (SELECT DISTINCT doc_id, section, field_name FROM {missing})) GROUP BY doc_id, section, part_no
+SELECT DISTINCT doc_id, 'error', 'Faltan campos finales en Seccion ' || section || ': ', field_name FROM {missing}
 UNION ALL
-SELECT doc_id, 'error', 'Hay reglas referenciadas que no existen en Seccion 6: ' || string_agg(rule_id, ', ' ORDER BY rule_id)
-FROM {undefined} GROUP BY doc_id
+SELECT doc_id, 'error', 'Hay reglas referenciadas que no existen en Seccion 6: ', rule_id FROM {undefined}
 UNION ALL
-SELECT doc_id, 'error', 'Se detectaron patrones de SQL literal en el documento: ' || markers FROM {markers} WHERE markers <> ''
+SELECT doc_id, 'error', 'Se detectaron patrones de SQL literal en el documento: ', unnest(string_split(markers, ', '))
+FROM {markers} WHERE markers <> ''
 UNION ALL
-SELECT doc_id, 'error', 'El nombre del documento de salida debe iniciar con DA_REQ_CD_IT_: ' || file_name
+SELECT doc_id, 'error', 'El nombre del documento de salida debe iniciar con DA_REQ_CD_IT_: ', file_name
 FROM {audit_documents} WHERE NOT starts_with(file_name, 'DA_REQ_CD_IT_')
 UNION ALL
-SELECT doc_id, 'error', 'Quedaron variables sin resolver en el SQL: ' || array_to_string(list_sort(unresolved), ', ')
-FROM {audit_documents} WHERE len(unresolved) > 0
+SELECT doc_id, 'error', 'Quedaron variables sin resolver en el SQL: ', unnest(unresolved) FROM {audit_documents}
+UNION ALL
+SELECT doc_id, 'warning', 'Se resolvieron variables con valores inferidos: ',
+       unnest(list_transform(map_entries(inferred), lambda e : e.key || '=' || e.value))
+FROM {audit_documents} WHERE len(unresolved) = 0"""
+
+CHECKS["findings"] = """
+SELECT doc_id, severity, message, CAST(NULL AS VARCHAR) AS item, count(*) AS item_count FROM {finding_items} GROUP BY ALL
 UNION ALL
-SELECT doc_id, 'warning', 'Se resolvieron variables con valores inferidos: ' ||
-       array_to_string(list_transform(map_entries(inferred), lambda e : e.key || '=' || e.value), ', ')
-FROM {audit_documents} WHERE len(unresolved) = 0 AND cardinality(inferred) > 0"""
+SELECT doc_id, severity, message, item, NULL FROM {finding_items}"""
 
 
 def _findings(lab: Lab) -> DataFrame:
@@ -502,10 +502,15 @@ SELECT path, unnest(parts) AS s, generate_subscripts(parts, 1) AS ord FROM (
                     ELSE x END), chr(10)), ';'), lambda s : trim(s)), lambda s : s <> '') AS parts
   FROM {scripts})"""
 
-CHECKS["published"] = r"""
-SELECT path, ord, CASE WHEN i <> '' THEN i ELSE regexp_extract(s, 'create\s+table\s+([^\s(;/]+).*?\bas\s+select\b', 1, 'is') END AS t,
-       CASE WHEN i <> '' THEN i ELSE regexp_extract(s, 'create\s+table\s+([^\s(;/]+).*?\bas\s+(with|select)\b', 1, 'is') END AS wide,
+CHECKS["publishing"] = r"""
+SELECT path, ord, CASE WHEN i <> '' THEN i ELSE
+         regexp_extract(s, '\bcreate\s+table\s+(if\s+not\s+exists\s+)?([^\s(;/]+).*?\bas\s+(with|select)\b', 2, 'is') END AS target,
        i <> '' AS inserted
+FROM (SELECT *, regexp_extract(s, '\binsert\s+(overwrite|into)\s+(table\s+)?([^\s(;/]+)', 3, 'i') AS i FROM {statements})
+WHERE NOT regexp_matches(s, '^\s*compute\s+stats\s', 'i')"""
+
+CHECKS["published"] = r"""
+SELECT path, ord, CASE WHEN i <> '' THEN i ELSE regexp_extract(s, 'create\s+table\s+([^\s(;/]+).*?\bas\s+select\b', 1, 'is') END AS t
 FROM (SELECT *, regexp_extract(s, 'insert\s+overwrite\s+table\s+([^\s(;/]+)', 1, 'i') AS i FROM {statements})
 WHERE NOT regexp_matches(s, '^\s*compute\s+stats\s', 'i')"""
 
@@ -551,10 +556,10 @@ def script_edges(lab: Lab) -> DataFrame:
     "publication_roles",
     r"""
 SELECT path, CAST(n AS INT) AS sequence, CASE WHEN inserted THEN 'insert_overwrite' ELSE 'create_table_as_select' END AS statement_type,
-       wide AS target_table, CASE WHEN n = max(n) OVER (PARTITION BY path) THEN 'final' ELSE 'intermedia' END AS role,
+       target AS target_table, CASE WHEN n = max(n) OVER (PARTITION BY path) THEN 'final' ELSE 'intermedia' END AS role,
        EXISTS (SELECT 1 FROM {statements} s WHERE s.path = p.path
-               AND lower(regexp_extract(s.s, '^\s*compute\s+stats\s+([^\s;]+)', 1, 'i')) = lower(p.wide)) AS has_compute_stats
-FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ord) AS n FROM {published} WHERE wide <> '') p""",
+               AND lower(regexp_extract(s.s, '^\s*compute\s+stats\s+([^\s;]+)', 1, 'i')) = lower(p.target)) AS has_compute_stats
+FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ord) AS n FROM {publishing} WHERE target <> '') p""",
 )
 def publication_roles(lab: Lab) -> DataFrame:
     return scripts.publications(lab["scripts"])

@@ -132,6 +132,10 @@ SELECT 'sql/' || source || '/' || {text('doc_id')} || '.sql' AS path,
        ' WHERE fec = ' || {var('fec_ini_sem')} || ' AND x = ' || {DOLLAR} || '{{{{faltante_' || lang || '}}}}' || {NL} || ';' || {NL} ||
        CASE WHEN doc_id % 2 = 0 THEN 'create table cd_lin.cd_' || {text('doc_id')} || ' stored as parquet as' || {NL} ||
               'select * from cu_lin.c' || {text('doc_id')} || ';' || {NL} || 'COMPUTE STATS cd_lin.CD_' || {text('doc_id')} || ';'
+            WHEN doc_id % 3 = 0 THEN 'Create Table If Not Exists cd_lin.n' || {text('doc_id')} || ' as select 1;' || {NL} ||
+              'insert into cd_lin.i' || {text('doc_id')} || ' select 2;' || {NL} ||
+              'insert into table cd_lin.j' || {text('doc_id')} || ' select 3;' || {NL} ||
+              'INSERT OVERWRITE cd_lin.k' || {text('doc_id')} || ' select 4;'
             ELSE 'create table cd_lin.w' || {text('doc_id')} || ' as with z as (s) select * from z;' END || {NL} || text AS text
 FROM {{documents}}"""
 

@@ -8,6 +8,7 @@ jobs themselves are DataFrame code; the SQL they are checked against is written
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from datetime import date
 
@@ -16,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.functions.columns import aes_decoder, base64_decoder
 from ledgerloom.params import Params
 from ledgerloom.session import apply_settings
-from ledgerloom.sources.tables import read_table
 
 GIVEN = (
     "region nation customer supplier part orders lineitem events documents "
@@ -124,7 +124,7 @@ class Lab:
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._open:
             if name in GIVEN:
-                self._open[name] = read_table(self.spark, f"{self.folder}/{name}.parquet")
+                self._open[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
             else:
                 sql = BINDINGS[name](Spark)
                 self._open[name] = self.spark.sql(sql, **{ref: self[ref] for ref in references(sql)})
@@ -148,6 +148,8 @@ def check_sql(sql: str) -> str:
     for ref in references(sql):
         visit(ref)
     spell = {name: name for name in [*GIVEN, *texts]}
-    parts = [f"{name} AS (\n{texts[name].format(**spell)}\n)" for name in order]
+    uses = Counter(ref for text in [sql, *texts.values()] for ref in REFERENCE.findall(text))
+    kept = {name: "AS MATERIALIZED" if uses[name] > 1 else "AS" for name in order}
+    parts = [f"{name} {kept[name]} (\n{texts[name].format(**spell)}\n)" for name in order]
     body = sql.format(**spell)
     return f"WITH {', '.join(parts)}\nSELECT * FROM (\n{body}\n)" if parts else body

@@ -44,7 +44,8 @@ SELECT schema_name, nullif(trim(descripcion), '') AS description, nullif(trim(pr
        kind AS schema_type, {sql_temporary('schema_name', 'kind')} AS is_temporary, TRUE AS include_in_catalog,
        'esquemas.csv' AS source_file_name
 FROM (SELECT *, trim(esquema) AS schema_name, {sql_schema_type('proposito')} AS kind FROM {{schema_rows}})
-WHERE schema_name <> ''"""
+WHERE schema_name <> ''
+QUALIFY row_number() OVER (PARTITION BY schema_name ORDER BY fila DESC) = 1"""
 
 
 @query("schema_catalog_load", "SELECT * FROM {schema_catalog}")
@@ -52,7 +53,7 @@ def schema_catalog_load(lab: Lab) -> DataFrame:
     """The rows are first written as CSV with a byte order mark, then loaded from it."""
     path = scratch_path(lab.spark, "schemas")
     lab["schema_rows"].withColumnRenamed("esquema", text.MARK + "esquema").write.option("header", True).csv(path)
-    return registry.schema_catalog(text.read_csv(lab.spark, path), "esquemas.csv")
+    return registry.schema_catalog(text.read_csv(lab.spark, path), "esquemas.csv", order="fila")
 
 
 def sql_physical(x: str) -> str:
@@ -84,22 +85,22 @@ def source_clean(lab: Lab) -> DataFrame:
 
 
 CHECKS["registry"] = f"""
-SELECT run_id, target_table, source_table, split_part(target_table, '.', 1) AS target_schema,
-       split_part(target_table, '.', 2) AS target_object_name, source_schema,
+SELECT run_id, target_table, source_table, nullif(split_part(target_table, '.', 1), '') AS target_schema,
+       nullif(split_part(target_table, '.', 2), '') AS target_object_name, source_schema,
        substr(source_table, length(source_schema) + 2) AS source_object_name, kind AS source_schema_type, source_kind,
        tmp AS is_temporary, NOT tmp AS include_in_catalog, 'candidate' AS review_status, 'auto' AS decision_source
 FROM (
   SELECT *, coalesce(kind = 'TEMPORAL', FALSE) OR regexp_matches(source_schema, '^(tmp_|stg_)|_tmp$') AS tmp
   FROM (
-    SELECT c.run_id, r.target_table, c.qualified_name AS source_table, split_part(c.qualified_name, '.', 1) AS source_schema,
+    SELECT c.run_id, coalesce(r.target_table, '') AS target_table, c.qualified_name AS source_table, split_part(c.qualified_name, '.', 1) AS source_schema,
            c.source_kind, s.schema_type AS kind
-    FROM {{clean}} c JOIN {{app_runs}} r ON r.run_id = c.run_id AND r.target_table IS NOT NULL
+    FROM {{clean}} c LEFT JOIN {{app_runs}} r ON r.run_id = c.run_id
     LEFT JOIN {{schema_catalog}} s ON s.schema_name = split_part(c.qualified_name, '.', 1)))"""
 
 
 def _registry(lab: Lab) -> DataFrame:
-    schemas = registry.schema_catalog(lab["schema_rows"], "esquemas.csv")
-    return registry.build_registry(_clean(lab), lab["app_runs"].where("target_table IS NOT NULL"), schemas)
+    schemas = registry.schema_catalog(lab["schema_rows"], "esquemas.csv", order="fila")
+    return registry.build_registry(_clean(lab), lab["app_runs"], schemas)
 
 
 @query("registry_build", "SELECT * FROM {registry}")
@@ -195,24 +196,19 @@ def sql_dataset(x: str) -> str:
 
 
 CHECKS["event_items"] = f"""
-SELECT *, (row_number() OVER (PARTITION BY run_id, module_key ORDER BY at_) - 1) // 1000 AS part_no FROM (
-  SELECT run_id, module_key, pos AS at_, {sql_dataset('source_table')} AS input, NULL AS target FROM {{run_module_sources}}
-  UNION ALL
-  SELECT run_id, module_key, min(id), NULL, target_node FROM {{run_relations}} GROUP BY run_id, module_key, target_node)"""
+SELECT run_id, module_key, 'input' AS part, pos AS position, {sql_dataset('source_table')} AS dataset, NULL AS target
+FROM {{run_module_sources}}
+UNION ALL
+SELECT run_id, module_key, 'target', min(id), NULL, target_node FROM {{run_relations}} GROUP BY run_id, module_key, target_node"""
 
-CHECKS["event_parts"] = f"""
-SELECT m.run_id, m.module_key, m.module_name, m.sql_file_name, m.resolved_sql, coalesce(i.part_no, 0) AS part_no,
-       coalesce(i.inputs, []) AS inputs, [{sql_dataset('m.target_table')}] AS outputs,
-       coalesce(i.targets, []) AS targets
-FROM {{run_modules}} m
-LEFT JOIN (SELECT run_id, module_key, part_no, list(input ORDER BY at_) FILTER (input IS NOT NULL) AS inputs,
-                  list(target ORDER BY at_) FILTER (target IS NOT NULL) AS targets
-           FROM {{event_items}} GROUP BY ALL) i ON i.run_id = m.run_id AND i.module_key = m.module_key"""
+CHECKS["event_heads"] = f"""
+SELECT m.run_id, m.module_key, m.module_name, m.sql_file_name, m.resolved_sql, [{sql_dataset('m.target_table')}] AS outputs
+FROM {{run_modules}} m"""
 
 FACETS = f"""struct_pack(
   documentation := struct_pack(_producer := 'ledgerloom', "_schemaURL" := '{SPEC}DocumentationJobFacet.json', description := e.module_name),
   sql := struct_pack(_producer := 'ledgerloom', "_schemaURL" := '{SPEC}SQLJobFacet.json', query := e.resolved_sql),
-  module := struct_pack(module_name := e.module_name, sql_file_name := e.sql_file_name, relation_targets := e.targets))"""
+  module := struct_pack(module_name := e.module_name, sql_file_name := e.sql_file_name))"""
 HEAD = f"""eventType := 'COMPLETE', eventTime := '{AT}', producer := 'ledgerloom',
   job := struct_pack(namespace := 'cuentas', name := e.module_key)"""
 
@@ -226,10 +222,12 @@ def _events(lab: Lab) -> DataFrame:
 @query(
     "lineage_events",
     f"""
-SELECT run_id, module_key, CAST(part_no AS BIGINT) AS part_no, CAST(to_json(struct_pack({HEAD},
-  run := struct_pack("runId" := run_id || '::' || module_key), inputs := inputs, outputs := outputs,
-  facets := {FACETS})) AS VARCHAR) AS event
-FROM {{event_parts}} e""",
+SELECT run_id, module_key, 'event' AS part, CAST(0 AS BIGINT) AS position, CAST(to_json(struct_pack({HEAD},
+  run := struct_pack("runId" := run_id || '::' || module_key), outputs := outputs, facets := {FACETS})) AS VARCHAR) AS body
+FROM {{event_heads}} e
+UNION ALL
+SELECT run_id, module_key, part, position, CASE part WHEN 'input' THEN CAST(to_json(dataset) AS VARCHAR) ELSE target END
+FROM {{event_items}}""",
 )
 def lineage_events(lab: Lab) -> DataFrame:
     return bundle.event_json(_events(lab))
@@ -256,13 +254,17 @@ CATALOG_FACET = """struct_pack(catalog := struct_pack(_producer := k.producer, "
 @query(
     "lineage_events_enriched",
     f"""
-SELECT e.run_id, e.module_key, CAST(e.part_no AS BIGINT) AS part_no, CAST(to_json(struct_pack({HEAD},
+SELECT e.run_id, e.module_key, 'event' AS part, CAST(0 AS BIGINT) AS position, CAST(to_json(struct_pack({HEAD},
   run := struct_pack("runId" := e.run_id || '::' || e.module_key, facets := struct_pack(catalog := struct_pack(
     _producer := k.producer, "dataProductId" := k.product_id, "outputPortId" := k.product_id || '-port'))),
-  inputs := list_transform(e.inputs, lambda d : struct_pack(namespace := d.namespace, name := d.name, facets := {CATALOG_FACET})),
   outputs := list_transform(e.outputs, lambda d : struct_pack(namespace := d.namespace, name := d.name, facets := {CATALOG_FACET})),
-  facets := {FACETS})) AS VARCHAR) AS event
-FROM {{event_parts}} e JOIN {{product_ids}} k ON k.run_id = e.run_id""",
+  facets := {FACETS})) AS VARCHAR) AS body
+FROM {{event_heads}} e JOIN {{product_ids}} k ON k.run_id = e.run_id
+UNION ALL
+SELECT i.run_id, i.module_key, part, position, CASE part WHEN 'input' THEN
+  CAST(to_json(struct_pack(namespace := i.dataset.namespace, name := i.dataset.name, facets := {CATALOG_FACET})) AS VARCHAR)
+  ELSE target END
+FROM {{event_items}} i JOIN {{product_ids}} k ON k.run_id = i.run_id""",
 )
 def lineage_events_enriched(lab: Lab) -> DataFrame:
     named = lab["app_runs"].withColumn("contract_file", F.concat("sql_file_name", F.lit(".odcs.yaml")))
@@ -272,25 +274,31 @@ def lineage_events_enriched(lab: Lab) -> DataFrame:
 @query(
     "dataproduct_summary",
     """
-SELECT r.run_id, CAST(coalesce(k.part_no, 0) AS BIGINT) AS part_no, coalesce(c.contract_product, r.product_name) AS name, r.target_table,
-       c.domain, CASE lower(coalesce(c.contract_status, r.status)) WHEN 'proposed' THEN 'proposed' ELSE 'active' END AS status,
+SELECT r.run_id, coalesce(c.contract_product, r.product_name) AS name, r.target_table,
+       regexp_extract(r.target_table, '[^.]*$') AS schema_name, r.target_table AS schema_physical_name,
+       c.domain, coalesce(c.domain, '') AS tags,
+       CASE WHEN lower(c.domain) = 'kafka' THEN 'Kafka' ELSE 'Dataset' END AS port_type,
+       CASE lower(coalesce(c.contract_status, r.status)) WHEN 'proposed' THEN 'proposed' ELSE 'active' END AS status,
        concat_ws(chr(10) || chr(10), CASE WHEN trim(c.purpose) <> '' THEN 'Purpose: ' || trim(c.purpose) END,
                  CASE WHEN trim(c.usage) <> '' THEN 'Usage: ' || trim(c.usage) END,
                  CASE WHEN trim(c.limitations) <> '' THEN 'Limitations: ' || trim(c.limitations) END) AS description,
        CAST(coalesce(c.contract_fields, f.n, 0) AS BIGINT) AS field_count, coalesce(s.n, 0) AS source_count,
-       coalesce(k.names, '') AS sources
+       coalesce(s.named, 0) AS distinct_source_count
 FROM {app_runs} r LEFT JOIN {run_contracts} c ON c.run_id = r.run_id
-LEFT JOIN (SELECT run_id, count(*) AS n FROM {run_module_sources} GROUP BY run_id) s ON s.run_id = r.run_id
-LEFT JOIN (SELECT run_id, part_no, string_agg(source_table, '; ' ORDER BY source_table) AS names
-           FROM (SELECT *, (row_number() OVER (PARTITION BY run_id ORDER BY source_table) - 1) // 1000 AS part_no
-                 FROM (SELECT DISTINCT run_id, source_table FROM {run_module_sources})) GROUP BY ALL) k ON k.run_id = r.run_id
+LEFT JOIN (SELECT run_id, count(*) AS n, count(DISTINCT source_table) AS named FROM {run_module_sources} GROUP BY run_id) s
+  ON s.run_id = r.run_id
 LEFT JOIN (SELECT run_id, count(*) AS n FROM {run_transformations} GROUP BY run_id) f ON f.run_id = r.run_id""",
 )
 def dataproduct_summary(lab: Lab) -> DataFrame:
     rows = bundle.product_summary(
         lab["app_runs"], lab["run_contracts"], lab["run_module_sources"], lab["run_transformations"]
     )
-    return rows.withColumn("sources", F.array_join("sources", "; "))
+    return rows.withColumn("tags", F.array_join("tags", "; "))
+
+
+@query("dataproduct_sources", "SELECT DISTINCT run_id, source_table FROM {run_module_sources}")
+def dataproduct_sources(lab: Lab) -> DataFrame:
+    return bundle.product_sources(lab["run_module_sources"])
 
 
 @query(
@@ -351,8 +359,9 @@ SELECT p.run_id, p.module_key, t.base AS source_node,
        'table' AS source_kind, CASE WHEN p.is_first AND p.unites THEN 'process' ELSE 'table' END AS target_kind,
        p.is_first AND NOT p.unites AND t.i = min(t.i) OVER (PARTITION BY t.run_id, t.module_key, t.pos) AS is_pivot
 FROM {placed} p JOIN {named_tables} t ON t.run_id = p.run_id AND t.module_key = p.module_key AND t.pos = p.pos
-LEFT JOIN {run_joins} j ON j.run_id = p.run_id AND j.module_key = p.module_key
-     AND lower(j.source_alias) = lower(p.source_alias) AND NOT p.is_first
+LEFT JOIN (SELECT run_id, module_key, lower(source_alias) AS a, arg_max(join_type, pos) AS join_type
+           FROM {run_joins} GROUP BY ALL) j
+     ON j.run_id = p.run_id AND j.module_key = p.module_key AND j.a = lower(p.source_alias) AND NOT p.is_first
 UNION
 SELECT run_id, module_key, target_table || '::union_all', target_table, 'FROM / BASE', 'process', 'table', TRUE
 FROM {placed} WHERE is_first AND unites
@@ -447,21 +456,14 @@ def lineage_expand(lab: Lab) -> DataFrame:
 @query(
     "source_contributions",
     f"""
-SELECT s.run_id, s.module_key, s.source_alias, CAST(coalesce(f.part_no, 0) AS BIGINT) AS part_no,
-       coalesce(f.fields, '{fixed.NO_CONTRIBUTION}') AS fields_generated
+SELECT s.run_id, s.module_key, s.source_alias, coalesce(f.field_name, '{fixed.NO_CONTRIBUTION}') AS field_generated
 FROM (SELECT DISTINCT run_id, module_key, source_alias FROM {{run_module_sources}}) s
-LEFT JOIN (
-  SELECT run_id, module_key, a, part_no, string_agg(field_name, '; ' ORDER BY field_name) AS fields
-  FROM (SELECT *, (row_number() OVER (PARTITION BY run_id, module_key, a ORDER BY field_name) - 1) // 1000 AS part_no
-        FROM (SELECT DISTINCT run_id, module_key, field_name, a
-              FROM (SELECT *, unnest(string_split(origin, ' / ')) AS a FROM {{run_transformations}})))
-  GROUP BY ALL) f ON f.run_id = s.run_id AND f.module_key = s.module_key AND f.a = s.source_alias""",
+LEFT JOIN (SELECT DISTINCT run_id, module_key, field_name, a
+           FROM (SELECT *, unnest(string_split(origin, ' / ')) AS a FROM {{run_transformations}})) f
+  ON f.run_id = s.run_id AND f.module_key = s.module_key AND f.a = s.source_alias""",
 )
 def source_contributions(lab: Lab) -> DataFrame:
-    rows = lineage.contributions(
-        lab["run_module_sources"], lab["run_transformations"]
-    )
-    return rows.withColumn("fields_generated", F.array_join("fields_generated", "; "))
+    return lineage.contributions(lab["run_module_sources"], lab["run_transformations"])
 
 
 @query(
@@ -516,7 +518,8 @@ def traceability_matrix(lab: Lab) -> DataFrame:
 
 def _sql_subtype() -> str:
     labels = [
-        f"CASE WHEN list_has_any(functions, {list(names)}) THEN '{label}' END" for label, names in fixed.SUBTYPES
+        f"CASE WHEN list_has_any(functions, {list(names)}){' OR has_aggregate' if label == 'Agregacion' else ''} THEN '{label}' END"
+        for label, names in fixed.SUBTYPES
     ]
     return f"coalesce(nullif(concat_ws(' + ', {', '.join(labels)}, CASE WHEN is_constant THEN 'Constante' END), ''), 'Calculo')"
 
@@ -542,11 +545,16 @@ FROM (
          CASE WHEN l_linenumber <= 2 THEN 'Paso 4' WHEN l_linenumber <= 4 THEN 'Paso 5' ELSE 'Paso 1' END AS applies_in,
          row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN l_linenumber <= 2 THEN 0 WHEN l_linenumber <= 4 THEN 2
                                                               ELSE 1 END, pos) AS n
-  FROM {lines})""",
+  FROM (SELECT * REPLACE (CASE WHEN l_orderkey % 50 <> 0 THEN run_id END AS run_id,
+                          CAST(pos AS HUGEINT) * 10000000 + l_orderkey AS pos) FROM {lines}))""",
 )
 def rule_numbering(lab: Lab) -> DataFrame:
+    # Some rules belong to no run; they are numbered among themselves.
     rules = lab["lines"].select(
-        "run_id", "pos", "l_linenumber", F.concat(F.lit("regla "), "alias").alias("description")
+        F.when(F.col("l_orderkey") % 50 != 0, F.col("run_id")).alias("run_id"),
+        (F.col("pos").cast("decimal(38,0)") * 10000000 + F.col("l_orderkey")).alias("pos"),
+        "l_linenumber",
+        F.concat(F.lit("regla "), "alias").alias("description"),
     )
     return lineage.numbered_rules(
         rules.where("l_linenumber <= 2").withColumn("step", F.lit("Paso 4")),

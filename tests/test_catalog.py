@@ -158,11 +158,13 @@ def test_contract_documents_leave_out_empty_parts(spark):
         [("s.t", "Cuentas", None, None, "diaria", None, "2026-05-12T00:00:00Z")],
         "table_name string, product string, domain string, purpose string, frequency string, granularity string, created string",
     )
-    document = contracts.contract_documents(made, products).first()["contract"]
+    document = contracts.contract_documents(made, products).where("part = 'contract'").first()["body"]
     assert '"domain"' not in document and '"tags":["diaria"]' in document
-    assert document.count('"partitionKeyPosition":1') == 1
-    parts = contracts.contract_documents(made, products, limit=2).collect()
-    assert sorted((p["part_no"], p["field_count"]) for p in parts) == [(0, 2), (1, 1)]
+    parts = contracts.contract_documents(made, products).collect()
+    assert sorted((p["part"], p["position"], p["field_count"]) for p in parts if p["part"] == "contract") == [("contract", 0, 3)]
+    properties = sorted((p["position"], p["body"]) for p in parts if p["part"] == "property")
+    assert [at for at, _ in properties] == [1, 2, 3]
+    assert [body.count('"partitionKeyPosition":1') for _, body in properties] == [0, 0, 1]
 
 
 def test_table_names_match_by_tier(spark):
@@ -190,12 +192,12 @@ def test_ddl_and_dictionary_sidecars(spark):
     assert rows(got, "field_name", "business_name", "description") == [("id_cuenta", "Id Cuenta", "Cuenta")]
 
 
-def test_profile_takes_first_filled_value_of_the_sample(spark):
-    df = spark.createDataFrame([(k, None if k < 3 else f"v{k}") for k in range(20)], "k int, v string")
+def test_profile_takes_first_filled_value(spark):
+    df = spark.createDataFrame([(k, None if k < 9 else f"v{k}") for k in range(20)], "k int, v string")
     got = tables.column_profile(df, ["k"]).orderBy("position")
     assert rows(got, "field_name", "logical_type", "example", "row_count", "null_count") == [
         ("k", "integer", "0", 20, 0),
-        ("v", "string", "v3", 20, 3),
+        ("v", "string", "v9", 20, 9),
     ]
 
 
@@ -241,7 +243,8 @@ def test_audit_failures(spark, change, message):
 
     def found(values):
         documents = spark.createDataFrame([tuple(values.values())], schema)
-        return [r["message"] for r in audit.audit_findings(documents, fields, fields, fields, rules).collect()]
+        found = audit.audit_findings(documents, fields, fields, fields, rules).where("item is not null")
+        return [r["message"] + r["item"] for r in found.collect()]
 
     assert found(document) == []
     assert any(message in text for text in found({**document, **change}))
@@ -305,10 +308,11 @@ def test_rule_numbers_and_events(spark):
     modules = spark.createDataFrame([("r", "m", "Modulo", "m.sql", "demo.t", "")], "run_id string, module_key string, module_name string, sql_file_name string, target_table string, resolved_sql string")
     sources = spark.createDataFrame([("r", "m", n, f"a.b{n}") for n in range(5)], "run_id string, module_key string, pos bigint, source_table string")
     edges = spark.createDataFrame([("r", "m", 90, "demo.t"), ("r", "m", 91, "demo.t")], "run_id string, module_key string, id bigint, target_node string")
-    events = bundle.lineage_events(modules, sources, edges, "2026-05-12T00:00:00Z", "n", limit=4).collect()
-    assert sorted(i["name"] for e in events for i in e["event"]["inputs"]) == ["b0", "b1", "b2", "b3", "b4"]
-    assert [t for e in events for t in e["event"]["facets"]["module"]["relation_targets"]] == ["demo.t"]
-    assert len(events) == 2
+    events = bundle.lineage_events(modules, sources, edges, "2026-05-12T00:00:00Z", "n").collect()
+    inputs = sorted((e["position"], e["dataset"]["name"]) for e in events if e["part"] == "input")
+    assert inputs == [(n, f"b{n}") for n in range(5)]
+    assert [(e["position"], e["target"]) for e in events if e["part"] == "target"] == [(90, "demo.t")]
+    assert [e["event"]["outputs"][0]["name"] for e in events if e["part"] == "event"] == ["t"]
 
 
 def test_partition_publishing_replaces_only_touched_partitions(spark, tmp_path):
@@ -319,3 +323,62 @@ def test_partition_publishing_replaces_only_touched_partitions(spark, tmp_path):
     tables.publish_partitions(spark.createDataFrame([(9, "b")], "v int, p string"), table, ["p"], path)
     assert sorted(rows(spark.table(table), "v", "p")) == [(1, "a"), (9, "b")]
     spark.sql(f"DROP TABLE {table}")
+
+
+def test_error_counts_do_not_depend_on_the_number_of_items(spark):
+    schema = (
+        "doc_id int, document_kind string, section_titles array<string>, text string, referenced_rule_ids array<string>, "
+        "file_name string, unresolved array<string>, inferred map<string,string>"
+    )
+    row = (1, "step", audit.fixed.STEP_SECTIONS, "texto", [], "DA_REQ_CD_IT_x.docx", [], {})
+    documents = spark.createDataFrame([row], schema)
+    none = spark.createDataFrame([], "doc_id int, field_name string")
+    rules = spark.createDataFrame([], "doc_id int, rule_id string")
+    for size in (1000, 1001):
+        final = spark.range(size).selectExpr("1 AS doc_id", "concat('campo_', id) AS field_name")
+        found = audit.audit_findings(documents, final, none, none, rules)
+        assert audit.audit_summary(documents, found).first()["error_count"] == 2
+        assert found.where("item is not null").count() == 2 * size
+        assert {r["item_count"] for r in found.where("item is null").collect()} == {size}
+
+
+def test_publications_in_all_spellings(spark):
+    script = (
+        "create table if not exists a.t1 as select 1; insert into a.t2 select 2; insert into table a.t3 select 3;"
+        "insert overwrite a.t4 select 4; INSERT OVERWRITE TABLE a.t5 select 5; compute stats A.T3"
+    )
+    got = scripts.publications(spark.createDataFrame([("x.sql", script)], "path string, text string")).orderBy("sequence")
+    assert rows(got, "target_table", "statement_type", "role", "has_compute_stats") == [
+        ("a.t1", "create_table_as_select", "intermedia", False),
+        ("a.t2", "insert_overwrite", "intermedia", False),
+        ("a.t3", "insert_overwrite", "intermedia", True),
+        ("a.t4", "insert_overwrite", "intermedia", False),
+        ("a.t5", "insert_overwrite", "final", False),
+    ]
+
+
+def test_last_join_of_an_alias_tells_its_type(spark):
+    modules = spark.createDataFrame([("r", "m", "cd.t", "select")], "run_id string, module_key string, target_table string, resolved_sql string")
+    sources = spark.createDataFrame(
+        [("r", "m", 1, "a", "rd.a"), ("r", "m", 2, "b", "rd.b")],
+        "run_id string, module_key string, pos bigint, source_alias string, source_table string",
+    )
+    joins = spark.createDataFrame(
+        [("r", "m", 1, "B", "left"), ("r", "m", 2, "b", "inner")],
+        "run_id string, module_key string, pos bigint, source_alias string, join_type string",
+    )
+    fields = spark.createDataFrame([], "run_id string, module_key string, physical_source_fields array<string>")
+    got = lineage.flow_edges(modules, sources, joins, fields)
+    assert sorted(rows(got, "source_node", "relation_label")) == [("rd.a", "FROM / BASE"), ("rd.b", "INNER")]
+
+
+def test_registry_keeps_sources_of_runs_without_target(spark):
+    sources = spark.createDataFrame([("r", "rd.x", "table"), ("q", "rd.y", "view")], "run_id string, qualified_name string, source_kind string")
+    targets = spark.createDataFrame([("r", "cd.t"), ("q", None)], "run_id string, target_table string")
+    raw = spark.createDataFrame(
+        [(1, "rd", "a", "TEMPORAL"), (2, " rd", "b", "RAW")], "fila int, esquema string, descripcion string, proposito string"
+    )
+    schemas = registry.schema_catalog(raw, "x.csv", order="fila")
+    assert rows(schemas, "schema_name", "schema_type") == [("rd", "RAW")]
+    got = registry.build_registry(sources, targets, schemas)
+    assert sorted(rows(got, "run_id", "target_table", "source_schema_type")) == [("q", "", "RAW"), ("r", "cd.t", "RAW")]

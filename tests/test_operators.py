@@ -1,10 +1,9 @@
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import newest, oldest
-from ledgerloom.operators import graph, lists, merge, rows
+from ledgerloom.operators import graph, merge, rows
 
 
 def hot_rows(n=3000, groups=40, seed=7):
@@ -61,23 +60,12 @@ def test_argmin_concat_ignores_rows_with_a_missing_part(spark):
     assert [tuple(r) for r in rows.argmin_concat(df, "k", "a", "b").collect()] == [("k", "b", 2)]
 
 
-def test_lists_are_cut_but_whole(spark):
-    data = hot_rows()
-    df = spark.createDataFrame(data, "g string, at int, v string")
-    got = lists.ordered_lists(df, ["g"], "at", {"ats": F.col("at")}, limit=100).collect()
-    assert max(len(r["ats"]) for r in got) <= 100
-    whole = {}
-    for r in sorted(got, key=lambda r: (r["g"], r["part_no"])):
-        whole.setdefault(r["g"], []).extend(r["ats"])
-    want = {}
-    for g, at, _ in sorted(data, key=lambda r: r[1]):
-        want.setdefault(g, []).append(at)
-    assert whole == want
-    assert sum(1 for r in got if r["g"] != "hot") == len(want) - 1
-
-    sets = lists.sorted_sets(df.withColumn("s", F.col("at").cast("string")), ["g"], "s", limit=100).collect()
-    assert max(len(r["s"]) for r in sets) <= 100
-    assert sorted(x for r in sets if r["g"] == "hot" for x in r["s"]) == sorted(str(x) for x in want["hot"])
+def test_null_groups_are_groups(spark):
+    df = spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), ("g", 1, "c"), ("g", 2, "c")], "g string, at int, v string")
+    got = {(r["g"], r["at"]): r["n"] for r in rows.numbered(df, ["g"], [F.col("at").asc()], "n").collect()}
+    assert got == {(None, 1): 1, (None, 2): 2, ("g", 1): 1, ("g", 2): 2}
+    before = {(r["g"], r["at"]): r["p"] for r in rows.previous(df, ["g"], "at", "v", "p").collect()}
+    assert before == {(None, 1): None, (None, 2): "a", ("g", 1): None, ("g", 2): "c"}
 
 
 def test_upsert_changes_only_supplied_columns(spark):
@@ -116,5 +104,13 @@ def test_levels_take_the_longest_chain(spark):
     got = {r["node"]: r["level"] for r in graph.levels(nodes, needs, ["run_id"]).collect()}
     assert got == {"a": 0, "b": 1, "c": 2, "d": 0}
     loop = needs.unionByName(spark.createDataFrame([("r", "a", "c")], needs.schema))
-    with pytest.raises(ValueError):
-        graph.levels(nodes, loop, ["run_id"], max_depth=5)
+    got = {r["node"]: r["level"] for r in graph.levels(nodes, loop, ["run_id"]).collect()}
+    assert got == {"a": None, "b": None, "c": None, "d": 0}
+
+
+def test_walks_have_no_depth_limit(spark):
+    chain = [("r", f"n{i + 1}", f"n{i}") for i in range(70)]
+    edges = spark.createDataFrame(chain, "run_id string, source_node string, target_node string").coalesce(1)
+    seeds = spark.createDataFrame([("r", "n0")], "run_id string, node string")
+    got = {r["node"]: r["depth"] for r in graph.upstream(seeds, edges, ["run_id"]).collect()}
+    assert got == {f"n{i}": i for i in range(1, 71)}
