@@ -47,6 +47,8 @@ BOUNDS = {
 }
 #: Texts of fewer words are too short for any style but symbols.
 FEW_WORDS = 12
+#: Distinct words are set against so many at most.
+MANY_WORDS = 400
 
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
@@ -78,7 +80,8 @@ def styles(found: Words) -> np.ndarray:
             share(_SYMBOL),
             share(_CAPITAL),
             np.bincount(texts[1:][same], minlength=n) / count,
-            per_text(new.astype(float)),
+            # Long texts repeat words as a matter of course.
+            np.bincount(texts, weights=new, minlength=n) / np.minimum(count, MANY_WORDS),
             share(_LETTER),
             per_text(length.astype(float)),
             per_text((length <= 3).astype(float)),
