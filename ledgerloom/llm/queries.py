@@ -117,6 +117,7 @@ _RULE_ROWS = ", ".join(
     "('{}', '{}', '{}', '{}')".format(rule, rule.partition("/")[0], "/" + rule.partition("/")[2], verdict)
     for rule, verdict in URL_RULES
 )
+_ALNUM, _SPACED = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", "[^\\x20\\x09-\\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES: dict[str, str] = {
@@ -136,4 +137,85 @@ ORACLES: dict[str, str] = {
              AS verdict
         FROM located
     """,
+    "op2_decontaminate": f"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS rid, doc_id,
+                regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') AS w
+            FROM documents),
+        items AS (
+            SELECT CAST(item_id AS VARCHAR) AS item, w, least(13, len(w)) AS size FROM (
+                SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') AS w
+                FROM benchmark) WHERE len(w) > 0),
+        windows AS (
+            SELECT DISTINCT item, size, array_to_string(w[p : p + size - 1], ' ') AS k
+            FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS p FROM items)),
+        places AS (
+            SELECT rid, p, size, array_to_string(w[p : p + size - 1], ' ') AS k
+            FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS p
+                  FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+        found AS (SELECT rid, p, size, item FROM places JOIN windows USING (size, k)),
+        hit AS (SELECT rid, count(DISTINCT pos_) AS n FROM (SELECT rid, unnest(range(p, p + size)) AS pos_ FROM found) GROUP BY rid),
+        named AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+                  FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid)
+        SELECT doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items,
+            sha256(coalesce(i.items, '')) AS items_sha256,
+            coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated
+        FROM docs LEFT JOIN hit h USING (rid) LEFT JOIN named i USING (rid)
+    """,
+    "op4_topk_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x : floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x : x IS NULL OR NOT isfinite(x)))),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score FROM scored
+        WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 5
+    """,
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        o AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+        SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda i : substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+                ((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - i % 4 * 5 AS BIGINT)) & 31) + 1
+                AS BIGINT), 1)), '') AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS error
+        FROM o
+    """,
+    "op6_jaccard_join": f"""
+        WITH RECURSIVE docs AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_SPACED}') AS w FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[p : p + 2], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM docs WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+            GROUP BY ALL),
+        links AS (
+            SELECT a, b FROM pairs p JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE 100 * p.n >= 90 * (x.n + y.n - p.n)),
+        ends AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT a AS doc_id, a AS root FROM ends UNION SELECT b.b, r.root FROM reach r JOIN ends b ON b.a = r.doc_id)
+        SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(r.root, d.doc_id) AS component_id
+        FROM docs d LEFT JOIN sizes s USING (doc_id)
+        LEFT JOIN (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id) r USING (doc_id)
+    """,
+    "op7_substring_dedup": f"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+        windows AS (
+            SELECT rid, doc_id, p, array_to_string(w[p : p + 49], ' ') AS k
+            FROM (SELECT *, unnest(range(1, len(w) - 48)) AS p FROM docs WHERE len(w) >= 50)),
+        first AS (SELECT k, min(doc_id) AS low FROM windows GROUP BY k),
+        gone AS (
+            SELECT DISTINCT rid, unnest(range(p, p + 50)) AS pos_ FROM windows JOIN first USING (k) WHERE low < doc_id),
+        kept AS (
+            SELECT rid, string_agg(word, ' ' ORDER BY pos_) AS text
+            FROM (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS pos_ FROM docs) x ANTI JOIN gone USING (rid, pos_)
+            GROUP BY rid)
+        SELECT doc_id, len(w) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM docs LEFT JOIN (SELECT rid, count(*) AS n FROM gone GROUP BY rid) g USING (rid) LEFT JOIN kept k USING (rid)
+    """,
 }
