@@ -81,8 +81,8 @@ def decoded_snapshot(tables: Tables, params: Params, decoder: Decoder) -> DataFr
     """One snapshot day of the new core with its four protected columns decoded.
 
     Rows whose account is still masked (holds an ``x``) or missing are dropped. Repeats are
-    removed on the stored values, before decoding: equal stored rows decode equally, so the
-    decoder runs once per distinct row; a second pass removes rows that only decode equally.
+    removed on the stored values, before decoding: equal stored rows decode equally, so each
+    distinct row is decoded, repeats are not; a second pass removes rows that only decode equally.
     """
     raw = tables["rd_fin_maestrosaldos"]
     table = "rd_fin_maestrosaldos"
@@ -103,7 +103,7 @@ def decoded_snapshot(tables: Tables, params: Params, decoder: Decoder) -> DataFr
     def clear(name: str) -> Column:
         return decoder(F.col(name), table, name, params.decode_error)
 
-    decoded = day.select(
+    decoded = day.distinct().select(
         clear("identificadorcliente").alias("id_cliente"),
         clear("cuenta").alias("id_cuenta"),
         F.col("cuenta").alias("cta_encrypt"),

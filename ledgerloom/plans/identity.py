@@ -11,6 +11,7 @@ from ledgerloom.functions import fixed_values as fixed
 from ledgerloom.functions.columns import dash_id, negative_id, newest, oldest, spread_nulls
 from ledgerloom.operators.rows import argmin_concat, best_by
 from ledgerloom.params import Params
+from ledgerloom.session import cut
 
 Tables = Mapping[str, DataFrame]
 
@@ -140,12 +141,17 @@ def customer_links(tables: Tables, core: DataFrame, legacy: DataFrame, params: P
     links = core.select(*legacy.columns).unionByName(legacy).drop("fec_carga")
     columns = ["id_cliente_alnova", "id_cliente_finacle", "id_cliente_unico", "id_icu_digital"]
     salt = [F.coalesce("id_cliente_alnova", "id_cliente_finacle")]
+    # One pass over the master table serves all four lookups.
+    masters = (
+        tables["cd_cte_master_diaria"]
+        .where(F.col("cod_tipo_cliente").isin(list(fixed.MASTER_KINDS)))
+        .groupBy("cod_tipo_cliente", "id_cliente")
+        .agg(F.min("id_master").alias("_master"))
+    )
+    masters = cut(masters, "masters")
     for kind, column in zip(fixed.MASTER_KINDS, columns):
-        lookup = (
-            tables["cd_cte_master_diaria"]
-            .where(F.col("cod_tipo_cliente") == kind)
-            .groupBy(F.col("id_cliente").alias(f"_key_{column}"))
-            .agg(F.min("id_master").alias(f"_master_{column}"))
+        lookup = masters.where(F.col("cod_tipo_cliente") == kind).select(
+            F.col("id_cliente").alias(f"_key_{column}"), F.col("_master").alias(f"_master_{column}")
         )
         links = links.withColumn(f"_key_{column}", spread_nulls(F.col(column), *salt)).join(
             lookup, f"_key_{column}", "left"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +52,7 @@ def read_scripts(spark: SparkSession, path: str, pattern: str = "*.sql") -> Data
     return (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
-        .option("wholetext", True)
-        .text(path)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
 
@@ -59,9 +60,9 @@ def read_scripts(spark: SparkSession, path: str, pattern: str = "*.sql") -> Data
 def folder_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Relative path, category and size of every file below a folder, without reading contents."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    root = path.rstrip("/") + "/"
-    relative = F.regexp_replace("path", r"^file:/+", "/")
-    relative = F.substring_index(relative, root, -1)
+    # The scheme of a path may be spelt with one slash or three.
+    root = re.sub(r"^\w+:/+", "/", path).rstrip("/") + "/"
+    relative = F.substring_index(F.regexp_replace("path", r"^\w+:/+", "/"), root, -1)
     return inventory(files.select(relative.alias("relative_path"), F.col("length").alias("size_bytes")))
 
 

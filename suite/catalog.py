@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import fixed_values as fixed
+from ledgerloom.operators import merge
 from ledgerloom.plans import runs
 from suite import catalog_inputs  # noqa: F401  (registers the bindings)
 from suite.lab import CHECKS, PARAMS, Lab
@@ -269,3 +270,21 @@ def run_bundle(lab: Lab) -> DataFrame:
     versions = runs.contract_versions(lab["app_runs"], lab["run_analysis"], lab["stored_objects"])
     contract = versions.select("run_id", F.lit(0).cast("bigint").alias("id"), "table_name", "yaml_text")
     return runs.run_sections(sections | {"run_audit_summary": kinds, "datacontract_version": contract})
+
+
+CHECKS["renewed"] = """
+SELECT run_id, module_key, pos, upper(source_table) AS source_table FROM {run_module_sources}
+WHERE CAST(right(run_id, 1) AS INT) = 3 AND pos % 2 = 0"""
+
+
+@query(
+    "run_slice_replace",
+    """
+SELECT run_id, module_key, pos, source_table FROM {run_module_sources} s ANTI JOIN {renewed} r USING (run_id)
+UNION ALL SELECT * FROM {renewed}""",
+)
+def run_slice_replace(lab: Lab) -> DataFrame:
+    """Source rows of some runs written anew: all old rows of those runs go."""
+    base = lab["run_module_sources"].select("run_id", "module_key", "pos", "source_table")
+    some = base.where("CAST(right(run_id, 1) AS INT) = 3 AND pos % 2 = 0")
+    return merge.replace_slice(base, some.withColumn("source_table", F.upper("source_table")), ["run_id"])

@@ -440,6 +440,34 @@ def audit_summary(lab: Lab) -> DataFrame:
 
 # ---------------------------------------------------------------- scripts
 
+
+def _script_folder(lab: Lab) -> str:
+    """Scripts written as one file each, in a folder named by the script."""
+    path = scratch_path(lab.spark, "scripts")
+    name = F.regexp_replace("path", "[^A-Za-z0-9]+", "_")
+    lab["scripts"].select(name.alias("script"), "text").write.partitionBy("script").text(path)
+    return path
+
+
+NAMED = "regexp_replace(path, '[^A-Za-z0-9]+', '_', 'g')"
+
+
+@query("script_files", f"SELECT {NAMED} AS script, sha256(text || chr(10)) AS text_hash FROM {{scripts}}")
+def script_files(lab: Lab) -> DataFrame:
+    read = text.read_scripts(lab.spark, _script_folder(lab), pattern="*.txt")
+    return read.select(
+        F.regexp_extract("path", "script=([^/]+)/", 1).alias("script"), F.sha2(F.col("text").cast("binary"), 256).alias("text_hash")
+    )
+
+
+@query(
+    "folder_inventory",
+    f"SELECT 'script=' || {NAMED} AS folder, 'other' AS file_category, octet_length(encode(text)) + 1 AS size_bytes FROM {{scripts}}",
+)
+def folder_inventory(lab: Lab) -> DataFrame:
+    files = text.folder_inventory(lab.spark, _script_folder(lab)).where("relative_path LIKE '%.txt'")
+    return files.select(F.split_part("relative_path", F.lit("/"), F.lit(1)).alias("folder"), "file_category", "size_bytes")
+
 TOKEN = r"'[$]\{{[^}}]+\}}'"
 CHECKS["tokens"] = f"SELECT DISTINCT path, unnest(regexp_extract_all(text, {TOKEN})) AS token FROM {{scripts}}"
 

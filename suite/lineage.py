@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,8 +129,9 @@ READY = "include_in_catalog AND review_status IN ('candidate', 'approved')"
 
 @query("registry_ready", f"SELECT * FROM {{registry_base}} WHERE {READY}")
 def registry_ready(lab: Lab) -> DataFrame:
-    registry.ready_rows(lab["registry_base"]).createOrReplaceTempView("source_registry_ready")
-    return lab.spark.table("source_registry_ready")
+    view = f"source_registry_ready_{uuid.uuid4().hex}"
+    registry.ready_rows(lab["registry_base"]).createOrReplaceTempView(view)
+    return lab.spark.table(view)
 
 
 @query(

@@ -92,8 +92,9 @@ FROM {clientes} c LEFT JOIN {cuentas} a ON a.cliente_id = c.cliente_id
 GROUP BY ALL ORDER BY saldo_total DESC""",
 )
 def dash_summary(lab: Lab) -> DataFrame:
-    kpi.region_summary(lab["clientes"], lab["cuentas"]).createOrReplaceTempView("v_dashboard_resumen")
-    return lab.spark.table("v_dashboard_resumen")
+    view = f"v_dashboard_resumen_{uuid.uuid4().hex}"
+    kpi.region_summary(lab["clientes"], lab["cuentas"]).createOrReplaceTempView(view)
+    return lab.spark.table(view)
 
 
 @query(

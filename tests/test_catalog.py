@@ -203,14 +203,14 @@ def test_profile_takes_first_filled_value(spark):
 
 def test_folder_inventory_and_scripts(spark, tmp_path):
     (tmp_path / "sql").mkdir()
-    (tmp_path / "sql" / "a.sql").write_text("select 1")
+    (tmp_path / "sql" / "a.sql").write_text("select\n1")
     (tmp_path / "config.yml").write_text("x")
     got = text.folder_inventory(spark, str(tmp_path)).orderBy("relative_path")
     assert rows(got, "relative_path", "file_category", "size_bytes") == [
         ("config.yml", "config", 1),
         ("sql/a.sql", "sql", 8),
     ]
-    assert rows(text.read_scripts(spark, str(tmp_path)), "text") == [("select 1",)]
+    assert rows(text.read_scripts(spark, str(tmp_path)), "text") == [("select\n1",)]
 
 
 @pytest.mark.parametrize(
