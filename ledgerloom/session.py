@@ -67,10 +67,11 @@ _RUN_FOLDERS: list[str] = []
 
 
 @contextmanager
-def run_folder(spark: SparkSession) -> Iterator[str]:
+def run_folder(spark: SparkSession, keep: bool = False) -> Iterator[str]:
     """Put all intermediate tables of a job into one folder, and remove that folder when the job has ended.
 
-    Results that are read after the block must have been written elsewhere.
+    Results that are read after the block must have been written elsewhere. With ``keep`` the folder stays, for the
+    caller to remove.
     """
     folder = os.path.join(shared_dir(spark), "ledgerloom", uuid.uuid4().hex)
     _RUN_FOLDERS.append(folder)
@@ -78,8 +79,14 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
         yield folder
     finally:
         _RUN_FOLDERS.remove(folder)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if not keep:
+            remove_folder(spark, folder)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
