@@ -33,7 +33,11 @@ BROADCAST_BYTES = 160 << 20
 #: Text bytes of the corpus for each bucket.
 BUCKET_BYTES = 8 << 20
 #: N-grams that a task gathers before it adds them up.
-GATHERED = 1 << 21
+GATHERED = 1 << 20
+#: Text bytes handled at once.
+SLICE = 1 << 20
+#: Partitions in which a model goes to the driver, one at a time.
+PIECES = 8
 #: Hash functions, and bits for every pair held: fewer than one absent pair in 100 seems held.
 PROBES = 7
 BITS_PER_PAIR = 10.1
@@ -98,7 +102,7 @@ def _count(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, held, tokens = {UNIGRAM: [], BIGRAM: []}, 0, 0
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", SLICE):
             own, history, first = _tokens(rows.column("text"))
             tokens += len(own)
             begins = np.full(len(first) - 1, _BEGIN, np.uint64)
@@ -183,25 +187,34 @@ def _build(group: pa.Table) -> pa.Table:
 class Part:
     """Some buckets of a model, as read by workers."""
 
-    def __init__(self, bits: int, rows: list):
-        rows = sorted(rows, key=lambda r: r["bucket"])
+    def __init__(self, bits: int, model: DataFrame):
+        """Fills arrays of known size from one partition of ``model`` after another."""
+        size = F.octet_length
+        told = model.select("bucket", (size("words") / 8).cast("bigint"), size("filter")).orderBy("bucket").collect()
+        words, held = np.cumsum([0] + [r[1] for r in told]), np.cumsum([0] + [r[2] for r in told])
         self.bits = bits
-        self.words = np.frombuffer(b"".join(r["words"] for r in rows), np.uint64)
-        self.counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.int64)
-        self.filter = np.frombuffer(b"".join(r["filter"] for r in rows), np.uint8)
+        self.words, self.counts = np.empty(words[-1], np.uint64), np.empty(words[-1], np.uint32)
+        self.filter = np.empty(held[-1], np.uint8)
         #: Size in bits and first bit of each bucket's filter; size 0 for buckets of other parts.
         self.size, self.begin = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
-        begin = 0
-        for r in rows:
-            self.size[r["bucket"]], self.begin[r["bucket"]] = len(r["filter"]) * 8, begin
-            begin += len(r["filter"]) * 8
+        place = {r[0]: n for n, r in enumerate(told)}
+        for r in model.select("bucket", "words", "counts", "filter").coalesce(PIECES).toLocalIterator():
+            n = place[r["bucket"]]
+            own = slice(words[n], words[n + 1])
+            self.words[own] = np.frombuffer(r["words"], np.uint64)
+            counts = np.frombuffer(r["counts"], np.int64)
+            if counts.max(initial=0) >= 1 << 32:
+                self.counts = self.counts.astype(np.int64)
+            self.counts[own] = counts
+            self.filter[held[n] : held[n + 1]] = np.frombuffer(r["filter"], np.uint8)
+            self.size[r["bucket"]], self.begin[r["bucket"]] = len(r["filter"]) * 8, held[n] * 8
 
     def exact(self, hashes: np.ndarray) -> np.ndarray:
         """Counts of words in the training text, 0 for words not held here; ``hashes`` are sorted."""
         if not len(self.words):
             return np.zeros(len(hashes), np.int64)
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.counts[at], 0)
+        return np.where(self.words[at] == hashes, self.counts[at], 0).astype(np.int64)
 
     def levels(self, hashes: np.ndarray, kind: int) -> np.ndarray:
         """Levels read for n-grams; 0 for absent ones and those of other parts."""
@@ -225,7 +238,7 @@ def _read(part, carried: bool, totals: tuple[int, int] | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Part = part.value
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", SLICE):
             tokens, history, first = _tokens(rows.column("text"))
             sizes = np.diff(first)
             distinct, place = np.unique(np.append(tokens, _BEGIN), return_inverse=True)
@@ -301,7 +314,7 @@ def lm_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "tex
     common = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint"
     for number in range(parts):
         last = number == parts - 1
-        own = Part(bits, model.where(part == number).collect())
+        own = Part(bits, model.where(part == number))
         if number:
             rows = cut(rows, "scored")
         rows = rows.mapInArrow(
