@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,28 +13,43 @@ from ledgerloom.llm.decontaminate import decontaminate
 from ledgerloom.llm.jaccard_join import jaccard_join
 from ledgerloom.llm.packing import pack, with_texts
 from ledgerloom.llm.quality import classify
-from ledgerloom.llm.rows import keyed
+from ledgerloom.llm.rows import keyed, without, without_ids
 from ledgerloom.llm.substring_dedup import removed_from, substring_dedup
-from ledgerloom.session import cut
+from ledgerloom.session import cut, remove_folder, run_folder
 
 #: No SQL: the classifier is fitted and buckets are chosen by dynamic programming. Each stage is tested by itself.
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents whose doc_id and text are not among the rows (doc_id, row_hash) ``gone``."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_doc"), "text")
-    named = gone.select(F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_hash"), F.lit(1).alias("_gone"))
-    same = rows["_doc"].eqNullSafe(named["_doc"]) & (F.xxhash64(rows["text"]) == named["_hash"])
-    return rows.join(named, same, "left_anti").select("row.*")
+#: Folders of intermediate tables of the stage that ran last.
+_USED: list[str] = []
 
 
+def _stage(build: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """A stage whose intermediate tables have a folder of their own.
+
+    A stage's result is written before the next stage begins, so what the stage before it has kept is removed then.
+    """
+
+    @wraps(build)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _USED:
+            remove_folder(spark, _USED.pop())
+        with run_folder(spark, keep=True) as folder:
+            _USED.append(folder)
+            return build(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     judged = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, cut(judged.where("not keep").select("doc_id", "row_hash").distinct(), "rejected"))
+    return without(docs, cut(judged.where("not keep").select("doc_id", "row_hash").distinct(), "rejected"))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares four fifths of its 5-word shingles: the one of the smallest id.
 
@@ -43,26 +60,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
     repeated = cut(repeated.select("doc_id"), "repeated")
     columns = docs.columns
-    first = docs.join(later, "doc_id", "left_anti")
-    once = first.join(repeated, "doc_id", "left_anti").select(columns)
+    first = without_ids(docs, later).select(columns)
     if repeated.isEmpty():
-        return once
+        return first
+    once = without_ids(first, repeated).select(columns)
     several = keyed(first.join(repeated, "doc_id", "left_semi").select(F.struct(*columns).alias("row"), "doc_id", "text"))
     least = several.groupBy("doc_id").agg(F.min_by("row", "row_hash").alias("row")).select("row.*")
     return once.unionByName(least.select(columns))
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 50-word windows that a document of smaller id holds; wholly repeated ones go."""
     return removed_from(docs, cut(substring_dedup(docs, window=50), "repeats"))
 
 
+@_stage
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark items."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=13, share=20)
-    return _without(docs, cut(found.where("contaminated").select("doc_id", "row_hash").distinct(), "contaminated"))
+    return without(docs, cut(found.where("contaminated").select("doc_id", "row_hash").distinct(), "contaminated"))
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Batches: a row per piece of a document, with its text, bucket, batch and slot."""
     return with_texts(pack(docs, longest=2048, buckets=16, budget=32_768), docs).drop("row_hash")

@@ -30,6 +30,8 @@ from ledgerloom.llm.rows import fetched, keyed
 from ledgerloom.llm.words import SPACED, grams, mix, slices, whole, words
 from ledgerloom.session import cut
 
+#: Text bytes handled at once.
+SLICE = 1 << 20
 #: Coordinates of a point.
 GROUPS = 64
 #: Documents of one block of a file; a tree holds at most two blocks.
@@ -92,7 +94,7 @@ def _long_lists(values: list[np.ndarray], kind: pa.DataType = pa.int64()) -> pa.
 
 def _signatures(size: int, similarity: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", SLICE):
             sets, offsets = shingle_sets(rows.column("text"), size)
             counts, first, second, keys, points = np.diff(offsets), [], [], [], []
             for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -118,7 +120,7 @@ def _signatures(size: int, similarity: Fraction):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", SLICE):
             sets, offsets = shingle_sets(rows.column("text"), size)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sets.view(np.int64)))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), lists], ["node", "shingles"])

@@ -21,3 +21,20 @@ def fetched(docs: DataFrame, wanted: DataFrame, keys: list[str], most: int) -> D
     """
     picked = wanted.select(*keys).distinct()
     return docs.join(F.broadcast(picked) if most <= BROADCAST_KEYS else picked, keys, "left_semi")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents whose doc_id and text are not among the rows (doc_id, row_hash) ``gone``, a written table.
+
+    Few rows are broadcast, as in :func:`fetched`. Columns of the documents may have any names.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_doc"), "text")
+    named = gone.select(F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_hash"))
+    named = F.broadcast(named) if gone.count() <= BROADCAST_KEYS else named
+    same = rows["_doc"].eqNullSafe(named["_doc"]) & (F.xxhash64(rows["text"]) == named["_hash"])
+    return rows.join(named, same, "left_anti").select("row.*")
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents whose doc_id is not in ``gone``, a written table of distinct ids; a NULL doc_id never is."""
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "doc_id", "left_anti")
