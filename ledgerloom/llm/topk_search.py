@@ -24,7 +24,7 @@ SHARD_ROWS = 16_384
 LEAF_ROWS = 64
 #: Queries of one broadcast hold at most this many components, 32 MB.
 BLOCK_VALUES = 4 << 20
-#: Scores kept in flight by a task.
+#: Queries handled together.
 GROUP = 256
 #: Whole numbers up to here are exact as floats.
 EXACT = 1 << 53
@@ -133,23 +133,34 @@ def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The best k (score, smaller id first) of some queries."""
-
-    def __init__(self, n: int, k: int, floor: np.ndarray):
-        self.k, self.floor = k, floor.copy()
-        self.score = np.full((n, k), np.iinfo(np.int64).min)
-        self.id = np.full((n, k), np.iinfo(np.int64).max)
-        self.real = np.zeros((n, k), bool)
-
-    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray) -> None:
-        score = np.concatenate([self.score[rows], np.where(allowed, scores, np.iinfo(np.int64).min)], axis=1)
-        key = np.concatenate([self.id[rows], np.where(allowed, ids, np.iinfo(np.int64).max)], axis=1)
-        real = np.concatenate([self.real[rows], allowed], axis=1)
-        order = np.lexsort((key, ~score, ~real), axis=1)[:, : self.k]
-        pick = np.arange(len(rows))[:, None], order
-        self.score[rows], self.id[rows], self.real[rows] = score[pick], key[pick], real[pick]
-        full = self.real[rows].all(1)
-        self.floor[rows] = np.where(full, np.maximum(self.floor[rows], self.score[rows, -1].astype(np.float64)), self.floor[rows])
+    """The best k (score, smaller id first) of some queries, among what reaches their known k-th score."""
+
+    def __init__(self, k: int, own: np.ndarray, floor: np.ndarray):
+        self.k, self.own, self.floor = k, own, floor.copy()
+        self.parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
+        self.waiting = 0
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, keys: np.ndarray) -> None:
+        """Scores of the queries ``rows`` with the vectors ``keys``; a query is no partner of itself."""
+        reach = (scores >= self.floor[rows][:, None]) & (keys != self.own[rows][:, None])
+        at = np.nonzero(reach)
+        if len(at[0]):
+            self.parts.append((rows[at[0]], scores[at], keys[at[1]]))
+            self.waiting += len(at[0])
+            if self.waiting > 16 * self.k * len(self.own) + (1 << 16):
+                self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keeps the best k of each query, and raises the floors of those that have k."""
+        row, score, key = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((key, ~score, row))
+        row, score, key = row[order], score[order], key[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last = place == self.k - 1
+        self.floor[row[last]] = np.maximum(self.floor[row[last]], score[last])
+        keep = place < self.k
+        self.parts, self.waiting = [(row[keep], score[keep], key[keep])], 0
+        return self.parts[0]
 
 
 def _search(block, k: int, whole: bool):
@@ -162,56 +173,61 @@ def _search(block, k: int, whole: bool):
         size = row["size"]
         held, keys = np.frombuffer(row["vectors"], np.float64), np.frombuffer(row["vec_ids"], np.int64)
         held, tree = held.reshape(len(keys), size), BallTree.unpacked(row, size)
-        best = _Best(len(ids), k, floors)
+        best = _Best(k, ids, floors)
         with np.errstate(over="ignore", invalid="ignore"):
-            length = np.sqrt((vectors**2).sum(1))
+            length, spread = np.sqrt((vectors**2).sum(1)), np.abs(tree.center).sum(1) + tree.radius
 
-        def bound(rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        def bounds(rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+            """Upper bounds on the inner products of each query (rows) with what lies under each node (columns)."""
             with np.errstate(over="ignore", invalid="ignore"):
-                middle = (vectors[rows] * tree.center[nodes]).sum(1)
-                value = middle + length[rows] * tree.radius[nodes]
-                margin = 1e-9 * (length[rows] * (np.abs(tree.center[nodes]).sum(1) + tree.radius[nodes])) + 1e-6
+                value = vectors[rows] @ tree.center[nodes].T + length[rows, None] * tree.radius[nodes]
+                margin = 1e-9 * length[rows, None] * spread[nodes] + 1e-6
             return np.nan_to_num(value + margin, nan=np.inf)
 
         def open_leaves(rows: np.ndarray, leaves: np.ndarray) -> None:
-            for leaf in np.unique(leaves):
-                own = rows[leaves == leaf]
-                at = slice(tree.begin[leaf], tree.end[leaf])
-                if tree.begin[leaf] == tree.end[leaf]:
-                    continue
-                scores = _scores(vectors[own], held[at])
-                new = np.broadcast_to(keys[at], scores.shape)
-                best.add(own, scores, new, new != ids[own][:, None])
-
-        for start in range(0, len(ids), GROUP):
-            rows = np.arange(start, min(start + GROUP, len(ids)))
+            order = np.argsort(leaves, kind="stable")
+            rows, leaves = rows[order], leaves[order]
+            starts = np.flatnonzero(np.concatenate([[True], leaves[1:] != leaves[:-1]])) if len(leaves) else []
+            for start, end in zip(starts, [*starts[1:], len(leaves)]):
+                at = slice(tree.begin[leaves[start]], tree.end[leaves[start]])
+                if at.start < at.stop:
+                    best.add(rows[start:end], _scores(vectors[rows[start:end]], held[at]), keys[at])
+            best.settle()
+
+        for begin in range(0, len(ids), GROUP):
+            rows = np.arange(begin, min(begin + GROUP, len(ids)))
             if not whole:
                 # Down to the child of the larger bound.
                 node = np.zeros(len(rows), np.int64)
                 while (node < tree.leaves).any():
                     left = 2 * node + 1
-                    node = np.where(bound(rows, left) >= bound(rows, left + 1), left, left + 1)
+                    level = np.arange(left.min(), left.max() + 2)
+                    bound = bounds(rows, level)
+                    at = np.arange(len(rows)), left - level[0]
+                    node = np.where(bound[at] >= bound[at[0], at[1] + 1], left, left + 1)
                 open_leaves(rows, node)
                 continue
-            # One frontier for the group: the open node of the largest bound of every query, until none is left.
-            nodes = np.zeros(len(rows), np.int64)
-            while tree.leaves and (nodes < tree.leaves).any():
-                rows, nodes = np.concatenate([rows, rows]), np.concatenate([2 * nodes + 1, 2 * nodes + 2])
-                keep = bound(rows, nodes) >= best.floor[rows]
-                rows, nodes = rows[keep], nodes[keep]
-                if not len(rows):
+            # Level by level, nodes whose bound is below the k-th score go with all that is under them.
+            open_ = np.ones((len(rows), 1), bool)
+            level = np.zeros(1, np.int64)
+            while level[0] < tree.leaves:
+                level = np.arange(2 * level[0] + 1, 2 * level[-1] + 3)
+                bound = bounds(rows, level)
+                open_ = np.repeat(open_, 2, axis=1) & (bound >= best.floor[rows][:, None])
+            bound = np.where(open_, bounds(rows, level), -np.inf)
+            # Leaves in the order of their bounds, a few first and then more, as each batch may raise the k-th score.
+            ranked, done, batch = np.argsort(-bound, axis=1, kind="stable"), 0, 2
+            while done < len(level):
+                pick = ranked[:, done : done + batch]
+                value = np.take_along_axis(bound, pick, axis=1)
+                now = np.nonzero((value > -np.inf) & (value >= best.floor[rows][:, None]))
+                if not len(now[0]):
                     break
-            value = bound(rows, nodes)
-            order = np.lexsort((-value, rows))
-            rows, nodes, value = rows[order], nodes[order], value[order]
-            turn = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            for step in range(int(turn.max(initial=-1)) + 1):
-                now = np.flatnonzero(turn == step)
-                now = now[value[now] >= best.floor[rows[now]]]
-                open_leaves(rows[now], nodes[now])
-        at = np.nonzero(best.real)
+                open_leaves(rows[now[0]], level[pick[now]])
+                done, batch = done + batch, batch * 4
+        row_of, score, key = best.settle()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[at[0]]), pa.array(best.id[at]), pa.array(best.score[at])], ["query_id", "vec_id", "score"]
+            [pa.array(ids[row_of]), pa.array(key), pa.array(score)], ["query_id", "vec_id", "score"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +247,7 @@ def _by_size(rows: list, floors: dict) -> dict[str, dict[int, np.ndarray]]:
         own = [r for r in rows if r["size"] == size]
         out["ids"][size] = np.array([r["vec_id"] for r in own], np.int64)
         out["vectors"][size] = np.array([r["vector"] for r in own], np.float64).reshape(len(own), size)
-        out["floors"][size] = np.array([floors.get(r["vec_id"], -np.inf) for r in own], np.float64)
+        out["floors"][size] = np.array([floors.get(r["vec_id"], np.iinfo(np.int64).min) for r in own], np.int64)
     return out
 
 
@@ -262,7 +278,7 @@ def top_k(
         first = spark.sparkContext.broadcast(_by_size(rows, {}))
         near = index.mapInArrow(_search(first, k, False), _FOUND)
         kth = near.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") == k).select("query_id", "score")
-        floors = {r[0]: float(r[1]) for r in kth.collect()}
+        floors = {r[0]: r[1] for r in kth.collect()}
         second = spark.sparkContext.broadcast(_by_size(rows, floors))
         found = index.mapInArrow(_search(second, k, True), _FOUND)
         best = found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
