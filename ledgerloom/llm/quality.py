@@ -3,7 +3,7 @@
 Two questions are asked of every document, whether it is junk and whether it is toxic, each by several overlapping
 labellers that vote yes (2), no (1) or abstain (0). Junk labellers look at style. Toxicity labellers look for words that the labelled documents show to be toxic; what those are
 is counted on a bounded sample of labels (``LABELLED`` rows), as toxic words differ from corpus to corpus. Labellers
-overlap: the words are dealt to parts by hash, and each labeller knows all parts but one.
+overlap: the words are dealt to parts by hash, and each labeller adds up the weights of the words of all parts but one.
 
 The votes of all documents are counted by pattern, of which there are few (3 to the number of labellers), and EM runs on
 the counts: it estimates how often each labeller votes what for either class, without any true label. The posteriors of
@@ -21,14 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.rows import keyed
-from ledgerloom.llm.words import ALNUM, SPACED, Words, mix, slices, words
+from ledgerloom.llm.words import ALNUM, SPACED, Words, hashed, mix, slices, words
 from ledgerloom.session import cut
 
 #: The most labelled documents that items are counted on, and documents that the scorer is fitted on, by least hash.
 LABELLED = 50_000
 FITTED = 20_000
-#: The most toxic words kept.
-ITEMS = 8192
+#: A word counts as toxic if chance would put it into toxic documents so often only less than this.
+CHANCE = 1e-4
+#: Bytes of the beginnings of longer words that are counted besides whole words, for words seen too seldom.
+STEMS = (8, 6, 4)
+#: A labeller votes toxic where its words make that so many times as likely as not.
+SURE = 40.0
 #: Features are hashed to so many weights.
 WEIGHTS = 1 << 16
 #: Parts of the toxic words, and labellers that know all parts but one.
@@ -101,26 +105,41 @@ def style_votes(numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return votes
 
 
+def _distinct(value: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every value of a text once."""
+    order = np.lexsort((value, texts))
+    value, texts = value[order], texts[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (value[1:] != value[:-1]) | (texts[1:] != texts[:-1])
+    return value[new], texts[new]
+
+
+def _stems(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words of more than ``size`` bytes, and the hashes of their beginnings."""
+    long = np.flatnonzero(found.ends - found.starts > size)
+    starts = found.starts[long]
+    return long, mix(hashed(found.data, starts, starts + size) + np.uint64(size))
+
+
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of every labelled text."""
+    """Distinct words and beginnings of words of every labelled text."""
     for rows in slices(batches, "text"):
         toxic = rows.column("toxic").to_numpy()
         found = words(rows.column("text"), ALNUM, fold=True)
-        texts = found.text_of
-        order = np.lexsort((found.hashes, texts))
-        value, texts = found.hashes[order], texts[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (value[1:] != value[:-1]) | (texts[1:] != texts[:-1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(value[new].view(np.int64)), pa.array(toxic[texts[new]].astype(np.int64))], ["word", "toxic"]
-        )
+        kinds = [(np.arange(len(found.hashes)), found.hashes), *(_stems(found, size) for size in STEMS)]
+        for place, value in kinds:
+            value, texts = _distinct(value, found.text_of[place])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(value.view(np.int64)), pa.array(toxic[texts].astype(np.int64))], ["word", "toxic"]
+            )
 
 
-def toxic_words(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Hashes of the words of labelled documents that go with toxicity, sorted; at most ``ITEMS``.
+def toxic_words(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Hashes of the words of labelled documents that go with toxicity, sorted, their weights, and the weight of no word.
 
-    A word counts if 97 in 100 of its documents are toxic, it is in one in two hundred toxic documents, and chance would
-    put it into toxic documents only less than once in a million.
+    Beginnings of words are counted as words are. A word counts if chance would put it into toxic documents so often only less than ``CHANCE`` (the Chernoff bound of its
+    own documents, so neither a rare language nor many labels raise the bar). Its weight is the smoothed log odds of its
+    documents against those of all, so that a clean document lowers it and does not drop it.
     """
     chosen = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = cut(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED), "labelled")
@@ -131,14 +150,19 @@ def toxic_words(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     known = cut(known.groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled_texts")
     total, toxic = known.agg(F.count("*"), F.sum("toxic")).first()
     if not toxic or toxic == total:
-        return np.empty(0, np.uint64)
-    least = max(np.log(1e-6) / np.log(toxic / total), toxic / 200)
+        return np.empty(0, np.uint64), np.empty(0), 0.0
+    share = toxic / total
     counted = known.mapInArrow(_word_rows, "word bigint, toxic bigint").groupBy("word").agg(
         F.count("*").alias("held"), F.sum("toxic").alias("toxic")
     )
-    wanted = counted.where((F.col("toxic") >= least) & (100 * F.col("toxic") >= 97 * F.col("held")))
-    best = wanted.orderBy(F.desc("toxic"), "held", "word").limit(ITEMS).collect()
-    return np.sort(np.array([r["word"] for r in best], np.int64).view(np.uint64))
+    bad, good = F.col("toxic"), F.col("held") - F.col("toxic")
+    against = F.when(good > 0, good * F.log(good / F.col("held") / (1 - share))).otherwise(0.0)
+    surprise = F.when(bad > share * F.col("held"), bad * F.log(bad / F.col("held") / share) + against)
+    weight = F.log((bad + share) / (good + 1 - share)) - float(np.log(share / (1 - share)))
+    best = counted.where(surprise > -float(np.log(CHANCE))).select("word", weight.alias("weight")).toArrow()
+    found = best.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(found)
+    return found[order], best.column("weight").to_numpy()[order], float(np.log(share / (1 - share)))
 
 
 def _hashed(kind: int, value: np.ndarray) -> np.ndarray:
@@ -149,7 +173,7 @@ def _judged(known):
     """Votes and hashed features of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = known.value
+        wanted, weights, base = known.value
         marks = np.zeros(1 << 20, bool)
         marks[(mix(wanted) & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         for rows in slices(batches, "text"):
@@ -162,19 +186,30 @@ def _judged(known):
             features = _hashed(0, steps.astype(np.int64) * 64 + np.arange(steps.shape[1])).reshape(steps.shape)
             junk_features = [np.unique(x) for x in features]
             found = words(rows.column("text"), ALNUM, fold=True)
-            maybe = np.flatnonzero(marks[(mix(found.hashes) & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            if len(wanted):
-                at = np.minimum(np.searchsorted(wanted, found.hashes[maybe]), len(wanted) - 1)
-                maybe = maybe[wanted[at] == found.hashes[maybe]]
-            value, texts_of = found.hashes[maybe], found.text_of[maybe]
+            # A word stands for itself if it is known, else for its longest known beginning.
+            item = np.full(len(found.hashes), -1)
+            for size in (*STEMS[::-1], 0) if len(wanted) else ():
+                place, value = _stems(found, size) if size else (np.arange(len(found.hashes)), found.hashes)
+                maybe = np.flatnonzero(marks[(mix(value) & np.uint64((1 << 20) - 1)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(wanted, value[maybe]), len(wanted) - 1)
+                same = wanted[at] == value[maybe]
+                item[place[maybe[same]]] = at[same]
+            held = np.flatnonzero(item >= 0)
+            # A text's repeated word counts once.
+            once = np.unique(np.stack([found.text_of[held], found.hashes[held].view(np.int64), item[held]]), axis=1)
+            texts_of, value, weight = once[0], wanted[once[2]], weights[once[2]]
             part = (mix(value) % np.uint64(PARTS)).astype(np.int64)
             toxic = np.zeros((n, PARTS), np.int64)
-            for kind in range(PARTS):
-                toxic[:, kind] = np.bincount(texts_of[part != kind], minlength=n)
-            toxic = np.where(toxic > 0, 2, 1) if len(wanted) else toxic
-            # Besides each word its part is a feature, for words that no fitted document holds.
-            texts_of = np.concatenate([texts_of, texts_of])
-            hits = np.concatenate([_hashed(1, value), _hashed(2, part)])
+            for kind in range(PARTS) if len(wanted) else ():
+                own = part != kind
+                odds = np.bincount(texts_of[own], weights=weight[own], minlength=n)
+                # Words that leave it open say nothing.
+                toxic[:, kind] = np.where(base + odds > np.log(SURE), 2, np.where((odds == 0) | (base + odds < 0), 1, 0))
+            # Besides each word the odds in steps are a feature, for words that no fitted document holds.
+            held = np.unique(texts_of)
+            odds = base + np.bincount(texts_of, weights=weight, minlength=n)[held]
+            texts_of = np.concatenate([texts_of, held])
+            hits = np.concatenate([_hashed(1, value), _hashed(2, (np.clip(np.floor(odds), -4, 8) + 4))])
             toxic[plain.counts == 0] = 0
             order = np.argsort(texts_of, kind="stable")
             edges = np.searchsorted(texts_of[order], np.arange(n + 1))

@@ -74,6 +74,11 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.n
     return mix(out + (ends - starts).astype(np.uint64))
 
 
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges in ascending order, A-Z as a-z."""
+    return _hashes(data, starts, ends, _FOLDED)
+
+
 @dataclass
 class Words:
     """Words of some texts: byte ranges in ``data``, hashes, and ``first[i]:first[i + 1]`` for the words of text i."""
