@@ -6,7 +6,8 @@ is counted on a bounded sample of labels (``LABELLED`` rows), as toxic words dif
 overlap: the words are dealt to parts by hash, and each labeller adds up the weights of the words of all parts but one.
 
 The votes of all documents are counted by pattern, of which there are few (3 to the number of labellers), and EM runs on
-the counts: it estimates how often each labeller votes what for either class, without any true label. The posteriors of
+the counts, for toxicity and for each kind of junk by itself: it estimates how often each labeller votes what for either
+class, without any true label. The posteriors of
 the patterns are then the targets of a logistic regression over hashed features (style in steps, and the toxic words a
 document holds), fitted on at most ``FITTED`` documents, chosen by hash. Its scores decide.
 """
@@ -39,6 +40,8 @@ WEIGHTS = 1 << 16
 PARTS = 3
 
 STYLES = ("symbols", "capitals", "repeats", "distinct", "letters", "word_length", "short_words")
+#: Kinds of junk, by the places of the styles that know it: odd signs, repetition, odd words.
+KINDS = ((0, 1, 4), (2, 3), (5, 6))
 #: For each style: below the first bound or above the last it votes junk, between the inner two it votes against.
 BOUNDS = {
     "symbols": (-1.0, -1.0, 0.002, 0.02),
@@ -234,22 +237,28 @@ def _judged(known):
 def posteriors(patterns: dict[str, int], rounds: int = 100) -> dict[str, float]:
     """The probability of yes for every vote pattern, by EM over patterns and their counts.
 
-    Either class has its own share of yes and no for each labeller; an abstention says nothing. The start is the patterns themselves: more yes than no
-    votes, or any yes among abstentions, is a likely yes. Patterns without a yes vote start as an unlikely one.
+    Either class has its own share of yes and no for each labeller; an abstention says nothing. No yes vote is evidence
+    for no: a labeller that would say yes more often in the class no gets one share for both. The start is the patterns
+    themselves: more yes than no votes are a likely yes, as many or fewer a less likely one, none an unlikely one.
     """
     names = sorted(patterns)
     votes = np.array([[int(v) for v in name] for name in names])
     weight = np.array([patterns[name] for name in names], float)
     if votes.size == 0:
         return {name: 0.0 for name in names}
-    yes = np.where((votes == 2).any(1), 0.9, 0.02)
+    for_, against = (votes == 2).sum(1), (votes == 1).sum(1)
+    yes = np.select([for_ > against, (for_ == against) & (for_ > 0), for_ > 0], [0.9, 0.3, 0.1], 0.02)
     for _ in range(rounds):
         share = np.clip((weight * yes).sum() / weight.sum(), 1e-6, 1 - 1e-6)
         log = np.stack([np.full(len(names), np.log(1 - share)), np.full(len(names), np.log(share))])
         for labeller in range(votes.shape[1]):
-            for which, mass in enumerate((weight * (1 - yes), weight * yes)):
-                counts = np.bincount(votes[:, labeller], weights=mass, minlength=3)[1:]
-                log[which] += np.concatenate([[0], np.log((counts + 0.1) / (counts.sum() + 0.2))])[votes[:, labeller]]
+            held = [np.bincount(votes[:, labeller], weights=mass, minlength=3)[1:] for mass in (weight * (1 - yes), weight * yes)]
+            counts = np.stack(held) + 0.1
+            shares = counts / counts.sum(1, keepdims=True)
+            if shares[1, 1] < shares[0, 1]:
+                shares[:] = counts.sum(0) / counts.sum()
+            for which in (0, 1):
+                log[which] += np.concatenate([[0], np.log(shares[which])])[votes[:, labeller]]
         after = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
         if np.abs(after - yes).max() < 1e-9:
             break
@@ -257,6 +266,19 @@ def posteriors(patterns: dict[str, int], rounds: int = 100) -> dict[str, float]:
     return dict(zip(names, yes.tolist()))
 
 
+def of_any_kind(patterns: dict[str, int], kinds: tuple[tuple[int, ...], ...]) -> dict[str, float]:
+    """The probability that a vote pattern is of any kind, each kind judged by labellers of its own."""
+    none = dict.fromkeys(patterns, 1.0)
+    for kind in kinds:
+        part = {name: "".join(name[i] for i in kind) for name in patterns}
+        counts: dict[str, int] = {}
+        for name, own in part.items():
+            counts[own] = counts.get(own, 0) + patterns[name]
+        found = posteriors(counts)
+        none = {name: none[name] * (1 - found[part[name]]) for name in patterns}
+    return {name: 1 - p for name, p in none.items()}
+
+
 def fitted(features: list[np.ndarray], targets: np.ndarray, rounds: int = 1000) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on sets of hashed features, by gradient steps with momentum."""
     weights, bias = np.zeros(WEIGHTS), 0.0
@@ -324,7 +346,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = sample.select("junk_votes", "junk_features", "toxic_votes", "toxic_features").collect()
     for which in ("junk", "toxic"):
         counts = judged.where("n_words > 0").groupBy(f"{which}_votes").count().collect()
-        likely = posteriors({r[0]: r[1] for r in counts})
+        patterns = {r[0]: r[1] for r in counts}
+        likely = of_any_kind(patterns, KINDS) if which == "junk" else posteriors(patterns)
         targets = np.array([likely[r[f"{which}_votes"]] for r in chosen])
         model.append(fitted([np.array(r[f"{which}_features"], np.int64) for r in chosen], targets))
     scored = judged.mapInArrow(

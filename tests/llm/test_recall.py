@@ -38,3 +38,27 @@ def test_held_out_toxic_recall_by_language(spark):
     }
     assert min(found[lang, 1] for lang in ("en", "de", "fr")) > 0.9 and found["es", 1] > 0.1
     assert max(found[lang, 0] for lang in ("en", "de", "fr", "es")) < 0.04
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no data folder")
+def test_junk_recall_by_kind(spark):
+    docs, labels = (spark.read.parquet(f"{LARGER}/{name}.parquet") for name in ("documents", "labels"))
+    text = F.col("text")
+    kind = (
+        F.when(F.size(F.split(text, "!!")) > 6, "capitals")
+        .when(F.size(F.split(text, r" \| ")) > 6, "bars")
+        .when(text.rlike(r"(###|%%%|\$\$\$|&&&|\*\*\*)"), "signs")
+        .when(text.rlike(r"(?s)\b(\S+) \1 \1 \1 \1 "), "repeats")
+        .otherwise("other")
+    )
+    judged = quality.classify(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", kind.alias("kind")), "doc_id")
+    found = judged.where("n_words > 0").groupBy("quality", "kind").agg(F.avg((F.col("junk_score") > 0).cast("int")).alias("share"))
+    found = {(r["quality"], r["kind"]): r["share"] for r in found.collect()}
+    assert all(found[0, name] > 0.97 for name in ("capitals", "bars", "signs", "repeats"))
+    assert found[1, "other"] < 0.02
+
+
+def test_a_yes_vote_is_never_evidence_for_no():
+    counts = {"1111111": 8500, "2111011": 400, "2211211": 300, "2112011": 100, "1122111": 150, "1122110": 50, "0000000": 100}
+    found = quality.of_any_kind(counts, quality.KINDS)
+    assert found["1111111"] < 0.1 and min(found[name] for name in ("2211211", "1122111", "1122110")) > 0.5
