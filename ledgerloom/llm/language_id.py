@@ -28,8 +28,8 @@ from ledgerloom.session import cut
 
 #: Trigrams are hashed to so many counts.
 TRIGRAMS = 1 << 14
-#: Languages with a smaller share of the training documents are not learnt, so there are at most 200.
-LEAST_SHARE = 0.005
+#: Languages whose tables are broadcast at once (128 KB each); more take several passes over the pages.
+BLOCK_LANGUAGES = 512
 #: Weight of a trigram as evidence.
 TEMPER = 0.1
 #: Pages' worth of the wider group in the prior of a narrower one.
@@ -41,7 +41,8 @@ for _range in (range(0x41), range(0x5B, 0x61), range(0x7B, 0x80)):
     _FOLD[list(_range)] = 0x20
 
 _RAW = re.compile(rb"<(/?)(script|style)\b", re.I)
-_DECLARED = re.compile(rb"<html\b[^>]{0,2000}?\slang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
+_HTML = re.compile(rb"<html\b", re.I)
+_LANG = re.compile(rb"\slang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
 
 
 def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +107,22 @@ def plain_text(html: bytes) -> bytes:
     return np.where(hidden, np.uint8(0x20), data).tobytes()
 
 
-def _evidence(model):
+def declared_language(html: bytes) -> str | None:
+    """The lang attribute of the first html element that has one, in lower case; an unclosed tag reaches to the end."""
+    end = 0
+    for tag in _HTML.finditer(html):
+        if tag.start() < end:
+            continue
+        end = html.find(b">", tag.end())
+        end = len(html) if end < 0 else end
+        if mark := _LANG.search(html, tag.end(), end):
+            return mark[1].decode().lower()
+    return None
+
+
+def _evidence(model, first: bool, last: bool):
+    """Likelihoods under a block of languages, put behind those of the blocks before; the page goes on to the next."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
         for rows in slices(batches, "html"):
@@ -114,16 +130,15 @@ def _evidence(model):
             data, offsets = flat(pa.array([plain_text(page) for page in pages], pa.large_binary()))
             trigrams, texts = _trigrams(data, offsets)
             likely = np.stack([np.bincount(texts, weights=row[trigrams], minlength=len(pages)) for row in table], axis=1)
-            declared = [mark[1].decode().lower() if (mark := _DECLARED.search(page)) else None for page in pages]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column("page_id"),
-                    rows.column("host"),
-                    pa.array(declared, pa.string()),
-                    pa.array(list(likely), pa.list_(pa.float64())),
-                ],
-                ["page_id", "host", "declared", "likely"],
-            )
+            if first:
+                declared = pa.array([declared_language(page) for page in pages], pa.string())
+            else:
+                declared = rows.column("declared")
+                found = rows.column("likely").flatten().to_numpy().reshape(len(pages), -1)
+                likely = np.concatenate([found, likely], axis=1)
+            out = {"page_id": rows.column("page_id"), "host": rows.column("host"), "declared": declared}
+            out |= {"likely": pa.array(list(likely), pa.list_(pa.float64()))} | ({} if last else {"html": rows.column("html")})
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return run
 
@@ -152,13 +167,12 @@ def language_id(pages: DataFrame, documents: DataFrame) -> DataFrame:
     ``pages`` has page_id, url and html; ``documents`` text and lang, NULL languages ignored. ``lang`` has the largest
     posterior (of equals, the first by name), ``confidence`` is that, ``text_lang`` the best by text alone. A NULL or empty
     page is judged by the other evidence, a NULL url has no host and suffix; missing evidence counts as none. Without
-    training documents the languages are NULL. Repeated rows count each; other columns are ignored.
+    training documents the languages are NULL; every language that has a document is learnt. Repeated rows count each;
+    other columns are ignored.
     """
     spark = pages.sparkSession
     known = documents.where("lang is not null").select("lang", "text")
-    shares = known.groupBy("lang").count()
-    total = shares.agg(F.sum("count")).first()[0] or 0
-    rows = shares.where(F.col("count") >= LEAST_SHARE * total).orderBy("lang").collect()
+    rows = known.groupBy("lang").count().orderBy("lang").collect()
     languages, prior = [r[0] for r in rows], np.array([r[1] for r in rows], float)
     host = F.lower(F.regexp_extract("url", r"(?s)^.*?://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     located = pages.select("page_id", F.nullif(host, F.lit("")).alias("host"), "html")
@@ -168,16 +182,22 @@ def language_id(pages: DataFrame, documents: DataFrame) -> DataFrame:
             "page_id", none.alias("lang"), F.lit(None).cast("double").alias("confidence"), none.alias("text_lang"),
             none.alias("declared"), "host",
         )
-    counted = known.where(F.col("lang").isin(languages)).mapInArrow(_counts, "lang string, trigram int, n bigint")
-    counts = np.zeros((len(languages), TRIGRAMS))
-    for lang, trigram, n in counted.groupBy("lang", "trigram").agg(F.sum("n")).collect():
-        counts[languages.index(lang), trigram] = n
-    table = np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * TRIGRAMS))
-    kind = pages.schema["page_id"].dataType.simpleString()
-    evidence = located.mapInArrow(
-        _evidence(spark.sparkContext.broadcast(table)),
-        f"page_id {kind}, host string, declared string, likely array<double>",
-    )
+    counted = known.mapInArrow(_counts, "lang string, trigram int, n bigint").groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
+    blocks = [languages[i : i + BLOCK_LANGUAGES] for i in range(0, len(languages), BLOCK_LANGUAGES)]
+    counted = cut(counted, "trigrams") if len(blocks) > 1 else counted
+    kind, page = (pages.schema[name].dataType.simpleString() for name in ("page_id", "html"))
+    evidence = located
+    for number, block in enumerate(blocks):
+        first, last = number == 0, number == len(blocks) - 1
+        own = counted.where(F.col("lang").between(block[0], block[-1])).collect()
+        place, counts = {lang: i for i, lang in enumerate(block)}, np.zeros((len(block), TRIGRAMS))
+        for lang, trigram, n in own:
+            counts[place[lang], trigram] = n
+        table = np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * TRIGRAMS))
+        schema = f"page_id {kind}, host string, declared string, likely array<double>" + ("" if last else f", html {page}")
+        # Written between passes, so that one block is held at a time.
+        evidence = evidence if first else cut(evidence, "likelihoods")
+        evidence = evidence.mapInArrow(_evidence(spark.sparkContext.broadcast(table), first, last), schema)
     labels = F.split("host", r"\.")
     scaled = F.transform("likely", lambda x: x * TEMPER)
     start = F.array(*[F.lit(float(x)) for x in np.log(prior / prior.sum())])
