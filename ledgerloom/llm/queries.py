@@ -13,6 +13,7 @@ from ledgerloom.llm.language_id import language_id
 from ledgerloom.llm.lm_score import lm_score
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality import classify
+from ledgerloom.llm.simhash import simhash
 from ledgerloom.llm.substring_dedup import substring_dedup
 from ledgerloom.llm.topk_search import top_k
 from ledgerloom.llm.url_filter import url_filter
@@ -100,6 +101,11 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and the components of those that differ in at most three bits."""
+    return simhash(_table(spark, folder, "documents"), shingle=3)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
@@ -111,6 +117,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "op12_simhash": op12_simhash,
 }
 
 _RULE_ROWS = ", ".join(
