@@ -18,6 +18,7 @@ from ledgerloom.llm.substring_dedup import substring_dedup
 from ledgerloom.llm.topk_search import top_k
 from ledgerloom.llm.url_filter import url_filter
 from ledgerloom.llm.warc import warc_round_trip
+from ledgerloom.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -106,6 +107,11 @@ def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash(_table(spark, folder, "documents"), shingle=3)
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """The four first whitened principal components of every embedding."""
+    return whiten(_table(spark, folder, "embeddings"), components=4, scale=256)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
@@ -118,6 +124,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
     "op12_simhash": op12_simhash,
+    "op13_whitening": op13_whitening,
 }
 
 _RULE_ROWS = ", ".join(
