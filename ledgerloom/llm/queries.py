@@ -15,6 +15,7 @@ from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality import classify
 from ledgerloom.llm.simhash import simhash
 from ledgerloom.llm.substring_dedup import substring_dedup
+from ledgerloom.llm.token_alignment import align_tokens
 from ledgerloom.llm.topk_search import top_k
 from ledgerloom.llm.url_filter import url_filter
 from ledgerloom.llm.warc import warc_round_trip
@@ -102,6 +103,16 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+#: The folder of the vocabulary files, on every executor.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of the tokens of all documents by two tokenizers."""
+    files = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+    return align_tokens(_table(spark, folder, "documents"), *files)
+
+
 def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all documents and the components of those that differ in at most three bits."""
     return simhash(_table(spark, folder, "documents"), shingle=3)
@@ -123,6 +134,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "op11_token_alignment": op11_token_alignment,
     "op12_simhash": op12_simhash,
     "op13_whitening": op13_whitening,
 }
