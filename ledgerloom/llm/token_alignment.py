@@ -4,9 +4,9 @@ A text is tokenised as a whole by both. Where a shared end of tokens is followed
 is an anchor; anchors cut the text into windows of token ids. A window's alignment is kept by its ids: windows of equal
 ids, found by a hash and compared in whole, are aligned once for all texts that a task has at hand.
 
-Tokens that end together overlap up to that end, so the shorter one's bytes end the longer one's. A token has no more such
-partners that are not longer than its length in bytes: all linked id pairs together are fewer than the bytes of both
-vocabularies, some 600,000 for these files. That bound is what makes the table of pair counts safe to broadcast.
+Tokens that end together overlap up to that end, so the shorter one's bytes end the longer one's. The two vocabularies thus
+fix all pairs that can ever be linked: no more than both have bytes, give or take ids of equal bytes. Links are numbers in
+that list, and the table of their counts has a bound that no corpus changes, so that it may be sent to every task.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import hashlib
 import json
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -102,6 +103,18 @@ def _byte_encoder(file: str, entries: list[bytes]):
     return encode
 
 
+def _linkable(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """All pairs of which one's bytes end the other's, ascending, each as A's id << 32 | B's id."""
+    a_ids, b_ids = defaultdict(list), defaultdict(list)
+    for ids, entries in ((a_ids, a), (b_ids, b)):
+        for number, entry in enumerate(entries):
+            ids[entry].append(number)
+    ending = [(i, k) for i, entry in enumerate(a) for n in range(len(entry)) for k in b_ids.get(entry[n:], ())]
+    ending += [(i, k) for k, entry in enumerate(b) for n in range(1, len(entry)) for i in a_ids.get(entry[n:], ())]
+    pairs = np.array(ending, np.int64).reshape(-1, 2)
+    return np.unique(pairs[:, 0] << 32 | pairs[:, 1])
+
+
 class Aligner:
     """Both tokenizers, and the alignment of texts by them."""
 
@@ -114,18 +127,19 @@ class Aligner:
         self.a, self.encode_bytes = Vocabulary(known), _byte_encoder(byte_file, known)
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_file)
         found = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
-        self.b = Vocabulary(
-            [
-                bytes([int(piece[3:5], 16)]) if self.pieces.is_byte(i) else piece.replace(_SPACE_MARK, " ").encode()
-                for i, piece in enumerate(found)
-            ]
-        )
+        b_entries = [
+            bytes([int(piece[3:5], 16)]) if self.pieces.is_byte(i) else piece.replace(_SPACE_MARK, " ").encode()
+            for i, piece in enumerate(found)
+        ]
+        self.b = Vocabulary(b_entries)
         # A text may be cut at a border only if no piece goes on over a space after something else.
         self.may_cut = not any(_SPACE_MARK in piece.lstrip(_SPACE_MARK) for piece in found)
         # Tokens in writing: even numbers inside a group, odd ones at the end of its A or B tokens; B's after A's.
         self.written = [f"{i}{mark}" for i in range(len(known)) for mark in ",|"]
         self.written += [f"{i}{mark}" for i in range(len(found)) for mark in ",;"]
 
+        self.pairs = _linkable(known, b_entries)
+
     def parts(self, text: str) -> list[str]:
         """The text in parts that are tokenised alike alone and in place, each without the space before it."""
         parts, begin = [], 0
@@ -182,8 +196,8 @@ class Aligner:
     def alignments(self, a_side: tuple[np.ndarray, ...], b_side: tuple[np.ndarray, ...]):
         """For every window its groups as ``a1,a2|b1;…`` and its number of links; and all links.
 
-        A link is one number for the last two tokens of a group. A side has the ids of all windows, whether each ends a
-        group, and the number of ids of each window.
+        A link is the number of the pair that ends a group. A side has the ids of all windows, whether each ends a group,
+        and the number of ids of each window.
         """
         (a, a_last, a_sizes), (b, b_last, b_sizes) = a_side, b_side
         a_until, b_until = np.flatnonzero(a_last) + 1, np.flatnonzero(b_last) + 1
@@ -197,7 +211,8 @@ class Aligner:
             writings.append("".join(tokens[begin:end])[:-1])
             begin = end
         link_ends = np.searchsorted(a_until, a_sizes.cumsum()) + 1
-        return writings, np.diff(link_ends, prepend=0), a[a_last] << 32 | b[b_last]
+        links = np.searchsorted(self.pairs, a[a_last] << 32 | b[b_last]).astype(np.int32)
+        return writings, np.diff(link_ends, prepend=0), links
 
 
 def _kinds(sides: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +244,7 @@ def _aligner(byte_file: str, piece_file: str) -> Aligner:
     return Aligner(byte_file, piece_file)
 
 
-_ALIGNED = "doc_id bigint, n_a bigint, n_b bigint, groups_sha256 string, links array<bigint>"
+_ALIGNED = "doc_id bigint, n_a bigint, n_b bigint, groups_sha256 string, links array<int>"
 
 
 def _alignments(byte_file: str, piece_file: str):
@@ -238,7 +253,7 @@ def _alignments(byte_file: str, piece_file: str):
         for rows in slices(batches, "text", SLICE):
             texts = [aligner.parts(text) if text else [] for text in rows.column("text").to_pylist()]
             found = iter(aligner.aligned([part for parts in texts for part in parts]))
-            n_a, n_b, digests, links, sizes = [], [], [], [np.empty(0, np.int64)], [0]
+            n_a, n_b, digests, links, sizes = [], [], [], [np.empty(0, np.int32)], [0]
             for parts in texts:
                 of_text = [next(found) for _ in parts]
                 whole = bool(parts) and None not in of_text
@@ -257,49 +272,51 @@ def _alignments(byte_file: str, piece_file: str):
 _ALIGNED_NAMES = ["doc_id", "n_a", "n_b", "groups_sha256", "links"]
 
 
-def _with_counts(codes: np.ndarray, counts: np.ndarray, best: np.ndarray):
+def _with_counts(counts: np.ndarray, best: np.ndarray):
     """Adds to every document the number of its links that are the best of their B id, and the sum of their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("links")
-            offsets, flat = column.offsets.to_numpy().astype(np.int64), column.values
+            offsets, flat = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy()
             n_best, sums = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            for begin in range(0, len(owner), LINKS):
-                part = flat.slice(int(offsets[0]) + begin, min(LINKS, len(owner) - begin)).to_numpy()
-                at, rows = np.searchsorted(codes, part), owner[begin : begin + LINKS]
-                np.add.at(n_best, rows, best[at])
-                np.add.at(sums, rows, counts[at])
+            filled = np.flatnonzero(np.diff(offsets))
+            while len(filled):
+                begin = offsets[filled[0]]
+                take = max(1, int(np.searchsorted(offsets[filled + 1], begin + LINKS, "right")))
+                now, filled = filled[:take], filled[take:]
+                part = flat[begin : offsets[now[-1] + 1]]
+                n_best[now] = np.add.reduceat(best[part].astype(np.int64), offsets[now] - begin)
+                sums[now] = np.add.reduceat(counts[part], offsets[now] - begin)
             n_links = pa.array(np.diff(offsets))
+            kept = [batch.column(name) for name in ("doc_id", "n_a", "n_b")]
+            found = [n_links, n_links, pa.array(n_best), pa.array(sums), batch.column("groups_sha256")]
             yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(name) for name in ("doc_id", "n_a", "n_b")),
-                    n_links,
-                    n_links,
-                    pa.array(n_best),
-                    pa.array(sums),
-                    batch.column("groups_sha256"),
-                ],
-                ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+                kept + found, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
             )
 
     return run
 
 
 def aligned_texts(docs: DataFrame, byte_file: str, piece_file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_a, n_b, groups_sha256, and its links in order, each as A's id << 32 | B's id."""
+    """One row per document: doc_id, n_a, n_b, groups_sha256, and its links in order, as numbers of :func:`linkable`."""
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return cut(texts.mapInArrow(_alignments(byte_file, piece_file), _ALIGNED), "aligned")
 
 
-def pair_counts(aligned: DataFrame) -> DataFrame:
-    """Linked id pairs: a, b, how many links of all documents hold the pair, and whether none of that b has more."""
-    counts = aligned.select(F.explode("links").alias("code")).groupBy("code").agg(F.count("*").alias("count"))
-    ids = F.expr("shiftright(code, 32)").alias("a"), F.expr("code & 4294967295L").alias("b")
-    counts = cut(counts.select("code", *ids, "count"), "pairs")
-    most = counts.groupBy("b").agg(F.max("count").alias("most"))
-    return counts.join(most, "b").select("code", "a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
+def linkable(byte_file: str, piece_file: str) -> tuple[np.ndarray, np.ndarray]:
+    """A's and B's ids of every pair that can be linked; the number of a pair is its place."""
+    pairs = _aligner(byte_file, piece_file).pairs
+    return pairs >> 32, pairs & 0xFFFFFFFF
+
+
+def pair_counts(aligned: DataFrame, b_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every pair that can be linked: how many links hold it, and whether no pair of its B id has more."""
+    found = aligned.select(F.explode("links").alias("link")).groupBy("link").agg(F.count("*").alias("n")).toArrow()
+    counts, most = np.zeros(len(b_ids), np.int64), np.zeros(int(b_ids.max(initial=0)) + 1, np.int64)
+    counts[found.column("link").to_numpy()] = found.column("n").to_numpy()
+    np.maximum.at(most, b_ids, counts)
+    return counts, counts == most[b_ids]
 
 
 def align_tokens(docs: DataFrame, byte_file: str, piece_file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -314,10 +331,9 @@ def align_tokens(docs: DataFrame, byte_file: str, piece_file: str, doc_id: str =
     are ignored.
     """
     aligned = aligned_texts(docs, byte_file, piece_file, doc_id, text)
-    pairs = pair_counts(aligned).select("code", "count", "best").orderBy("code").toArrow()
-    codes, counts, best = (pairs.column(name).to_numpy() for name in ("code", "count", "best"))
+    counts, best = pair_counts(aligned, linkable(byte_file, piece_file)[1])
     return aligned.mapInArrow(
-        _with_counts(codes, counts, best),
+        _with_counts(counts, best),
         "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, "
         "groups_sha256 string",
     )

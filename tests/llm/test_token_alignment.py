@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from ledgerloom.llm import queries
 from ledgerloom.llm import token_alignment as module
-from ledgerloom.llm.token_alignment import Aligner, align_tokens, aligned_texts, pair_counts
+from ledgerloom.llm.token_alignment import Aligner, align_tokens, aligned_texts, linkable, pair_counts
 
 FILES = f"{queries.TOKENIZERS}/byte_bpe_50k.json", f"{queries.TOKENIZERS}/piece_bpe_32k.model"
 pytestmark = pytest.mark.skipif(not os.path.exists(FILES[0]), reason="no vocabulary files")
@@ -102,9 +102,12 @@ def test_rows_are_those_of_plain_python(spark, awkward, tokenizers):
 def test_counts_add_up(awkward):
     _, docs = awkward
     aligned = aligned_texts(docs, *FILES)
-    pairs = pair_counts(aligned).collect()
-    assert sum(row["count"] for row in pairs) == aligned.selectExpr("sum(size(links))").first()[0]
-    assert {row.b for row in pairs} == {row.b for row in pairs if row.best}
+    a_ids, b_ids = linkable(*FILES)
+    counts, best = pair_counts(aligned, b_ids)
+    assert counts.sum() == aligned.selectExpr("sum(size(links))").first()[0]
+    assert set(b_ids[counts > 0]) == set(b_ids[best & (counts > 0)])
+    aligner = module._aligner(*FILES)
+    assert len(a_ids) <= 2 * (aligner.a.sizes.sum() + aligner.b.sizes.sum())
 
 
 def test_long_texts_are_cut_where_no_token_can_be(tokenizers, monkeypatch):
@@ -136,7 +139,7 @@ def test_any_text(text):
     if want is None:
         assert got is None
     else:
-        assert got[:2] == (len(want[0]), len(want[1])) and got[3].tolist() == [a << 32 | b for a, b in want[3]]
+        assert got[:2] == (len(want[0]), len(want[1])) and aligner.pairs[got[3]].tolist() == [a << 32 | b for a, b in want[3]]
 
 
 def test_empty_table(spark):
