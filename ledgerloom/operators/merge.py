@@ -3,36 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _same(left: str, right: str, keys: Sequence[str]) -> Column:
+    """Equal keys, in which NULL is a value like others."""
+    return reduce(and_, [F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}")) for key in keys])
+
+
+def _without(base: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``base`` whose key is not in ``gone``."""
+    return base.alias("b").join(gone.select(*keys).distinct().alias("d"), _same("b", "d", keys), "left_anti")
+
+
 def upsert(
     base: DataFrame, delta: DataFrame, keys: Sequence[str], defaults: Mapping[str, Column] | None = None
 ) -> DataFrame:
     """Insert new keys and overwrite, in existing ones, only the columns ``delta`` supplies.
 
     Keys are unique on both sides, so one co-partitioned outer join is enough and no key can
-    be skewed. Columns a new row does not supply take their default.
+    be skewed. A NULL key equals a NULL key. Columns a new row does not supply take their default.
     """
     defaults = dict(defaults or {})
     mark = delta.select(*delta.columns, F.lit(True).alias("_new")).alias("d")
     old = base.select(*base.columns, F.lit(True).alias("_old")).alias("b")
-    same = None
-    for key in keys:
-        match = F.col(f"b.{key}") == F.col(f"d.{key}")
-        same = match if same is None else same & match
     columns = []
     for name in base.columns:
         if name in keys:
-            value = F.coalesce(F.col(f"d.{name}"), F.col(f"b.{name}"))
+            value = F.when(F.col("d._new"), F.col(f"d.{name}")).otherwise(F.col(f"b.{name}"))
         elif name in delta.columns:
             value = F.when(F.col("d._new"), F.col(f"d.{name}")).otherwise(F.col(f"b.{name}"))
         else:
             value = F.when(F.col("b._old"), F.col(f"b.{name}")).otherwise(defaults.get(name, F.lit(None)))
         columns.append(value.cast(base.schema[name].dataType).alias(name))
-    return old.join(mark, same, "full_outer").select(*columns)
+    return old.join(mark, _same("b", "d", keys), "full_outer").select(*columns)
 
 
 def patch(base: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -49,13 +57,13 @@ def patch(base: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def insert_missing(base: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Append the rows of ``delta`` whose key the base does not hold."""
-    return base.unionByName(delta.join(base.select(*keys), list(keys), "left_anti"))
+    return base.unionByName(_without(delta, base, keys))
 
 
-def replace_slice(base: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Drop every base row of the keys present in ``delta``, then append ``delta``."""
-    touched = delta.select(*keys).distinct()
-    return base.join(touched, list(keys), "left_anti").unionByName(delta)
+def replace_slice(base: DataFrame, delta: DataFrame, keys: Sequence[str], append: bool = True) -> DataFrame:
+    """Drop every base row of the keys present in ``delta``, then append ``delta`` unless told not to."""
+    kept = _without(base, delta, keys)
+    return kept.unionByName(delta) if append else kept
 
 
 def with_default(df: DataFrame, right: DataFrame, keys: Sequence[str], defaults: Mapping[str, Column]) -> DataFrame:

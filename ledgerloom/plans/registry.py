@@ -109,16 +109,20 @@ def build_registry(sources: DataFrame, targets: DataFrame, schemas: DataFrame) -
     )
 
 
-def merge_registry(base: DataFrame, delta: DataFrame, now: Column) -> DataFrame:
-    """Merge new registry rows on run, target and source; a column the change lacks keeps its value."""
-    defaults = {
+def registry_defaults(now: Column) -> dict[str, Column]:
+    """Values of the columns that a new registry row does not bring along."""
+    return {
         "review_status": F.lit("candidate"),
         "decision_source": F.lit("auto"),
         "loaded_at": now,
         "is_temporary": F.lit(False),
         "include_in_catalog": F.lit(True),
     }
-    return upsert(base, delta, REGISTRY_KEYS, defaults)
+
+
+def merge_registry(base: DataFrame, delta: DataFrame, now: Column) -> DataFrame:
+    """Merge new registry rows on run, target and source; a column the change lacks keeps its value."""
+    return upsert(base, delta, REGISTRY_KEYS, registry_defaults(now))
 
 
 def ready_rows(registry: DataFrame) -> DataFrame:

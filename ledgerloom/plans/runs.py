@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerloom.functions import fixed_values as fixed
 from ledgerloom.functions.columns import newest
@@ -114,15 +115,20 @@ def item_counts(items: DataFrame, kinds: Sequence[str]) -> DataFrame:
     )
 
 
-def ensure_control(control: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
-    """Control rows with a default added for every run that has none."""
+def fresh_control(schema: StructType, runs: DataFrame, now: Column) -> DataFrame:
+    """A default control row for every run."""
     values = control_defaults(now)
     fresh = runs.select("run_id").distinct()
-    for name in control.columns:
-        if name != "run_id":
-            value = values.get(name, now if name in ("created_at", "updated_at") else F.lit(None))
-            fresh = fresh.withColumn(name, value.cast(control.schema[name].dataType))
-    return insert_missing(control, fresh, ["run_id"])
+    for field in schema:
+        if field.name != "run_id":
+            value = values.get(field.name, now if field.name in ("created_at", "updated_at") else F.lit(None))
+            fresh = fresh.withColumn(field.name, value.cast(field.dataType))
+    return fresh
+
+
+def ensure_control(control: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
+    """Control rows with a default added for every run that has none."""
+    return insert_missing(control, fresh_control(control.schema, runs, now), ["run_id"])
 
 
 def update_control(control: DataFrame, changes: DataFrame, runs: DataFrame, now: Column) -> DataFrame:

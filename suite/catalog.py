@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import fixed_values as fixed
 from ledgerloom.operators import merge
 from ledgerloom.plans import runs
+from ledgerloom.session import scratch_path
+from ledgerloom.sources.keyed import KeyedTable
 from suite import catalog_inputs  # noqa: F401  (registers the bindings)
 from suite.lab import CHECKS, PARAMS, Lab
 from suite.warehouse import NOW
@@ -119,6 +121,19 @@ def control_ensure(lab: Lab) -> DataFrame:
     return _shown(runs.ensure_control(lab["run_control"], lab["app_runs"], PARAMS.now))
 
 
+@query("control_ensure_stored", ORACLES["control_ensure"])
+def control_ensure_stored(lab: Lab) -> DataFrame:
+    """The control table on disk; only partitions of runs without a row are written, and none when run again."""
+    control = lab["run_control"]
+    table = KeyedTable(lab.spark, scratch_path(lab.spark, "control"), control.schema, ("run_id",), parts=16)
+    table.create(control)
+    for _ in range(2):
+        known = table.read().select("run_id")
+        absent = lab["app_runs"].join(known, "run_id", "left_anti")
+        table.insert_missing(runs.fresh_control(control.schema, absent, PARAMS.now))
+    return _shown(table.read())
+
+
 @query(
     "control_update",
     f"""
@@ -288,3 +303,34 @@ def run_slice_replace(lab: Lab) -> DataFrame:
     base = lab["run_module_sources"].select("run_id", "module_key", "pos", "source_table")
     some = base.where("CAST(right(run_id, 1) AS INT) = 3 AND pos % 2 = 0")
     return merge.replace_slice(base, some.withColumn("source_table", F.upper("source_table")), ["run_id"])
+
+
+def _stored_sources(lab: Lab) -> KeyedTable:
+    rows = lab["run_module_sources"].select("run_id", "module_key", "pos", "source_table")
+    path, keys = scratch_path(lab.spark, "run_sources"), ("run_id", "module_key", "pos")
+    table = KeyedTable(lab.spark, path, rows.schema, keys, parts=16, by=("run_id",))
+    table.create(rows)
+    return table
+
+
+@query("run_slice_stored", ORACLES["run_slice_replace"])
+def run_slice_stored(lab: Lab) -> DataFrame:
+    """As above, on disk: the new rows are made from the table that they change."""
+    table = _stored_sources(lab)
+    some = table.read().where("CAST(right(run_id, 1) AS INT) = 3 AND pos % 2 = 0")
+    table.replace_slices(some.withColumn("source_table", F.upper("source_table")))
+    return table.read()
+
+
+@query(
+    "run_slice_delete",
+    """
+SELECT run_id, module_key, pos, source_table FROM {run_module_sources}
+WHERE run_id NOT IN (SELECT run_id FROM {run_control} WHERE last_import_status = 'planned')""",
+)
+def run_slice_delete(lab: Lab) -> DataFrame:
+    """Rows of runs whose import is only planned are removed from the table on disk."""
+    table = _stored_sources(lab)
+    for _ in range(2):
+        table.delete_slices(lab["run_control"].where("last_import_status = 'planned'"))
+    return table.read()

@@ -11,6 +11,7 @@ from ledgerloom.functions import fixed_values as fixed
 from ledgerloom.plans import bundle, lineage, registry, runs
 from ledgerloom.session import scratch_path
 from ledgerloom.sources import text
+from ledgerloom.sources.keyed import KeyedTable
 from suite.catalog import sql_list
 from suite.lab import CHECKS, PARAMS, Lab
 from suite.warehouse import NOW
@@ -124,6 +125,17 @@ def registry_upsert(lab: Lab) -> DataFrame:
     return registry.merge_registry(lab["registry_base"], _registry(lab), PARAMS.now)
 
 
+@query("registry_upsert_stored", ORACLES["registry_upsert"])
+def registry_upsert_stored(lab: Lab) -> DataFrame:
+    """The registry as a table on disk, with the new rows merged into the partitions they touch; twice, as a retry does."""
+    base, keys = lab["registry_base"], tuple(registry.REGISTRY_KEYS)
+    table = KeyedTable(lab.spark, scratch_path(lab.spark, "registry"), base.schema, keys, parts=16, by=("run_id",))
+    table.create(base)
+    for _ in range(2):
+        table.upsert(_registry(lab), registry.registry_defaults(PARAMS.now))
+    return table.read()
+
+
 READY = "include_in_catalog AND review_status IN ('candidate', 'approved')"
 
 
