@@ -237,6 +237,8 @@ def two_digits(number: Column) -> Column:
 def module_sequence(modules: DataFrame, variables: Mapping[str, str]) -> DataFrame:
     """Modules with resolved outputs, their document role, and how deep their dependencies go.
 
+    Modules that wait for each other in a circle share a level, and ``cycle`` names the least of them.
+
     ``modules`` has run_id, sequence, module_id, depends_on, output_tables, is_principal and
     final_table; ``variables`` is the configuration, a handful of values.
     """
@@ -261,4 +263,5 @@ def module_sequence(modules: DataFrame, variables: Mapping[str, str]) -> DataFra
         F.array_join(outputs, ", ").alias("output_tables"),
         F.when(principal, "PRINCIPAL").otherwise("STEP").alias("document_role"),
         "level",
+        F.col("component").alias("cycle"),
     )

@@ -211,3 +211,11 @@ SELECT run_id, pos AS sequence, 'm' || {text('l_linenumber')} AS module_id,
        CASE WHEN l_partkey % 13 = 0 THEN TRUE END AS is_principal,
        chr(36) || '{{{{esquema_cu}}}}.cu_m7' AS final_table
 FROM {{lines}}"""
+
+# In every third order the first module waits for the fifth, which waits for it by way of the second.
+BINDINGS["looped_modules"] = lambda d: f"""
+SELECT run_id, pos AS sequence, 'm' || {text('l_linenumber')} AS module_id,
+       CASE WHEN l_linenumber > 1 THEN {d.strings("'m' || CAST(CAST(floor(l_linenumber / 2) AS INT) AS STRING)")}
+            WHEN l_orderkey % 3 = 0 THEN {d.strings("'m5'")} ELSE {d.no_strings} END AS depends_on,
+       {d.strings("'demo.fijo'")} AS output_tables, FALSE AS is_principal, 'demo.fijo' AS final_table
+FROM {{lines}}"""

@@ -595,4 +595,39 @@ SELECT m.run_id, m.sequence, m.module_id, array_to_string(m.depends_on, ', ') AS
 FROM {declared_modules} m JOIN depth d ON d.run_id = m.run_id AND d.module_id = m.module_id""",
 )
 def module_sequence(lab: Lab) -> DataFrame:
-    return lineage.module_sequence(lab["declared_modules"], {"${esquema_cu}": "ws_cu"})
+    return lineage.module_sequence(lab["declared_modules"], {"${esquema_cu}": "ws_cu"}).drop("cycle")
+
+
+@query(
+    "module_cycles",
+    """
+WITH RECURSIVE needs AS (
+  SELECT DISTINCT n.run_id, n.u, n.v FROM (SELECT run_id, module_id AS u, unnest(depends_on) AS v FROM {looped_modules}) n
+  JOIN {looped_modules} m ON m.run_id = n.run_id AND m.module_id = n.v),
+reach AS (
+  SELECT run_id, u, v FROM needs
+  UNION
+  SELECT r.run_id, r.u, n.v FROM reach r JOIN needs n ON n.run_id = r.run_id AND n.u = r.v),
+rings AS (
+  SELECT a.run_id, a.u, min(a.v) AS ring FROM reach a JOIN reach b ON b.run_id = a.run_id AND b.u = a.v AND b.v = a.u
+  GROUP BY ALL),
+ones AS (
+  SELECT DISTINCT m.run_id, m.module_id, r.ring, coalesce(r.ring, m.module_id) AS one
+  FROM {looped_modules} m LEFT JOIN rings r ON r.run_id = m.run_id AND r.u = m.module_id),
+below AS (
+  SELECT DISTINCT n.run_id, a.one AS u, b.one AS v FROM needs n
+  JOIN ones a ON a.run_id = n.run_id AND a.module_id = n.u JOIN ones b ON b.run_id = n.run_id AND b.module_id = n.v
+  WHERE a.one <> b.one),
+chain AS (
+  SELECT DISTINCT run_id, one, 0 AS level FROM ones
+  UNION
+  SELECT c.run_id, b.u, c.level + 1 FROM chain c JOIN below b ON b.run_id = c.run_id AND b.v = c.one),
+depth AS (SELECT run_id, one, max(level) AS level FROM chain GROUP BY ALL)
+SELECT o.run_id, o.module_id, CAST(d.level AS INT) AS level, o.ring AS cycle
+FROM {looped_modules} m JOIN ones o ON o.run_id = m.run_id AND o.module_id = m.module_id
+JOIN depth d ON d.run_id = o.run_id AND d.one = o.one""",
+)
+def module_cycles(lab: Lab) -> DataFrame:
+    """Levels of modules some of which wait for each other in a circle."""
+    found = lineage.module_sequence(lab["looped_modules"], {})
+    return found.select("run_id", "module_id", "level", "cycle")

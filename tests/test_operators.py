@@ -1,9 +1,11 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import newest, oldest
 from ledgerloom.operators import graph, merge, rows
+from ledgerloom.session import cut
 
 
 def hot_rows(n=3000, groups=40, seed=7):
@@ -105,7 +107,7 @@ def test_levels_take_the_longest_chain(spark):
     assert got == {"a": 0, "b": 1, "c": 2, "d": 0}
     loop = needs.unionByName(spark.createDataFrame([("r", "a", "c")], needs.schema))
     got = {r["node"]: r["level"] for r in graph.levels(nodes, loop, ["run_id"]).collect()}
-    assert got == {"a": None, "b": None, "c": None, "d": 0}
+    assert got == {"a": 0, "b": 0, "c": 0, "d": 0}
 
 
 def test_walks_have_no_depth_limit(spark):
@@ -114,3 +116,70 @@ def test_walks_have_no_depth_limit(spark):
     seeds = spark.createDataFrame([("r", "n0")], "run_id string, node string")
     got = {r["node"]: r["depth"] for r in graph.upstream(seeds, edges, ["run_id"]).collect()}
     assert got == {f"n{i}": i for i in range(1, 71)}
+
+
+def test_walks_take_logarithmic_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda df, name: written.append(name) or cut(df, name))
+    edges = spark.range(1000).selectExpr("'r' as run_id", "id + 1 as source_node", "id as target_node")
+    seeds = spark.createDataFrame([("r", 0)], "run_id string, node long")
+    reached = graph.upstream(seeds, edges, ["run_id"])
+    assert reached.agg(F.count("*"), F.max("depth"), F.sum(F.abs(F.col("depth") - F.col("node")))).first()[:] == (1000, 1000, 0)
+    assert sum(name.startswith("reached") for name in written) <= 12
+    written.clear()
+    nodes = spark.range(1001).selectExpr("'r' as run_id", "id as node")
+    needs = edges.selectExpr("run_id", "source_node as node", "target_node as needed")
+    found = graph.levels(nodes, needs, ["run_id"])
+    assert found.agg(F.count("*"), F.max("level"), F.sum(F.abs(F.col("level") - F.col("node")))).first()[:] == (1001, 1000, 0)
+    assert written.count("heights") <= 11
+
+
+def _plain_walks(nodes, edges):
+    """Least distances (1 or more) from every node along edges, by breadth."""
+    out = {}
+    for start in nodes:
+        seen, front, depth = {}, {start}, 0
+        while front:
+            depth += 1
+            front = {v for u, v in edges if u in front} - set(seen)
+            seen |= {v: depth for v in front}
+        out[start] = seen
+    return out
+
+
+def _plain_levels(nodes, edges):
+    reach = _plain_walks(nodes, edges)
+    ring = {n: min(m for m in reach[n] if n in reach[m]) if n in reach[n] else None for n in nodes}
+    one = {n: ring[n] or n for n in nodes}
+    below = {(one[u], one[v]) for u, v in edges if one[u] != one[v]}
+
+    def height(n):
+        return max((1 + height(v) for u, v in below if u == n), default=0)
+
+    return {n: (height(one[n]), ring[n]) for n in nodes}
+
+
+@pytest.mark.parametrize("growth", [0, 8])
+def test_walks_and_levels_on_any_graph(spark, monkeypatch, growth):
+    """Sparse and dense random graphs with circles, circles in chains, self needs; with and without longer steps."""
+    monkeypatch.setattr(graph, "GROWTH", growth)
+    rng, scopes = random.Random(growth), {}
+    for number in range(8):
+        size = rng.randrange(3, 14)
+        nodes = [f"n{i:02}" for i in range(size)]
+        edges = {(rng.choice(nodes), rng.choice(nodes)) for _ in range(rng.randrange(size * 2))}
+        scopes[f"s{number}"] = nodes, edges
+    chain = [f"n{i:02}" for i in range(16)]
+    scopes["rings"] = chain, set(zip(chain, chain[1:])) | {("n05", "n03"), ("n12", "n12"), ("n14", "n13")}
+    scopes["free"] = ["n1"], set()
+    nodes = spark.createDataFrame([(s, n) for s, (ns, _) in scopes.items() for n in ns], "run_id string, node string")
+    rows = [(s, u, v) for s, (_, es) in scopes.items() for u, v in es] + [("free", "n1", "outside")]
+    needs = spark.createDataFrame(rows, "run_id string, node string, needed string")
+    got = {(r.run_id, r.node): (r.level, r.component) for r in graph.levels(nodes, needs, ["run_id"]).collect()}
+    assert got == {(s, n): found for s, (ns, es) in scopes.items() for n, found in _plain_levels(ns, es).items()}
+
+    seeds = spark.createDataFrame([(s, ns[0]) for s, (ns, _) in scopes.items()], "run_id string, node string")
+    edges = needs.selectExpr("run_id", "needed as source_node", "node as target_node").where("run_id <> 'free'")
+    reached = {(r.run_id, r.node): r.depth for r in graph.upstream(seeds, edges, ["run_id"]).collect()}
+    want = {s: _plain_walks([ns[0]], es)[ns[0]] for s, (ns, es) in scopes.items()}
+    assert reached == {(s, n): depth for s, found in want.items() for n, depth in found.items()}
