@@ -10,9 +10,13 @@ both sides is among the d + 1 heaviest of either. A document is filed under the
 of two above d; near a power's edge a document is filed under two of them, as its partners may be). Documents in one file
 are nearly always near copies, so files are small and no frequent word or shared passage makes a large one.
 
-A large file is no problem either. Each file first ties its documents to its smallest one, and only files whose documents
-are not all tied to the same one go to a tree; there only pairs tied to different ones matter, and a file beyond
-``TREE_ROWS`` documents is searched as pairs of blocks, one task each.
+Documents of one file are first tied to its smallest one. Only files that then still hold several components go to a tree,
+where only pairs of different components matter. A pair must pass the tree's bound and a finer one, on four times as many
+groups as the set has shingles: a group that one side has and the other has not takes a shingle from the minima. What passes
+is nearly always similar; so a document meets its ``MET`` best partners, the links found become components, and only what is
+still apart comes back, with four times as many partners, until none has been left out. Thus a group of near copies costs a
+few verified pairs for each document and not all pairs, and nothing is capped. A file beyond ``TREE_ROWS`` documents is
+searched as pairs of blocks, one task each.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
@@ -37,8 +41,12 @@ GROUPS = 64
 #: Documents of one block of a file; a tree holds at most two blocks.
 TREE_ROWS = 2048
 FANOUT = 16
+#: Partners of a document that are verified in the first round.
+MET = 4
 
-_GROUP_SALT, _SET_SALT, _OTHER_SALT = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xAAC17D8EFA43CAB8, 0x632BE59BD9B4E019))
+_GROUP_SALT, _SET_SALT, _OTHER_SALT, _SKETCH_SALT = (
+    np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xAAC17D8EFA43CAB8, 0x632BE59BD9B4E019, 0x9E6C63D0876A46AF)
+)
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +94,14 @@ def _files(part: np.ndarray, similarity: Fraction) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def _sketch(part: np.ndarray) -> np.ndarray:
+    """Which of some groups a set has, as bits; their number is a power of two, at least four times the set's size."""
+    groups = max(64, 1 << (4 * len(part) - 1).bit_length()) if len(part) else 64
+    bits = np.zeros(groups, np.uint8)
+    bits[(mix(part ^ _SKETCH_SALT) & np.uint64(groups - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def _long_lists(values: list[np.ndarray], kind: pa.DataType = pa.int64()) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
     flat = np.concatenate(values) if values else np.empty(0, np.int64)
@@ -96,12 +112,13 @@ def _signatures(size: int, similarity: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches, "text", SLICE):
             sets, offsets = shingle_sets(rows.column("text"), size)
-            counts, first, second, keys, points = np.diff(offsets), [], [], [], []
+            counts, first, second, keys, points, sketches = np.diff(offsets), [], [], [], [], []
             for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                 part = sets[begin:end]
                 first.append(mix(part ^ _SET_SALT).sum(dtype=np.uint64))
                 second.append(mix(part ^ _OTHER_SALT).sum(dtype=np.uint64))
                 keys.append(_files(part, similarity).view(np.int64) if len(part) else np.empty(0, np.int64))
+                sketches.append(_sketch(part))
                 points.append(np.bincount((part & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -111,8 +128,9 @@ def _signatures(size: int, similarity: Fraction):
                     pa.array(np.array(second, np.uint64).view(np.int64)),
                     _long_lists(keys),
                     _long_lists(points, pa.int32()),
+                    _long_lists(sketches),
                 ],
-                ["doc_id", "n_shingles", "sig_a", "sig_b", "files", "point"],
+                ["doc_id", "n_shingles", "sig_a", "sig_b", "files", "point", "sketch"],
             )
 
     return run
@@ -146,14 +164,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: Fractio
 class Tree:
     """Packed R-tree over points, kept as the upper corners of its nodes, leaves first."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
         self.order = self._tiled(points, np.arange(len(points)))
-        level, least = points[self.order], sizes[self.order]
-        self.levels = [(level, least)]
+        level, least, low = points[self.order], sizes[self.order], labels[self.order]
+        high = low
+        self.levels = [(level, least, low, high)]
         while len(level) > FANOUT:
             starts = np.arange(0, len(level), FANOUT)
             level, least = np.maximum.reduceat(level, starts), np.minimum.reduceat(least, starts)
-            self.levels.append((level, least))
+            low, high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+            self.levels.append((level, least, low, high))
 
     @classmethod
     def _tiled(cls, points: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -167,7 +187,7 @@ class Tree:
         return np.concatenate([cls._tiled(points, rows[:middle]), cls._tiled(points, rows[middle:])])
 
     def pairs(self, similarity: Fraction, chunk: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of rows whose points allow the similarity, each once, in chunks."""
+        """Pairs of rows with different labels whose points allow the similarity, each once, in chunks."""
         top = len(self.levels) - 1
         n = len(self.levels[top][0])
         a, b = np.triu_indices(n)
@@ -177,14 +197,15 @@ class Tree:
             if len(a) > chunk:
                 stack += [(depth, a[i : i + chunk], b[i : i + chunk]) for i in range(0, len(a), chunk)]
                 continue
-            corner, least = self.levels[depth]
+            corner, least, low, high = self.levels[depth]
+            mixed = (low[a] != high[b]) | (high[a] != low[b])
+            a, b = a[mixed], b[mixed]
             bound = np.minimum(corner[a], corner[b]).sum(1, dtype=np.int64)
             both = similarity.numerator * (least[a] + least[b])
             near = bound * (similarity.numerator + similarity.denominator) >= both
             a, b = a[near], b[near]
             if depth == 0:
-                apart = a != b
-                yield self.order[a[apart]], self.order[b[apart]]
+                yield self.order[a], self.order[b]
                 continue
             below = len(self.levels[depth - 1][0])
             child = np.arange(FANOUT)
@@ -195,36 +216,64 @@ class Tree:
                 stack.append((depth - 1, left[keep], right[keep]))
 
 
-def _tree_join(similarity: Fraction):
-    """Joins the documents of one file, or of two blocks of it, that have different labels."""
+def _folded(sketches: list[np.ndarray]) -> np.ndarray:
+    """Sketches as rows of one width, the least of theirs: parts of a wider one are laid over each other."""
+    width = min(map(len, sketches))
+    return np.stack([np.bitwise_or.reduce(s.reshape(-1, width), axis=0) for s in sketches]).view(np.uint64)
+
+
+def _score(a: np.ndarray, b: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, similarity: Fraction) -> np.ndarray:
+    """The share that pairs can have in common by their sketches, -1 where it does not allow the similarity."""
+    only_a = np.bitwise_count(sketches[a] & ~sketches[b]).sum(1, dtype=np.int64)
+    only_b = np.bitwise_count(sketches[b] & ~sketches[a]).sum(1, dtype=np.int64)
+    bound, both = np.minimum(sizes[a] - only_a, sizes[b] - only_b), sizes[a] + sizes[b]
+    return np.where(bound * (similarity.numerator + similarity.denominator) >= similarity.numerator * both, bound / both, -1.0)
+
+
+def _best(pairs: list[tuple[np.ndarray, ...]], most: int) -> tuple[tuple[np.ndarray, ...], bool]:
+    """The pairs (a, b, score) that are among the ``most`` best of a or of b, and whether there were others."""
+    a, b, score = (np.concatenate(column) for column in zip(*pairs))
+    keep = np.zeros(len(a), bool)
+    for side in (a, b):
+        order = np.lexsort((-score, side))
+        starts = np.flatnonzero(np.diff(side[order], prepend=-1))
+        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        keep[order[place < most]] = True
+    return (a[keep], b[keep], score[keep]), not keep.all()
+
+
+def _tree_join(similarity: Fraction, most: int):
+    """Joins the documents of one file, or of two blocks of it, that have different labels: each with its best partners."""
 
     def run(group: pa.Table) -> pa.Table:
-        nodes, label, block = (group.column(c).to_numpy() for c in ("node", "label", "block"))
+        nodes, label, block, sizes = (group.column(c).to_numpy() for c in ("node", "label", "block", "n_shingles"))
         points = group.column("point").combine_chunks().flatten().to_numpy().reshape(len(nodes), GROUPS)
-        tree, out = Tree(points, group.column("n_shingles").to_numpy()), []
+        sketches = _folded([s.values.to_numpy() for s in group.column("sketch")])
         one_block = group.column("block_a")[0].as_py() == group.column("block_b")[0].as_py()
-        for a, b in tree.pairs(similarity):
-            keep = (label[a] != label[b]) & (one_block | (block[a] != block[b]))
-            a, b = nodes[a[keep]], nodes[b[keep]]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-        found = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
-        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+        none = np.empty(0, np.int64)
+        best, left_out, waiting = (none, none, none.astype(float)), False, []
+        for a, b in Tree(points, sizes, label).pairs(similarity):
+            across = one_block | (block[a] != block[b])
+            a, b = a[across], b[across]
+            score = _score(a, b, sketches, sizes, similarity)
+            near = score >= 0
+            waiting.append((a[near], b[near], score[near]))
+            if sum(len(pairs[0]) for pairs in waiting) > 1 << 18:
+                best, more = _best([best, *waiting], most)
+                waiting, left_out = [], left_out or more
+        (a, b, _), more = _best([best, *waiting], most)
+        a, b = nodes[a], nodes[b]
+        ends = pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())
+        return pa.table([*ends, pa.array(np.full(len(a), left_out or more))], ["a", "b", "more"])
 
     return run
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """A linked document for every one that has links to smaller ones: its least, or that one's least.
+def _tree_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: Fraction, most: int) -> DataFrame:
+    """Pairs (a, b) of one file but different labels that the bounds allow, the best ``most`` of each document.
 
-    Equal labels prove one component; the reverse need not hold.
+    ``more`` says whether a file of the pair has left some out.
     """
-    least = links.groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "node")
-    further = least.select(F.col("node").alias("root"), F.col("root").alias("next"))
-    return least.join(further, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-
-
-def _tree_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: Fraction) -> DataFrame:
-    """Pairs of one file but different labels that the R-tree's bound allows."""
     labelled = (
         members.join(roots, "node", "left").select("file", "node", F.coalesce("root", "node").alias("label"))
     )
@@ -237,7 +286,7 @@ def _tree_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, similari
     # Files with the same members are searched once.
     mixed = per_file.where("low <> high").groupBy("rows", "same").agg(F.min("file").alias("file"))
     blocks = mixed.select("file", F.ceil(F.col("rows") / TREE_ROWS).alias("blocks"))
-    points = nodes.select("node", "n_shingles", "point")
+    points = nodes.select("node", "n_shingles", "point", "sketch")
     open_rows = labelled.join(blocks, "file").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     # Block i meets every block: as the first of (i, j) for j >= i, as the second of (j, i) for j < i.
     met = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
@@ -249,59 +298,112 @@ def _tree_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, similari
         )
         .join(points, "node")
     )
-    return (
-        dealt.groupBy("file", "block_a", "block_b").applyInArrow(_tree_join(similarity), "a bigint, b bigint").distinct()
+    pairs = dealt.groupBy("file", "block_a", "block_b").applyInArrow(
+        _tree_join(similarity, most), "a bigint, b bigint, more boolean"
     )
+    return pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
-def jaccard_join(
-    docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4, 5), doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest linked doc_id, directly or by others).
+def _only_in(one: str, other: str) -> Column:
+    """The number of groups that only the first of two sketches has; parts of a wider one are laid over each other."""
+    width = F.least(F.size(one), F.size(other))
 
-    Words are runs of non-white-space, A-Z lower-cased. Two documents link when the Jaccard similarity of their shingle
-    sets is at least ``similarity``, an exact fraction. NULL or empty texts have no shingles and link with nothing, not
-    even each other. Rows that share a doc_id are one document that links if any of its rows does, each row keeping its
-    own n_shingles; a NULL doc_id links with nothing and has a NULL component. Other columns are ignored.
-    """
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    def narrowed(sketch: str) -> Column:
+        parts = F.sequence(F.lit(0), F.floor(F.size(sketch) / width).cast("int") - 1)
+        laid = F.transform(
+            F.sequence(F.lit(0), width - 1),
+            lambda i: F.aggregate(parts, F.lit(0).cast("bigint"), lambda x, k: x.bitwiseOR(F.get(sketch, i + k * width))),
+        )
+        return F.when(F.size(sketch) > width, laid).otherwise(F.col(sketch))
+
+    alone = F.zip_with(narrowed(one), narrowed(other), lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+    return F.aggregate(alone, F.lit(0), lambda total, n: total + n)
+
+
+def _classes(docs: DataFrame, shingle: int, similarity: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All rows with their shingle counts; those with shingles and an id by the least id of their set (doc_id, node); the
+    nodes with their points; and the files that more than one node is in (file, node, first)."""
     rows = cut(
-        texts.mapInArrow(
+        docs.mapInArrow(
             _signatures(shingle, similarity),
-            "doc_id bigint, n_shingles bigint, sig_a bigint, sig_b bigint, files array<bigint>, point array<int>",
+            "doc_id bigint, n_shingles bigint, sig_a bigint, sig_b bigint, files array<bigint>, point array<int>, "
+            "sketch array<bigint>",
         ),
         "signatures",
     )
     same = ["n_shingles", "sig_a", "sig_b"]
     filled = rows.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy(*same).agg(F.min("doc_id").alias("node"))
+    members = filled.select(*same, "doc_id").join(classes, same).select("doc_id", "node").distinct()
     nodes = cut(
         filled.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", *same])
         .dropDuplicates(["doc_id", *same])
-        .select(F.col("doc_id").alias("node"), "n_shingles", "files", "point"),
+        .select(F.col("doc_id").alias("node"), "n_shingles", "files", "point", "sketch"),
         "nodes",
     )
     filed = nodes.select(F.explode("files").alias("file"), "node")
     shared = filed.groupBy("file").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
-    members = cut(filed.join(shared.select("file", "first"), "file"), "members")
-    points = nodes.select("node", "n_shingles", "point")
-    a_side = points.toDF("a", "n_a", "point_a")
-    b_side = points.toDF("b", "n_b", "point_b")
+    return rows, members, nodes, cut(filed.join(shared.select("file", "first"), "file"), "members")
+
+
+def _starred(files: DataFrame, nodes: DataFrame, similarity: Fraction) -> DataFrame:
+    """Pairs of each node and the first one of its files that the bounds allow."""
+    points = nodes.select("node", "n_shingles", "point", "sketch")
+    a_side = points.toDF("a", "n_a", "point_a", "sketch_a")
+    b_side = points.toDF("b", "n_b", "point_b", "sketch_b")
     overlap = F.aggregate(F.zip_with("point_a", "point_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    ratio = similarity.numerator + similarity.denominator
-    starred = (
-        members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    finer = F.least(F.col("n_a") - _only_in("sketch_a", "sketch_b"), F.col("n_b") - _only_in("sketch_b", "sketch_a"))
+    ratio, both = similarity.numerator + similarity.denominator, similarity.numerator * (F.col("n_a") + F.col("n_b"))
+    return (
+        files.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
         .join(b_side, "b").join(a_side, "a")
-        .where(overlap * ratio >= similarity.numerator * (F.col("n_a") + F.col("n_b")))
+        .where(overlap * ratio >= both).where(finer * ratio >= both)
         .select("a", "b")
     )
-    links = cut(_verified(cut(starred, "pairs"), texts, shingle, similarity), "links")
-    copies = filled.select(*same, "doc_id").join(classes, same).where("doc_id <> node").select("doc_id", "node").distinct()
-    rest = cut(_tree_pairs(members.select("file", "node"), nodes, _labels(links), similarity), "pairs")
-    if not rest.isEmpty():
-        links = links.unionByName(_verified(rest, texts, shingle, similarity))
+
+
+def jaccard_join(
+    docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4, 5), doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest linked doc_id, directly or by others).
+
+    Words are runs of non-white-space, A-Z lower-cased. Two documents link when the Jaccard similarity of their shingle
+    sets is at least ``similarity``, an exact fraction. NULL or empty texts have no shingles and link with nothing, not
+    even each other. Rows that share a doc_id are one document that links if any of its rows does, each row keeping its
+    own n_shingles; a NULL doc_id links with nothing and has a NULL component. Other columns are ignored.
+    """
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows, members, nodes, files = _classes(texts, shingle, similarity)
+    tested = cut(_starred(files, nodes, similarity), "pairs")
+    links, most = cut(_verified(tested, texts, shingle, similarity), "links"), MET
+    while True:
+        met = cut(_tree_pairs(files, nodes, components(links, "a", "b"), similarity, most), "met")
+        rest = cut(met.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not rest.isEmpty():
+            tested = tested.unionByName(rest)
+            links = links.unionByName(cut(_verified(rest, texts, shingle, similarity), "links"))
+        if met.where("more").isEmpty():
+            break
+        most *= 4
+    copies = members.where("doc_id <> node")
     tied = links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     found = components(tied, "a", "b").select(F.col("node").alias("doc_id"), "root")
     return rows.join(found, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")
     )
+
+
+def similar_pairs(
+    docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4, 5), doc_id: str = "doc_id", text: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """All links (a, b) between different shingle sets, each by the smallest doc_id that has it, and the rows (doc_id, node)
+    of documents with shingles and an id with that doc_id of their set.
+
+    Every file goes to the trees and no pair is skipped for being tied already, so links are as many as there are; copies
+    are never expanded into pairs. Rules on texts are those of :func:`jaccard_join`.
+    """
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    _, members, nodes, files = _classes(texts, shingle, similarity)
+    none = nodes.select("node", F.col("node").alias("root")).limit(0)
+    met = cut(_tree_pairs(files, nodes, none, similarity, (1 << 31) - 1), "met")
+    return _verified(met.select("a", "b"), texts, shingle, similarity), members

@@ -87,7 +87,7 @@ def test_tree_finds_every_pair_its_bound_allows():
     points[150:] = np.maximum(0, points[:150] + rng.integers(-1, 2, (150, joining.GROUPS)) * (rng.random((150, joining.GROUPS)) < 0.1))
     sizes = points.sum(1)
     similarity = Fraction(4, 5)
-    got = {tuple(sorted(p)) for a, b in joining.Tree(points, sizes).pairs(similarity, chunk=64) for p in zip(a.tolist(), b.tolist())}
+    got = {tuple(sorted(p)) for a, b in joining.Tree(points, sizes, np.arange(300)).pairs(similarity, chunk=64) for p in zip(a.tolist(), b.tolist())}
     want = set()
     for a in range(300):
         for b in range(a):
@@ -252,3 +252,65 @@ def test_empty_tables(spark, awkward):
     assert substring_dedup(none).count() == 0
     assert scoring.lm_score(none, F.lit(False)).count() == 0
     assert decontamination.decontaminate(none, spark.createDataFrame([(1, "a")], "item_id int, text string")).count() == 0
+
+
+def _written(monkeypatch):
+    """Counts of the tables that the join writes."""
+    counts, kept = Counter(), joining.cut
+
+    def cut(df, name):
+        table = kept(df, name)
+        counts[name] += table.count()
+        return table
+
+    monkeypatch.setattr(joining, "cut", cut)
+    return counts
+
+
+@pytest.mark.parametrize("n", [50, 200])
+def test_alike_but_not_similar_documents_are_hardly_compared(spark, monkeypatch, n):
+    """Documents that share most of their words, no two similar: few pairs reach the verification."""
+    rng = random.Random(1)
+    shared = [f"s{i}" for i in range(300)]
+    rows = []
+    for i in range(n):
+        words = list(shared)
+        for at in rng.sample(range(300), 18):
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+    counts = _written(monkeypatch)
+    got = joining.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, Fraction(4, 5)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == linked(rows, 5, Fraction(4, 5))
+    assert counts["pairs"] <= 10 * n
+
+
+def test_near_copies_cost_a_few_pairs_each(spark, monkeypatch):
+    """Copies of copies: a chain of small changes whose ends are far apart is one component."""
+    rng = random.Random(2)
+    words, rows = [f"w{i}" for i in range(200)], []
+    for i in range(150):
+        words = list(words)
+        words[rng.randrange(200)] = f"x{i}"
+        rows.append((rng.randrange(10**6) * 1000 + i, " ".join(words)))
+    counts = _written(monkeypatch)
+    got = joining.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, Fraction(4, 5)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == linked(rows, 5, Fraction(4, 5))
+    assert len({r.component_id for r in got}) == 1 and counts["pairs"] <= 20 * len(rows)
+
+
+def test_all_links_between_different_texts(awkward):
+    """Every similar pair of different texts, each text by its smallest id, and which rows have that text."""
+    rows, docs = awkward
+    pairs, members = joining.similar_pairs(docs, 3, Fraction(1, 2))
+    sets, least = {}, {}
+    for i, text in rows:
+        words = spaced(lower(text))
+        runs = {tuple(words[n : n + 3]) for n in range(len(words) - 2)} if len(words) >= 3 else {tuple(words)} if words else set()
+        if i is not None and runs:
+            key = frozenset(runs)
+            least[key] = min(i, least.get(key, i))
+            sets[i] = [*sets.get(i, []), key]
+    want = {tuple(sorted((least[x], least[y]))) for x in least for y in least
+            if least[x] < least[y] and Fraction(len(x & y), len(x | y)) >= Fraction(1, 2)}
+    assert {(r.a, r.b) for r in pairs.collect()} == want
+    assert {(r.doc_id, r.node) for r in members.collect()} == {(i, least[key]) for i, keys in sets.items() for key in keys}
