@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,7 +64,8 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-_RUN_FOLDERS: list[str] = []
+#: The folder of the job that the current thread runs.
+_RUN_FOLDER: ContextVar[str | None] = ContextVar("run_folder", default=None)
 
 
 @contextmanager
@@ -74,11 +76,11 @@ def run_folder(spark: SparkSession, keep: bool = False) -> Iterator[str]:
     caller to remove.
     """
     folder = os.path.join(shared_dir(spark), "ledgerloom", uuid.uuid4().hex)
-    _RUN_FOLDERS.append(folder)
+    outer = _RUN_FOLDER.set(folder)
     try:
         yield folder
     finally:
-        _RUN_FOLDERS.remove(folder)
+        _RUN_FOLDER.reset(outer)
         if not keep:
             remove_folder(spark, folder)
 
@@ -91,7 +93,7 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    run = _RUN_FOLDERS[-1] if _RUN_FOLDERS else os.path.join(shared_dir(spark), "ledgerloom")
+    run = _RUN_FOLDER.get() or os.path.join(shared_dir(spark), "ledgerloom")
     return os.path.join(run, uuid.uuid4().hex, name)
 
 
