@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The most keys that are broadcast to pick rows, 16 bytes each before Spark's own overhead.
@@ -35,6 +35,8 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(named, same, "left_anti").select("row.*")
 
 
-def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not in ``gone``, a written table of distinct ids; a NULL doc_id never is."""
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "doc_id", "left_anti")
+def without_rows(docs: DataFrame, row_id: Column, gone: DataFrame) -> DataFrame:
+    """The documents whose ``row_id``, an expression on their columns, is not in the written table ``gone`` of row ids."""
+    rows = docs.select(F.struct("*").alias("row"), row_id.alias("row_id"))
+    named = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    return rows.join(named, "row_id", "left_anti").select("row.*")

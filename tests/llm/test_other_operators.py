@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import os
 import random
 import re
 
@@ -317,3 +318,26 @@ def test_stages_in_order(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality", "near_duplicates", "repeated_passages", "contamination", "packing",
     ]
+
+
+def test_near_duplicates_go_by_text_and_not_by_id(spark, tmp_path):
+    """Rows of one id with other texts stay, rows without an id take part, equal rows stay once, wordless ones always."""
+    words = [f"w{i}" for i in range(60)]
+    text, near = " ".join(words), " ".join(["new", *words[1:]])
+    other, third = " ".join(reversed(words)), " ".join(sorted(words))
+    rows = [(5, text, "a"), (5, other, "b"), (7, near, "c"), (None, text, "d"), (None, third, "e"), (9, third, "f"),
+            (None, other + " x", "g"), (3, "", "h"), (3, "", "i"), (4, None, "j"), (5, text, "k"), (8, "short text", "l")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, row_id string")
+    got = sorted(r.row_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert got in (sorted("bfhijl" + one) for one in "ak")
+    empty = corpus_pipeline.near_duplicates(spark, docs.limit(0), str(tmp_path))
+    assert empty.collect() == [] and empty.columns == docs.columns
+
+
+def test_a_run_outlives_the_next(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no data folder")
+    first = corpus_pipeline.run(spark, folder)
+    second = corpus_pipeline.run(spark, folder)
+    assert sorted(first.collect()) == sorted(second.collect())
