@@ -22,8 +22,10 @@ from ledgerloom.functions.columns import (
     product_family,
     rebuilt_product,
 )
+from ledgerloom.operators.decoding import decode_dictionary, with_decoded
 from ledgerloom.operators.rows import best_by
 from ledgerloom.params import Params
+from ledgerloom.session import cut
 
 Tables = Mapping[str, DataFrame]
 
@@ -80,9 +82,9 @@ def _days_since(moment: Column, params: Params) -> Column:
 def decoded_snapshot(tables: Tables, params: Params, decoder: Decoder) -> DataFrame:
     """One snapshot day of the new core with its four protected columns decoded.
 
-    Rows whose account is still masked (holds an ``x``) or missing are dropped. Repeats are
-    removed on the stored values, before decoding: equal stored rows decode equally, so each
-    distinct row is decoded, repeats are not; a second pass removes rows that only decode equally.
+    Rows whose account is still masked (holds an ``x``) or missing are dropped. Each distinct stored value of a column is
+    decoded once, into a written dictionary that the distinct stored rows are joined with; accounts are looked up first,
+    so that masked rows do not meet the others. A last pass removes rows that only decode equally.
     """
     raw = tables["rd_fin_maestrosaldos"]
     table = "rd_fin_maestrosaldos"
@@ -100,19 +102,19 @@ def decoded_snapshot(tables: Tables, params: Params, decoder: Decoder) -> DataFr
     protected = ["identificadorcliente", "cuenta", "saldototal", "saldodisponible"]
     day = raw.where(_on_day(raw, "fifecha", params, up_to=False)).select(*protected, *plain)
 
-    def clear(name: str) -> Column:
-        return decoder(F.col(name), table, name, params.decode_error)
-
-    decoded = day.distinct().select(
-        clear("identificadorcliente").alias("id_cliente"),
-        clear("cuenta").alias("id_cuenta"),
+    stored = cut(day.distinct(), "stored_rows")
+    dictionary = decode_dictionary(stored, table, protected, decoder, params.decode_error)
+    with_account = with_decoded(stored, dictionary, ["cuenta"]).where(~F.lower("clear_cuenta").like("%x%"))
+    decoded = with_decoded(with_account, dictionary, [name for name in protected if name != "cuenta"])
+    return decoded.select(
+        F.col("clear_identificadorcliente").alias("id_cliente"),
+        F.col("clear_cuenta").alias("id_cuenta"),
         F.col("cuenta").alias("cta_encrypt"),
         *plain[:7],
-        clear("saldototal").alias("saldototal"),
-        clear("saldodisponible").alias("saldodisponible"),
+        F.col("clear_saldototal").alias("saldototal"),
+        F.col("clear_saldodisponible").alias("saldodisponible"),
         *plain[7:],
-    )
-    return decoded.where(~F.lower("id_cuenta").like("%x%")).distinct()
+    ).distinct()
 
 
 def legacy_accounts(tables: Tables, snapshot: DataFrame, params: Params) -> DataFrame:
