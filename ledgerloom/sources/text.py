@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.naming import business_name, ddl_type, file_category
+from ledgerloom.operators.rows import sliced
+from ledgerloom.session import cut
 
 MARK = "﻿"
 
@@ -41,10 +43,73 @@ def csv_profile(spark: SparkSession, path: str) -> DataFrame:
     return one.select(F.col("_rows").alias("row_count"), F.inline(F.array(*cells)))
 
 
-def clean_csv_lines(lines: DataFrame, schema: str, header: str) -> DataFrame:
-    """Rows of CSV lines after NUL characters are removed; header lines are skipped."""
-    clean = lines.select(F.translate("value", "\u0000", "").alias("value")).where(F.col("value") != header)
-    return clean.select(F.from_csv("value", schema).alias("row")).select("row.*")
+#: Lines of one CSV record; a longer one comes from a quote that is never closed.
+RECORD_LINES = 1_000
+
+
+def csv_records(lines: DataFrame) -> DataFrame:
+    """Records (file, line, record) of the lines (file, place, value) of CSV files, in which quoted values may hold line breaks.
+
+    A line begins a record if the quotes before it in its file are even in number. Lines are put into range slices of their
+    order; a slice is scanned with a window, and what it takes over from earlier ones, the parity and the begin of the open
+    record, comes from one row for each slice. So a file of any size covers as many tasks as it has slices. ``line`` is the
+    number of a record's first line. Blank lines between records are none. A record of more than ``RECORD_LINES`` lines is
+    given line by line, so that an unclosed quote makes no group without a bound; each such line is then a record.
+    """
+    rows = sliced(lines.select("file", "place", "value"), ["file"], [F.col("place")])
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    earlier = Window.partitionBy("file").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file", "_slice").orderBy("place")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+
+    sizes = rows.groupBy("file", "_slice").agg(F.count("*").alias("_rows"), F.sum(quotes).alias("_quotes"))
+    carried = sizes.select(
+        "file", "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows"),
+        F.coalesce(F.sum("_quotes").over(earlier), F.lit(0)).alias("_quotes"),
+    )
+    counted = rows.withColumn("_own", F.row_number().over(inside)).withColumn(
+        "_seen", F.coalesce(F.sum(quotes).over(before), F.lit(0))
+    )
+    line = (F.col("_rows") + F.col("_own")).alias("line")
+    begins = ((F.col("_quotes") + F.col("_seen")) % 2 == 0).alias("_begins")
+    marked = cut(counted.join(carried, ["file", "_slice"]).select("file", "_slice", line, "value", begins), "csv_lines")
+
+    start = F.when(F.col("_begins"), F.col("line"))
+    last = marked.groupBy("file", "_slice").agg(F.max(start).alias("_last"))
+    opened = last.select("file", "_slice", F.max("_last").over(earlier).alias("_opened"))
+    within = Window.partitionBy("file", "_slice").orderBy("line")
+    owned = marked.withColumn("_start", F.max(start).over(within)).join(opened, ["file", "_slice"]).select(
+        "file", F.coalesce("_start", "_opened").alias("_record"), "line", "value"
+    )
+    spans = owned.groupBy("file", "_record").agg(F.count("*").alias("_lines"))
+    torn = spans.where(F.col("_lines") > RECORD_LINES).select("file", "_record", F.lit(True).alias("_torn"))
+    whole = owned.join(torn, ["file", "_record"], "left")
+    first = F.when(F.col("_torn"), F.col("line")).otherwise(F.col("_record"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda part: part["value"])
+    joined = whole.groupBy("file", first.alias("line")).agg(F.array_join(parts, "\n").alias("record"))
+    return joined.withColumn("record", F.rtrim(F.col("record"), F.lit("\r"))).where("record <> ''")
+
+
+def read_dirty_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
+    """Rows of CSV files with NUL characters and line breaks in quoted values: file, line, the columns, ``unreadable``.
+
+    NULs go before anything is read. With ``header`` the first record of every file is its header, whatever it says; a data
+    row that says the same is a row. A record with a value that is not of its type, or with too many or too few values, has
+    its text in ``unreadable``, with NULL in what could not be read.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    clean = F.translate("value", "\u0000", "")
+    lines = raw.select(F.col("_metadata.file_path").alias("file"), place.alias("place"), clean.alias("value"))
+    records = csv_records(lines)
+    if header:
+        records = records.where("line > 1")
+    else:
+        mark = (F.col("line") == 1) & F.col("record").startswith(MARK)
+        records = records.withColumn("record", F.when(mark, F.expr("substr(record, 2)")).otherwise(F.col("record")))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "unreadable", "escape": '"', "multiLine": "true"}
+    parsed = F.from_csv("record", f"{schema}, unreadable string", options)
+    return records.select("file", "line", parsed.alias("row")).select("file", "line", "row.*")
 
 
 def read_scripts(spark: SparkSession, path: str, pattern: str = "*.sql") -> DataFrame:

@@ -166,17 +166,34 @@ def csv_profile(lab: Lab) -> DataFrame:
     "SELECT c_custkey AS clave, c_name AS nombre, CAST(c_nationkey AS INT) AS nacion FROM {customer}",
 )
 def csv_clean_nul(lab: Lab) -> DataFrame:
-    """Customer lines with NUL characters in them are written as text, cleaned and read as CSV."""
+    """Customers with NUL characters in them are written as CSV, and read from the cleaned files."""
     path = scratch_path(lab.spark, "nul")
     nul = F.lit("\u0000")
-    line = F.concat_ws(
-        ",", "c_custkey", F.concat(F.lit('"'), F.substring("c_name", 1, 4), nul, F.expr("substr(c_name, 5)"), F.lit('"')),
-        F.concat(nul, F.col("c_nationkey").cast("string")),
-    )
-    header = "clave,nombre,nacion"
-    head = lab["customer"].agg(F.lit(header).alias("value"))
-    lab["customer"].select(line.alias("value")).unionAll(head).write.text(path)
-    return text.clean_csv_lines(lab.spark.read.text(path), "clave bigint, nombre string, nacion int", header)
+    rows = lab["customer"].select(
+        F.concat("c_custkey", nul).alias("clave"),
+        F.concat(F.substring("c_name", 1, 4), nul, F.expr("substr(c_name, 5)")).alias("nombre"),
+        F.concat(nul, F.col("c_nationkey").cast("string")).alias("nacion"),
+    )
+    rows.write.option("header", True).csv(path)
+    return text.read_dirty_csv(lab.spark, path, "clave bigint, nombre string, nacion int").select("clave", "nombre", "nacion")
+
+
+@query(
+    "csv_records",
+    """
+SELECT c_custkey AS clave, c_name || chr(10) || 'de "' || c_mktsegment || '", ' || chr(10) || chr(10) || 'fin' AS nombre,
+       CASE WHEN c_custkey % 50 <> 0 THEN CAST(c_nationkey AS INT) END AS nacion, c_custkey % 50 = 0 AS ilegible
+FROM {customer}""",
+)
+def csv_records(lab: Lab) -> DataFrame:
+    """Customers whose names hold line breaks, quotes and commas, some with a nation that is no number."""
+    path = scratch_path(lab.spark, "records")
+    name = F.concat("c_name", F.lit('\nde "'), "c_mktsegment", F.lit('", \n\u0000\nfin'))
+    nation = F.when(F.col("c_custkey") % 50 == 0, "sin dato").otherwise(F.col("c_nationkey").cast("string"))
+    rows = lab["customer"].select(F.col("c_custkey").alias("clave"), name.alias("nombre"), nation.alias("nacion"))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    read = text.read_dirty_csv(lab.spark, path, "clave bigint, nombre string, nacion int")
+    return read.select("clave", "nombre", "nacion", F.col("unreadable").isNotNull().alias("ilegible"))
 
 
 # ---------------------------------------------------------------- contracts
