@@ -56,6 +56,16 @@ class KeyedTable:
         """All rows."""
         return self._stored(self.path).drop(PART)
 
+    def near(self, rows: DataFrame) -> DataFrame:
+        """The rows in the partitions that the keys of ``rows`` fall into: all that could match one of them."""
+        touched = self._touched(self._placed(rows))
+        return self._stored(self.path).where(F.col(PART).isin(touched)).drop(PART)
+
+    @staticmethod
+    def _touched(placed: DataFrame) -> list[int]:
+        """Partition numbers of rows: at most one for each partition of the table."""
+        return sorted(row[0] for row in placed.select(PART).distinct().collect())
+
     def upsert(self, delta: DataFrame, defaults: Mapping[str, Column] | None = None) -> list[int]:
         """Insert new keys and set, in existing ones, the columns ``delta`` has. Returns the partitions rewritten."""
         return self._changed(delta, lambda base, change: upsert(base, change, self.keys, defaults))
@@ -80,8 +90,7 @@ class KeyedTable:
     def _changed(self, delta: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
         self.recover()
         change = cut(self._placed(delta), "change")
-        # At most one number for each partition of the table.
-        touched = sorted(row[0] for row in change.select(PART).distinct().collect())
+        touched = self._touched(change)
         if not touched:
             return touched
         base = self._stored(self.path).where(F.col(PART).isin(touched)).drop(PART)

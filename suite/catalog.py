@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import fixed_values as fixed
 from ledgerloom.operators import merge
-from ledgerloom.plans import runs
+from ledgerloom.plans import ledger, runs
 from ledgerloom.session import scratch_path
 from ledgerloom.sources.keyed import KeyedTable
 from suite import catalog_inputs  # noqa: F401  (registers the bindings)
@@ -216,17 +216,52 @@ FROM (SELECT *, lag(h) OVER w AS before, lead(run_id) OVER w AS after
       WINDOW w AS (PARTITION BY table_name ORDER BY created_at))""",
 )
 def contract_changes(lab: Lab) -> DataFrame:
+    return runs.contract_changes(_versions(lab))
+
+
+def _versions(lab: Lab) -> DataFrame:
     versions = runs.contract_versions(lab["app_runs"], lab["run_analysis"], lab["stored_objects"])
-    return runs.contract_changes(
-        versions.select(
-            "run_id",
-            F.nullif("table_name", F.lit("")).alias("table_name"),
-            F.col("updated_at").alias("created_at"),
-            F.col("yaml_text").alias("contract_json"),
-        )
+    return versions.select(
+        "run_id",
+        F.nullif("table_name", F.lit("")).alias("table_name"),
+        F.col("updated_at").alias("created_at"),
+        F.col("yaml_text").alias("contract_json"),
     )
 
 
+def _seen_sql(versions: str) -> str:
+    return f"""
+SELECT 'run' AS kind, run_id AS identity, h AS content_hash, run_id, created_at, n > 1 AS superseded FROM {versions}
+UNION ALL SELECT 'table', table_name, h, run_id, created_at, FALSE FROM {versions} WHERE n = 1
+UNION ALL SELECT 'contract', h, h, max_by(run_id, (created_at, run_id)), max(created_at), FALSE FROM {versions} GROUP BY h"""
+
+
+RANKED = """
+SELECT run_id, table_name, created_at, sha256(contract_json) AS h,
+       row_number() OVER (PARTITION BY table_name ORDER BY created_at DESC, run_id DESC) AS n FROM {versions}"""
+# Runs of the first import; the second sees all.
+EARLIER = "created_at < TIMESTAMP '1997-01-01'"
+CHECKS["seen_before"] = f"WITH v AS ({RANKED} WHERE {EARLIER}) {_seen_sql('v')}"
+CHECKS["seen_now"] = f"WITH v AS ({RANKED}) {_seen_sql('v')}"
+
+
+@query(
+    "import_delta",
+    """
+SELECT n.kind, n.identity, n.content_hash, n.run_id, n.created_at, n.superseded, b.content_hash AS before_hash,
+       CASE WHEN b.kind IS NULL THEN 'new' WHEN b.content_hash <> n.content_hash THEN 'changed' ELSE 'superseded' END AS change
+FROM {seen_now} n LEFT JOIN {seen_before} b ON b.kind = n.kind AND b.identity IS NOT DISTINCT FROM n.identity
+WHERE b.kind IS NULL OR b.content_hash <> n.content_hash OR (n.superseded AND NOT b.superseded)""",
+)
+def import_delta(lab: Lab) -> DataFrame:
+    """Early runs are taken into the ledger, then all; what comes out the second time are the differences."""
+    versions = _versions(lab)
+    table = ledger.ledger_table(lab.spark, scratch_path(lab.spark, "ledger"), parts=16)
+    table.create(lab.spark.createDataFrame([], ledger.SCHEMA))
+    ledger.take_in(table, ledger.observations(versions.where(EARLIER)))
+    return ledger.take_in(table, ledger.observations(versions))
+
+
 # Section, its table, the column that orders its rows, and its own columns.
 SECTIONS = [
     ("app_run", "app_runs", "0", ["product_name", "sql_file_name", "final_table_name", "target_table", "status"]),
