@@ -81,7 +81,7 @@ def op4_topk_search(spark: SparkSession, folder: str) -> DataFrame:
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Records of all pages as read back from the archives they were written to."""
     records = warc_round_trip(_table(spark, folder, "pages"), least=0)
-    number = lambda name: F.regexp_extract(name, r"^urn:page:(\d+)$", 1).try_cast("bigint")
+    number = lambda name: F.regexp_extract(name, r"^urn:page:(-?\d+)$", 1).try_cast("bigint")
     return records.select(
         number("record_id").alias("page_id"),
         F.col("bytes").alias("payload_bytes"),
@@ -190,13 +190,13 @@ ORACLES: dict[str, str] = {
     """,
     "op4_topk_search": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x : floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+            SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x : floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
             WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x : x IS NULL OR NOT isfinite(x)))),
         scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+            SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.rid <> c.rid)
         SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score FROM scored
-        WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 5
+        WINDOW best AS (PARTITION BY rid ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 5
     """,
     "op5_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),

@@ -1,6 +1,6 @@
 """Exact top-k search by inner product: a ball tree for every shard of vectors, branch and bound.
 
-Vectors are dealt to shards of about ``SHARD_ROWS`` and each shard's ball tree is written once, as a row of arrays.
+Vectors are dealt to shards of about ``SHARD_VALUES`` components and each shard's ball tree is written once, as a row of arrays.
 Queries come in blocks, each broadcast and run against every shard in two waves. The first visits, in each shard, only the
 most promising leaf of a query; the k-th best score over all shards is then known to be reached. The second wave starts
 from that shared score: nodes are opened in order of the bound q.c + |q| r on their inner products, and a node whose bound
@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.rows import numbered
 from ledgerloom.session import cut
 
-SHARD_ROWS = 16_384
+SHARD_VALUES = 1 << 20
 LEAF_ROWS = 64
 #: Queries of one broadcast hold at most this many components, 32 MB.
 BLOCK_VALUES = 4 << 20
@@ -258,17 +259,20 @@ def top_k(
 
     Components x become floor(scale * x). The score is the whole inner product; equal scores go to the smaller vec_id. A
     query with fewer than ``k`` others of its length has them all. Vectors that are NULL, hold NULL or non-finite
-    components, or have no vec_id take no part; of rows that share a vec_id the least vector stands for all. Vectors of
-    different lengths are not compared; empty vectors score 0 with one another. Other columns are ignored.
+    components, or have no vec_id take no part. Every other row counts, also those that share a vec_id: each is a candidate
+    of all rows but itself, and a query of its own. Vectors of different lengths are not compared; empty vectors score 0 with one another. Other columns are ignored.
     """
     spark = vectors.sparkSession
     given = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector"))
     usable = given.mapInArrow(_scaled(scale), "vec_id bigint, size int, vector array<double>")
-    held = cut(usable.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("size", F.size("vector")), "vectors")
-    shards = max(1, -(-held.count() // SHARD_ROWS))
+    # Rows are known by their place in the order of vec_id, which also settles ties.
+    placed = numbered(usable, [], [F.col("vec_id").asc(), F.xxhash64("vector").asc()], "place")
+    held = cut(placed.withColumnsRenamed({"vec_id": "own_id", "place": "vec_id"}), "vectors")
+    shards = max(1, -(-(held.agg(F.sum(F.col("size") + 1)).first()[0] or 0) // SHARD_VALUES))
     dealt = held.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    index = cut(dealt.groupBy("shard", "size").applyInArrow(_index, _INDEX), "ball_trees")
-    wanted = cut(held.withColumnRenamed("vec_id", vec_id).where(queries).withColumnRenamed(vec_id, "vec_id"), "queries")
+    index = cut(dealt.drop("own_id").groupBy("shard", "size").applyInArrow(_index, _INDEX), "ball_trees")
+    named = held.select(F.col("own_id").alias(vec_id), F.struct("vec_id", "size", "vector").alias("row"))
+    wanted = cut(named.where(queries).select("row.*"), "queries")
     values = wanted.agg(F.sum(F.col("size") + 2)).first()[0] or 0
     blocks = max(1, -(-values // BLOCK_VALUES))
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -284,4 +288,6 @@ def top_k(
         best = found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
         best = cut(best.select("query_id", "rank", "vec_id", "score"), "found") if blocks > 1 else best
         results = best if results is None else results.unionByName(best)
-    return results.select("query_id", "rank", "vec_id", "score")
+    ids = held.select("vec_id", "own_id")
+    own = results.join(ids.toDF("query_id", "query"), "query_id").join(ids, "vec_id")
+    return own.select(F.col("query").alias("query_id"), "rank", F.col("own_id").alias("vec_id"), "score")

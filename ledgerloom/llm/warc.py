@@ -6,9 +6,9 @@ response and each other chunk a ``continuation``. A page whose payload another p
 without payload.
 
 Archives are gzipped text files: a chunk is one row, whose record ends in CRLF CRLF, the last line feed of which is the
-line separator that Spark's text writer adds. A gzipped file is read by one task from front to back, line by line, so the
-reader is a state machine over lines: it counts the bytes of a payload and carries its SHA-1 from chunk to chunk, and
-never holds a record. All chunks of a record lie in one file, one behind another, as one task writes them; in archives
+line separator that Spark's text writer adds, and a file is one gzip member. A gzipped file is read by one task from front to back, line by line, so the
+reader is a state machine over lines: it gives a payload as rows of chunks, each with the size and the SHA-1 of all up to
+it, and never holds a record. All chunks of a record lie in one file, one behind another, as one task writes them; in archives
 made elsewhere a record whose segments are apart is reported as such.
 """
 
@@ -39,11 +39,11 @@ def _record(kind: bytes, record_id: bytes, fields: list[bytes], block: list) ->
     return b"".join([b"\r\n".join([*head, b"Content-Length: %d" % size, b"", b""]), *block, b"\r\n\r"])
 
 
-def _chunk_ends(payload: memoryview) -> list[int]:
+def _chunk_ends(payload: memoryview, most: int) -> list[int]:
     """Ends of the chunks of a payload, moved back to the begin of a character."""
     ends, at = [], 0
-    while len(payload) - at > CHUNK_BYTES:
-        end = at + CHUNK_BYTES
+    while len(payload) - at > most:
+        end = at + most
         for back in range(4):
             if payload[end - back] & 0xC0 != 0x80:
                 end -= back
@@ -53,52 +53,56 @@ def _chunk_ends(payload: memoryview) -> list[int]:
     return [*ends, len(payload)]
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The record text of every chunk."""
-    out, held = [], 0
-    for rows in batches:
-        payloads = rows.column("payload")
-        names = [rows.column(c).to_pylist() for c in ("page_id", "url", "refers_to", "first", "digest")]
-        for i, (page, url, refers_to, first, digest) in enumerate(zip(*names)):
-            page = b"%d" % page if page is not None else b""
-            uri = (url or "").encode().replace(b"%", b"%25").replace(b"\r", b"%0D").replace(b"\n", b"%0A")
-            payload = memoryview(payloads[i].as_buffer() or b"") if payloads[i].is_valid else memoryview(b"")
-            ends = _chunk_ends(payload)
-            fields = [
-                b"WARC-Target-URI: " + uri,
-                b"WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)),
-                b"Content-Type: application/http; msgtype=response",
-            ]
-            if not first:
-                about = [
-                    b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                    b"WARC-Refers-To: <urn:page:%d>" % refers_to,
-                    b"WARC-Payload-Length: %d" % len(payload),
+def _records(most: int):
+    """The record text of every chunk, of at most ``most`` payload bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for rows in batches:
+            payloads = rows.column("payload")
+            names = [rows.column(c).to_pylist() for c in ("page_id", "url", "refers_to", "first", "digest")]
+            for i, (page, url, refers_to, first, digest) in enumerate(zip(*names)):
+                page = b"%d" % page if page is not None else b""
+                uri = (url or "").encode().replace(b"%", b"%25").replace(b"\r", b"%0D").replace(b"\n", b"%0A")
+                payload = memoryview(payloads[i].as_buffer() or b"") if payloads[i].is_valid else memoryview(b"")
+                ends = _chunk_ends(payload, most)
+                fields = [
+                    b"WARC-Target-URI: " + uri,
+                    b"WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)),
+                    b"Content-Type: application/http; msgtype=response",
                 ]
-                out.append(_record(b"revisit", b"urn:page:" + page, fields + about, [_HTTP]))
-                held += len(out[-1])
-                continue
-            at = 0
-            for number, end in enumerate(ends, 1):
-                name, own, block = b"urn:page:" + page, list(fields), [payload[at:end]]
-                if number > 1:
-                    name, own = b"%s:%d" % (name, number), [b"WARC-Segment-Origin-ID: <urn:page:" + page + b">"]
-                else:
-                    block.insert(0, _HTTP)
-                if len(ends) > 1:
-                    own.append(b"WARC-Segment-Number: %d" % number)
-                    if number == len(ends):
-                        own.append(b"WARC-Segment-Total-Length: %d" % (len(payload) + len(_HTTP)))
-                out.append(_record(b"continuation" if number > 1 else b"response", name, own, block))
-                held, at = held + len(out[-1]), end
-                if held > BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-                    out, held = [], 0
-        if held > BATCH_BYTES:
+                if not first:
+                    about = [
+                        b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+                        b"WARC-Refers-To: <urn:page:%d>" % refers_to,
+                        b"WARC-Payload-Length: %d" % len(payload),
+                    ]
+                    out.append(_record(b"revisit", b"urn:page:" + page, fields + about, [_HTTP]))
+                    held += len(out[-1])
+                    continue
+                at = 0
+                for number, end in enumerate(ends, 1):
+                    name, own, block = b"urn:page:" + page, list(fields), [payload[at:end]]
+                    if number > 1:
+                        name, own = b"%s:%d" % (name, number), [b"WARC-Segment-Origin-ID: <urn:page:" + page + b">"]
+                    else:
+                        block.insert(0, _HTTP)
+                    if len(ends) > 1:
+                        own.append(b"WARC-Segment-Number: %d" % number)
+                        if number == len(ends):
+                            own.append(b"WARC-Segment-Total-Length: %d" % (len(payload) + len(_HTTP)))
+                    out.append(_record(b"continuation" if number > 1 else b"response", name, own, block))
+                    held, at = held + len(out[-1]), end
+                    if held > BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                        out, held = [], 0
+            if held > BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                out, held = [], 0
+        if out:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-            out, held = [], 0
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+
+    return run
 
 
 def write_warc(
@@ -129,7 +133,7 @@ def write_warc(
     judged = rows.join(owners, ["digest", "size"], "left")
     first = F.coalesce(F.col("page_id") == F.col("refers_to"), F.col("refers_to").isNull())
     judged.select("page_id", "url", "payload", "refers_to", first.alias("first"), "digest").mapInArrow(
-        _records, "record binary"
+        _records(CHUNK_BYTES), "record binary"
     ).select(F.col("record").cast("string")).write.option("compression", "gzip").text(path)
 
 
@@ -139,17 +143,28 @@ _HEADS = {
     b"warc-payload-length": "stated_bytes", b"warc-segment-total-length": "total", b"warc-target-uri": "url",
 }
 
-_READ = "record_id string, url string, kind string, refers_to string, chunk int, chunks int, last boolean, bytes bigint, stated_bytes bigint, digest string, stated string, error string"
+_CHUNKS = (
+    "record_id string, url string, kind string, refers_to string, chunk int, payload binary, bytes bigint, digest string,"
+    " end boolean, whole boolean, stated string, stated_bytes bigint, error string"
+)
 
 
 class _Reader:
-    """Lines of WARC files, without their line feeds, to rows of records or runs of their chunks."""
+    """Lines of WARC files, without their line feeds, to rows of chunks.
 
-    def __init__(self):
+    A run is what is read of one record: its first segment and those that follow it. Of a payload only the chunk being
+    filled is held, and the one before it, until it is known whether the run ends with it.
+    """
+
+    def __init__(self, payloads: bool, most: int):
+        self.payloads, self.most = payloads, most
         self.heads: dict[str, bytes] | None = None
         self.left = -1
         self.http = False
         self.run: dict | None = None
+        self.piece = bytearray()
+        self.size = 0
+        self.held: dict | None = None
         self.gap = 0
 
     def line(self, line: memoryview) -> Iterator[dict]:
@@ -174,21 +189,17 @@ class _Reader:
         heads = self.heads
         kind, segment = heads.get("kind", b"").decode(), int(heads.get("segment", b"0"))
         name = (heads.get("origin") if kind == "continuation" else heads.get("record_id", b"")).decode().strip("<>")
-        follows = (
-            self.run is not None and kind == "continuation"
-            and (self.run["record_id"], self.run["chunk"] + self.run["chunks"]) == (name, segment)
-        )
-        if follows:
-            self.run["chunks"] += 1
-        else:
+        follows = self.run is not None and kind == "continuation" and self.run["next"] == (name, segment)
+        if not follows:
             yield from self.close()
             text = lambda key: heads[key].decode("utf-8", "replace") if key in heads else None
             self.run = {
-                "record_id": name, "url": text("url"), "kind": kind, "chunk": max(segment, 1), "chunks": 1, "bytes": 0,
-                "refers_to": (text("refers_to") or "").strip("<>") or None, "stated": text("stated"),
-                "stated_bytes": int(heads["stated_bytes"]) if "stated_bytes" in heads else None, "last": segment == 0,
+                "record_id": name, "url": text("url"), "kind": kind, "refers_to": (text("refers_to") or "").strip("<>") or None,
+                "stated": text("stated"), "stated_bytes": int(heads["stated_bytes"]) if "stated_bytes" in heads else None,
+                "begins": segment <= 1 and kind != "continuation", "last": segment == 0, "chunk": 0, "bytes": 0,
                 "sha": hashlib.sha1(),
             }
+        self.run["next"] = name, segment + 1
         self.run["last"] |= "total" in heads
         self.http = kind in ("response", "revisit")
         self.left = int(heads["length"])
@@ -203,65 +214,112 @@ class _Reader:
         if self.http:
             self.http = len(own) > 1
         else:
-            for at in range(0, len(own), CHUNK_BYTES):
-                self.run["sha"].update(own[at : at + CHUNK_BYTES])
+            at = 0
+            while at < len(own):
+                part = own[at : at + self.most - self.size]
+                at += len(part)
+                yield from self.taken(part)
             if feed:
-                self.run["sha"].update(b"\n")
-            self.run["bytes"] += len(own) + feed
+                yield from self.taken(b"\n")
         if self.left == 0:
             yield from self.end(rest=not feed)
 
+    def taken(self, part: memoryview | bytes) -> Iterator[dict]:
+        """Payload bytes that the chunk being filled has room for; a full chunk is done when more come."""
+        if self.size + len(part) > self.most or self.size == self.most:
+            yield from self.chunk()
+        self.run["sha"].update(part)
+        self.size += len(part)
+        if self.payloads:
+            self.piece += part
+
+    def chunk(self) -> Iterator[dict]:
+        """The chunk filled so far is done; the one before it is known not to be the last."""
+        if self.held is not None:
+            yield self.held
+        run = self.run
+        run["chunk"] += 1
+        run["bytes"] += self.size
+        names = ("record_id", "url", "kind", "refers_to", "chunk", "bytes", "stated", "stated_bytes")
+        self.held = {name: run[name] for name in names} | {
+            "payload": bytes(self.piece) if self.payloads else None,
+            "digest": base64.b32encode(run["sha"].digest()).decode(),
+            "end": False,
+        }
+        self.piece, self.size = bytearray(), 0
+
     def end(self, rest: bool = False) -> Iterator[dict]:
         """After a block come two line ends; ``rest``: the first of them ended the block's last line."""
         self.left, self.heads, self.gap = -1, None, 1 if rest else 2
+        if self.size or not self.run["chunk"]:
+            yield from self.chunk()
         if self.run["last"]:
             yield from self.close()
 
     def close(self) -> Iterator[dict]:
         if self.run is not None:
-            row = self.run
-            row["digest"] = base64.b32encode(row.pop("sha").digest()).decode()
-            self.run = None
-            yield row
+            if self.size or not self.run["chunk"]:
+                yield from self.chunk()
+            yield self.held | {"end": True, "whole": self.run["begins"] and self.run["last"]}
+            self.run = self.held = None
 
 
-_READ_SCHEMA = pa.schema(
+_CHUNK_SCHEMA = pa.schema(
     [
         ("record_id", pa.string()), ("url", pa.string()), ("kind", pa.string()), ("refers_to", pa.string()),
-        ("chunk", pa.int32()), ("chunks", pa.int32()), ("last", pa.bool_()), ("bytes", pa.int64()),
-        ("stated_bytes", pa.int64()), ("digest", pa.string()), ("stated", pa.string()), ("error", pa.string()),
+        ("chunk", pa.int32()), ("payload", pa.binary()), ("bytes", pa.int64()), ("digest", pa.string()),
+        ("end", pa.bool_()), ("whole", pa.bool_()), ("stated", pa.string()), ("stated_bytes", pa.int64()),
+        ("error", pa.string()),
     ]
 )
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    reader, out = _Reader(), []
-    for rows in batches:
-        column = rows.column("value").cast(pa.large_binary())
-        data = column.buffers()[2]
-        view = memoryview(data) if data is not None else memoryview(b"")
-        offsets = memoryview(column.buffers()[1]).cast("q")[column.offset : column.offset + len(column) + 1].tolist()
-        for a, b in zip(offsets, offsets[1:]):
-            out += reader.line(view[a:b])
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=_READ_SCHEMA)
-            out = []
-    out += reader.close()
-    yield pa.RecordBatch.from_pylist(out, schema=_READ_SCHEMA)
+def _parsed(payloads: bool, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, out, held = _Reader(payloads, most), [], 0
+        for rows in batches:
+            column = rows.column("value").cast(pa.large_binary())
+            data = column.buffers()[2]
+            view = memoryview(data) if data is not None else memoryview(b"")
+            offsets = memoryview(column.buffers()[1]).cast("q")[column.offset : column.offset + len(column) + 1].tolist()
+            for a, b in zip(offsets, offsets[1:]):
+                for row in reader.line(view[a:b]):
+                    out.append(row)
+                    held += len(row.get("payload") or b"")
+                if held > BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(out, schema=_CHUNK_SCHEMA)
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=_CHUNK_SCHEMA)
+                out, held = [], 0
+        out += reader.close()
+        yield pa.RecordBatch.from_pylist(out, schema=_CHUNK_SCHEMA)
+
+    return run
+
+
+def read_chunks(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """The chunked record table of archives: a row for each record identifier and chunk number.
+
+    Columns: record_id, url, kind, refers_to, chunk (from 1), payload (at most ``CHUNK_BYTES``, NULL without ``payloads``),
+    bytes and digest of the record's payload up to and with this chunk, end (the record's last row), whole (on that row:
+    whether the record was there from its first segment to its last), stated, stated_bytes, error. A chunk ends where a
+    segment does; an empty payload is one empty chunk. What is no record is a row with ``error`` only.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("value"))
+    return lines.mapInArrow(_parsed(payloads, CHUNK_BYTES), _CHUNKS)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: record_id, url, kind, refers_to, bytes and digest of the payload as read, stated digest, error.
 
-    Revisits carry the bytes and digest they state. ``error`` tells what is wrong with a record: a digest that differs
-    from the stated one, or a segment that is missing.
+    These are the last chunk rows, as digests and sizes run on from chunk to chunk. Revisits carry the bytes and digest they
+    state. ``error`` tells what is wrong with a record: a digest that differs from the stated one, or a missing segment.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("value"))
-    runs = lines.mapInArrow(_parsed, _READ)
-    whole = (F.col("chunk") == 1) & F.col("last")
+    runs = read_chunks(spark, path, payloads=False).where("end or error is not null")
     stated = F.regexp_replace("stated", "^sha1:", "")
     revisit = F.col("kind") == "revisit"
-    wrong = F.when(~whole, "segments apart").when(~revisit & (stated != F.col("digest")), "digest differs")
+    wrong = F.when(~F.col("whole"), "segments apart").when(~revisit & (stated != F.col("digest")), "digest differs")
     return runs.select(
         "record_id", "url", "kind", "refers_to",
         F.when(revisit, F.col("stated_bytes")).otherwise(F.col("bytes")).alias("bytes"),

@@ -66,29 +66,29 @@ def test_url_filter_is_native(spark):
 # ---------------------------------------------------------------- top-k search
 
 
-@pytest.mark.parametrize("shard,leaf,block", [(16_384, 64, 4 << 20), (40, 4, 300)])
+@pytest.mark.parametrize("shard,leaf,block", [(1 << 20, 64, 4 << 20), (240, 4, 300)])
 def test_nearest_are_those_of_all_pairs(spark, monkeypatch, shard, leaf, block):
-    monkeypatch.setattr(topk_search, "SHARD_ROWS", shard)
+    monkeypatch.setattr(topk_search, "SHARD_VALUES", shard)
     monkeypatch.setattr(topk_search, "LEAF_ROWS", leaf)
     monkeypatch.setattr(topk_search, "BLOCK_VALUES", block)
     rng = np.random.default_rng(4)
     rows = [(i, v.tolist()) for i, v in enumerate(np.round(rng.normal(size=(300, 5)), 1))]
-    rows += [(300 + i, rows[7][1]) for i in range(20)] + [(7, rows[7][1]), (-50, [0.0] * 5), (1000, [1e155, -1e200, 1.0, 0.0, 0.0])]
+    rows += [(300 + i, rows[7][1]) for i in range(20)] + [(7, rows[7][1]), (7, rows[8][1]), (100, rows[7][1]), (150, [99.0] * 5), (-50, [0.0] * 5), (1000, [1e155, -1e200, 1.0, 0.0, 0.0])]
     rows += [(400, None), (450, [1.0, None, 0.0, 0.0, 0.0]), (500, [float("nan")] * 5), (550, [float("inf")] + [0.0] * 4),
              (600, [1.0, 2.0]), (601, [3.0, -1.0]), (650, []), (651, []), (None, [1.0] * 5)]
     table = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id bigint, embedding array<double>, score string, rank int")
     got = topk_search.top_k(table.repartition(4), F.col("vec_id") % 50 == 0, k=5, scale=256)
-    usable = {
-        i: [int(np.floor(x * 256)) for x in v]
+    usable = [
+        (i, [int(np.floor(x * 256)) for x in v])
         for i, v in rows
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
-    }
+    ]
     want = []
-    for q, a in usable.items():
+    for at, (q, a) in enumerate(usable):
         if q % 50 == 0:
             scores = [
                 (max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(a, b)))), i)
-                for i, b in usable.items() if i != q and len(a) == len(b)
+                for other, (i, b) in enumerate(usable) if other != at and len(a) == len(b)
             ]
             best = sorted(scores, key=lambda s: (-s[0], s[1]))[:5]
             want += [(q, n, i, s) for n, (s, i) in enumerate(best, start=1)]
@@ -110,9 +110,10 @@ def test_archives_give_back_what_was_written(spark, monkeypatch, chunk, least):
     rows = [(1, "u\r\n%", ""), (2, None, None), (3, "x", "abc\n"), (4, "x", "\n\n"), (5, "x", "é" * 50 + "\r\n\r\nWARC/1.1\r\n"),
             (6, "x", "abc\n"), (6, "x", "abc\n"), (None, "q", "abc\n"), (None, "q", "only here"), (7, "", "𐍈" * 31), (8, "x", "\r"),
             (9, "x", "\r\n\r\n"), (10, "x", "Content-Length: 5\r\n\r\nx" * 3)]
+    rows += [(-5, "n", "minus"), (-4, "n", "minus"), (121, "n", "minus")]
     rows += [(i, "z", "".join(rng.choice("a\n\ré\0") for _ in range(rng.randrange(40)))) for i in range(11, 120)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, url string, html string, digest string")
-    number = lambda c: F.regexp_extract(c, r"^urn:page:(\d+)$", 1).try_cast("bigint")
+    number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("bigint")
     records = warc.warc_round_trip(pages.repartition(3), least)
     got = records.select(number("record_id"), "bytes", "digest", "kind", number("refers_to"), "error").collect()
     first = {}
@@ -129,6 +130,28 @@ def test_archives_give_back_what_was_written(spark, monkeypatch, chunk, least):
     assert warc.warc_round_trip(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1 << 20, 64, 7])
+def test_chunk_rows_give_payloads_back(spark, monkeypatch, tmp_path, chunk):
+    """Payloads as (record, chunk number) rows, each with the digest of the payload up to it."""
+    monkeypatch.setattr(warc, "CHUNK_BYTES", chunk)
+    rows = [(i, "u", ("é\r\n" if i % 3 else "ab\n") * i) for i in range(40)] + [(-7, "u", "x" * 500), (50, None, None)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id bigint, url string, html string"), str(tmp_path / "w"))
+    found = {}
+    for row in warc.read_chunks(spark, str(tmp_path / "w")).where("kind = 'response'").collect():
+        found.setdefault(row.record_id, {})[row.chunk] = row
+    assert set(found) == {f"urn:page:{i}" for i, _, _ in rows if i != 50}
+    for i, _, html in rows:
+        if i == 50:
+            continue
+        parts, payload = found[f"urn:page:{i}"], b""
+        assert sorted(parts) == list(range(1, len(parts) + 1)) and [n for n in parts if parts[n].end] == [len(parts)]
+        for number in sorted(parts):
+            payload += parts[number].payload
+            assert len(parts[number].payload) <= chunk and parts[number].bytes == len(payload)
+            assert parts[number].digest == base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        assert payload == (html or "").encode()
+
+
 def test_archives_are_plain_warc(spark, tmp_path):
     import gzip
 
