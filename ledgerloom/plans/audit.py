@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,6 @@ from ledgerloom.session import cut
 # Characters that count as white space.
 SPACES = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 RULE = r"(?U)\bRN-\d{2}\b"
-VARIABLE = r"\$\{[^}]+\}"
 
 
 def required_sections(kind: Column) -> Column:
@@ -84,29 +85,35 @@ def undefined_rules(documents: DataFrame, defined: DataFrame) -> DataFrame:
 
 
 def sql_markers(text: Column) -> Column:
-    """Sorted labels of the SQL patterns found in a text, on white-space-collapsed lower case.
+    """Sorted labels of the SQL patterns found in a lower-cased text, in which any white space counts as one space.
 
-    Each pattern is tried only on texts that contain its leading word, a plain byte search.
-    Two patterns ask for one word somewhere after another; they look at the text behind the
-    first word once, which takes time linear in the length of the text.
+    Texts without a leading word, plain byte searches, are done with. The others are scanned once for all words that a
+    pattern has; the two patterns that ask for one word somewhere after another compare the first place of the one with the
+    last of the other among the words found. A variable is only looked ahead at, as words inside its braces count too.
     """
     lowered = F.lower(text)
-    flat = F.regexp_replace(lowered, SPACES, " ")
-
-    def after(word: str) -> Column:
-        return F.regexp_extract(flat, rf"(?Us)\b{word}\b(.*)$", 1)
-
-    hits = [
-        ("compute stats", "compute", flat.rlike(r"(?U)\bcompute stats\b")),
-        ("insert", "insert", flat.rlike(r"(?U)\binsert\b")),
-        ("insert overwrite", "insert", flat.rlike(r"(?U)\binsert overwrite\b")),
-        ("join on", "join", after("join").rlike(r"(?Us).\bon\b")),
-        ("select from", "select", after("select").rlike(r"(?Us).\bfrom\b")),
-        ("variable sin resolver", "${", flat.rlike(VARIABLE)),
-    ]
-    return F.array_compact(
-        F.array(*[F.when(F.when(lowered.contains(word), hit), label) for label, word, hit in hits])
-    )
+    word = rf"select|from|join|on|insert(?:{SPACES}overwrite)?|compute{SPACES}stats"
+    scan = F.regexp_extract_all(lowered, F.lit(rf"(?U)\b(?:{word})\b|\$\{{(?=[^}}]+\}})"), F.lit(0))
+    leading = [lowered.contains(start) for start in ("compute", "insert", "join", "select", "${")]
+    words = F.when(reduce(or_, leading), scan).otherwise(F.array().cast("array<string>"))
+
+    def labels(found: Column) -> Column:
+        def after(first: str, second: str) -> Column:
+            begin, end = F.array_position(found, first), F.array_position(F.reverse(found), second)
+            return (begin > 0) & (end > 0) & (begin < F.size(found) + 1 - end)
+
+        hits = [
+            ("compute stats", F.exists(found, lambda x: x.startswith("compute"))),
+            ("insert", F.exists(found, lambda x: x.startswith("insert"))),
+            ("insert overwrite", F.exists(found, lambda x: x.endswith("overwrite"))),
+            ("join on", after("join", "on")),
+            ("select from", after("select", "from")),
+            ("variable sin resolver", F.array_contains(found, "${")),
+        ]
+        return F.array_compact(F.array(*[F.when(hit, label) for label, hit in hits]))
+
+    # By way of a lambda, so that the scan is made once however many labels ask for it.
+    return F.transform(F.array(words), labels)[0]
 
 
 def marked_texts(documents: DataFrame) -> DataFrame:

@@ -270,6 +270,8 @@ def test_markers_match_plain_search(spark):
     for n, value in enumerate(texts):
         flat = " ".join(value.lower().split())
         assert got[n] == {label for label, pattern in patterns.items() if re.search(pattern, flat)}, value
+    plan = audit.marked_texts(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "regexp_replace" not in plan and "RLIKE" not in plan
 
 
 def test_script_facts(spark):
