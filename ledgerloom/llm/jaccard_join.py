@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.rows import fetched, keyed
+from ledgerloom.llm.rows import BROADCAST_KEYS, fetched, keyed
 from ledgerloom.llm.words import SPACED, grams, mix, slices, whole, words
 from ledgerloom.session import cut
 
@@ -334,16 +334,19 @@ def _classes(docs: DataFrame, shingle: int, similarity: Fraction) -> tuple[DataF
     same = ["n_shingles", "sig_a", "sig_b"]
     filled = rows.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy(*same).agg(F.min("doc_id").alias("node"))
-    members = filled.select(*same, "doc_id").join(classes, same).select("doc_id", "node").distinct()
-    nodes = cut(
-        filled.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", *same])
-        .dropDuplicates(["doc_id", *same])
-        .select(F.col("doc_id").alias("node"), "n_shingles", "files", "point", "sketch"),
-        "nodes",
-    )
-    filed = nodes.select(F.explode("files").alias("file"), "node")
-    shared = filed.groupBy("file").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
-    return rows, members, nodes, cut(filed.join(shared.select("file", "first"), "file"), "members")
+    named = filled.groupBy("doc_id", *same).agg(F.count("*").alias("rows")).join(classes, same)
+    members = cut(named.select("doc_id", "node", *same, "rows"), "classes")
+    # The rows of a set's other ids are picked out where they lie: the arrays of the nodes are neither moved nor written anew.
+    gone = members.where("doc_id <> node").select("doc_id", *same)
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    nodes = filled.join(gone, ["doc_id", *same], "left_anti")
+    if not members.where("doc_id = node and rows > 1").isEmpty():
+        nodes = nodes.dropDuplicates(["doc_id", *same])
+    nodes = nodes.select(F.col("doc_id").alias("node"), "n_shingles", "files", "point", "sketch")
+    filed = nodes.select(F.explode(F.array_distinct("files")).alias("file"), "node")
+    shared = filed.groupBy("file").agg(F.min("node").alias("first"), F.count("*").alias("nodes")).where("nodes > 1")
+    files = cut(filed.join(shared.select("file", "first"), "file"), "members")
+    return rows, members.select("doc_id", "node").distinct(), nodes, files
 
 
 def _starred(files: DataFrame, nodes: DataFrame, similarity: Fraction) -> DataFrame:
