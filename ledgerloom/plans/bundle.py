@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.naming import (
+    file_category,
     leaf_name,
     merged_description,
     port_type,
@@ -23,46 +26,98 @@ def _filled(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")) != ""
 
 
-def assets(runs: DataFrame, sources: DataFrame, files: DataFrame) -> DataFrame:
-    """Target, sources and files of every run, the first of each (type, name) kept."""
-    nothing = F.lit(None)
-    target = runs.where(_filled("target_table")).select(
-        "run_id",
-        F.lit(0).alias("rank"),
-        F.lit(0).cast("bigint").alias("pos"),
-        F.lit("dataset").alias("asset_type"),
-        F.col("target_table").alias("qualified_name"),
-        F.col("target_table").alias("display_name"),
-        F.lit("target").alias("role"),
-        nothing.cast("string").alias("source_kind"),
-        nothing.cast("bigint").alias("size_bytes"),
+#: Columns of every asset; what a kind of asset does not have is NULL, and its tags are an empty array.
+ASSET = {
+    "asset_type": "string",
+    "qualified_name": "string",
+    "display_name": "string",
+    "description": "string",
+    "tags": "array<string>",
+    "role": "string",
+    "source_kind": "string",
+    "file_category": "string",
+    "size_bytes": "bigint",
+    "storage_path": "string",
+}
+
+
+def _asset(rows: DataFrame, rank: int, values: Mapping[str, Column]) -> DataFrame:
+    empty = {"tags": F.array()}
+    columns = [
+        values.get(name, empty.get(name, F.lit(None))).cast(kind).alias(name) for name, kind in ASSET.items()
+    ]
+    return rows.select("run_id", F.lit(rank).alias("rank"), F.col("pos").cast("bigint"), *columns)
+
+
+def assets(runs: DataFrame, sources: DataFrame, files: DataFrame, contracts: DataFrame | None = None) -> DataFrame:
+    """Target, sources and files of every run, the first of each (type, name) kept with all it says.
+
+    ``contracts`` has run_id (unique), schema_name, schema_description and tags of a run's contract; they name and describe
+    the target, which else goes by its table name. ``sources`` may have contains_description and layer, ``files``
+    file_category and storage_path; a file's category else follows from its path.
+    """
+    stated = runs.where(_filled("target_table")).select("run_id", "target_table", F.lit(0).alias("pos"))
+    nothing = {"schema_name": "string", "schema_description": "string", "tags": "array<string>"}
+    if contracts is None:
+        stated = stated.withColumns({name: F.lit(None).cast(kind) for name, kind in nothing.items()})
+    else:
+        stated = stated.join(contracts.select("run_id", *nothing), "run_id", "left")
+    target = _asset(
+        stated,
+        0,
+        {
+            "asset_type": F.lit("dataset"),
+            "qualified_name": F.col("target_table"),
+            "display_name": F.coalesce(F.nullif("schema_name", F.lit("")), "target_table"),
+            "description": F.col("schema_description"),
+            "tags": F.coalesce("tags", F.array().cast("array<string>")),
+            "role": F.lit("target"),
+        },
     )
-    listed = sources.where(_filled("source_table")).select(
-        "run_id",
-        F.lit(1).alias("rank"),
-        "pos",
-        F.lit("dataset").alias("asset_type"),
-        F.col("source_table").alias("qualified_name"),
-        leaf_name(F.col("source_table")).alias("display_name"),
-        F.lit("source").alias("role"),
-        "source_kind",
-        nothing.cast("bigint").alias("size_bytes"),
+
+    def given(rows: DataFrame, name: str, other: Column) -> Column:
+        return F.col(name) if name in rows.columns else other
+
+    layer = given(sources, "layer", F.lit(None).cast("string"))
+    listed = _asset(
+        sources.where(_filled("source_table")),
+        1,
+        {
+            "asset_type": F.lit("dataset"),
+            "qualified_name": F.col("source_table"),
+            "display_name": leaf_name(F.col("source_table")),
+            "description": given(sources, "contains_description", F.lit(None)),
+            "tags": F.when(F.coalesce(layer, F.lit("")) != "", F.array(layer)).otherwise(F.array().cast("array<string>")),
+            "role": F.lit("source"),
+            "source_kind": F.col("source_kind"),
+        },
     )
-    evidence = files.where(_filled("relative_path")).select(
-        "run_id",
-        F.lit(2).alias("rank"),
-        "pos",
-        F.lit("file").alias("asset_type"),
-        F.col("relative_path").alias("qualified_name"),
-        F.element_at(F.split("relative_path", "/"), -1).alias("display_name"),
-        F.lit("evidence").alias("role"),
-        nothing.cast("string").alias("source_kind"),
-        "size_bytes",
+    evidence = _asset(
+        files.where(_filled("relative_path")),
+        2,
+        {
+            "asset_type": F.lit("file"),
+            "qualified_name": F.col("relative_path"),
+            "display_name": F.element_at(F.split("relative_path", "/"), -1),
+            "role": F.lit("evidence"),
+            "file_category": given(files, "file_category", file_category(F.col("relative_path"))),
+            "size_bytes": F.col("size_bytes"),
+            "storage_path": given(files, "storage_path", F.lit(None)),
+        },
     )
     united = target.unionByName(listed).unionByName(evidence)
     return first_wins(united, ["run_id", "asset_type", "qualified_name"], ["rank", "pos"]).drop("rank", "pos")
 
 
+def asset_columns(asset_rows: DataFrame, fields: DataFrame) -> DataFrame:
+    """The columns of target assets in long form: run_id, qualified_name, position and what a contract field says.
+
+    ``fields`` has run_id, position and further columns; a run has one target.
+    """
+    targets = asset_rows.where(F.col("role") == "target").select("run_id", "qualified_name")
+    return fields.join(targets, "run_id").select("run_id", "qualified_name", *[c for c in fields.columns if c != "run_id"])
+
+
 def _dataset(name: Column) -> Column:
     space, leaf = split_last_dot(name)
     return F.struct(space.alias("namespace"), leaf.alias("name"))

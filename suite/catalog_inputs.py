@@ -219,3 +219,23 @@ SELECT run_id, pos AS sequence, 'm' || {text('l_linenumber')} AS module_id,
             WHEN l_orderkey % 3 = 0 THEN {d.strings("'m5'")} ELSE {d.no_strings} END AS depends_on,
        {d.strings("'demo.fijo'")} AS output_tables, FALSE AS is_principal, 'demo.fijo' AS final_table
 FROM {{lines}}"""
+
+# What contracts, sources and files say about the assets of a run.
+BINDINGS["asset_contracts"] = lambda d: f"""
+SELECT run_id, CASE WHEN n % 3 = 0 THEN 'Tabla ' || {text('n')} END AS schema_name,
+       CASE WHEN n % 4 <> 1 THEN 'Contrato de ' || run_id END AS schema_description,
+       CASE WHEN n % 2 = 0 THEN {d.strings("'captacion'", "'nivel ' || CAST(n % 5 AS STRING)")}
+            ELSE {d.no_strings} END AS tags
+FROM (SELECT run_id, CAST(length(product_name) + length(sql_file_name) AS BIGINT) AS n FROM {{app_runs}}) AS r
+WHERE n % 5 <> 0"""
+
+BINDINGS["described_sources"] = lambda d: f"""
+SELECT run_id, module_key, pos, source_alias, source_table, source_kind,
+       CASE WHEN pos % 3 = 0 THEN 'Contiene ' || source_alias END AS contains_description,
+       CASE WHEN pos % 4 = 0 THEN '' WHEN pos % 4 = 1 THEN 'RAW' WHEN pos % 4 = 2 THEN 'CURADO' END AS layer
+FROM {{run_module_sources}}"""
+
+BINDINGS["stored_files"] = lambda d: f"""
+SELECT run_id, pos, relative_path, size_bytes,
+       CASE WHEN pos % 2 = 0 THEN 'runs/' || run_id || '/' || relative_path END AS storage_path
+FROM {{run_files}}"""

@@ -161,27 +161,47 @@ def registry_validate(lab: Lab) -> DataFrame:
 
 # ---------------------------------------------------------------- bundle
 
-CHECKS["assets"] = """
-SELECT run_id, asset_type, qualified_name, display_name, role, source_kind, size_bytes FROM (
-  SELECT run_id, 0 AS rank, 0 AS pos, 'dataset' AS asset_type, target_table AS qualified_name,
-         target_table AS display_name, 'target' AS role, NULL AS source_kind, NULL AS size_bytes
-  FROM {app_runs} WHERE coalesce(target_table, '') <> ''
+CATEGORY = """CASE lower(split_part(relative_path, '/', 1)) WHEN 'sql' THEN 'sql' WHEN 'metadata' THEN 'metadata'
+     WHEN 'templates' THEN 'template' ELSE CASE lower(relative_path) WHEN 'config.yml' THEN 'config' ELSE 'other' END END"""
+
+CHECKS["assets"] = f"""
+SELECT run_id, asset_type, qualified_name, display_name, description, tags, role, source_kind, file_category, size_bytes,
+       storage_path
+FROM (
+  SELECT r.run_id, 0 AS rank, 0 AS pos, 'dataset' AS asset_type, target_table AS qualified_name,
+         coalesce(c.schema_name, target_table) AS display_name, c.schema_description AS description,
+         coalesce(c.tags, []) AS tags, 'target' AS role, NULL AS source_kind, NULL AS file_category, NULL AS size_bytes,
+         NULL AS storage_path
+  FROM {{app_runs}} r LEFT JOIN {{asset_contracts}} c ON c.run_id = r.run_id WHERE coalesce(target_table, '') <> ''
   UNION ALL
-  SELECT run_id, 1, pos, 'dataset', source_table, regexp_extract(source_table, '[^.]*$'), 'source', source_kind, NULL
-  FROM {run_module_sources}
+  SELECT run_id, 1, pos, 'dataset', source_table, regexp_extract(source_table, '[^.]*$'), contains_description,
+         CASE WHEN coalesce(layer, '') <> '' THEN [layer] ELSE [] END, 'source', source_kind, NULL, NULL, NULL
+  FROM {{described_sources}}
   UNION ALL
-  SELECT run_id, 2, pos, 'file', relative_path, regexp_extract(relative_path, '[^/]*$'), 'evidence', NULL, size_bytes
-  FROM {run_files} WHERE relative_path <> '')
+  SELECT run_id, 2, pos, 'file', relative_path, regexp_extract(relative_path, '[^/]*$'), NULL, [], 'evidence', NULL,
+         {CATEGORY}, size_bytes, storage_path
+  FROM {{stored_files}} WHERE relative_path <> '')
 QUALIFY row_number() OVER (PARTITION BY run_id, asset_type, qualified_name ORDER BY rank, pos) = 1"""
 
 
 def _assets(lab: Lab) -> DataFrame:
-    return bundle.assets(lab["app_runs"], lab["run_module_sources"], lab["run_files"])
+    return bundle.assets(lab["app_runs"], lab["described_sources"], lab["stored_files"], lab["asset_contracts"])
 
 
-@query("asset_inventory", "SELECT * FROM {assets}")
+@query("asset_inventory", "SELECT * REPLACE (array_to_string(tags, ', ') AS tags) FROM {assets}")
 def asset_inventory(lab: Lab) -> DataFrame:
-    return _assets(lab)
+    return _assets(lab).withColumn("tags", F.array_join("tags", ", "))
+
+
+@query(
+    "asset_columns",
+    """
+SELECT t.run_id, r.target_table AS qualified_name, t.pos AS position, t.field_name, t.origin
+FROM {run_transformations} t JOIN {app_runs} r ON r.run_id = t.run_id WHERE coalesce(r.target_table, '') <> ''""",
+)
+def asset_columns(lab: Lab) -> DataFrame:
+    fields = lab["run_transformations"].select("run_id", F.col("pos").alias("position"), "field_name", "origin")
+    return bundle.asset_columns(_assets(lab), fields)
 
 
 @query(

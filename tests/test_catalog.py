@@ -384,3 +384,35 @@ def test_registry_keeps_sources_of_runs_without_target(spark):
     assert rows(schemas, "schema_name", "schema_type") == [("rd", "RAW")]
     got = registry.build_registry(sources, targets, schemas)
     assert sorted(rows(got, "run_id", "target_table", "source_schema_type")) == [("q", "", "RAW"), ("r", "cd.t", "RAW")]
+
+
+def test_assets_say_what_contract_sources_and_files_say(spark):
+    runs_ = spark.createDataFrame([("r", "demo.clientes"), ("q", "demo.otra"), ("p", "")], "run_id string, target_table string")
+    contracts_ = spark.createDataFrame(
+        [("r", "Clientes", "Clientes vigentes", ["captacion"]), ("q", "", None, None)],
+        "run_id string, schema_name string, schema_description string, tags array<string>",
+    )
+    sources = spark.createDataFrame(
+        [("r", 1, "raw.personas", "table", "Personas", "RAW"), ("r", 2, "raw.personas", "view", "otra", "STG"),
+         ("r", 3, "suelta", "table", None, ""), ("r", 4, None, "table", "x", "RAW")],
+        "run_id string, pos int, source_table string, source_kind string, contains_description string, layer string",
+    )
+    files = spark.createDataFrame(
+        [("r", 1, "sql/a.sql", 5, "s3/a"), ("r", 2, "config.yml", 7, None), ("r", 3, "", 1, None)],
+        "run_id string, pos int, relative_path string, size_bytes long, storage_path string",
+    )
+    found = bundle.assets(runs_, sources, files, contracts_)
+    assert found.columns == ["run_id", *bundle.ASSET]
+    got = {(r.run_id, r.qualified_name): tuple(r)[1:] for r in found.collect()}
+    assert got == {
+        ("r", "demo.clientes"): ("dataset", "demo.clientes", "Clientes", "Clientes vigentes", ["captacion"], "target", None, None, None, None),
+        ("q", "demo.otra"): ("dataset", "demo.otra", "demo.otra", None, [], "target", None, None, None, None),
+        ("r", "raw.personas"): ("dataset", "raw.personas", "personas", "Personas", ["RAW"], "source", "table", None, None, None),
+        ("r", "suelta"): ("dataset", "suelta", "suelta", None, [], "source", "table", None, None, None),
+        ("r", "sql/a.sql"): ("file", "sql/a.sql", "a.sql", None, [], "evidence", None, "sql", 5, "s3/a"),
+        ("r", "config.yml"): ("file", "config.yml", "config.yml", None, [], "evidence", None, "config", 7, None),
+    }
+    plain = bundle.assets(runs_, sources.drop("layer", "contains_description"), files.drop("storage_path"))
+    assert {r.display_name for r in plain.where("role = 'target'").collect()} == {"demo.clientes", "demo.otra"}
+    fields = spark.createDataFrame([("r", 1, "a"), ("p", 1, "b")], "run_id string, position int, column string")
+    assert [tuple(r) for r in bundle.asset_columns(found, fields).collect()] == [("r", "demo.clientes", 1, "a")]
