@@ -20,6 +20,9 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Joins of published tables are put in order by their statistics; tables without any stay in the order written.
+    "spark.sql.cbo.enabled": "true",
+    "spark.sql.cbo.joinReorder.enabled": "true",
 }
 
 
@@ -30,6 +33,17 @@ def apply_settings(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A runtime setting that holds in a block only."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def local_session(cores: str = "*", partitions: int = 8, app: str = "ledgerloom") -> SparkSession:
     """Single-machine session for tests and the local bench."""
     builder = (

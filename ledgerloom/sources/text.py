@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from ledgerloom.functions.naming import business_name, ddl_type, file_category
 from ledgerloom.operators.rows import sliced
 from ledgerloom.session import cut
 
+#: Entries of a folder that a task hands over at once.
+LISTED = 4096
 MARK = "﻿"
 
 
@@ -122,13 +128,57 @@ def read_scripts(spark: SparkSession, path: str, pattern: str = "*.sql") -> Data
     )
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The store that a path is in, and the path there; without a scheme it is a local one."""
+    scheme, inside = re.match(r"(?:(\w+):)?(.*)", path, re.S).groups()
+    if scheme in (None, "file"):
+        return fs.LocalFileSystem(), "/" + inside.strip("/")
+    return fs.FileSystem.from_uri(f"{scheme}:{quote(inside)}".rstrip("/"))
+
+
+def _listed(root: str):
+    """What lies directly in folders of a store, as rows (path, folder, size_bytes), a few thousand at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = _store(root)[0]
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                found = store.get_file_info(fs.FileSelector(folder, recursive=False, allow_not_found=True))
+                for begin in range(0, len(found), LISTED):
+                    part = found[begin : begin + LISTED]
+                    folders = [entry.type == fs.FileType.Directory for entry in part]
+                    sizes = [None if is_folder else entry.size for entry, is_folder in zip(part, folders)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([entry.path for entry in part], pa.string()), pa.array(folders, pa.bool_()), pa.array(sizes, pa.int64())],
+                        ["path", "folder", "size_bytes"],
+                    )
+
+    return run
+
+
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """Path in its store and size of every file below a folder, listed by the executors.
+
+    Folders are rows: each round lists the folders that the last one found, dealt to tasks by their path, and writes what is
+    in them. So there are as many rounds as the tree is deep, and the driver holds no file however many there are. Names
+    that begin with a dot or an underscore are files like others; a folder that is not there has none.
+    """
+    schema = "path string, folder boolean, size_bytes bigint"
+    level, found = spark.createDataFrame([(_store(path)[1],)], "path string"), None
+    while True:
+        entries = cut(level.repartition("path").mapInArrow(_listed(path), schema), "listing")
+        files = entries.where("not folder").select("path", "size_bytes")
+        found = files if found is None else found.unionByName(files)
+        level = entries.where("folder").select("path")
+        if level.isEmpty():
+            return found
+
+
 def folder_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Relative path, category and size of every file below a folder, without reading contents."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    # The scheme of a path may be spelt with one slash or three.
-    root = re.sub(r"^\w+:/+", "/", path).rstrip("/") + "/"
-    relative = F.substring_index(F.regexp_replace("path", r"^\w+:/+", "/"), root, -1)
-    return inventory(files.select(relative.alias("relative_path"), F.col("length").alias("size_bytes")))
+    root = _store(path)[1].rstrip("/") + "/"
+    relative = F.expr(f"substr(path, {len(root) + 1})")
+    return inventory(listed_files(spark, path).select(relative.alias("relative_path"), "size_bytes"))
 
 
 def inventory(files: DataFrame) -> DataFrame:
