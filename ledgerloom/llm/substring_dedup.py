@@ -22,10 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.rows import fetched, keyed
+from ledgerloom.llm.rows import BROADCAST_KEYS, fetched, keyed
 from ledgerloom.llm.words import SPACED, Words, grams, mix, slices, whole, words
 from ledgerloom.session import cut
 
+#: Text bytes handled at once.
+SLICE = 1 << 20
 #: Windows are not counted at lengths below this.
 SHORTEST = 16
 
@@ -72,7 +74,7 @@ def joined(found: Words, keep: np.ndarray) -> list[bytes]:
 
 def _overview(length: int, span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", SLICE):
             found = words(rows.column("text"), SPACED, fold=False)
             texts, counts = found.text_of, found.counts
             place = np.arange(len(found.hashes)) - found.first[texts]
@@ -118,7 +120,7 @@ def _windows(length: int, shorter: int, least: bool):
     """Windows of ``length`` words that survived at ``shorter``: by their least inner window, or by both halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", SLICE):
             found = words(rows.column("text"), SPACED, fold=False)
             marks = _spots(rows, found)
             if least:
@@ -153,7 +155,7 @@ def _covered(found: Words, marks: np.ndarray, window: int) -> np.ndarray:
 
 def _removals(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", SLICE):
             found = words(rows.column("text"), SPACED, fold=False)
             gone = _covered(found, _spots(rows, found), window)
             removed = np.bincount(found.text_of[gone], minlength=rows.num_rows).astype(np.int64)
@@ -274,7 +276,7 @@ def _shared(counted: DataFrame) -> DataFrame:
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in slices(batches, "text"):
+    for rows in slices(batches, "text", SLICE):
         found = words(rows.column("text"), SPACED, fold=False)
         lists = rows.column("removed")
         texts = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
@@ -290,16 +292,22 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_from(docs: DataFrame, results: DataFrame) -> DataFrame:
     """The documents with changed texts: kept words joined by one space where words were removed, else as given.
 
-    A document that loses every word goes. Columns are those of ``docs``, which has its ids in doc_id and texts in text.
+    A document that loses every word goes. Columns are those of ``docs``, which has its ids in doc_id and texts in text. Only
+    documents that lose words are taken out of their place.
     """
-    spans = (
+    spans = cut(
         results.where("n_removed > 0")
         .select("doc_id", "row_hash", "removed", (F.col("n_removed") >= F.col("n_words")).alias("gone"))
-        .dropDuplicates(["doc_id", "row_hash"])
+        .dropDuplicates(["doc_id", "row_hash"]),
+        "changed",
     )
-    whole_rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    both = keyed(whole_rows).join(spans, ["doc_id", "row_hash"], "left").where("coalesce(not gone, true)")
-    packed = both.select("row", "text", "removed")
-    schema = packed.drop("removed").schema
-    kept = packed.mapInArrow(_without, schema)
+    few = spans.count() <= BROADCAST_KEYS
+    others = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
+    rows = keyed(docs.select(others, F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    keys = spans.select("doc_id", "row_hash")
+    keys, lost = F.broadcast(keys) if few else keys, spans.where("not gone").drop("gone")
+    untouched = rows.join(keys, ["doc_id", "row_hash"], "left_anti").select("row", "text")
+    touched = rows.join(keys, ["doc_id", "row_hash"], "left_semi") if few else rows
+    packed = touched.join(lost, ["doc_id", "row_hash"]).select("row", "text", "removed")
+    kept = untouched.unionByName(packed.mapInArrow(_without, untouched.schema))
     return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
