@@ -70,13 +70,10 @@ def available_balances(universe: DataFrame, period: DataFrame, snapshot: DataFra
     )
 
 
-def assembled_portfolio(
-    universe: DataFrame, links: DataFrame, products: DataFrame, balances: DataFrame, params: Params
-) -> DataFrame:
-    """The universe with customer ids, product attributes and available balance.
+def with_links(universe: DataFrame, links: DataFrame) -> DataFrame:
+    """The universe with the ids that the links of its rows' own system hold.
 
-    A row takes its ids from the link of its own system: legacy rows through the legacy id,
-    new-core rows through the new-core id.
+    Legacy rows find theirs by the legacy id, new-core rows by the new-core id.
     """
     legacy = links.where(F.col("id_cliente_alnova").isNotNull()).select(
         F.col("id_cliente_alnova").alias("id_cliente"),
@@ -92,21 +89,33 @@ def assembled_portfolio(
         F.col("id_cliente_unico").alias("_core_unique"),
         F.col("id_icu_digital").alias("_core_digital"),
     )
-    attributes = [
-        "cod_familia_producto",
-        "cod_nivel_cuenta",
-        *[f"cod_producto_nivel_0{n}" for n in range(1, 8)],
-    ]
-    sold = products.select(
-        "id_cuenta", F.col("cod_producto"), F.col("cod_producto").alias("_product"), *attributes
-    )
+    by = ["id_cliente", "cod_sistema"]
+    return universe.join(legacy, by, "left").join(core, by, "left")
+
+
+ATTRIBUTES = ["cod_familia_producto", "cod_nivel_cuenta", *[f"cod_producto_nivel_0{n}" for n in range(1, 8)]]
+
+
+def assembled_portfolio(
+    universe: DataFrame, links: DataFrame, products: DataFrame, balances: DataFrame, params: Params
+) -> DataFrame:
+    """The universe with customer ids, product attributes and available balance."""
+    return with_accounts(with_links(universe, links), products, balances, params)
+
+
+def with_accounts(
+    linked: DataFrame, products: DataFrame, balances: DataFrame, params: Params, bucketed: bool = False
+) -> DataFrame:
+    """Linked rows of the universe with the product attributes and available balance of their account.
+
+    With ``bucketed`` the three are tables in buckets of the account. Both joins are then keyed by the account alone, the
+    product being compared behind the key, so that they keep to the buckets.
+    """
+    sold = products.select(F.col("id_cuenta").alias("_account"), F.col("cod_producto").alias("_product"), *ATTRIBUTES)
     money = balances.select("id_cuenta", "sld_disponible", "cod_sld_disponible")
-    joined = (
-        universe.join(legacy, ["id_cliente", "cod_sistema"], "left")
-        .join(core, ["id_cliente", "cod_sistema"], "left")
-        .join(sold, ["id_cuenta", "cod_producto"], "left")
-        .join(money, "id_cuenta", "left")
-    )
+    same_product = F.col("cod_producto") == F.col("_product")
+    match = [F.col("id_cuenta") == F.col("_account"), F.coalesce(same_product, F.lit(False)) if bucketed else same_product]
+    joined = linked.join(sold, match, "left").drop("_account").join(money, "id_cuenta", "left")
     return joined.select(
         F.when(F.col("cod_sistema") == fixed.LEGACY, F.col("id_cliente"))
         .otherwise(F.col("_core_legacy"))
@@ -134,7 +143,7 @@ def assembled_portfolio(
         "ind_cuenta_nueva",
         "num_dias_antiguedad",
         F.col("_product").alias("cod_producto"),
-        *attributes,
+        *ATTRIBUTES,
         "sld_actual",
         F.coalesce("sld_disponible", F.lit(0).cast(MONEY)).alias("sld_disponible"),
         "cod_sld_disponible",

@@ -2,10 +2,13 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.session import cut
+from ledgerloom.session import cut, setting
 from ledgerloom.sources import tables, text
+from suite.lab import Lab
+from suite.warehouse import Published, bucketed_portfolio
 
 
 def test_statistics_change_the_order_of_joins(spark, tmp_path):
@@ -65,3 +68,16 @@ def test_files_are_listed_by_rounds(spark, tmp_path, monkeypatch):
     assert text.folder_inventory(spark, str(tmp_path / "root" / "empty")).collect() == []
     kinds = {r.file_category for r in got.select(F.col("file_category")).distinct().collect()}
     assert kinds == {"config", "other"}
+
+
+def test_bucketed_steps_are_joined_where_they_lie(spark):
+    """Between the published steps of the portfolio there is no exchange."""
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no data folder")
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        joined = bucketed_portfolio(Lab(spark, folder))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
+    plain = Published(Lab(spark, folder)).build().assembled()
+    assert joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()
