@@ -16,6 +16,7 @@ from ledgerloom.functions.columns import (
     padded_branch,
     spread_nulls,
 )
+from ledgerloom.operators.lookup import looked_up
 from ledgerloom.params import Params
 
 Tables = Mapping[str, DataFrame]
@@ -169,12 +170,7 @@ def active_portfolio(assembled: DataFrame, params: Params) -> DataFrame:
 
 
 def account_master(tables: Tables, portfolio: DataFrame, links: DataFrame, params: Params) -> DataFrame:
-    """The portfolio under master ids, six-position branches, advisor and opening week."""
-    branches = tables["rd_tcdt078"]
-
-    def branch(column: str) -> DataFrame:
-        return branches.select(F.col("t078_centro_4").alias(column), F.col("t078_centro_6").alias(f"_six_{column}"))
-
+    """The portfolio under master ids, six-position branches (one row per branch), advisor and opening week."""
     advisors = (
         tables["cu_portafolio_fenix_analitica_crm_historica"]
         .where(F.col("semanaproceso") == params.advisor_period)
@@ -195,14 +191,13 @@ def account_master(tables: Tables, portfolio: DataFrame, links: DataFrame, param
 
     renumbered = ["id_sucursal_apertura", "id_sucursal_gestora", "id_sucursal_ultima_txn", "id_sucursal_portafolio"]
     rows = portfolio.join(advisors, "id_cuenta", "left")
-    for column in renumbered:
-        rows = rows.join(branch(column), column, "left")
+    rows = looked_up(rows, renumbered, tables["rd_tcdt078"], "t078_centro_4", "t078_centro_6")
     systems = {"id_cliente_alnova": fixed.LEGACY, "id_cliente_finacle": fixed.CORE}
     for column, system in systems.items():
         rows = rows.withColumn(f"_key_{column}", spread_nulls(F.col(column), F.col("id_cuenta"))).join(
             master(system, column), f"_key_{column}", "left"
         )
-    six = {column: F.coalesce(F.col(f"_six_{column}"), F.col(column)).alias(column) for column in renumbered}
+    six = {column: F.coalesce(F.col(f"_found_{column}"), F.col(column)).alias(column) for column in renumbered}
     return rows.select(
         F.coalesce(
             *[F.col(f"_master_{column}") for column in systems],

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import newest, oldest
-from ledgerloom.operators import graph, merge, rows
+from ledgerloom.operators import graph, lookup, merge, rows
 from ledgerloom.session import cut
 
 
@@ -183,3 +183,21 @@ def test_walks_and_levels_on_any_graph(spark, monkeypatch, growth):
     reached = {(r.run_id, r.node): r.depth for r in graph.upstream(seeds, edges, ["run_id"]).collect()}
     want = {s: _plain_walks([ns[0]], es)[ns[0]] for s, (ns, es) in scopes.items()}
     assert reached == {(s, n): depth for s, found in want.items() for n, depth in found.items()}
+
+
+def test_one_join_looks_up_several_columns(spark, monkeypatch):
+    rng = random.Random(5)
+    pick = lambda: rng.choice([None, "b0", "b0", *[f"b{i}" for i in range(12)]])
+    data = [(i // 2, pick(), pick(), pick(), f"x{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(data, "id int, one string, two string, three string, x string")
+    dimension = spark.createDataFrame([(f"b{i}", f"B{i}") for i in range(8)] + [(None, "none")], "k string, v string")
+    named = {f"b{i}": f"B{i}" for i in range(8)}
+    want = sorted(((*row, *[named.get(row[n]) for n in (1, 2, 3)]) for row in data), key=str)
+    columns = ["one", "two", "three"]
+    small = lookup.looked_up(df, columns, dimension, "k", "v")
+    assert sorted((tuple(r) for r in small.collect()), key=str) == want
+    monkeypatch.setattr(lookup, "SMALL", 0)
+    large = lookup.looked_up(df, columns, dimension, "k", "v")
+    assert sorted((tuple(r) for r in large.select(small.columns).collect()), key=str) == want
+    plan = large._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and plan.count("Join LeftOuter") == 1
