@@ -189,10 +189,12 @@ def language_id(pages: DataFrame, documents: DataFrame) -> DataFrame:
     evidence = located
     for number, block in enumerate(blocks):
         first, last = number == 0, number == len(blocks) - 1
-        own = counted.where(F.col("lang").between(block[0], block[-1])).collect()
+        # Columns, not rows: at most as many numbers as the table itself has.
+        own = counted.where(F.col("lang").between(block[0], block[-1])).select("lang", "trigram", "n").toArrow()
         place, counts = {lang: i for i, lang in enumerate(block)}, np.zeros((len(block), TRIGRAMS))
-        for lang, trigram, n in own:
-            counts[place[lang], trigram] = n
+        named = own.column("lang").combine_chunks().dictionary_encode()
+        rows_of = np.array([place[lang] for lang in named.dictionary.to_pylist()], np.int64)[named.indices.to_numpy()]
+        counts[rows_of, own.column("trigram").to_numpy()] = own.column("n").to_numpy()
         table = np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * TRIGRAMS))
         schema = f"page_id {kind}, host string, declared string, likely array<double>" + ("" if last else f", html {page}")
         # Written between passes, so that one block is held at a time.
