@@ -10,7 +10,8 @@ both sides is among the d + 1 heaviest of either. A document is filed under the
 of two above d; near a power's edge a document is filed under two of them, as its partners may be). Documents in one file
 are nearly always near copies, so files are small and no frequent word or shared passage makes a large one.
 
-Documents of one file are first tied to its smallest one. Only files that then still hold several components go to a tree,
+Documents are first tied to the smallest one of their files, then, where that leaves them apart, to the first ones of their
+other files. Only files that then still hold several components go to a tree,
 where only pairs of different components matter. A pair must pass the tree's bound and a finer one, on four times as many
 groups as the set has shingles: a group that one side has and the other has not takes a shingle from the minima. What passes
 is nearly always similar; so a document meets its ``MET`` best partners, the links found become components, and only what is
@@ -304,6 +305,14 @@ def _tree_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, similari
     return pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components by ``roots`` (node, root)."""
+    for end in ("a", "b"):
+        own = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        pairs = pairs.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    return pairs.where("root_a <> root_b").select("a", "b")
+
+
 def _only_in(one: str, other: str) -> Column:
     """The number of groups that only the first of two sketches has; parts of a wider one are laid over each other."""
     width = F.least(F.size(one), F.size(other))
@@ -377,8 +386,13 @@ def jaccard_join(
     """
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     rows, members, nodes, files = _classes(texts, shingle, similarity)
-    tested = cut(_starred(files, nodes, similarity), "pairs")
-    links, most = cut(_verified(tested, texts, shingle, similarity), "links"), MET
+    tested = cut(_starred(files, nodes, similarity), "stars")
+    # First the smallest of all files' first nodes; the others only where that leaves two components.
+    nearest = cut(tested.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    links, most = cut(_verified(nearest, texts, shingle, similarity), "links"), MET
+    others = cut(_apart(tested.join(nearest, ["a", "b"], "left_anti"), components(links, "a", "b")), "pairs")
+    if not others.isEmpty():
+        links = links.unionByName(cut(_verified(others, texts, shingle, similarity), "links"))
     while True:
         met = cut(_tree_pairs(files, nodes, components(links, "a", "b"), similarity, most), "met")
         rest = cut(met.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
