@@ -306,11 +306,18 @@ def _tree_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, similari
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends are in different components by ``roots`` (node, root)."""
+    """The pairs (a, b, root_a, root_b) whose ends are in different components by ``roots`` (node, root)."""
     for end in ("a", "b"):
         own = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
         pairs = pairs.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    return pairs.where("root_a <> root_b").select("a", "b")
+    return pairs.where("root_a <> root_b").select("a", "b", "root_a", "root_b")
+
+
+def _joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots of all nodes after further links, found on the few components that those join."""
+    moved = cut(components(_apart(links, roots), "root_a", "root_b"), "moved").toDF("root", "to")
+    kept = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return cut(kept.unionByName(moved.select(F.col("root").alias("node"), F.col("to").alias("root"))), "roots")
 
 
 def _only_in(one: str, other: str) -> Column:
@@ -389,23 +396,25 @@ def jaccard_join(
     tested = cut(_starred(files, nodes, similarity), "stars")
     # First the smallest of all files' first nodes; the others only where that leaves two components.
     nearest = cut(tested.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-    links, most = cut(_verified(nearest, texts, shingle, similarity), "links"), MET
-    others = cut(_apart(tested.join(nearest, ["a", "b"], "left_anti"), components(links, "a", "b")), "pairs")
+    # Rows of one id with different sets tie those together.
+    several = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last")
+    same_id = members.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
+    found = _verified(nearest, texts, shingle, similarity).unionByName(same_id)
+    roots, most = cut(components(cut(found, "links"), "a", "b"), "roots"), MET
+    others = cut(_apart(tested.join(nearest, ["a", "b"], "left_anti"), roots).select("a", "b"), "pairs")
     if not others.isEmpty():
-        links = links.unionByName(cut(_verified(others, texts, shingle, similarity), "links"))
+        roots = _joined_roots(roots, cut(_verified(others, texts, shingle, similarity), "links"))
     while True:
-        met = cut(_tree_pairs(files, nodes, components(links, "a", "b"), similarity, most), "met")
+        met = cut(_tree_pairs(files, nodes, roots, similarity, most), "met")
         rest = cut(met.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
         if not rest.isEmpty():
             tested = tested.unionByName(rest)
-            links = links.unionByName(cut(_verified(rest, texts, shingle, similarity), "links"))
+            roots = _joined_roots(roots, cut(_verified(rest, texts, shingle, similarity), "links"))
         if met.where("more").isEmpty():
             break
         most *= 4
-    copies = members.where("doc_id <> node")
-    tied = links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    found = components(tied, "a", "b").select(F.col("node").alias("doc_id"), "root")
-    return rows.join(found, "doc_id", "left").select(
+    of_doc = members.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")).distinct()
+    return rows.join(of_doc, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")
     )
 
