@@ -42,6 +42,8 @@ GROUPS = 64
 #: Documents of one block of a file; a tree holds at most two blocks.
 TREE_ROWS = 2048
 FANOUT = 16
+#: Words of sketches compared at once.
+SKETCH_WORDS = 1 << 20
 #: Partners of a document that are verified in the first round.
 MET = 4
 
@@ -225,10 +227,15 @@ def _folded(sketches: list[np.ndarray]) -> np.ndarray:
 
 def _score(a: np.ndarray, b: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, similarity: Fraction) -> np.ndarray:
     """The share that pairs can have in common by their sketches, -1 where it does not allow the similarity."""
-    only_a = np.bitwise_count(sketches[a] & ~sketches[b]).sum(1, dtype=np.int64)
-    only_b = np.bitwise_count(sketches[b] & ~sketches[a]).sum(1, dtype=np.int64)
-    bound, both = np.minimum(sizes[a] - only_a, sizes[b] - only_b), sizes[a] + sizes[b]
-    return np.where(bound * (similarity.numerator + similarity.denominator) >= similarity.numerator * both, bound / both, -1.0)
+    at_once, score = max(1, SKETCH_WORDS // sketches.shape[1]), np.empty(len(a))
+    for begin in range(0, len(a), at_once):
+        i, j = a[begin : begin + at_once], b[begin : begin + at_once]
+        only_i = np.bitwise_count(sketches[i] & ~sketches[j]).sum(1, dtype=np.int64)
+        only_j = np.bitwise_count(sketches[j] & ~sketches[i]).sum(1, dtype=np.int64)
+        bound, both = np.minimum(sizes[i] - only_i, sizes[j] - only_j), sizes[i] + sizes[j]
+        near = bound * (similarity.numerator + similarity.denominator) >= similarity.numerator * both
+        score[begin : begin + at_once] = np.where(near, bound / both, -1.0)
+    return score
 
 
 def _best(pairs: list[tuple[np.ndarray, ...]], most: int) -> tuple[tuple[np.ndarray, ...], bool]:
