@@ -27,6 +27,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -250,18 +251,38 @@ def _best(pairs: list[tuple[np.ndarray, ...]], most: int) -> tuple[tuple[np.ndar
     return (a[keep], b[keep], score[keep]), not keep.all()
 
 
+def _tested(group: pa.Table, nodes: np.ndarray) -> np.ndarray:
+    """The pairs of rows, as one number each, that were verified before, from the partners listed with one of the two."""
+    lists = group.column("known").combine_chunks()
+    partner = lists.flatten().to_numpy()
+    if not len(partner):
+        return partner
+    own = np.repeat(np.arange(len(nodes)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    order = np.argsort(nodes)
+    at = order[np.minimum(np.searchsorted(nodes, partner, sorter=order), len(nodes) - 1)]
+    here = nodes[at] == partner
+    own, at = own[here], at[here]
+    return np.minimum(own, at) * len(nodes) + np.maximum(own, at)
+
+
 def _tree_join(similarity: Fraction, most: int):
-    """Joins the documents of one file, or of two blocks of it, that have different labels: each with its best partners."""
+    """Joins the documents of one file, or of two blocks of it, that have different labels: each with its best partners.
+
+    Pairs verified before are left out, so that rounds do not repeat each other.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         nodes, label, block, sizes = (group.column(c).to_numpy() for c in ("node", "label", "block", "n_shingles"))
         points = group.column("point").combine_chunks().flatten().to_numpy().reshape(len(nodes), GROUPS)
         sketches = _folded([s.values.to_numpy() for s in group.column("sketch")])
         one_block = group.column("block_a")[0].as_py() == group.column("block_b")[0].as_py()
+        tested = _tested(group, nodes)
         none = np.empty(0, np.int64)
         best, left_out, waiting = (none, none, none.astype(float)), False, []
         for a, b in Tree(points, sizes, label).pairs(similarity):
             across = one_block | (block[a] != block[b])
+            if len(tested):
+                across &= ~np.isin(np.minimum(a, b) * len(nodes) + np.maximum(a, b), tested)
             a, b = a[across], b[across]
             score = _score(a, b, sketches, sizes, similarity)
             near = score >= 0
@@ -277,9 +298,25 @@ def _tree_join(similarity: Fraction, most: int):
     return run
 
 
-def _tree_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: Fraction, most: int) -> DataFrame:
+def _partners(pairs: DataFrame) -> DataFrame:
+    """The pairs as lists of partners (node, known), each pair with that of its ends which has fewer.
+
+    A document brings a few pairs along each round, so only partners of many others have many, and those keep no list.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    both = pairs.join(ends.toDF("a", "n_a"), "a").join(ends.toDF("b", "n_b"), "b")
+    fewer = F.col("n_a") <= F.col("n_b")
+    own, other = F.when(fewer, F.col("a")).otherwise(F.col("b")), F.when(fewer, F.col("b")).otherwise(F.col("a"))
+    return both.select(own.alias("node"), other.alias("other")).groupBy("node").agg(F.collect_list("other").alias("known"))
+
+
+def _tree_pairs(
+    members: DataFrame, nodes: DataFrame, roots: DataFrame, tested: DataFrame, similarity: Fraction, most: int
+) -> DataFrame:
     """Pairs (a, b) of one file but different labels that the bounds allow, the best ``most`` of each document.
 
+    Those in ``tested`` are left out.
+
     ``more`` says whether a file of the pair has left some out.
     """
     labelled = (
@@ -305,6 +342,7 @@ def _tree_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, similari
             F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"),
         )
         .join(points, "node")
+        .join(_partners(tested), "node", "left")
     )
     pairs = dealt.groupBy("file", "block_a", "block_b").applyInArrow(
         _tree_join(similarity, most), "a bigint, b bigint, more boolean"
@@ -412,11 +450,10 @@ def jaccard_join(
     if not others.isEmpty():
         roots = _joined_roots(roots, cut(_verified(others, texts, shingle, similarity), "links"))
     while True:
-        met = cut(_tree_pairs(files, nodes, roots, similarity, most), "met")
-        rest = cut(met.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not rest.isEmpty():
-            tested = tested.unionByName(rest)
-            roots = _joined_roots(roots, cut(_verified(rest, texts, shingle, similarity), "links"))
+        met = cut(_tree_pairs(files, nodes, roots, tested, similarity, most), "pairs")
+        if not met.isEmpty():
+            tested = tested.unionByName(met.select("a", "b"))
+            roots = _joined_roots(roots, cut(_verified(met.select("a", "b"), texts, shingle, similarity), "links"))
         if met.where("more").isEmpty():
             break
         most *= 4
@@ -438,5 +475,6 @@ def similar_pairs(
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     _, members, nodes, files = _classes(texts, shingle, similarity)
     none = nodes.select("node", F.col("node").alias("root")).limit(0)
-    met = cut(_tree_pairs(files, nodes, none, similarity, (1 << 31) - 1), "met")
+    untested = none.toDF("a", "b")
+    met = cut(_tree_pairs(files, nodes, none, untested, similarity, (1 << 31) - 1), "met")
     return _verified(met.select("a", "b"), texts, shingle, similarity), members
