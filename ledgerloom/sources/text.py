@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -15,8 +16,12 @@ from ledgerloom.functions.naming import business_name, ddl_type, file_category
 from ledgerloom.operators.rows import sliced
 from ledgerloom.session import cut
 
-#: Entries of a folder that a task hands over at once.
+#: Entries of folders that a task hands over at once.
 LISTED = 4096
+#: Bytes of opened files that a task hands over at once, with the file that goes beyond.
+OPENED = 4 << 20
+#: What is written as %XX in the path of a file that was read.
+NOT_IN_URI = re.compile(r"[^\w!.~'()*,;:$&+=@/\x80-\U0010ffff-]")
 MARK = "﻿"
 
 
@@ -118,14 +123,107 @@ def read_dirty_csv(spark: SparkSession, path: str, schema: str, header: bool = T
     return records.select("file", "line", parsed.alias("row")).select("file", "line", "row.*")
 
 
+def _opened(root: str):
+    """Texts of files (path) of a store as rows (path, text), some megabytes at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = _store(root)[0]
+        paths, texts, size = [], [], 0
+
+        def taken() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.binary())], ["path", "text"])
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with store.open_input_stream(path) as stream:
+                    texts.append(stream.read())
+                paths.append(NOT_IN_URI.sub(lambda mark: quote(mark.group()), path))
+                size += len(texts[-1])
+                if size >= OPENED or len(paths) >= LISTED:
+                    yield taken()
+                    paths, texts, size = [], [], 0
+        if paths:
+            yield taken()
+
+    return run
+
+
 def read_scripts(spark: SparkSession, path: str, pattern: str = "*.sql") -> DataFrame:
-    """(path, text) of every script below a folder."""
-    return (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    )
+    """(path, text) of every script below a folder; ``pattern`` is matched with file names.
+
+    Scripts are small and many, so they are listed and opened by the executors, dealt to tasks by their path; the driver
+    holds none. Files and folders whose names begin with a dot or an underscore are left out, as in other reads.
+    """
+    root = _store(path)[1].rstrip("/") + "/"
+    inside = F.expr(f"substr(path, {len(root) + 1})")
+    hidden = inside.rlike(r"(^|/)(\.|_(?![^/]*=))")
+    named = F.regexp_like(F.substring_index("path", "/", -1), F.lit(f"^{_glob(pattern)}$"))
+    wanted = listed_files(spark, path).where(named & ~hidden).select("path")
+    read = wanted.repartition(_tasks(spark), "path").mapInArrow(_opened(path), "path string, text binary")
+    return read.select(F.concat(F.lit(_before(path)), "path").alias("path"), F.col("text").cast("string").alias("text"))
+
+
+def _before(path: str) -> str:
+    """What makes a path within the store of ``path`` a URI, as Spark spells it."""
+    scheme, authority = re.match(r"(?:(\w+):)?(//[^/]*)?", path).groups()
+    if scheme in (None, "file"):
+        return "file:"
+    return f"{scheme}:{authority if _store(path)[1].startswith('/') else '//'}"
+
+
+def _glob(pattern: str) -> str:
+    """A file name pattern with ``*`` and ``?`` as a regular expression."""
+    return "".join({"*": ".*", "?": "."}.get(mark, re.escape(mark)) for mark in pattern)
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Tasks that many small pieces are dealt to: their sizes say nothing about the time each takes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _saved(root: str):
+    """Writes rows (file, text), equal files next to each other, as lines of these files of a store; yields the files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = _store(root)
+        name = stream = draft = None
+        saved = []
+
+        def close() -> None:
+            stream.close()
+            store.move(draft, f"{folder}/{name}")
+            saved.append(name)
+
+        for batch in batches:
+            for file, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist()):
+                if file != name:
+                    if stream is not None:
+                        close()
+                    parent = f"{folder}/{file}".rpartition("/")[0]
+                    store.create_dir(parent)
+                    name, draft = file, f"{parent}/.{uuid.uuid4().hex}"
+                    stream = store.open_output_stream(draft)
+                stream.write((text or b"") + b"\n")
+            if saved:
+                yield pa.RecordBatch.from_arrays([pa.array(saved, pa.string())], ["file"])
+                saved.clear()
+        if stream is not None:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array(saved, pa.string())], ["file"])
+
+    return run
+
+
+def write_texts(rows: DataFrame, path: str) -> int:
+    """Write rows (file, text) as files below a folder, named relative to it, and return how many files that are.
+
+    The executors write; nothing goes through the driver, whose commit would move file after file. Rows of the same file
+    become lines of it, a missing text an empty one. A file gets its name when it is complete, so a task that runs twice
+    leaves the same files.
+    """
+    spark = rows.sparkSession
+    dealt = rows.select("file", F.col("text").cast("binary").alias("text")).repartition(_tasks(spark), "file")
+    return dealt.sortWithinPartitions("file").mapInArrow(_saved(path), "file string").count()
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -141,17 +239,26 @@ def _listed(root: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _store(root)[0]
+        found = []
+
+        def taken() -> pa.RecordBatch:
+            folders = [entry.type == fs.FileType.Directory for entry in found]
+            sizes = [None if is_folder else entry.size for entry, is_folder in zip(found, folders)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([entry.path for entry in found], pa.string()), pa.array(folders, pa.bool_()), pa.array(sizes, pa.int64())],
+                ["path", "folder", "size_bytes"],
+            )
+
         for batch in batches:
             for folder in batch.column("path").to_pylist():
-                found = store.get_file_info(fs.FileSelector(folder, recursive=False, allow_not_found=True))
-                for begin in range(0, len(found), LISTED):
-                    part = found[begin : begin + LISTED]
-                    folders = [entry.type == fs.FileType.Directory for entry in part]
-                    sizes = [None if is_folder else entry.size for entry, is_folder in zip(part, folders)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([entry.path for entry in part], pa.string()), pa.array(folders, pa.bool_()), pa.array(sizes, pa.int64())],
-                        ["path", "folder", "size_bytes"],
-                    )
+                inside = store.get_file_info(fs.FileSelector(folder, recursive=False, allow_not_found=True))
+                for begin in range(0, len(inside), LISTED):
+                    found.extend(inside[begin : begin + LISTED])
+                    if len(found) >= LISTED:
+                        yield taken()
+                        found = []
+        if found:
+            yield taken()
 
     return run
 
@@ -166,7 +273,9 @@ def listed_files(spark: SparkSession, path: str) -> DataFrame:
     schema = "path string, folder boolean, size_bytes bigint"
     level, found = spark.createDataFrame([(_store(path)[1],)], "path string"), None
     while True:
-        entries = cut(level.repartition("path").mapInArrow(_listed(path), schema), "listing")
+        # By number, so that small rows are not merged into few tasks: a folder's listing takes longer than its name.
+        dealt = level.repartition(_tasks(spark), "path") if found is not None else level
+        entries = cut(dealt.mapInArrow(_listed(path), schema), "listing")
         files = entries.where("not folder").select("path", "size_bytes")
         found = files if found is None else found.unionByName(files)
         level = entries.where("folder").select("path")

@@ -461,8 +461,8 @@ def audit_summary(lab: Lab) -> DataFrame:
 def _script_folder(lab: Lab) -> str:
     """Scripts written as one file each, in a folder named by the script."""
     path = scratch_path(lab.spark, "scripts")
-    name = F.regexp_replace("path", "[^A-Za-z0-9]+", "_")
-    lab["scripts"].select(name.alias("script"), "text").write.partitionBy("script").text(path)
+    name = F.coalesce(F.nullif(F.regexp_replace("path", "[^A-Za-z0-9]+", "_"), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    text.write_texts(lab["scripts"].select(F.concat(F.lit("script="), name, F.lit("/part.txt")).alias("file"), "text"), path)
     return path
 
 

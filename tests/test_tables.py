@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,28 @@ def test_bucketed_steps_are_joined_where_they_lie(spark):
     assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
     plain = Published(Lab(spark, folder)).build().assembled()
     assert joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()
+
+
+def test_texts_are_written_and_read_by_the_executors(spark, tmp_path):
+    """One file for each name wherever its rows are; read back with what Spark's own reader gives."""
+    rows = [(f"s={n % 50}/ñ {n % 50}.sql", f"é{n % 50}\n") for n in range(100)] + [("s=x/null.sql", None), ("s=y/.h.sql", "h")]
+    files = spark.createDataFrame(rows, "file string, text string").repartition(7)
+    for _ in range(2):
+        assert text.write_texts(files, str(tmp_path / "t")) == 52
+    names = {os.path.relpath(os.path.join(at, name), tmp_path / "t") for at, _, found in os.walk(tmp_path / "t") for name in found}
+    assert names == {file for file, _ in rows}
+    assert (tmp_path / "t" / "s=7" / "ñ 7.sql").read_text() == "é7\n\né7\n\n"
+    plain = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.sql").text(str(tmp_path / "t"), wholetext=True)
+    want = plain.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    got = text.read_scripts(spark, str(tmp_path / "t"))
+    assert got.inputFiles() != want.inputFiles()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 51
+
+
+def test_a_task_lists_many_folders_in_one_batch(tmp_path):
+    for n in range(300):
+        (tmp_path / f"f{n}").mkdir()
+        (tmp_path / f"f{n}" / "a.txt").write_text("a")
+    folders = pa.RecordBatch.from_pydict({"path": [str(tmp_path / f"f{n}") for n in range(300)]})
+    found = list(text._listed(str(tmp_path))(iter([folders])))
+    assert len(found) == 1 and found[0].num_rows == 300
