@@ -79,13 +79,17 @@ def flow_edges(modules: DataFrame, sources: DataFrame, joins: DataFrame, field_s
         .select(*MODULE, F.inline(F.array(edge(F.col("_table"), target, F.lit("LINEAGE"), tables, never))))
         .withColumn("_rank", F.lit(1))
     )
-    # A node keeps its LINEAGE edge only when no source edge leaves it. Repeats go before the window: few edges share a
-    # node.
-    per_node = Window.partitionBy(*MODULE, "source_node")
-    united = known.unionByName(lineage)
+    # A node keeps its LINEAGE edge only when no source edge leaves it. Repeats go before the
+    # window, and both find the edges of a node in one task, so they move once.
+    # The hash comes first, as names that begin alike are slow to sort.
+    per_node = Window.partitionBy("_node", *MODULE, "source_node")
+    united = known.unionByName(lineage).repartition(*MODULE, "source_node")
     once = united.groupBy(*[c for c in united.columns if c != "_rank"]).agg(F.min("_rank").alias("_rank"))
     found = (
-        once.withColumn("_known", F.min("_rank").over(per_node)).where("_rank = 0 OR _known = 1").drop("_rank", "_known")
+        once.withColumn("_node", F.xxhash64(*MODULE, "source_node"))
+        .withColumn("_known", F.min("_rank").over(per_node))
+        .where("_rank = 0 OR _known = 1")
+        .drop("_rank", "_known", "_node")
     )
     ends = {"source": F.col("source_node"), "target": F.col("target_node")}
     groups = [

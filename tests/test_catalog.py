@@ -416,3 +416,33 @@ def test_assets_say_what_contract_sources_and_files_say(spark):
     assert {r.display_name for r in plain.where("role = 'target'").collect()} == {"demo.clientes", "demo.otra"}
     fields = spark.createDataFrame([("r", 1, "a"), ("p", 1, "b")], "run_id string, position int, column string")
     assert [tuple(r) for r in bundle.asset_columns(found, fields).collect()] == [("r", "demo.clientes", 1, "a")]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_of_a_node_move_once(spark):
+    """The aggregate over whole edges and the window over nodes share one exchange, after all joins."""
+    modules = spark.createDataFrame(
+        [("r", "m", "cd.t", "select"), ("r", "n", "cd.u", "x union all y")], "run_id string, module_key string, target_table string, resolved_sql string"
+    )
+    sources = spark.createDataFrame(
+        [("r", "m", 1, "a", "rd.a"), ("r", "m", 2, "a", "rd.a"), ("r", "n", 1, "b", "rd.b, rd.c"), (None, "n", 1, "b", "rd.z")],
+        "run_id string, module_key string, pos bigint, source_alias string, source_table string",
+    )
+    joins = spark.createDataFrame([], "run_id string, module_key string, pos bigint, source_alias string, join_type string")
+    fields = spark.createDataFrame(
+        [("r", "m", ["rd.a.k", "rd.q.k", "rd.q.k"])], "run_id string, module_key string, physical_source_fields array<string>"
+    )
+    got = lineage.flow_edges(modules, sources, joins, fields)
+    after = plan_of(got).split("Union")[0]
+    assert after.count("Window") >= 1 and after.count("Exchange") == 1
+    assert sorted(rows(got, "module_key", "source_node", "target_node", "relation_label")) == [
+        ("m", "rd.a", "cd.t", "FROM / BASE"),
+        ("m", "rd.a", "cd.t", "JOIN"),
+        ("m", "rd.q", "cd.t", "LINEAGE"),
+        ("n", "cd.u::union_all", "cd.u", "FROM / BASE"),
+        ("n", "rd.b", "cd.u::union_all", "UNION ALL"),
+        ("n", "rd.c", "cd.u::union_all", "UNION ALL"),
+    ]
