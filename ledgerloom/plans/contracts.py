@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.naming import ascii_slug, business_name, inferred_type, leaf_name
+from ledgerloom.session import cut
 
 TABLE_FIELD = ["table_name", "field_name"]
 
@@ -116,6 +117,8 @@ def contract_documents(fields: DataFrame, products: DataFrame) -> DataFrame:
     properties of a table; contract rows have 0 and the number of fields. Tables without fields have no contract.
     """
     col = F.col
+    # Counted and listed: what joins have put together is written once, not joined a second time for the count.
+    fields = cut(fields, "contract_fields")
     field = F.struct(
         col("field_name").alias("name"),
         col("logical_type").alias("logicalType"),

@@ -446,3 +446,25 @@ def test_edges_of_a_node_move_once(spark):
         ("n", "rd.b", "cd.u::union_all", "UNION ALL"),
         ("n", "rd.c", "cd.u::union_all", "UNION ALL"),
     ]
+
+
+def test_contract_fields_are_joined_once(spark):
+    fields = spark.createDataFrame(
+        [("s.t", 1, "a"), ("s.t", 2, "a"), ("s.u", 1, "b"), (None, 1, "c")], "table_name string, position bigint, field_name string"
+    )
+    other = fields.select("table_name", F.lower("field_name").alias("field_name")).distinct().hint("merge")
+    texts = ["logical_type", "physical_type", "description", "business_name", "classification", "example"]
+    made = fields.join(other, ["table_name", "field_name"], "left").select(
+        "*", *[F.lit("x").alias(name) for name in texts], F.lit(True).alias("required"), F.lit(False).alias("partitioned")
+    )
+    products = spark.createDataFrame(
+        [("s.t", "P", "d", "p", "diaria", "g", "t")],
+        "table_name string, product string, domain string, purpose string, frequency string, granularity string, created string",
+    )
+    got = contracts.contract_documents(made, products)
+    assert "SortMergeJoin [table_name#" not in plan_of(got) or "LeftOuter" not in plan_of(got)
+    assert sorted(rows(got, "table_name", "part", "position", "field_count"), key=str) == [
+        ("s.t", "contract", 0, 2),
+        ("s.t", "property", 1, None),
+        ("s.t", "property", 2, None),
+    ]
