@@ -305,7 +305,8 @@ DDL_FIELD = r"^([A-Za-z0-9_]+)\s+([A-Za-z]+(?:\s*\(\s*[\d,\s]+\s*\))?)"
 def ddl_fields(ddl: DataFrame) -> DataFrame:
     """One row per field of each DDL text (path, text): type, NOT NULL and partition flags.
 
-    A field listed twice keeps its first place and its last definition.
+    A field listed twice keeps its first place and its last definition. Fields are dealt to tasks by path before they are
+    grouped: grouped where they are read, all those of a task would be sorted at once.
     """
     text = F.col("text")
     block = F.coalesce(
@@ -338,7 +339,8 @@ def ddl_fields(ddl: DataFrame) -> DataFrame:
         F.upper("line").contains("NOT NULL").alias("required"),
         "partitioned",
     )
-    return rows.groupBy("path", "table_name", "field_name").agg(
+    dealt = rows.repartition("path", "table_name", "field_name")
+    return dealt.groupBy("path", "table_name", "field_name").agg(
         *[F.max_by(name, "_place").alias(name) for name in ["physical_type", "logical_type", "required", "partitioned"]]
     )
 

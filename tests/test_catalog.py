@@ -468,3 +468,14 @@ def test_contract_fields_are_joined_once(spark):
         ("s.t", "property", 1, None),
         ("s.t", "property", 2, None),
     ]
+
+
+def test_ddl_fields_are_not_sorted_where_they_are_read(spark):
+    """Nothing is grouped before the exchange, so a task that reads many texts holds none of their fields."""
+    ddl = "CREATE TABLE a.b (\nx STRING,\ny INT\n)\nSTORED AS PARQUET;"
+    texts = spark.createDataFrame([("p", ddl), ("p", ddl.replace("INT", "DATE NOT NULL")), ("q", ddl)], "path string, text string")
+    got = text.ddl_fields(texts)
+    before = plan_of(got).split("Exchange")
+    assert len(before) == 2 and "Aggregate" not in before[1]
+    assert sorted(rows(got, "path", "field_name", "physical_type")) [::3] == [("p", "x", "STRING"), ("q", "y", "INT")]
+    assert got.count() == 4
