@@ -21,8 +21,8 @@ class KeyedTable:
     """A Parquet folder with one partition per hash value of the leading key columns.
 
     A change reads and writes only the partitions its keys fall into. What they are to hold is first written next to the
-    table, then takes their place by a dynamic overwrite, so the table may be read to work out the change, and a change
-    that is cut off in between is finished by :meth:`recover`, which every later change calls first. Applying a change
+    table, then takes their place folder by folder, moved and not written again, so the table may be read to work out the
+    change, and a change that is cut off in between is finished by :meth:`recover`, which every later change calls first. Applying a change
     twice gives the table that applying it once gives.
 
     ``parts`` is fixed when the table is made: about as many as make a partition one file, and for slices replaced by an
@@ -97,7 +97,8 @@ class KeyedTable:
         merged = self._placed(combine(base, change.drop(PART))).hint("rebalance", PART)
         merged.write.mode("overwrite").partitionBy(PART).parquet(f"{self._change}/rows")
         # Written last: from here on the change is whole.
-        numbers = self.spark.createDataFrame([(part,) for part in touched], f"{PART} int")
+        filled = [(part, self._exists(f"{self._change}/rows/{PART}={part}")) for part in touched]
+        numbers = self.spark.createDataFrame(filled, f"{PART} int, filled boolean")
         numbers.coalesce(1).write.mode("overwrite").parquet(f"{self._change}/parts")
         self.recover()
         return touched
@@ -105,15 +106,23 @@ class KeyedTable:
     def recover(self) -> None:
         """Finish a change that was written but not yet in place, and forget one that was not written to its end."""
         if self._exists(f"{self._change}/parts/_SUCCESS"):
-            touched = [row[0] for row in self.spark.read.parquet(f"{self._change}/parts").collect()]
-            rows = self._stored(f"{self._change}/rows")
-            writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART)
-            writer.parquet(self.path)
-            for part in touched:
-                if not self._exists(f"{self._change}/rows/{PART}={part}"):
-                    remove_folder(self.spark, f"{self.path}/{PART}={part}")
+            for part, filled in self.spark.read.parquet(f"{self._change}/parts").collect():
+                place, written = f"{self.path}/{PART}={part}", f"{self._change}/rows/{PART}={part}"
+                # What is no longer there was moved before this change was cut off.
+                if not filled or self._exists(written):
+                    remove_folder(self.spark, place)
+                if filled:
+                    self._move(written, place)
         remove_folder(self.spark, self._change)
 
+    def _move(self, path: str, to: str) -> None:
+        """Rename a folder that is there."""
+        if self._exists(path):
+            found = self.spark._jvm.org.apache.hadoop.fs.Path
+            store = found(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+            if not store.rename(found(path), found(to)):
+                raise OSError(f"{path} could not be moved to {to}")
+
     def _exists(self, path: str) -> bool:
         found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return found.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(found)

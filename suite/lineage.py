@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import fixed_values as fixed
 from ledgerloom.plans import bundle, lineage, registry, runs
-from ledgerloom.session import scratch_path
+from ledgerloom.session import cut, scratch_path
 from ledgerloom.sources import text
 from ledgerloom.sources.keyed import KeyedTable
 from suite.catalog import sql_list
@@ -131,8 +131,9 @@ def registry_upsert_stored(lab: Lab) -> DataFrame:
     base, keys = lab["registry_base"], tuple(registry.REGISTRY_KEYS)
     table = KeyedTable(lab.spark, scratch_path(lab.spark, "registry"), base.schema, keys, parts=16, by=("run_id",))
     table.create(base)
+    delta = cut(_registry(lab), "registry_delta")
     for _ in range(2):
-        table.upsert(_registry(lab), registry.registry_defaults(PARAMS.now))
+        table.upsert(delta, registry.registry_defaults(PARAMS.now))
     return table.read()
 
 

@@ -113,3 +113,29 @@ def test_a_change_that_was_cut_off(spark, table, monkeypatch):
     spark.createDataFrame([("r9", 0, "torn", None, 1)], table._stored(table.path).schema).write.parquet(f"{table._change}/rows")
     table.recover()
     assert {(row[0], row[1]): row[2] for row in rows_of(table.read())} == got and not table._exists(table._change)
+
+
+def test_a_change_is_moved_not_written_again(spark, table, monkeypatch):
+    """The files of a change become those of the table, also when moving them is cut off in between."""
+    delta = spark.range(RUNS).selectExpr("concat('r', id) as run_id", "1 as pos", "'moved' as value")
+    gone = spark.createDataFrame([(run,) for run in ("r3", "r4")], "run_id string")
+    want = rows_of(merge.upsert(table.read(), delta, table.keys))
+    moved, written, move = [], set(), KeyedTable._move
+
+    def stop(self, path, to):
+        if not moved:
+            written.update(file.rsplit("/", 1)[1] for file in self.spark.read.parquet(f"{self._change}/rows").inputFiles())
+        if len(moved) == 3:
+            raise KeyboardInterrupt
+        moved.append(path)
+        move(self, path, to)
+
+    monkeypatch.setattr(KeyedTable, "_move", stop)
+    with pytest.raises(KeyboardInterrupt):
+        table.upsert(delta)
+    monkeypatch.setattr(KeyedTable, "_move", move)
+    table.recover()
+    assert rows_of(table.read()) == want and not table._exists(table._change)
+    assert len(moved) == 3 and written and written <= {file.rsplit("/", 1)[1] for file in files_of(table).values()}
+    table.delete_slices(gone)
+    assert rows_of(table.read()) == [row for row in want if row[0] not in ("r3", "r4")]
