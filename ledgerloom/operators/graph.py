@@ -73,13 +73,13 @@ def upstream(seeds: DataFrame, edges: DataFrame, scope: Sequence[str]) -> DataFr
 def _heights(nodes: DataFrame, needs: DataFrame, scope: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The longest chain of needs below each node (scope, node, level), and the nodes for which there is none.
 
-    ``needs`` (scope, u, v) lie within the nodes. A node with a walk of length s is s above the highest node that such a
+    Nodes are distinct; ``needs`` (scope, u, v) lie within them. A node with a walk of length s is s above the highest node that such a
     walk ends in; when those below a level are known, so are the next s levels: nodes all of whose steps end in known ones.
     Nodes that reach a cycle never get that far.
     """
     key = [*scope, "node"]
     waiting = needs.select(*scope, F.col("u").alias("node")).distinct()
-    marked = cut(nodes.select(*key).distinct().join(waiting.withColumn("_waits", F.lit(True)), key, "left"), "marked")
+    marked = cut(nodes.select(*key).join(waiting.withColumn("_waits", F.lit(True)), key, "left"), "marked")
     done = marked.where("_waits is null").select(*key, F.lit(0).alias("level"))
     left = marked.where("_waits").select(*key)
     if left.isEmpty() or done.isEmpty():
@@ -150,7 +150,8 @@ def levels(nodes: DataFrame, needs: DataFrame, scope: Sequence[str]) -> DataFram
     that what is behind a cycle has a level too. Needs outside the nodes do not count.
     """
     key = [*scope, "node"]
-    left = nodes.select(*key).distinct()
+    # Joined four times below, so found once.
+    left = cut(nodes.select(*key).distinct(), "nodes")
     links = needs.select(*scope, F.col("node").alias("u"), F.col("needed").alias("v"))
     for end in ("u", "v"):
         links = links.join(left.withColumnRenamed("node", end), [*scope, end], "left_semi")
@@ -165,6 +166,6 @@ def levels(nodes: DataFrame, needs: DataFrame, scope: Sequence[str]) -> DataFram
     for end in ("u", "v"):
         between = between.join(ends.toDF(*scope, end, f"_{end}"), [*scope, end])
     between = between.where("_u <> _v").select(*scope, F.col("_u").alias("u"), F.col("_v").alias("v"))
-    ones = named.select(*scope, F.col("_one").alias("node"))
+    ones = named.select(*scope, F.col("_one").alias("node")).distinct()
     heights = _heights(ones, between, scope)[0].withColumnRenamed("node", "_one")
     return named.join(heights, [*scope, "_one"]).select(*key, "level", "component")

@@ -201,3 +201,22 @@ def test_one_join_looks_up_several_columns(spark, monkeypatch):
     assert sorted((tuple(r) for r in large.select(small.columns).collect()), key=str) == want
     plan = large._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 1 and plan.count("Join LeftOuter") == 1
+
+
+def test_nodes_of_levels_are_found_once(spark, monkeypatch):
+    """Repeated nodes are made distinct in one written table; what reads the nodes later reads that."""
+    from ledgerloom.operators import graph
+
+    written, cut = {}, graph.cut
+
+    def kept(df, name):
+        made = cut(df, name)
+        written.setdefault(name, made)
+        return made
+
+    monkeypatch.setattr(graph, "cut", kept)
+    nodes = spark.createDataFrame([("r", "a"), ("r", "a"), ("r", "b"), ("r", "c"), (None, "d")], "run_id string, node string")
+    needs = spark.createDataFrame([("r", "b", "a"), ("r", "b", "a"), ("r", "c", "b"), ("r", "c", "x")], "run_id string, node string, needed string")
+    got = graph.levels(nodes, needs, ["run_id"])
+    assert sorted(map(tuple, written["nodes"].collect()), key=str) == [("r", "a"), ("r", "b"), ("r", "c"), (None, "d")]
+    assert {tuple(row)[:3] for row in got.where("run_id is not null").collect()} == {("r", "a", 0), ("r", "b", 1), ("r", "c", 2)}
