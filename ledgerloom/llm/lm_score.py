@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.words import SPACED, mix, slices, words
-from ledgerloom.session import cut
+from ledgerloom.session import cut, setting
 
 #: The most of a model that is broadcast at once.
 BROADCAST_BYTES = 160 << 20
@@ -36,6 +36,9 @@ BUCKET_BYTES = 8 << 20
 GATHERED = 1 << 20
 #: Text bytes handled at once.
 SLICE = 1 << 20
+#: Rows of text in one Arrow batch, and bytes of counts in one.
+BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 #: Partitions in which a model goes to the driver, one at a time.
 PIECES = 8
 #: Hash functions, and bits for every pair held: fewer than one absent pair in 100 seems held.
@@ -85,11 +88,13 @@ def _count(bits: int):
     """Counts of n-grams as one row per bucket and kind."""
 
     def flush(gathered: dict[int, list], tokens: int) -> Iterator[pa.RecordBatch]:
-        rows = {name: [] for name in _PART.names}
-        for kind, parts in gathered.items():
+        rows, held = {name: [] for name in _PART.names}, 0
+        for kind in list(gathered):
+            parts = gathered.pop(kind)
             if not parts:
                 continue
             hashes, counts = _summed(*(np.concatenate(x) for x in zip(*parts)))
+            del parts
             edges = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
             for bucket in np.flatnonzero(np.diff(edges)).tolist():
                 own = slice(edges[bucket], edges[bucket + 1])
@@ -97,7 +102,10 @@ def _count(bits: int):
                     _PART.names, (bucket, kind, hashes[own].tobytes(), counts[own].astype(np.int64).tobytes(), tokens)
                 ):
                     rows[name].append(value)
-                tokens = 0
+                tokens, held = 0, held + 16 * int(edges[bucket + 1] - edges[bucket])
+                if held > BATCH_BYTES:
+                    yield pa.RecordBatch.from_pydict(rows, schema=_PART)
+                    rows, held = {name: [] for name in _PART.names}, 0
         yield pa.RecordBatch.from_pydict(rows, schema=_PART)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +306,10 @@ def lm_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "tex
     model = counted.groupBy("bucket").applyInArrow(
         _build, "bucket int, words binary, counts binary, filter binary, tokens bigint"
     )
-    model = cut(model, "model")
+    # Texts come in small batches: a batch is held by the executor and its Python worker at once.
+    small_batches = "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)
+    with setting(spark, *small_batches):
+        model = cut(model, "model")
     held_bytes = F.octet_length("words") + F.octet_length("counts") + F.octet_length("filter")
     total, n, v = model.agg(
         F.sum(held_bytes), F.sum("tokens"), F.sum(F.octet_length("words") / 8).cast("bigint")
@@ -315,13 +326,13 @@ def lm_score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "tex
     for number in range(parts):
         last = number == parts - 1
         own = Part(bits, model.where(part == number))
-        if number:
-            rows = cut(rows, "scored")
         rows = rows.mapInArrow(
             _read(spark.sparkContext.broadcast(own), number > 0, (n or 0, v or 0) if last else None),
             f"{common}, base_score double, score double" if last
             else f"{common}, base double, begin int, single binary, double binary, text string",
         )
+        with setting(spark, *small_batches):
+            rows = cut(rows, "scored")
     return rows.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n or 0).cast("bigint").alias("train_tokens"), "base_score", "score"
     )

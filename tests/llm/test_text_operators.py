@@ -239,6 +239,17 @@ def test_scores_follow_the_counts(awkward, monkeypatch, limit):
     assert near >= 0.9 * len(want)
 
 
+def test_counts_leave_a_task_in_small_batches(monkeypatch):
+    monkeypatch.setattr(scoring, "BATCH_BYTES", 4000, raising=False)
+    texts = scoring.pa.array([f"{i} {i + 1} {i % 7}" for i in range(3000)])
+    out = list(scoring._count(6)(iter([scoring.pa.RecordBatch.from_arrays([texts], ["text"])])))
+    held = [sum(len(x) for name in ("hashes", "counts") for x in b.column(name).to_pylist()) for b in out]
+    assert len(out) > 10 and max(held) < 8000
+    assert sum(sum(b.column("tokens").to_pylist()) for b in out) == 4 * 3000
+    counted = sum(int(scoring.np.frombuffer(x, "int64").sum()) for b in out for x in b.column("counts").to_pylist())
+    assert counted == (4 + 4 + 1) * 3000
+
+
 def test_without_training_rows_nothing_is_known(awkward):
     rows, docs = awkward
     got = scoring.lm_score(docs, F.lit(True)).collect()
