@@ -239,16 +239,19 @@ def _score(a: np.ndarray, b: np.ndarray, sketches: np.ndarray, sizes: np.ndarray
     return score
 
 
-def _best(pairs: list[tuple[np.ndarray, ...]], most: int) -> tuple[tuple[np.ndarray, ...], bool]:
-    """The pairs (a, b, score) that are among the ``most`` best of a or of b, and whether there were others."""
+def _best(pairs: list[tuple[np.ndarray, ...]], most: int, labels: np.ndarray) -> tuple[tuple[np.ndarray, ...], bool]:
+    """The pairs (a, b, score) that are among the ``most`` best of the row with the larger label, and whether there were
+    others.
+
+    Each row proposes on one side only, so there are at most ``most`` pairs for each row, however large its file.
+    """
     a, b, score = (np.concatenate(column) for column in zip(*pairs))
-    keep = np.zeros(len(a), bool)
-    for side in (a, b):
-        order = np.lexsort((-score, side))
-        starts = np.flatnonzero(np.diff(side[order], prepend=-1))
-        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
-        keep[order[place < most]] = True
-    return (a[keep], b[keep], score[keep]), not keep.all()
+    side = np.where(labels[a] > labels[b], a, b)
+    order = np.lexsort((-score, side))
+    starts = np.flatnonzero(np.diff(side[order], prepend=-1))
+    place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    keep = np.sort(order[place < most])
+    return (a[keep], b[keep], score[keep]), len(keep) < len(a)
 
 
 def _tested(group: pa.Table, nodes: np.ndarray) -> np.ndarray:
@@ -288,9 +291,9 @@ def _tree_join(similarity: Fraction, most: int):
             near = score >= 0
             waiting.append((a[near], b[near], score[near]))
             if sum(len(pairs[0]) for pairs in waiting) > 1 << 18:
-                best, more = _best([best, *waiting], most)
+                best, more = _best([best, *waiting], most, label)
                 waiting, left_out = [], left_out or more
-        (a, b, _), more = _best([best, *waiting], most)
+        (a, b, _), more = _best([best, *waiting], most, label)
         a, b = nodes[a], nodes[b]
         ends = pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())
         return pa.table([*ends, pa.array(np.full(len(a), left_out or more))], ["a", "b", "more"])

@@ -198,6 +198,17 @@ def test_an_empty_benchmark_hits_nothing(spark, awkward):
     assert {(r["n_hit"], len(r["items"]), r["contaminated"]) for r in got.collect()} == {(0, 0, False)}
 
 
+def test_a_row_proposes_on_one_side_only():
+    np = joining.np
+    n, most = 60, 4
+    a, b = np.triu_indices(n, 1)
+    score = 1 - (b - a) / (2 * n)
+    (left, right, _), more = joining._best([(a, b, score)], most, np.arange(n))
+    assert len(left) <= most * n - most * (most + 1) // 2 and more
+    assert {(int(i), int(j)) for i, j in zip(left, right)} == {(j - k, j) for j in range(n) for k in range(1, most + 1) if k <= j}
+    assert not joining._best([(a, b, score)], n, np.arange(n))[1]
+
+
 # ---------------------------------------------------------------- LM scoring
 
 
