@@ -83,8 +83,8 @@ def decoded_snapshot(tables: Tables, params: Params, decoder: Decoder) -> DataFr
     """One snapshot day of the new core with its four protected columns decoded.
 
     Rows whose account is still masked (holds an ``x``) or missing are dropped. Each distinct stored value of a column is
-    decoded once, into a written dictionary that the distinct stored rows are joined with; accounts are looked up first,
-    so that masked rows do not meet the others. A last pass removes rows that only decode equally.
+    decoded once, into a written dictionary that the distinct stored rows are joined with. A last pass removes rows that only
+    decode equally.
     """
     raw = tables["rd_fin_maestrosaldos"]
     table = "rd_fin_maestrosaldos"
@@ -104,8 +104,9 @@ def decoded_snapshot(tables: Tables, params: Params, decoder: Decoder) -> DataFr
 
     stored = cut(day.distinct(), "stored_rows")
     dictionary = decode_dictionary(stored, table, protected, decoder, params.decode_error)
-    with_account = with_decoded(stored, dictionary, ["cuenta"]).where(~F.lower("clear_cuenta").like("%x%"))
-    decoded = with_decoded(with_account, dictionary, [name for name in protected if name != "cuenta"])
+    # The account comes last: rows equal in all columns then lie together already.
+    decoded = with_decoded(stored.where("cuenta is not null"), dictionary, [*[n for n in protected if n != "cuenta"], "cuenta"])
+    decoded = decoded.where(~F.lower("clear_cuenta").like("%x%"))
     return decoded.select(
         F.col("clear_identificadorcliente").alias("id_cliente"),
         F.col("clear_cuenta").alias("id_cuenta"),

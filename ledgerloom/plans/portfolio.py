@@ -105,18 +105,18 @@ def assembled_portfolio(
 
 
 def with_accounts(
-    linked: DataFrame, products: DataFrame, balances: DataFrame, params: Params, bucketed: bool = False
+    linked: DataFrame, products: DataFrame, balances: DataFrame, params: Params
 ) -> DataFrame:
     """Linked rows of the universe with the product attributes and available balance of their account.
 
-    With ``bucketed`` the three are tables in buckets of the account. Both joins are then keyed by the account alone, the
-    product being compared behind the key, so that they keep to the buckets.
+    Both joins are keyed by the account alone, the product being compared behind the key, so that the wide rows move once,
+    or not at all where the three are tables in buckets of the account.
     """
     sold = products.select(F.col("id_cuenta").alias("_account"), F.col("cod_producto").alias("_product"), *ATTRIBUTES)
     money = balances.select("id_cuenta", "sld_disponible", "cod_sld_disponible")
     same_product = F.col("cod_producto") == F.col("_product")
-    match = [F.col("id_cuenta") == F.col("_account"), F.coalesce(same_product, F.lit(False)) if bucketed else same_product]
-    joined = linked.join(sold, match, "left").drop("_account").join(money, "id_cuenta", "left")
+    match = [F.col("id_cuenta") == F.col("_account"), F.coalesce(same_product, F.lit(False))]
+    joined = linked.join(money, "id_cuenta", "left").join(sold, match, "left").drop("_account")
     return joined.select(
         F.when(F.col("cod_sistema") == fixed.LEGACY, F.col("id_cliente"))
         .otherwise(F.col("_core_legacy"))
@@ -190,19 +190,37 @@ def account_master(tables: Tables, portfolio: DataFrame, links: DataFrame, param
         )
 
     renumbered = ["id_sucursal_apertura", "id_sucursal_gestora", "id_sucursal_ultima_txn", "id_sucursal_portafolio"]
-    rows = portfolio.join(advisors, "id_cuenta", "left")
-    rows = looked_up(rows, renumbered, tables["rd_tcdt078"], "t078_centro_4", "t078_centro_6")
     systems = {"id_cliente_alnova": fixed.LEGACY, "id_cliente_finacle": fixed.CORE}
+    by = ["id_cuenta", *systems]
+    # Advisor and master ids are found for the ids alone; the wide rows move once, to meet what was found.
+    found = portfolio.select(F.xxhash64(*by).alias("_row"), *by).join(advisors, "id_cuenta", "left")
     for column, system in systems.items():
-        rows = rows.withColumn(f"_key_{column}", spread_nulls(F.col(column), F.col("id_cuenta"))).join(
+        found = found.withColumn(f"_key_{column}", spread_nulls(F.col(column), F.col("id_cuenta"))).join(
             master(system, column), f"_key_{column}", "left"
         )
-    six = {column: F.coalesce(F.col(f"_found_{column}"), F.col(column)).alias(column) for column in renumbered}
-    return rows.select(
+    found = found.select(
+        "_row",
+        *[F.col(name).alias(f"_of_{name}") for name in by],
+        "id_empleado",
+        "tipo_relacion",
+        "id_sucursal_portafolio",
         F.coalesce(
             *[F.col(f"_master_{column}") for column in systems],
             *[negative_id(F.col(f"_own_{column}"), "bigint") for column in systems],
         ).alias("id_master"),
+    )
+    # The same row twice would meet its rows twice.
+    found = found.repartition("_row").distinct()
+    # The hash is the key; the ids are compared behind it, NULL being equal to NULL.
+    same = [F.coalesce(F.col(n) == F.col(f"_of_{n}"), F.col(n).isNull() & F.col(f"_of_{n}").isNull()) for n in by]
+    rows = portfolio.withColumn("_row", F.xxhash64(*by)).join(found.withColumnRenamed("_row", "_of_row"), [
+        F.col("_row") == F.col("_of_row"), *same
+    ], "left")
+    rows = looked_up(rows, renumbered, tables["rd_tcdt078"], "t078_centro_4", "t078_centro_6")
+    six = {column: F.coalesce(F.col(f"_found_{column}"), F.col(column)).alias(column) for column in renumbered}
+    master_rows = rows.select(
+        "_row",
+        "id_master",
         "id_cliente_alnova",
         "id_cliente_finacle",
         "id_cliente_unico",
@@ -234,4 +252,6 @@ def account_master(tables: Tables, portfolio: DataFrame, links: DataFrame, param
         "cod_sistema",
         F.lit(int(params.week_period)).alias("num_periodo_sem"),
         F.when(F.col("desc_cod_titular") == fixed.HOLDER, "T").otherwise("O").alias("cod_titular"),
-    ).distinct()
+    )
+    # Rows lie by the hash of some of their columns already, so equal ones are together.
+    return master_rows.distinct().drop("_row")

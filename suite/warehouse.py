@@ -465,7 +465,7 @@ def bucketed_portfolio(lab: Lab) -> DataFrame:
         table, path = _table_name(), scratch_path(lab.spark, name)
         tables.publish_bucketed(df, table, "id_cuenta", BUCKETS, path)
         read[name] = lab.spark.table(table)
-    return portfolio.with_accounts(read["linked"], read["products"], read["balances"], PARAMS, bucketed=True)
+    return portfolio.with_accounts(read["linked"], read["products"], read["balances"], PARAMS)
 
 
 @query("portfolio_bucketed", "SELECT * FROM {assembled}")
