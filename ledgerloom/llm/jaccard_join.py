@@ -14,10 +14,10 @@ Documents are first tied to the smallest one of their files, then, where that le
 other files. Only files that then still hold several components go to a tree,
 where only pairs of different components matter. A pair must pass the tree's bound and a finer one, on four times as many
 groups as the set has shingles: a group that one side has and the other has not takes a shingle from the minima. What passes
-is nearly always similar; so a document meets its ``MET`` best partners, the links found become components, and only what is
-still apart comes back, with four times as many partners, until none has been left out. Thus a group of near copies costs a
-few verified pairs for each document and not all pairs, and nothing is capped. A file beyond ``TREE_ROWS`` documents is
-searched as pairs of blocks, one task each.
+is nearly always similar; so a document meets its ``MET`` best partners, the links found become components, and only the
+trees that left partners out and still hold what is apart come back, with four times as many partners, until none has been
+left out. Thus a group of near copies costs a few verified pairs for each document and not all pairs, and nothing is capped.
+A file beyond ``TREE_ROWS`` documents is searched as pairs of blocks, one task each.
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ FANOUT = 16
 SKETCH_WORDS = 1 << 20
 #: Partners of a document that are verified in the first round.
 MET = 4
+#: What names a tree.
+TREE = ["file", "block_a", "block_b"]
 
 _GROUP_SALT, _SET_SALT, _OTHER_SALT, _SKETCH_SALT = (
     np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xAAC17D8EFA43CAB8, 0x632BE59BD9B4E019, 0x9E6C63D0876A46AF)
@@ -296,7 +298,8 @@ def _tree_join(similarity: Fraction, most: int):
         (a, b, _), more = _best([best, *waiting], most, label)
         a, b = nodes[a], nodes[b]
         ends = pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())
-        return pa.table([*ends, pa.array(np.full(len(a), left_out or more))], ["a", "b", "more"])
+        tree = [group.column(c).slice(0, 1).take(pa.array(np.zeros(len(a), np.int64))) for c in TREE]
+        return pa.table([*tree, *ends, pa.array(np.full(len(a), left_out or more))], [*TREE, "a", "b", "more"])
 
     return run
 
@@ -313,44 +316,41 @@ def _partners(pairs: DataFrame) -> DataFrame:
     return both.select(own.alias("node"), other.alias("other")).groupBy("node").agg(F.collect_list("other").alias("known"))
 
 
-def _tree_pairs(
-    members: DataFrame, nodes: DataFrame, roots: DataFrame, tested: DataFrame, similarity: Fraction, most: int
-) -> DataFrame:
-    """Pairs (a, b) of one file but different labels that the bounds allow, the best ``most`` of each document.
-
-    Those in ``tested`` are left out.
-
-    ``more`` says whether a file of the pair has left some out.
-    """
-    labelled = (
-        members.join(roots, "node", "left").select("file", "node", F.coalesce("root", "node").alias("label"))
-    )
+def _held(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members (file, node, label, blocks) of the files that hold several components; files with the same members once."""
+    labelled = files.join(roots, "node", "left").select("file", "node", F.coalesce("root", "node").alias("label"))
+    labelled = cut(labelled, "labelled")
     per_file = labelled.groupBy("file").agg(
         F.min("label").alias("low"),
         F.max("label").alias("high"),
         F.count("*").alias("rows"),
         F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("same"),
     )
-    # Files with the same members are searched once.
     mixed = per_file.where("low <> high").groupBy("rows", "same").agg(F.min("file").alias("file"))
-    blocks = mixed.select("file", F.ceil(F.col("rows") / TREE_ROWS).alias("blocks"))
-    points = nodes.select("node", "n_shingles", "point", "sketch")
-    open_rows = labelled.join(blocks, "file").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    return labelled.join(mixed.select("file", F.ceil(F.col("rows") / TREE_ROWS).alias("blocks")), "file")
+
+
+def _tree_pairs(
+    held: DataFrame, opened: DataFrame | None, nodes: DataFrame, tested: DataFrame, similarity: Fraction, most: int
+) -> DataFrame:
+    """Pairs (a, b) of one file but different labels that the bounds allow, the best ``most`` of each document.
+
+    Those in ``tested`` are left out. ``opened`` has the trees (file, block_a, block_b) to search, all if None. Rows name
+    the tree they come from, and ``more`` says whether it has left some out.
+    """
+    open_rows = held.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     # Block i meets every block: as the first of (i, j) for j >= i, as the second of (j, i) for j < i.
     met = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
-    dealt = (
-        open_rows.withColumn("other", met)
-        .select(
-            "file", "node", "label", "block",
-            F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"),
-        )
-        .join(points, "node")
-        .join(_partners(tested), "node", "left")
+    dealt = open_rows.withColumn("other", met).select(
+        "file", "node", "label", "block",
+        F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"),
     )
-    pairs = dealt.groupBy("file", "block_a", "block_b").applyInArrow(
-        _tree_join(similarity, most), "a bigint, b bigint, more boolean"
+    if opened is not None:
+        dealt = dealt.join(opened, TREE, "left_semi")
+    dealt = dealt.join(nodes, "node").join(_partners(tested), "node", "left")
+    return dealt.groupBy(*TREE).applyInArrow(
+        _tree_join(similarity, most), "file bigint, block_a int, block_b int, a bigint, b bigint, more boolean"
     )
-    return pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -386,7 +386,7 @@ def _only_in(one: str, other: str) -> Column:
 
 def _classes(docs: DataFrame, shingle: int, similarity: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """All rows with their shingle counts; those with shingles and an id by the least id of their set (doc_id, node); the
-    nodes with their points; and the files that more than one node is in (file, node, first)."""
+    files that more than one node is in (file, node, first); and the nodes in them with their points."""
     rows = cut(
         docs.mapInArrow(
             _signatures(shingle, similarity),
@@ -410,14 +410,17 @@ def _classes(docs: DataFrame, shingle: int, similarity: Fraction) -> tuple[DataF
     filed = nodes.select(F.explode(F.array_distinct("files")).alias("file"), "node")
     shared = filed.groupBy("file").agg(F.min("node").alias("first"), F.count("*").alias("nodes")).where("nodes > 1")
     files = cut(filed.join(shared.select("file", "first"), "file"), "members")
-    return rows, members.select("doc_id", "node").distinct(), nodes, files
+    # Most nodes share no file: their points are not moved.
+    filed_nodes = cut(files.select("node").distinct(), "filed")
+    points = nodes.select("node", "n_shingles", "point", "sketch")
+    points = cut(fetched(points, filed_nodes, ["node"], filed_nodes.count()), "points")
+    return rows, members.select("doc_id", "node").distinct(), points, files
 
 
 def _starred(files: DataFrame, nodes: DataFrame, similarity: Fraction) -> DataFrame:
     """Pairs of each node and the first one of its files that the bounds allow."""
-    points = nodes.select("node", "n_shingles", "point", "sketch")
-    a_side = points.toDF("a", "n_a", "point_a", "sketch_a")
-    b_side = points.toDF("b", "n_b", "point_b", "sketch_b")
+    a_side = nodes.toDF("a", "n_a", "point_a", "sketch_a")
+    b_side = nodes.toDF("b", "n_b", "point_b", "sketch_b")
     overlap = F.aggregate(F.zip_with("point_a", "point_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     finer = F.least(F.col("n_a") - _only_in("sketch_a", "sketch_b"), F.col("n_b") - _only_in("sketch_b", "sketch_a"))
     ratio, both = similarity.numerator + similarity.denominator, similarity.numerator * (F.col("n_a") + F.col("n_b"))
@@ -452,13 +455,19 @@ def jaccard_join(
     others = cut(_apart(tested.join(nearest, ["a", "b"], "left_anti"), roots).select("a", "b"), "pairs")
     if not others.isEmpty():
         roots = _joined_roots(roots, cut(_verified(others, texts, shingle, similarity), "links"))
+    opened = None
     while True:
-        met = cut(_tree_pairs(files, nodes, roots, tested, similarity, most), "pairs")
-        if not met.isEmpty():
-            tested = tested.unionByName(met.select("a", "b"))
-            roots = _joined_roots(roots, cut(_verified(met.select("a", "b"), texts, shingle, similarity), "links"))
-        if met.where("more").isEmpty():
+        held = cut(_held(files, roots), "held")
+        met = cut(_tree_pairs(held, opened, nodes, tested, similarity, most), "met")
+        pairs = cut(met.select("a", "b").distinct(), "pairs")
+        if not pairs.isEmpty():
+            tested = tested.unionByName(pairs)
+            roots = _joined_roots(roots, cut(_verified(pairs, texts, shingle, similarity), "links"))
+        # Trees that have left none out are done; the others are searched again if their files still hold several components.
+        opened = cut(met.where("more").select(*TREE).distinct(), "opened")
+        if opened.isEmpty():
             break
+        files = held.join(opened.select("file").distinct(), "file", "left_semi").select("file", "node")
         most *= 4
     of_doc = members.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")).distinct()
     return rows.join(of_doc, "doc_id", "left").select(
@@ -479,5 +488,5 @@ def similar_pairs(
     _, members, nodes, files = _classes(texts, shingle, similarity)
     none = nodes.select("node", F.col("node").alias("root")).limit(0)
     untested = none.toDF("a", "b")
-    met = cut(_tree_pairs(files, nodes, none, untested, similarity, (1 << 31) - 1), "met")
-    return _verified(met.select("a", "b"), texts, shingle, similarity), members
+    met = _tree_pairs(_held(files, none), None, nodes, untested, similarity, (1 << 31) - 1)
+    return _verified(cut(met.select("a", "b").distinct(), "met"), texts, shingle, similarity), members

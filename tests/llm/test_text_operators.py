@@ -320,6 +320,37 @@ def test_near_copies_cost_a_few_pairs_each(spark, monkeypatch):
     assert len({r.component_id for r in got}) == 1 and counts["pairs"] <= 20 * len(rows)
 
 
+def test_trees_that_left_none_out_are_searched_once(spark, monkeypatch, tmp_path):
+    """Documents too many to verify at once come back; pairs that share files but are not similar do not."""
+    kept, folder = joining._tree_join, str(tmp_path)
+
+    def noting(similarity, most):
+        run = kept(similarity, most)
+
+        def noted(group):
+            with open(f"{folder}/{most}", "a") as out:
+                out.write("".join(f"{node}\n" for node in group.column("node").to_pylist()))
+            return run(group)
+
+        return noted
+
+    def changed(words, at):
+        return " ".join("x" + word if i in at else word for i, word in enumerate(words))
+
+    # Just below the similarity: the bounds let every pair pass, the verification none.
+    many = [f"m{i}" for i in range(3000)]
+    rows = [(i, changed(many, {6 * (12 * k + i) for k in range(36)}).replace("x", f"x{i}")) for i in range(12)]
+    for i in range(20):
+        pair = [f"p{i}_{k}" for k in range(300)]
+        rows += [(100 + 2 * i, " ".join(pair)), (101 + 2 * i, changed(pair, set(range(0, 300, 20))))]
+    monkeypatch.setattr(joining, "_tree_join", noting)
+    got = joining.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, Fraction(4, 5)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == linked(rows, 5, Fraction(4, 5))
+    searched = {int(f.name): set(map(int, f.read_text().split())) for f in tmp_path.iterdir()}
+    assert len(searched) > 1 and any(node >= 100 for node in searched.pop(joining.MET))
+    assert {node for nodes in searched.values() for node in nodes} <= set(range(12))
+
+
 def test_all_links_between_different_texts(awkward):
     """Every similar pair of different texts, each text by its smallest id, and which rows have that text."""
     rows, docs = awkward
