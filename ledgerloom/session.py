@@ -21,6 +21,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # A side whose parts are all this small when it has been shuffled is hashed, and neither side is sorted.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # Results and intermediate tables are mostly text.
+    "spark.sql.parquet.compression.codec": "zstd",
     "spark.sql.session.timeZone": "UTC",
     # Joins of published tables are put in order by their statistics; tables without any stay in the order written.
     "spark.sql.cbo.enabled": "true",

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.session import cut, setting
+from ledgerloom.session import apply_settings, cut, setting
 from ledgerloom.sources import tables, text
 from suite.lab import Lab
 from suite.warehouse import Published, bucketed_portfolio
@@ -107,3 +107,15 @@ def test_a_task_lists_many_folders_in_one_batch(tmp_path):
     folders = pa.RecordBatch.from_pydict({"path": [str(tmp_path / f"f{n}") for n in range(300)]})
     found = list(text._listed(str(tmp_path))(iter([folders])))
     assert len(found) == 1 and found[0].num_rows == 300
+
+
+def test_tables_are_written_tightly(spark, tmp_path):
+    """Results and intermediate tables take less room than by the codec a session comes with."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.parquet.compression.codec", "snappy")
+    rows = session.range(50_000).selectExpr("to_json(struct(id, concat('run-', id % 977) AS run, id * 7919 AS pos)) AS body")
+    rows.repartition(1).write.parquet(str(tmp_path / "before"))
+    apply_settings(session)
+    rows.repartition(1).write.parquet(str(tmp_path / "after"))
+    sizes = [sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet")) for name in ("before", "after")]
+    assert sizes[1] < 0.8 * sizes[0]
