@@ -26,24 +26,43 @@ def flow_edges(modules: DataFrame, sources: DataFrame, joins: DataFrame, field_s
 
     The first source feeds the target directly, or through a UNION ALL node when it names
     several tables and the script unites them. Other sources carry the type of their join.
-    Tables that only the column lineage knows come as LINEAGE edges. Each source row builds
-    its own edges, so sources are read once.
+    Tables that only the column lineage knows come as LINEAGE edges. Sources, joins and fields
+    move once, together, by their module, and what they need of each other is found there: a
+    task holds all rows of a module, which are as many as one script has.
     """
-    start = sources.groupBy(*MODULE).agg(F.min("pos").alias("_start"))
     about = modules.select(*MODULE, "target_table", F.lower("resolved_sql").contains("union all").alias("_unites"))
     target, label = F.col("target_table"), F.col("_label")
-    # The last join of an alias tells its type.
-    types = joins.groupBy(*MODULE, F.lower("source_alias").alias("_alias")).agg(
-        F.max_by(F.upper("join_type"), "pos").alias("_join")
+
+    def part(df: DataFrame, kind: str, alias: Column, pos: Column, text: Column, tables: Column) -> DataFrame:
+        return df.select(
+            *MODULE, F.lit(kind).alias("_kind"), alias.cast("string").alias("_alias"), pos.alias("pos"),
+            text.cast("string").alias("_text"), tables.cast("array<string>").alias("_tables"),
+        )
+
+    none = F.lit(None)
+    alias, pos = F.lower("source_alias"), F.col("pos")
+    # A field gives each of its tables once.
+    known_fields = F.array_distinct(F.transform("physical_source_fields", _table_of))
+    parts = (
+        part(sources, "source", alias, pos, F.col("source_table"), none)
+        .unionByName(part(joins, "join", alias, pos, F.upper("join_type"), none))
+        .unionByName(part(field_sources, "field", none, none, none, known_fields).where(F.size("_tables") > 0))
+        .repartition(*MODULE)
+        .sortWithinPartitions(*MODULE, "_alias")
     )
+    is_source, is_join = F.col("_kind") == "source", F.col("_kind") == "join"
+    # The last join of an alias tells its type; a missing alias is that of no join.
+    last = F.max_by(F.when(is_join, F.col("_text")), F.when(is_join, F.col("pos")))
     placed = (
-        sources.join(about.join(start, MODULE), MODULE)
-        .withColumn("_alias", F.lower("source_alias"))
-        .join(types, [*MODULE, "_alias"], "left")
-        .withColumn("_tables", source_tables(F.col("source_table")))
-        .withColumn("_first", F.col("pos") == F.col("_start"))
+        parts.withColumn("_join", last.over(Window.partitionBy(*MODULE, "_alias")))
+        .withColumn("_start", F.min(F.when(is_source, F.col("pos"))).over(Window.partitionBy(*MODULE)))
+        .where(~is_join)
+        .join(about, MODULE)
+        .withColumn("_tables", F.when(is_source, source_tables(F.col("_text"))).otherwise(F.col("_tables")))
+        .withColumn("_first", is_source & (F.col("pos") == F.col("_start")))
         .withColumn("_through", F.col("_first") & F.col("_unites") & (F.size("_tables") > 1))
-        .withColumn("_label", F.coalesce("_join", F.lit("JOIN")))
+        .withColumn("_label", F.when(F.col("_alias").isNotNull(), F.col("_join")))
+        .withColumn("_label", F.coalesce("_label", F.lit("JOIN")))
     )
 
     def edge(source: Column, to: Column, name: Column, kinds: tuple[str, str], pivot: Column) -> Column:
@@ -62,34 +81,28 @@ def flow_edges(modules: DataFrame, sources: DataFrame, joins: DataFrame, field_s
         F.transform("_tables", lambda t: edge(t, node, F.lit("UNION ALL"), ("table", "process"), never)),
         F.array(edge(node, target, F.lit("FROM / BASE"), ("process", "table"), F.lit(True))),
     )
-    named = F.when(F.size("_tables") > 0, F.col("_tables")).otherwise(F.array("source_table"))
+    named = F.when(F.size("_tables") > 0, F.col("_tables")).otherwise(F.array("_text"))
     direct = F.transform(
         named, lambda t, at: edge(t, target, F.when(at == 0, "FROM / BASE").otherwise("SOURCE"), tables, at == 0)
     )
     joined = F.transform("_tables", lambda t: edge(t, target, label, tables, never))
-    edges = F.when(F.col("_through"), united).when(F.col("_first"), direct).otherwise(joined)
-    known = placed.select(*MODULE, F.inline(edges)).withColumn("_rank", F.lit(0))
-
-    lineage = (
-        field_sources.select(*MODULE, F.explode("physical_source_fields").alias("_field"))
-        .select(*MODULE, _table_of(F.col("_field")).alias("_table"))
-        .distinct()
-        .join(modules.select(*MODULE, "target_table"), MODULE)
-        .where(F.col("_table") != target)
-        .select(*MODULE, F.inline(F.array(edge(F.col("_table"), target, F.lit("LINEAGE"), tables, never))))
-        .withColumn("_rank", F.lit(1))
+    lineage = F.transform(
+        F.filter("_tables", lambda t: t != target), lambda t: edge(t, target, F.lit("LINEAGE"), tables, never)
     )
-    # A node keeps its LINEAGE edge only when no source edge leaves it. Repeats go before the
-    # window, and both find the edges of a node in one task, so they move once.
+    edges = F.when(~is_source, lineage).when(F.col("_through"), united).when(F.col("_first"), direct).otherwise(joined)
+    found = placed.select(*MODULE, F.when(is_source, 0).otherwise(1).alias("_rank"), F.inline(edges))
+    # A node keeps its LINEAGE edge only when no source edge leaves it. Repeats are dropped, and
+    # the edges of a node found, in one order of the rows, where those of the module are.
     # The hash comes first, as names that begin alike are slow to sort.
-    per_node = Window.partitionBy("_node", *MODULE, "source_node")
-    united = known.unionByName(lineage).repartition(*MODULE, "source_node")
-    once = united.groupBy(*[c for c in united.columns if c != "_rank"]).agg(F.min("_rank").alias("_rank"))
+    node = ["_node", *MODULE, "source_node"]
+    rest = [c for c in found.columns if c not in [*node, "_rank"]]
     found = (
-        once.withColumn("_node", F.xxhash64(*MODULE, "source_node"))
-        .withColumn("_known", F.min("_rank").over(per_node))
+        found.withColumn("_node", F.xxhash64(*MODULE, "source_node"))
+        .withColumn("_nth", F.row_number().over(Window.partitionBy(*node, *rest).orderBy("_rank")))
+        .where("_nth = 1")
+        .withColumn("_known", F.min("_rank").over(Window.partitionBy(*node)))
         .where("_rank = 0 OR _known = 1")
-        .drop("_rank", "_known", "_node")
+        .drop("_rank", "_nth", "_known", "_node")
     )
     ends = {"source": F.col("source_node"), "target": F.col("target_node")}
     groups = [

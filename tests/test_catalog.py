@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.plans import audit, bundle, contracts, kpi, lineage, registry, runs, scripts
+from ledgerloom.session import setting
 from ledgerloom.sources import tables, text
 
 
@@ -479,3 +480,44 @@ def test_ddl_fields_are_not_sorted_where_they_are_read(spark):
     assert len(before) == 2 and "Aggregate" not in before[1]
     assert sorted(rows(got, "path", "field_name", "physical_type")) [::3] == [("p", "x", "STRING"), ("q", "y", "INT")]
     assert got.count() == 4
+
+
+def test_edges_are_put_together_where_their_module_is(spark):
+    """Sources, joins and fields move once, together, and modules once: nothing moves again for aliases or nodes."""
+    text = "run_id string, module_key string, "
+    modules = spark.createDataFrame(
+        [("r", "m", "cd.t", "select"), ("r", "m", "cd.v", None), ("r", "n", "cd.u", "Union All")], text + "target_table string, resolved_sql string"
+    )
+    sources = spark.createDataFrame(
+        [("r", "m", 2, "A", "rd.a"), ("r", "m", 1, "z", "_tmp"), ("r", "m", 3, None, "rd.b"), ("r", "n", 4, "n", "rd.c, rd.d"),
+         ("r", "n", None, "q", "rd.e"), ("r", "o", 1, "a", "rd.f"), (None, "m", 1, "a", "rd.g")],
+        text + "pos bigint, source_alias string, source_table string",
+    )
+    joins = spark.createDataFrame(
+        [("r", "m", 7, "a", "left"), ("r", "m", 8, "a", None), ("r", "m", None, "a", "full"), ("r", "m", 1, None, "cross"),
+         ("r", "n", 1, "Q", "inner"), ("r", "n", 1, "a", "anti")],
+        text + "pos bigint, source_alias string, join_type string",
+    )
+    fields = spark.createDataFrame(
+        [("r", "m", ["rd.a.k", "cd.t.k", "rd.x.k", "rd.x.l", None]), ("r", "n", None), (None, "m", ["rd.y.k"])],
+        text + "physical_source_fields array<string>",
+    )
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        got = lineage.flow_edges(modules, sources, joins, fields)
+        assert plan_of(got).count("Exchange") == 2
+        found = rows(got, "module_key", "source_node", "target_node", "relation_label", "is_pivot")
+    assert sorted(found) == [
+        ("m", "_tmp", "cd.t", "FROM / BASE", True),
+        ("m", "_tmp", "cd.v", "FROM / BASE", True),
+        ("m", "cd.t", "cd.v", "LINEAGE", False),
+        ("m", "rd.a", "cd.t", "JOIN", False),
+        ("m", "rd.a", "cd.v", "JOIN", False),
+        ("m", "rd.b", "cd.t", "JOIN", False),
+        ("m", "rd.b", "cd.v", "JOIN", False),
+        ("m", "rd.x", "cd.t", "LINEAGE", False),
+        ("m", "rd.x", "cd.v", "LINEAGE", False),
+        ("n", "cd.u::union_all", "cd.u", "FROM / BASE", True),
+        ("n", "rd.c", "cd.u::union_all", "UNION ALL", False),
+        ("n", "rd.d", "cd.u::union_all", "UNION ALL", False),
+        ("n", "rd.e", "cd.u", "INNER", False),
+    ]
