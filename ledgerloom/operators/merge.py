@@ -10,18 +10,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _same(left: str, right: str, keys: Sequence[str]) -> Column:
-    """Equal keys, in which NULL is a value like others."""
-    return reduce(and_, [F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}")) for key in keys])
+def _same(left: str, right: str, keys: Sequence[str], place: str | None = None) -> Column:
+    """Equal keys, in which NULL is a value like others.
+
+    ``place`` names a column of both sides that is never NULL and follows from the keys: sides that lie by it are joined
+    where they are.
+    """
+    equal = [F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}")) for key in keys]
+    return reduce(and_, equal if place is None else [F.col(f"{left}.{place}") == F.col(f"{right}.{place}"), *equal])
 
 
-def _without(base: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _without(base: DataFrame, gone: DataFrame, keys: Sequence[str], place: str | None = None) -> DataFrame:
     """Rows of ``base`` whose key is not in ``gone``."""
-    return base.alias("b").join(gone.select(*keys).distinct().alias("d"), _same("b", "d", keys), "left_anti")
+    named = [*keys] if place is None else [place, *keys]
+    return base.alias("b").join(gone.select(*named).distinct().alias("d"), _same("b", "d", keys, place), "left_anti")
 
 
 def upsert(
-    base: DataFrame, delta: DataFrame, keys: Sequence[str], defaults: Mapping[str, Column] | None = None
+    base: DataFrame,
+    delta: DataFrame,
+    keys: Sequence[str],
+    defaults: Mapping[str, Column] | None = None,
+    place: str | None = None,
 ) -> DataFrame:
     """Insert new keys and overwrite, in existing ones, only the columns ``delta`` supplies.
 
@@ -33,14 +43,14 @@ def upsert(
     old = base.select(*base.columns, F.lit(True).alias("_old")).alias("b")
     columns = []
     for name in base.columns:
-        if name in keys:
+        if name in keys or name == place:
             value = F.when(F.col("d._new"), F.col(f"d.{name}")).otherwise(F.col(f"b.{name}"))
         elif name in delta.columns:
             value = F.when(F.col("d._new"), F.col(f"d.{name}")).otherwise(F.col(f"b.{name}"))
         else:
             value = F.when(F.col("b._old"), F.col(f"b.{name}")).otherwise(defaults.get(name, F.lit(None)))
         columns.append(value.cast(base.schema[name].dataType).alias(name))
-    return old.join(mark, _same("b", "d", keys), "full_outer").select(*columns)
+    return old.join(mark, _same("b", "d", keys, place), "full_outer").select(*columns)
 
 
 def patch(base: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -55,14 +65,16 @@ def patch(base: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def insert_missing(base: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
+def insert_missing(base: DataFrame, delta: DataFrame, keys: Sequence[str], place: str | None = None) -> DataFrame:
     """Append the rows of ``delta`` whose key the base does not hold."""
-    return base.unionByName(_without(delta, base, keys))
+    return base.unionByName(_without(delta, base, keys, place))
 
 
-def replace_slice(base: DataFrame, delta: DataFrame, keys: Sequence[str], append: bool = True) -> DataFrame:
+def replace_slice(
+    base: DataFrame, delta: DataFrame, keys: Sequence[str], append: bool = True, place: str | None = None
+) -> DataFrame:
     """Drop every base row of the keys present in ``delta``, then append ``delta`` unless told not to."""
-    kept = _without(base, delta, keys)
+    kept = _without(base, delta, keys, place)
     return kept.unionByName(delta) if append else kept
 
 

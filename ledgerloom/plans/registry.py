@@ -68,7 +68,8 @@ def clean_sources(assets: DataFrame, relations: DataFrame, controlled: DataFrame
     )
     if controlled is not None:
         edges = edges.join(controlled.select("run_id").distinct(), "run_id", "left_anti")
-    found = named.unionByName(edges)
+    # Moved by run, so what joins the targets of the runs later does not move again.
+    found = named.unionByName(edges).repartition("run_id")
     first = first_wins(found, ["run_id", "qualified_name"], ["rank", "pos", "source_kind"])
     return first.select(
         "run_id", "rank", "pos", "qualified_name", leaf_name(F.col("qualified_name")).alias("display_name"), "source_kind"
@@ -81,24 +82,35 @@ def build_registry(sources: DataFrame, targets: DataFrame, schemas: DataFrame) -
     The schema catalogue has one row per schema and is joined on the name before the first dot. Sources of runs without
     a target stay, with an empty one.
     """
-    source_schema, source_object = split_first_dot(F.col("source_table"))
-    target_schema, target_object = split_first_dot(F.col("target_table"))
+    return registry_columns(matched_sources(sources, targets, schemas))
+
+
+def matched_sources(sources: DataFrame, targets: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Cleaned sources with the target of their run and the type of their schema: what registry rows are made from."""
+    source_schema, _ = split_first_dot(F.col("source_table"))
     kinds = schemas.select(F.col("schema_name").alias("source_schema"), F.col("schema_type").alias("_kind"))
-    rows = (
+    return (
         sources.select("run_id", F.trim("qualified_name").alias("source_table"), "source_kind")
         .join(targets.select("run_id", "target_table"), "run_id", "left")
         .withColumn("target_table", F.coalesce("target_table", F.lit("")))
         .withColumn("source_schema", source_schema)
         .join(kinds, "source_schema", "left")
+        .drop("source_schema")
     )
-    temporary = is_temporary(F.coalesce("source_schema", "source_table"), F.col("_kind"))
+
+
+def registry_columns(rows: DataFrame) -> DataFrame:
+    """Registry rows of matched sources; all columns follow from a row's own."""
+    source_schema, source_object = split_first_dot(F.col("source_table"))
+    target_schema, target_object = split_first_dot(F.col("target_table"))
+    temporary = is_temporary(F.coalesce(source_schema, "source_table"), F.col("_kind"))
     return rows.select(
         "run_id",
         "target_table",
         "source_table",
         target_schema.alias("target_schema"),
         target_object.alias("target_object_name"),
-        "source_schema",
+        source_schema.alias("source_schema"),
         source_object.alias("source_object_name"),
         F.nullif("_kind", F.lit("")).alias("source_schema_type"),
         "source_kind",

@@ -77,9 +77,9 @@ WHERE qualified_name IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY run_id, qualified_name ORDER BY rank, pos, source_kind) = 1"""
 
 
-def _clean(lab: Lab) -> DataFrame:
+def _clean(lab: Lab, controlled: DataFrame | None = None) -> DataFrame:
     named = lab["run_module_sources"].withColumnRenamed("source_table", "qualified_name")
-    return registry.clean_sources(named, lab["run_relations"], lab["registry_base"])
+    return registry.clean_sources(named, lab["run_relations"], lab["registry_base"] if controlled is None else controlled)
 
 
 @query("source_clean", "SELECT * FROM {clean}")
@@ -101,9 +101,12 @@ FROM (
     LEFT JOIN {{schema_catalog}} s ON s.schema_name = split_part(c.qualified_name, '.', 1)))"""
 
 
+def _schemas(lab: Lab) -> DataFrame:
+    return registry.schema_catalog(lab["schema_rows"], "esquemas.csv", order="fila")
+
+
 def _registry(lab: Lab) -> DataFrame:
-    schemas = registry.schema_catalog(lab["schema_rows"], "esquemas.csv", order="fila")
-    return registry.build_registry(_clean(lab), lab["app_runs"], schemas)
+    return registry.build_registry(_clean(lab), lab["app_runs"], _schemas(lab))
 
 
 @query("registry_build", "SELECT * FROM {registry}")
@@ -131,7 +134,8 @@ def registry_upsert_stored(lab: Lab) -> DataFrame:
     base, keys = lab["registry_base"], tuple(registry.REGISTRY_KEYS)
     table = KeyedTable(lab.spark, scratch_path(lab.spark, "registry"), base.schema, keys, parts=16, by=("run_id",))
     table.create(base)
-    delta = cut(_registry(lab), "registry_delta")
+    matched = registry.matched_sources(_clean(lab, table.read()), lab["app_runs"], _schemas(lab))
+    delta = table.staged(matched, registry.registry_columns)
     for _ in range(2):
         table.upsert(delta, registry.registry_defaults(PARAMS.now))
     return table.read()

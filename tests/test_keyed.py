@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import merge
+from ledgerloom.session import setting
 from ledgerloom.sources.keyed import PART, KeyedTable
 
 RUNS = 200
@@ -139,3 +140,30 @@ def test_a_change_is_moved_not_written_again(spark, table, monkeypatch):
     assert len(moved) == 3 and written and written <= {file.rsplit("/", 1)[1] for file in files_of(table).values()}
     table.delete_slices(gone)
     assert rows_of(table.read()) == [row for row in want if row[0] not in ("r3", "r4")]
+
+
+def test_rows_of_the_table_stay_where_they_are(spark, table, monkeypatch):
+    """A change is moved and written once, also when it is merged twice; no merge moves rows of either side."""
+    delta = spark.createDataFrame([("r7", 1, "new"), (None, 5, "more"), ("zz", None, "b")], "run_id string, pos int, value string")
+    want = rows_of(merge.upsert(table.read(), delta, table.keys, {"note": F.lit("n")}))
+    plans, lay = [], KeyedTable._lay
+
+    def seen(self, made, path):
+        plans.append((path, made._jdf.queryExecution().executedPlan().toString()))
+        lay(self, made, path)
+
+    monkeypatch.setattr(KeyedTable, "_lay", seen)
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        change = table.staged(
+            delta.withColumn("value", F.reverse("value")), lambda moved: moved.withColumn("value", F.reverse("value"))
+        )
+        assert table.upsert(change, {"note": F.lit("n")}) == table.upsert(change, {"note": F.lit("n")})
+        assert rows_of(table.read()) == want
+        whole = delta.withColumn("note", F.lit("other"))
+        table.insert_missing(whole)
+        assert rows_of(table.read()) == want
+        table.replace_slices(whole)
+        table.delete_slices(whole)
+    merges = [plan for path, plan in plans if path.endswith("/rows")]
+    assert len(plans) == 9 and len(merges) == 5 and not any("Exchange" in plan for plan in merges)
+    assert {"r7", "zz", None}.isdisjoint(row[0] for row in rows_of(table.read()))
