@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.naming import ascii_slug, business_name, inferred_type, leaf_name
-from ledgerloom.session import cut
+from ledgerloom.session import cut, setting
 
 TABLE_FIELD = ["table_name", "field_name"]
 
@@ -68,7 +68,7 @@ def contract_fields(
 
     ``fields`` has table_name, position, field_name, field_type, description and functions.
     The four side tables are keyed by table and lower-case field name, so one partitioning
-    of the fields serves all four joins.
+    of the fields serves all four joins. What is worked out of a field alone is so before they move.
     """
     keys = ["table_name", "_field"]
 
@@ -82,6 +82,8 @@ def contract_fields(
 
     rows = (
         fields.withColumn("_field", F.lower("field_name"))
+        .withColumn("_inferred", inferred_type(F.col("field_name"), F.col("functions")))
+        .drop("functions")
         .join(side(profile, "p", ["logical_type", "physical_type", "required", "example"]), keys, "left")
         .join(side(ddl, "d", ["logical_type", "physical_type", "required", "partitioned"]), keys, "left")
         .join(side(sample, "s", ["example"]), keys, "left")
@@ -93,11 +95,7 @@ def contract_fields(
         "table_name",
         "position",
         "field_name",
-        F.coalesce(
-            _filled(col("p_logical_type")),
-            _filled(col("d_logical_type")),
-            inferred_type(col("field_name"), col("functions")),
-        ).alias("logical_type"),
+        F.coalesce(_filled(col("p_logical_type")), _filled(col("d_logical_type")), "_inferred").alias("logical_type"),
         F.coalesce(_filled(col("d_physical_type")), _filled(col("p_physical_type"))).alias("physical_type"),
         F.coalesce(_filled(col("w_description")), col("description")).alias("description"),
         F.coalesce(
@@ -110,6 +108,11 @@ def contract_fields(
     )
 
 
+def of_products(rows: DataFrame, products: DataFrame) -> DataFrame:
+    """Rows of the tables that are products. They lie by table then, and what is joined to them need move only there."""
+    return rows.join(products.select("table_name"), "table_name", "left_semi")
+
+
 def contract_documents(fields: DataFrame, products: DataFrame) -> DataFrame:
     """Contracts in long form as JSON, empty parts left out: one "contract" row per table, one "property" row per field.
 
@@ -117,8 +120,10 @@ def contract_documents(fields: DataFrame, products: DataFrame) -> DataFrame:
     properties of a table; contract rows have 0 and the number of fields. Tables without fields have no contract.
     """
     col = F.col
-    # Counted and listed: what joins have put together is written once, not joined a second time for the count.
-    fields = cut(fields, "contract_fields")
+    # Fields that lie by their table stay there, for their own joins and for this one. Counted and listed: what joins
+    # have put together is written once, not joined a second time for the count.
+    with setting(fields.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        fields = cut(of_products(fields, products), "contract_fields")
     field = F.struct(
         col("field_name").alias("name"),
         col("logical_type").alias("logicalType"),
@@ -172,7 +177,7 @@ def contract_documents(fields: DataFrame, products: DataFrame) -> DataFrame:
         "table_name", F.lit("contract").alias("part"), F.lit(0).cast("bigint").alias("position"), "field_count",
         F.to_json(document).alias("body"),
     )
-    rows = fields.join(products.select("table_name"), "table_name", "left_semi").select(
+    rows = fields.select(
         "table_name", F.lit("property").alias("part"), col("position").cast("bigint").alias("position"),
         F.lit(None).cast("bigint").alias("field_count"), F.to_json(field).alias("body"),
     )

@@ -232,9 +232,9 @@ LEFT JOIN {{contract_sample}} s ON s.table_name = c.table_name AND lower(s.field
 LEFT JOIN {{contract_dictionary}} w ON w.table_name = c.table_name AND lower(w.field_name) = lower(c.field_name)"""
 
 
-def _contract_fields(lab: Lab) -> DataFrame:
+def _contract_fields(lab: Lab, columns: DataFrame | None = None) -> DataFrame:
     return contracts.contract_fields(
-        lab["contract_columns"],
+        lab["contract_columns"] if columns is None else columns,
         lab["contract_profile"],
         lab["contract_ddl"],
         lab["contract_sample"],
@@ -275,7 +275,9 @@ FROM (SELECT table_name, count(*) AS n FROM {contract_rows_all} GROUP BY table_n
 JOIN {contract_products} c ON c.table_name = p.table_name""",
 )
 def contract_doc(lab: Lab) -> DataFrame:
-    return contracts.contract_documents(_contract_fields(lab), lab["contract_products"])
+    products = lab["contract_products"]
+    columns = contracts.of_products(lab["contract_columns"], products)
+    return contracts.contract_documents(_contract_fields(lab, columns), products)
 
 
 # ---------------------------------------------------------------- names

@@ -521,3 +521,45 @@ def test_edges_are_put_together_where_their_module_is(spark):
         ("n", "rd.d", "cd.u::union_all", "UNION ALL", False),
         ("n", "rd.e", "cd.u", "INNER", False),
     ]
+
+
+def test_contract_fields_move_once_by_table(spark, monkeypatch):
+    """Fields of products move by their table; neither the four joins nor the choice of products moves them again."""
+    text = "table_name string, field_name string, "
+    columns = spark.createDataFrame(
+        [("s.t", "A", 1, "count"), ("s.t", "a", 2, "x"), ("s.u", "b", 1, "x"), (None, "c", 1, "x"), ("s.v", None, 1, "x")],
+        text + "position bigint, f string",
+    ).select("table_name", "position", "field_name", F.lit("T").alias("field_type"), F.lit("d").alias("description"), F.array("f").alias("functions"))
+    profile = spark.createDataFrame(
+        [("s.t", "A", "", "INT", True, "7"), (None, "c", "date", "DATE", True, "8")],
+        text + "logical_type string, physical_type string, required boolean, example string",
+    )
+    ddl = spark.createDataFrame(
+        [("s.t", "a", "integer", "BIGINT", False, True), ("s.u", "b", "date", "DATE", True, False)],
+        text + "logical_type string, physical_type string, required boolean, partitioned boolean",
+    )
+    sample = spark.createDataFrame([("s.t", "a", "9"), ("s.t", "a", "10")], text + "example string")
+    dictionary = spark.createDataFrame([("s.v", "x", "X", "dx")], text + "business_name string, description string")
+    products = spark.createDataFrame(
+        [(name, "P", "d", "p", "diaria", "g", "t") for name in ("s.t", "s.v", "s.v", "s.w", None)],
+        "table_name string, product string, domain string, purpose string, frequency string, granularity string, created string",
+    )
+    plans, cut = [], contracts.cut
+    monkeypatch.setattr(contracts, "cut", lambda df, name: plans.append(plan_of(df)) or cut(df, name))
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        fields = contracts.contract_fields(contracts.of_products(columns, products), profile, ddl, sample, dictionary)
+        got = contracts.contract_documents(fields, products)
+    assert plans[0].count("LeftOuter") == 4 and plans[0].count("LeftSemi") == 2
+    # One for the fields, one for each side and for either list of products.
+    assert plans[0].count("Exchange") == 7 and "Exchange" not in plans[0].split("LeftOuter")[0]
+    assert sorted(rows(got, "table_name", "part", "position", "field_count"), key=str) == [
+        ("s.t", "contract", 0, 4),
+        *[("s.t", "property", n, None) for n in (1, 1, 2, 2)],
+        ("s.v", "contract", 0, 1),
+        ("s.v", "contract", 0, 1),
+        ("s.v", "property", 1, None),
+    ]
+    bodies = {r["body"] for r in got.where("part = 'property' AND table_name = 's.t'").collect()}
+    assert len(bodies) == 2 and all('"logicalType":"integer"' in body and '"examples":["7"]' in body for body in bodies)
+    found = {r["position"]: r["logical_type"] for r in contracts.contract_fields(columns, *[side.limit(0) for side in (profile, ddl, sample, dictionary)]).where("table_name = 's.t'").collect()}
+    assert found == {1: "number", 2: "string"}
