@@ -17,6 +17,7 @@ from ledgerloom.functions.naming import (
 )
 from ledgerloom.operators.graph import levels, upstream
 from ledgerloom.operators.rows import numbered
+from ledgerloom.session import many_tasks
 
 MODULE = ["run_id", "module_key"]
 
@@ -41,15 +42,13 @@ def flow_edges(modules: DataFrame, sources: DataFrame, joins: DataFrame, field_s
 
     none = F.lit(None)
     alias, pos = F.lower("source_alias"), F.col("pos")
-    # Sorted rows and edges take many times the room that rows take in a shuffle, so there are more tasks than usual.
-    tasks = 4 * int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # A field gives each of its tables once.
     known_fields = F.array_distinct(F.transform("physical_source_fields", _table_of))
     parts = (
         part(sources, "source", alias, pos, F.col("source_table"), none)
         .unionByName(part(joins, "join", alias, pos, F.upper("join_type"), none))
         .unionByName(part(field_sources, "field", none, none, none, known_fields).where(F.size("_tables") > 0))
-        .repartition(tasks, *MODULE)
+        .repartition(many_tasks(sources.sparkSession), *MODULE)
         .sortWithinPartitions(*MODULE, "_alias")
     )
     is_source, is_join = F.col("_kind") == "source", F.col("_kind") == "join"

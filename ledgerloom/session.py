@@ -48,6 +48,11 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
+def many_tasks(spark: SparkSession) -> int:
+    """How many tasks share a step whose rows take many times the room in memory that they take in a shuffle."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def local_session(cores: str = "*", partitions: int = 8, app: str = "ledgerloom") -> SparkSession:
     """Single-machine session for tests and the local bench."""
     builder = (

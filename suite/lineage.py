@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import fixed_values as fixed
 from ledgerloom.plans import bundle, lineage, registry, runs
-from ledgerloom.session import cut, scratch_path
+from ledgerloom.session import many_tasks, scratch_path
 from ledgerloom.sources import text
 from ledgerloom.sources.keyed import KeyedTable
 from suite.catalog import sql_list
@@ -132,7 +132,8 @@ def registry_upsert(lab: Lab) -> DataFrame:
 def registry_upsert_stored(lab: Lab) -> DataFrame:
     """The registry as a table on disk, with the new rows merged into the partitions they touch; twice, as a retry does."""
     base, keys = lab["registry_base"], tuple(registry.REGISTRY_KEYS)
-    table = KeyedTable(lab.spark, scratch_path(lab.spark, "registry"), base.schema, keys, parts=16, by=("run_id",))
+    path, buckets = scratch_path(lab.spark, "registry"), many_tasks(lab.spark)
+    table = KeyedTable(lab.spark, path, base.schema, keys, parts=16, by=("run_id",), buckets=buckets)
     table.create(base)
     matched = registry.matched_sources(_clean(lab, table.read()), lab["app_runs"], _schemas(lab))
     delta = table.staged(matched, registry.registry_columns)
