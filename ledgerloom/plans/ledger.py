@@ -20,9 +20,9 @@ SCHEMA = (
 )
 
 
-def ledger_table(spark: SparkSession, path: str, parts: int = 256) -> KeyedTable:
+def ledger_table(spark: SparkSession, path: str, parts: int = 256, buckets: int = 256) -> KeyedTable:
     """The ledger in a folder, one row for each thing seen, in partitions by what it is."""
-    return KeyedTable(spark, path, SCHEMA, KEYS, parts)
+    return KeyedTable(spark, path, SCHEMA, KEYS, parts, buckets=buckets)
 
 
 def evidence_hashes(rows: DataFrame, run: str = "run_id") -> DataFrame:

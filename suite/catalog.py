@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import fixed_values as fixed
 from ledgerloom.operators import merge
 from ledgerloom.plans import ledger, runs
-from ledgerloom.session import scratch_path
+from ledgerloom.session import many_tasks, scratch_path
 from ledgerloom.sources.keyed import KeyedTable
 from suite import catalog_inputs  # noqa: F401  (registers the bindings)
 from suite.lab import CHECKS, PARAMS, Lab
@@ -125,7 +125,8 @@ def control_ensure(lab: Lab) -> DataFrame:
 def control_ensure_stored(lab: Lab) -> DataFrame:
     """The control table on disk; only partitions of runs without a row are written, and none when run again."""
     control = lab["run_control"]
-    table = KeyedTable(lab.spark, scratch_path(lab.spark, "control"), control.schema, ("run_id",), parts=16)
+    path, buckets = scratch_path(lab.spark, "control"), many_tasks(lab.spark)
+    table = KeyedTable(lab.spark, path, control.schema, ("run_id",), parts=16, buckets=buckets)
     table.create(control)
     for _ in range(2):
         known = table.read().select("run_id")
@@ -256,7 +257,7 @@ WHERE b.kind IS NULL OR b.content_hash <> n.content_hash OR (n.superseded AND NO
 def import_delta(lab: Lab) -> DataFrame:
     """Early runs are taken into the ledger, then all; what comes out the second time are the differences."""
     versions = _versions(lab)
-    table = ledger.ledger_table(lab.spark, scratch_path(lab.spark, "ledger"), parts=16)
+    table = ledger.ledger_table(lab.spark, scratch_path(lab.spark, "ledger"), parts=16, buckets=many_tasks(lab.spark))
     table.create(lab.spark.createDataFrame([], ledger.SCHEMA))
     ledger.take_in(table, ledger.observations(versions.where(EARLIER)))
     return ledger.take_in(table, ledger.observations(versions))
@@ -343,7 +344,7 @@ def run_slice_replace(lab: Lab) -> DataFrame:
 def _stored_sources(lab: Lab) -> KeyedTable:
     rows = lab["run_module_sources"].select("run_id", "module_key", "pos", "source_table")
     path, keys = scratch_path(lab.spark, "run_sources"), ("run_id", "module_key", "pos")
-    table = KeyedTable(lab.spark, path, rows.schema, keys, parts=16, by=("run_id",))
+    table = KeyedTable(lab.spark, path, rows.schema, keys, parts=16, by=("run_id",), buckets=many_tasks(lab.spark))
     table.create(rows)
     return table
 
